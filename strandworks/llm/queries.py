@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import quality
+from strandworks.llm import quality, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -50,5 +50,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-SQL = {"op6_quality_rules": OP6_SQL}
+def op8_warc_convert(spark, sf_dir):
+    return warc.convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op8_warc_convert": op8_warc_convert,
+}
+SQL = {
+    "op6_quality_rules": OP6_SQL,
+    "op8_warc_convert": OP8_SQL,
+}
