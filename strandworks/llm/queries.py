@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import quality, warc
+from strandworks.llm import decontam, quality, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -66,11 +66,38 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
+def op3_decontaminate(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+_OP3_WORDS = "string_split_regex(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')), ' ')"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter({_OP3_WORDS}, lambda x: x <> '') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter({_OP3_WORDS}, lambda x: x <> '') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), hits AS (
+  SELECT doc_id, i, n, item
+  FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)) JOIN bw USING (n, g)
+), c AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), k AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
 }
 SQL = {
+    "op3_decontaminate": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
 }
