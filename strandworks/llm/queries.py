@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, quality, warc
+from strandworks.llm import decontam, packing, quality, secrets, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -66,6 +66,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM f
 """
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_curve_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -92,6 +100,8 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_curve_packing": op2_curve_packing,
     "op3_decontaminate": op3_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
