@@ -16,6 +16,7 @@ packed one by one; a null id sorts first; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ DIMS = 3
 BITS = 16
 #: Words whose ids a worker remembers, and the longest of them in characters.
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
+_LONE_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 SHARD = 1 << 20  # tokens of one row; longer documents travel in several
 
 
@@ -51,23 +53,34 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         coded = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, coded, strict=True)}
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Stretches that the tokenizer codes alone, with fewer forms of one word.
+
+        ASCII letters are lower-cased as the normaliser would (not where a special token may be
+        written), and a lone stop or comma between a letter and white space is a word of its own.
+        """
+        if "<|" not in text:
+            text = text.encode().lower().decode()
+        return _LONE_STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
+        split = [self.words(t) for t in texts]
+        if len(self.known) > CACHE_WORDS // 2:  # words in use come over from the older half
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
         new = set().union(*split).difference(known)
         extra: dict[str, bytes] = {}
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                # start again with the words at hand: frequent ones come back at once
-                known = self.known = {"": b""}
-                new = set().union(*split).difference(known)
-            learned = self.learn(list(new))
+            known.update((w, old[w]) for w in new if w in old)
+            learned = self.learn([w for w in new if w not in old])
             extra = {w: v for w, v in learned.items() if len(w) > CACHE_CHARS}
             known.update((w, v) for w, v in learned.items() if len(w) <= CACHE_CHARS)
         if not extra:
