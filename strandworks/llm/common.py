@@ -66,22 +66,23 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id (long) and the text (null: empty), whatever else the table carries."""
+def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """Only the id (long) and the text (null: empty), whatever else the table carries; the row itself as ``_row`` if asked."""
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep_row else []),
     )
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """``doc_id, text, rid``: rid is unique per distinct (doc_id, text) and ordered as doc_id is.
 
     Normally ids are unique and rid is the id itself. If an id is null or repeated, distinct
     (doc_id, text) pairs are numbered in order (null ids last, then by a 128-bit text digest);
     fully repeated rows are one document and share a rid.
     """
-    slim = narrow(docs, id_col, text_col)
+    slim = narrow(docs, id_col, text_col, keep_row)
     seen = slim.agg(
         F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.max("doc_id").alias("top")
     ).first()
@@ -100,7 +101,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     numbered = materialise(numbered, "rids")
     return marked.join(
         numbered, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
-    ).select("doc_id", "text", "rid")
+    ).drop("k_id", "k_digest", "digest")
 
 
 def fits(df: DataFrame, column: str | None, most_rows: int) -> bool:

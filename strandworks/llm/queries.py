@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, packing, quality, secrets, warc
+from strandworks.llm import decontam, linededup, packing, quality, secrets, warc
 from strandworks.llm.common import narrow, table
 
 
+def op4_line_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = f"""
+WITH l AS (
+  SELECT doc_id, i, line, regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS t
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), c AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE t <> ''),
+w AS (
+  SELECT doc_id, p, a || chr(10) || b || chr(10) || d AS g
+  FROM (SELECT doc_id, p, t AS a, lead(t, 1) OVER x AS b, lead(t, 2) OVER x AS d FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY p))
+  WHERE d IS NOT NULL
+), r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS p FROM r)),
+gl AS (SELECT doc_id, i FROM gone JOIN c USING (doc_id, p)),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gl USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gl GROUP BY doc_id) g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.score(narrow(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -103,11 +132,13 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_curve_packing": op2_curve_packing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
 }
