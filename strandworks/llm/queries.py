@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, linededup, packing, quality, secrets, warc
+from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -83,6 +83,10 @@ def op8_warc_convert(spark, sf_dir):
     return warc.convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages
@@ -135,6 +139,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
+    "op9_license_scan": op9_license_scan,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,
