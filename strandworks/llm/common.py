@@ -75,8 +75,8 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     )
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
-    """``doc_id, text, rid``: rid is unique per distinct (doc_id, text) and ordered as doc_id is.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text, rid``, and ``rid, text`` once for each rid. A rid is unique per distinct (doc_id, text) and ordered as doc_id is.
 
     Normally ids are unique and rid is the id itself. If an id is null or repeated, distinct
     (doc_id, text) pairs are numbered in order (null ids last, then by a 128-bit text digest);
@@ -90,7 +90,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         slim.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     )
     if not repeated:
-        return slim.withColumn("rid", F.col("doc_id"))
+        rows = slim.withColumn("rid", F.col("doc_id"))
+        return rows, rows.select("rid", "text")
     marked = slim.withColumn("digest", F.md5(F.col("text").cast("binary")))
     pairs = marked.select("doc_id", "digest").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
     numbered = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(
@@ -99,9 +100,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
         )
     )
     numbered = materialise(numbered, "rids")
-    return marked.join(
+    rows = marked.join(
         numbered, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
     ).drop("k_id", "k_digest", "digest")
+    return rows, rows.select("rid", "text").dropDuplicates(["rid"])
 
 
 def fits(df: DataFrame, column: str | None, most_rows: int) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, warc
+from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -35,6 +35,13 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM gl GROUP BY doc_id) g USING (doc_id
 """
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = suffixdedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.score(narrow(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -137,6 +144,7 @@ QUERIES = {
     "op2_curve_packing": op2_curve_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
     "op9_license_scan": op9_license_scan,
