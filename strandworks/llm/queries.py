@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, suffixdedup, warc
+from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, substrings, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -139,6 +139,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+def op10_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM r)),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_curve_packing": op2_curve_packing,
@@ -148,10 +168,12 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_warc_convert": op8_warc_convert,
     "op9_license_scan": op9_license_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
