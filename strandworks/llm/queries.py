@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, licenses, linededup, packing, quality, secrets, substrings, suffixdedup, warc
+from strandworks.llm import decontam, jaccard, licenses, linededup, packing, quality, secrets, substrings, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -86,6 +86,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_convert(spark, sf_dir):
     return warc.convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -166,6 +170,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc_convert": op8_warc_convert,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
