@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandworks.llm.common import LOWER, PLAIN_WORD, U64, groups_of, mix, narrow, parted, utf8, word_hashes, words_of
+from strandworks.llm.common import LOWER, PLAIN_WORD, U64, groups_of, keyed, mix, narrow, parted, utf8, word_hashes, words_of
 
 WINDOW = 13
 K = 5
@@ -177,9 +178,18 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) ->
 
 
 def scan(docs: DataFrame, block: Block) -> DataFrame:
-    """Each document against one block: its words, spans of occurrences and items found."""
+    """Each document against one block: its words, spans of occurrences and items found; ``_row`` passes through."""
+    carried = [c for c in docs.columns if c == "_row"]
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType()),
+            T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
+            *(docs.schema[c] for c in carried),
+        ]
+    )
+    docs = docs.select("doc_id", "text", "digest", *carried)
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    names = ["doc_id", "digest", "n_words", "starts", "ends", "items"]
+    names = [f.name for f in schema]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +204,26 @@ def scan(docs: DataFrame, block: Block) -> DataFrame:
             cols = zip(*(spans.get(i, empty) for i in range(len(batch))), strict=True)
             starts, ends, items = ([list(x) for x in c] for c in cols) if len(batch) else ([], [], [])
             arrays = [batch.column(0), batch.column(2), pa.array(np.concatenate(counts) if counts else [], kinds[2])]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, t) for x, t in zip((starts, ends, items), kinds[3:], strict=True))], names)
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, t) for x, t in zip((starts, ends, items), kinds[3:], strict=True)), *batch.columns[3:]], names)
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, "doc_id long, digest string, n_words long, starts array<int>, ends array<int>, items array<string>")
+
+def judged(found: DataFrame) -> DataFrame:
+    """The figures of each document, from the spans and items found in it; other columns stay."""
+    spans = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
+    items = F.array_sort(F.array_distinct("items"))
+    reach = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("total"), F.lit(-1).alias("reach")),
+        lambda s, x: F.struct(
+            (s["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["reach"]))).alias("total"),
+            F.greatest(s["reach"], x["end"]).alias("reach"),
+        ),
+        lambda s: s["total"].cast("long"),
+    )
+    out = found.withColumns({"n_hit": reach, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ","), 256), "spans": spans})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(
@@ -219,21 +246,22 @@ def contamination(
             (F.count("*") / len(parts)).cast("int").alias("copies"),
         )
         found = found.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    spans = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
-    items = F.array_sort(F.array_distinct("items"))
-    reach = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("total"), F.lit(-1).alias("reach")),
-        lambda s, x: F.struct(
-            (s["total"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["reach"]))).alias("total"),
-            F.greatest(s["reach"], x["end"]).alias("reach"),
-        ),
-        lambda s: s["total"].cast("long"),
-    )
-    return (
-        found.select("doc_id", "n_words", reach.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), spans.alias("spans"))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    )
+    return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, in the columns that came in.
+
+    With one block of benchmark text the rows pass through the scan and nothing is shuffled; with
+    several, contaminated texts are found first and taken out by an anti-join.
+    """
+    parts = [Block(rows) for rows in blocks(benchmark, item_col, item_text_col, block_words)]
+    if len(parts) == 1:
+        rows = narrow(docs, id_col, text_col, keep_row=True).withColumn("digest", F.lit(""))
+        return judged(scan(rows, parts[0])).filter(~F.col("contaminated")).select("_row.*")
+    rows, texts = keyed(docs, id_col, text_col, keep_row=True)
+    bad = contamination(texts, benchmark, "rid", "text", item_col, item_text_col, block_words).filter("contaminated")
+    return rows.join(bad.select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("_row.*")
 
 
 def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

@@ -48,3 +48,14 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     (row,) = decontam.contamination(docs, items.limit(0)).collect()
     assert (row.n_words, row.n_hit, row.contaminated) == (3, 0, False)
+
+
+def test_clean_documents_keep_their_columns(spark):
+    docs, items = cases(2)
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("tags", F.array(F.lit("x"))).repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    bad = {(r[0]) for r in decontam.brute(docs, items) if r[5]}
+    for words in (decontam.BLOCK_WORDS, 20):
+        kept = decontam.clean_documents(d, b, block_words=words)
+        assert kept.columns == d.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
