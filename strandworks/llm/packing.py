@@ -8,7 +8,7 @@ partition's token stream is cut into sequences of ``SEQUENCE`` tokens. What is l
 end is cut at powers of two, so no sequence needs padding.
 
 Token ids come from the tokenizer, word by word: its normaliser and splitter never join what
-white space parts, so a bounded cache of words gives the same ids as whole texts.
+white space parts, so a bounded cache of words (by 64-bit hash) gives the same ids as whole texts.
 
 Defined results: a null or empty text is the end token alone; equal ids and repeated rows are
 packed one by one; a null id sorts first; other columns are ignored.
@@ -16,25 +16,26 @@ packed one by one; a null id sorts first; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import U64, materialise, mix, narrow, partitions
+from strandworks.llm.common import LOWER, U64, groups_of, materialise, mix, narrow, parted, partitions, utf8, word_hashes
 
 SEQUENCE = 4096
 END = 2
 BUCKETS = 512
 DIMS = 3
 BITS = 16
-#: Words whose ids a worker remembers, and the longest of them in characters.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
-_LONE_STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+#: Words whose ids a worker remembers (a power of two), and bytes of text coded at a time.
+CACHE_SLOTS, CHUNK = 1 << 21, 1 << 20
 SHARD = 1 << 20  # tokens of one row; longer documents travel in several
 
 
@@ -44,8 +45,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The normaliser and splitter under which words can be coded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def byte_chars() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if printable, else one from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARS = byte_chars()
+
+
 class WordIds:
-    """Token ids of texts as little-endian uint32 bytes, through a bounded cache of words."""
+    """Token ids of texts, through a bounded cache of words by hash; one per worker process.
+
+    Words are stretches that the tokenizer codes alone: what white space parts, with a lone stop or
+    comma behind a letter as a word of its own. ASCII letters are lower-cased first, as the
+    normaliser would; texts that may spell a special token are coded whole instead.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,39 +80,108 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, coded, strict=True)}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """Stretches that the tokenizer codes alone, with fewer forms of one word.
-
-        ASCII letters are lower-cased as the normaliser would (not where a special token may be
-        written), and a lone stop or comma between a letter and white space is a word of its own.
+        form = json.loads(self.tokenizer.to_str())
+        #: Whether words may be coded one by one, and letters by the model alone.
+        self.by_word = form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == PRE_TOKENIZER
+        self.model = self.tokenizer.model
+        self.keys = np.zeros(CACHE_SLOTS, U64)
+        self.entry = np.zeros(CACHE_SLOTS, np.int64)
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys[:] = 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.n, self.filled = np.zeros(1 << 18, np.uint32), 0, 0
+
+    def learn(self, words: list[str]) -> int:
+        """Code new words; returns the first one's entry.
+
+        A word of normalised lower-case letters is what normaliser and splitter would leave as it
+        is, so the model codes it alone; the rest take the whole way.
         """
-        if "<|" not in text:
-            text = text.encode().lower().decode()
-        return _LONE_STOP.sub(r" \1", text).replace("\n", " ").split(" ")
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        if len(self.known) > CACHE_WORDS // 2:  # words in use come over from the older half
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = set().union(*split).difference(known)
-        extra: dict[str, bytes] = {}
-        if new:
-            known.update((w, old[w]) for w in new if w in old)
-            learned = self.learn([w for w in new if w not in old])
-            extra = {w: v for w, v in learned.items() if len(w) > CACHE_CHARS}
-            known.update((w, v) for w, v in learned.items() if len(w) <= CACHE_CHARS)
-        if not extra:
-            return [b"".join(map(known.__getitem__, s)) for s in split]
-        return [b"".join([known[w] if w in known else extra[w] for w in s]) for s in split]
+        coded: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if w.isalpha() and (w.isascii() or (w == w.lower() and unicodedata.is_normalized("NFC", w))):
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS)
+                coded[i] = [t.id for t in self.model.tokenize(mapped)]
+            else:
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch([words[i] for i in rest], add_special_tokens=False), strict=True):
+                coded[i] = e.ids
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        n, filled = self.n + len(coded), self.filled + len(flat)
+        while len(self.start) < n:
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while len(self.flat) < filled:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : filled] = flat
+        self.length[self.n : n] = sizes
+        self.start[self.n : n] = self.filled + np.cumsum(sizes) - sizes
+        first, self.n, self.filled = self.n, n, filled
+        return first
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some rows of UTF-8 bytes, and the place where each row's begin."""
+        if self.n > CACHE_SLOTS // 2:
+            self.reset()
+        text, off = parted(data, offsets)
+        text = LOWER[text]
+        inside = (text != 0x20) & (text != 0x0A)
+        lone = np.zeros(len(text), bool)
+        lone[1:-1] = ((text[1:-1] == 0x2E) | (text[1:-1] == 0x2C)) & (text[:-2] >= 0x61) & (text[:-2] <= 0x7A) & ~inside[2:]
+        starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | lone[1:]]))
+        ends = np.flatnonzero(inside & np.concatenate([~inside[1:] | lone[1:], [True]])) + 1
+        first = np.searchsorted(starts, off)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        h = word_hashes(text, starts, ends) | U64(1)
+        slot = (h >> U64(40)).astype(np.int64) & (CACHE_SLOTS - 1)
+        entry = self.entry[slot]
+        missed = np.flatnonzero(self.keys[slot] != h)
+        if len(missed):
+            _, at, back = np.unique(h[missed], return_index=True, return_inverse=True)
+            at = missed[at]
+            words = [text[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            new = self.learn(words) + np.arange(len(at))
+            entry[missed] = new[back]
+            self.keys[slot[at]], self.entry[slot[at]] = h[at], new
+        size = self.length[entry]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[entry] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[first]
+
+    def rows(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each row of a string column, with the end token."""
+        data, off = utf8(column)
+        out: list[np.ndarray] = []
+        end = np.array([END], np.uint32)
+        for a, b in groups_of(off, CHUNK):
+            part = data[off[a] : off[b]]
+            if not self.by_word or _special(part):
+                whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in column.slice(a, b - a).to_pylist()]
+                out += [np.array([*ids, END], np.uint32) for ids in whole]
+                continue
+            ids, place = self.chunk(part, off[a : b + 1] - off[a])
+            out += [np.concatenate([ids[i:j], end]) for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
+        return out
+
+
+def _special(data: np.ndarray) -> bool:
+    """Whether ``<|`` is anywhere in the bytes."""
+    return bool(((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any())
+
+
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder(path: str) -> WordIds:
+    """The worker's own tokenizer and cache, kept from task to task."""
+    if path not in _CODERS:
+        _CODERS[path] = WordIds(path)
+    return _CODERS[path]
 
 
 def projection() -> np.ndarray:
@@ -126,9 +222,9 @@ def curve_key(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     """The Hilbert key of each document's token ids."""
     vectors = np.zeros((len(ids), BUCKETS))
     for i, a in enumerate(ids):
-        if len(a):
-            slot = (mix(a.astype(U64) + U64(1)) >> U64(55)).astype(np.int64)
-            vectors[i] = np.log1p(np.bincount(slot, minlength=BUCKETS))
+        slot = (mix(a.astype(U64) + U64(1)) >> U64(55)).astype(np.int64)
+        vectors[i] = np.bincount(slot, minlength=BUCKETS)
+    np.log1p(vectors, out=vectors)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     place = (vectors / np.where(norm == 0, 1, norm)) @ matrix
     # unit vectors of non-negative counts project to a narrow band; spread it over the whole grid
@@ -140,13 +236,12 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, key, n_tokens, shard, ids``: ids as uint16 or uint32 bytes, long documents in several shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, matrix, end = WordIds(path), projection(), np.array([END], "<u4").tobytes()
-        small = coder.tokenizer.get_vocab_size() <= 1 << 16
+        words, matrix = coder(path), projection()
+        small = words.tokenizer.get_vocab_size() <= 1 << 16
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                coded = [b + end for b in coder.batch(batch.column(1).to_pylist())]
-                ids = [np.frombuffer(b, "<u4") for b in coded]
+                ids = words.rows(batch.column(1))
                 keys = curve_key(ids, matrix)
                 rows = []
                 for doc, key, a in zip(batch.column(0).to_pylist(), keys.tolist(), ids, strict=True):

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -66,3 +67,13 @@ def test_neighbours_are_alike():
     docs = [rng.choice(topics[i % 30], 200) for i in range(300)]
     order = np.argsort(packing.curve_key(docs, m), kind="stable") % 30
     assert (order[1:] == order[:-1]).mean() > 0.3
+
+
+def test_words_alone_give_the_ids_of_whole_texts():
+    coder = packing.WordIds(packing.tokenizer_path())
+    rng = np.random.default_rng(7)
+    pieces = ["The", "don't", "e\u0301", "É", "İ", "ǅ", "ß", "ﬁ", "日本", "ab,", "x.", "x..", "¼", "\u00a0", "\t", "\n", " ", "  ", "K", "'ll", "ñandú", "ªº", "ʰ", "१२", "naïve.", "<b>", "😀", "\u200b", "a\u0300\u0323", "ΑΣ", "İi"]
+    texts = ["".join(rng.choice(pieces + [" "] * 12, rng.integers(0, 40))) for _ in range(600)]
+    got = coder.rows(pa.array(texts))
+    want = [e.ids + [2] for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in got] == want
