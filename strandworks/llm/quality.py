@@ -176,4 +176,7 @@ def keep_good(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame
     """The rows that pass, with the columns that came in."""
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text_col).alias("_text"))
-    return score(inner, rules, "_text").filter("kept").select("_row.*")
+    # a filter would be pushed below the measures, and each of them put in where it is used;
+    # it stays above a projection that isn't deterministic
+    judged = score(inner, rules, "_text").select("_row", "kept", F.rand(0).alias("_stay"))
+    return judged.filter(F.col("kept") & (F.col("_stay") >= 0)).select("_row.*")
