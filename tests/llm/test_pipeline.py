@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_run_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    want = [(r.doc_id, r.text) for r in quality.score(docs).filter("kept").select("doc_id", "text").collect()]
+    want = [(r.doc_id, r.text) for r in quality.score(docs).select("doc_id", "text", "kept").collect() if r.kept]
     want = [(d, t) for d, _, _, t in linededup.brute(want)]
     first = {d for d, c, _ in jaccard.brute(want) if d == c}
     want = [(d, t) for d, t in want if d in first]
