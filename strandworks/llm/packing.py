@@ -36,7 +36,8 @@ DIMS = 3
 BITS = 16
 #: Words whose ids a worker remembers (a power of two), and bytes of text coded at a time.
 CACHE_SLOTS, CHUNK = 1 << 21, 1 << 20
-SHARD = 1 << 20  # tokens of one row; longer documents travel in several
+#: Tokens of one row. Longer documents travel in several, so that ranges of rows are ranges of tokens too.
+SHARD = 4096
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -328,5 +329,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     coded = materialise(tokenised(narrow(docs, id_col, text_col), path), "tokens")
     # repeated rows of one id are told apart by length only; their shards stay in order all the same
     order = [F.col("key"), F.col("doc_id"), F.col("n_tokens"), F.col("shard")]
-    spread = coded.repartitionByRange(partitions(docs.sparkSession), "key", "doc_id")
+    spread = coded.repartitionByRange(partitions(docs.sparkSession), "key", "doc_id", "shard")
     return pack_sorted(spread.sortWithinPartitions(*order), wide)
