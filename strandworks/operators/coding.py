@@ -314,13 +314,13 @@ def baseline_sizes(samples: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     return samples.select("source_name", n.alias("ascii"), F.floor((2 * n + 7) / 8).cast("long").alias("two_bit"), sizes("seq").alias("z")).select("source_name", "ascii", "two_bit", "z.*")
 
 
-def nugget_count(valid: Column, ratio: float) -> Column:
+def latent_count(valid: Column, ratio: float) -> Column:
     return F.least(F.greatest(F.ceil(valid * ratio), F.lit(1)), valid).cast("long")
 
 
 def latent_bits(mode: str, valid: Column, ratio: float, hidden: int, bottleneck: int, dtype_bytes: int, scores: bool) -> Column:
     """Side information of one window's latent vectors, in bits."""
-    n = nugget_count(valid, ratio)
+    n = latent_count(valid, ratio)
     width = {"dense": n * hidden, "continuous_bottleneck": n * bottleneck, "flatten_bottleneck": F.lit(bottleneck)}[mode]
     return ((width * dtype_bytes + 4 + (n * dtype_bytes if scores else 0)) * 8).cast("long")
 

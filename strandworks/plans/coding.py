@@ -198,12 +198,12 @@ def f15(spark, sf):
     return K.baseline_sizes(sources(spark, sf))
 
 
-@query("f16_latent_bits", with_(SRC, "v AS (SELECT source_name, least(128, n - w * 128) AS valid FROM (SELECT source_name, length(seq) // 3 AS n, unnest(range(0, CAST(ceil((length(seq) // 3) / 128.0) AS BIGINT))) AS w FROM src))", "k AS (SELECT *, CAST(least(greatest(ceil(valid * 0.25), 1), valid) AS BIGINT) AS n FROM v)") + "SELECT source_name, CAST(sum(n) AS BIGINT) AS nuggets, CAST(sum((n * 64 * 2 + 4 + n * 2) * 8) AS BIGINT) AS dense_bits, CAST(sum((n * 8 * 2 + 4) * 8) AS BIGINT) AS continuous_bits, CAST(sum((8 * 2 + 4) * 8) AS BIGINT) AS flat_bits FROM k GROUP BY source_name")
+@query("f16_latent_bits", with_(SRC, "v AS (SELECT source_name, least(128, n - w * 128) AS valid FROM (SELECT source_name, length(seq) // 3 AS n, unnest(range(0, CAST(ceil((length(seq) // 3) / 128.0) AS BIGINT))) AS w FROM src))", "k AS (SELECT *, CAST(least(greatest(ceil(valid * 0.25), 1), valid) AS BIGINT) AS n FROM v)") + "SELECT source_name, CAST(sum(n) AS BIGINT) AS latents, CAST(sum((n * 64 * 2 + 4 + n * 2) * 8) AS BIGINT) AS dense_bits, CAST(sum((n * 8 * 2 + 4) * 8) AS BIGINT) AS continuous_bits, CAST(sum((8 * 2 + 4) * 8) AS BIGINT) AS flat_bits FROM k GROUP BY source_name")
 def f16(spark, sf):
     w = W.tumbling(tokens(spark, sf).select("source_name", "tokens"), 128, 125)
     v = F.col("valid")
     return w.groupBy("source_name").agg(
-        F.sum(K.nugget_count(v, 0.25)).alias("nuggets"),
+        F.sum(K.latent_count(v, 0.25)).alias("latents"),
         F.sum(K.latent_bits("dense", v, 0.25, 64, 8, 2, True)).alias("dense_bits"),
         F.sum(K.latent_bits("continuous_bottleneck", v, 0.25, 64, 8, 2, False)).alias("continuous_bits"),
         F.sum(K.latent_bits("flatten_bottleneck", v, 0.25, 64, 8, 2, False)).alias("flat_bits"),
