@@ -73,10 +73,13 @@ def quantise(probs: np.ndarray, total: int) -> np.ndarray:
     scaled = probs * (total - v)
     base = np.floor(scaled).astype(np.int64)
     left = total - v - base.sum(1)
-    order = np.argsort(base - scaled, axis=1, kind="stable")  # the largest fraction first, then the lowest index
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(v), (n, v)), axis=1)
-    freq = base + 1 + (rank < left[:, None])
+    # the largest fractions get one more, the lowest index first where fractions are equal
+    key = base - scaled
+    edge = np.take_along_axis(np.sort(key, axis=1), np.maximum(left - 1, 0)[:, None], axis=1)
+    under, ties = key < edge, key == edge
+    room = left - under.sum(1)
+    extra = (under | (ties & (np.cumsum(ties, axis=1) <= room[:, None]))) & (left > 0)[:, None]
+    freq = base + 1 + extra
     for r in np.flatnonzero(left < 0):  # rounding up by floats: take back from the largest
         for _ in range(int(-left[r])):
             freq[r, int(np.argmax(freq[r]))] -= 1
