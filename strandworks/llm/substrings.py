@@ -8,9 +8,10 @@ Only suffixes at content-defined anchors are rows, and runs of suffixes that rep
 settled by one comparison (see ``anchors``). Suffixes around the ends of repeats are dealt out by
 prefixes of variable length: the shortest of ``PREFIXES`` leading words that brings a group to
 ``GROUP`` runs at most. Each group's suffixes are sorted, and the stack of longest common prefixes
-gives its suffix tree; internal nodes of depth ``LENGTH`` or more are the repeats. A group that is
-still too large under the longest prefix is dealt out by the distance from the anchor, which equal
-suffixes share.
+gives its suffix tree; internal nodes of depth ``LENGTH`` or more are the repeats. The runs of a
+group that is still too large under the longest prefix are taken apart into windows, each a row of
+its own under a 128-bit digest of its words. Equal windows within a task are settled before the
+shuffle, so neither a group nor one window is ever held or read by one task as a whole.
 
 Defined results: null and empty texts have no words; repeated or null ids as in ``common.keyed``
 (fully repeated rows are one text, which alone is no repeat); other columns are ignored.
@@ -79,24 +80,50 @@ def contexts(texts: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFra
     return j.select("rid", "text", "edges").mapInArrow(run, CONTEXT)
 
 
-def prefix_groups(around: DataFrame, group: int) -> DataFrame:
-    """Add ``grp``, a prefix of variable length, and ``slice`` of ``slices`` (one, but for groups that stay too large)."""
-    levels = [f"p{p}" for p in PREFIXES]
-    choice, large = None, None
-    out = around
-    for level in levels[:-1]:
-        # prefixes that are too common: at most one per ``group`` rows
+def prefix_groups(around: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
+    """Runs with ``grp``, a prefix of variable length; and the runs whose longest prefix is still too common.
+
+    At most one prefix per ``group`` rows is too common, so these are broadcast and no common prefix meets in a join.
+    """
+    out, choice = around, None
+    for level in (f"p{p}" for p in PREFIXES):
         hot = around.groupBy(F.col(level).alias(f"{level}_hot")).count().filter(F.col("count") > group).select(f"{level}_hot")
-        out = out.join(hot, F.col(level) == F.col(f"{level}_hot"), "left")
+        out = out.join(F.broadcast(hot), F.col(level) == F.col(f"{level}_hot"), "left")
         small = F.col(f"{level}_hot").isNull()
         pick = F.struct(F.lit(level).alias("level"), F.col(level).alias("key"))
         choice = F.when(small, pick) if choice is None else choice.when(small, pick)
-    choice = choice.otherwise(F.struct(F.lit(levels[-1]).alias("level"), F.col(levels[-1]).alias("key")))
-    out = out.withColumn("grp", F.xxhash64(choice))
-    large = around.groupBy(F.col(levels[-1]).alias("large")).count().filter(F.col("count") > group).select("large", F.ceil(F.col("count") / group).cast("int").alias("slices"))
-    out = out.join(large, F.col(levels[-1]) == F.col("large"), "left")
-    slices = F.least(F.coalesce("slices", F.lit(1)), F.lit(64))
-    return out.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("grp", "slices", "slice", "rid", "first", "dist", "n", "context")
+    out = out.withColumn("grp", F.when(choice.isNotNull(), F.xxhash64(choice)))
+    columns = ["grp", "rid", "first", "dist", "n", "context"]
+    return out.filter("grp is not null").select(columns), out.filter("grp is null").select(columns[1:])
+
+
+def windows_apart(large: DataFrame, rule: anchors.Rule) -> DataFrame:
+    """Each window of the runs as a row by the digest of its words; copies within a task are settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[bytes] = []
+        rids: list[int] = []
+        firsts: list[int] = []
+
+        def flush() -> list[pa.RecordBatch]:
+            h, t = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2).T
+            zero = np.zeros(len(keys), np.int64)
+            rows = anchors.settle(np.array(rids, np.int64), np.array(firsts, np.int64), zero + 1, zero, h.copy(), t.copy(), rule)
+            keys.clear(), rids.clear(), firsts.clear()
+            return rows
+
+        for batch in batches:
+            for rid, first, n, context in zip(*(batch.column(c).to_pylist() for c in ("rid", "first", "n", "context")), strict=True):
+                words = context.split(b" ")
+                keys += [hashlib.blake2b(b" ".join(words[i : i + rule.length]), digest_size=16).digest() for i in range(n)]
+                rids += [rid] * n
+                firsts += range(first, first + n)
+                if len(keys) >= anchors.HELD // 2:
+                    yield from flush()
+        if keys:
+            yield from flush()
+
+    return large.mapInArrow(run, anchors.SCHEMA)
 
 
 def deep_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
@@ -122,7 +149,7 @@ def deep_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
 FOUND = "rid long, first long, last long"
 
 
-def solve_group(contexts_: list[bytes], first: np.ndarray, dist: np.ndarray, n: np.ndarray, rid: np.ndarray, slices: int, slice_: int, length: int):
+def solve_group(contexts_: list[bytes], first: np.ndarray, n: np.ndarray, rid: np.ndarray, length: int):
     """Starts of suffixes of one group that some other suffix repeats."""
     split = [c.split(b" ") for c in contexts_]
     sizes = np.array([len(s) for s in split], np.int64)
@@ -131,11 +158,6 @@ def solve_group(contexts_: list[bytes], first: np.ndarray, dist: np.ndarray, n:
     begin = np.cumsum(sizes) - sizes
     run = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    if slices > 1:  # equal suffixes lie at equal distances from their anchor
-        mine = (dist[run] - place) % slices == slice_
-        run, place = run[mine], place[mine]
-    if not len(run):
-        return None
     keys = codes[(begin[run] + place)[:, None] + np.arange(length)[None, :]]
     order, shared = anchors.multikey_sort(keys)
     again = np.zeros(len(order), bool)
@@ -149,20 +171,20 @@ def solve_group(contexts_: list[bytes], first: np.ndarray, dist: np.ndarray, n:
 
 
 def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
-    """Intervals of repeated words, from rows sorted by (grp, slice)."""
+    """Intervals of repeated words, from rows sorted by grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            grp, part = t.column("grp").to_numpy(), t.column("slice").to_numpy()
-            cuts = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(grp)]
+            grp = t.column("grp").to_numpy()
+            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
             out = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a > 1:
                     g = t.slice(a, b - a)
-                    cols = {c: g.column(c).to_numpy() for c in ("first", "dist", "n", "rid")}
-                    got = solve_group(g.column("context").to_pylist(), cols["first"], cols["dist"], cols["n"], cols["rid"], g.column("slices")[0].as_py(), int(part[a]), length)
+                    cols = {c: g.column(c).to_numpy() for c in ("first", "n", "rid")}
+                    got = solve_group(g.column("context").to_pylist(), cols["first"], cols["n"], cols["rid"], length)
                     if got is not None:
                         out.append(got)
             if out:
@@ -170,9 +192,8 @@ def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            grp, part = held.column("grp").to_numpy(), held.column("slice").to_numpy()
-            same = (grp == grp[-1]) & (part == part[-1])
-            cut = int(np.argmax(same))
+            grp = held.column("grp").to_numpy()
+            cut = int(np.argmax(grp == grp[-1]))
             if cut:
                 yield from solve(held.slice(0, cut))
                 held = held.slice(cut)
@@ -187,9 +208,12 @@ def repeated_words(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -
     rule = anchors.Rule(length, GRAM, "any")
     marked = anchors.marks(texts, rule, encode, "word-runs")
     around = materialise(contexts(texts, marked, rule), "word-contexts")
-    dealt = prefix_groups(around, group).repartition(partitions(texts.sparkSession), "grp", "slice").sortWithinPartitions("grp", "slice")
-    found = solve_groups(dealt, length)
-    return marked.filter(F.col("kind") == anchors.INTERVAL).select("rid", "first", "last").unionByName(found)
+    n = partitions(texts.sparkSession)
+    small, large = prefix_groups(around, group)
+    found = solve_groups(small.repartition(n, "grp").sortWithinPartitions("grp"), length)
+    apart = windows_apart(large, rule).repartition(n, "h").sortWithinPartitions("h", "t", "rid", "place")
+    again = anchors.compared(apart, rule).unionByName(marked).filter(F.col("kind") == anchors.INTERVAL)
+    return again.select("rid", "first", "last").unionByName(found)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:

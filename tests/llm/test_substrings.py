@@ -52,3 +52,22 @@ def test_deep_nodes_are_those_of_the_suffix_tree():
                 if least >= depth and (a == 0 or shared[a] < least) and (b == 200 or shared[b] < least):
                     want.add((a, b, int(least)))
         assert got == want
+
+
+def test_a_common_passage_among_different_neighbours_is_dealt_out(spark):
+    """Many different runs under one anchor: no row group reaches a task as a whole, and results stay exact."""
+    rng = random.Random(5)
+    middle = [f"m{i}" for i in range(20)]
+    docs = [(i, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(30)), *middle, *(f"b{rng.randrange(10**6)}" for _ in range(30))])) for i in range(200)]
+    docs += [(1000 + i, f"x{i} " + " ".join(docs[i][1].split()[3:70]) + f" y{i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rule = anchors.Rule(substrings.LENGTH, substrings.GRAM, "any")
+    texts = df.withColumnRenamed("doc_id", "rid")
+    around = substrings.contexts(texts, anchors.marks(texts, rule, substrings.encode, "test-runs"), rule).cache()
+    small, large = substrings.prefix_groups(around, 20)
+    assert small.count() + large.count() == around.count() and large.count() > 200
+    assert not small.groupBy("grp").count().filter("count > 20").count()
+    apart = substrings.windows_apart(large, rule)
+    assert apart.filter(F.col("flag") != anchors.DONE).groupBy("h").count().agg(F.max("count")).first()[0] <= apart.rdd.getNumPartitions()
+    got = substrings.dedup(df, group=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
+    assert sorted(map(tuple, got)) == sorted(substrings.brute(docs))
