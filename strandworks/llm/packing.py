@@ -71,8 +71,9 @@ class WordIds:
     """Token ids of texts, through a bounded cache of words by hash; one per worker process.
 
     Words are stretches that the tokenizer codes alone: what white space parts, with a lone stop or
-    comma behind a letter as a word of its own. ASCII letters are lower-cased first, as the
-    normaliser would; texts that may spell a special token are coded whole instead.
+    comma behind a letter as a word of its own. Words of ASCII alone are lower-cased first, as the
+    normaliser would; others go to it unchanged, as it composes letters and marks before it lowers
+    them. Texts that may spell a special token are coded whole instead.
     """
 
     def __init__(self, path: str):
@@ -129,15 +130,15 @@ class WordIds:
         if self.n > CACHE_SLOTS // 2:
             self.reset()
         text, off = parted(data, offsets)
-        text = LOWER[text]
         inside = (text != 0x20) & (text != 0x0A)
         lone = np.zeros(len(text), bool)
-        lone[1:-1] = ((text[1:-1] == 0x2E) | (text[1:-1] == 0x2C)) & (text[:-2] >= 0x61) & (text[:-2] <= 0x7A) & ~inside[2:]
+        lone[1:-1] = ((text[1:-1] == 0x2E) | (text[1:-1] == 0x2C)) & ((text[:-2] | 0x20) >= 0x61) & ((text[:-2] | 0x20) <= 0x7A) & ~inside[2:]
         starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | lone[1:]]))
         ends = np.flatnonzero(inside & np.concatenate([~inside[1:] | lone[1:], [True]])) + 1
         first = np.searchsorted(starts, off)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        text = lowered(text, starts, ends)
         h = word_hashes(text, starts, ends) | U64(1)
         slot = (h >> U64(40)).astype(np.int64) & (CACHE_SLOTS - 1)
         entry = self.entry[slot]
@@ -170,6 +171,20 @@ class WordIds:
         return out
 
 
+def lowered(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased, but for words that hold a byte beyond ASCII."""
+    out = LOWER[text]
+    high = np.concatenate([[0], np.cumsum(text >= 0x80)])
+    other = np.flatnonzero(high[ends] > high[starts])
+    if len(other):
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[starts[other]] += 1
+        edge[ends[other]] -= 1
+        kept = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8))
+        out[kept] = text[kept]
+    return out
+
+
 def _special(data: np.ndarray) -> bool:
     """Whether ``<|`` is anywhere in the bytes."""
     return bool(((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any())

@@ -77,3 +77,12 @@ def test_words_alone_give_the_ids_of_whole_texts():
     got = coder.rows(pa.array(texts))
     want = [e.ids + [2] for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [g.tolist() for g in got] == want
+
+
+def test_capitals_with_marks_that_compose_in_lower_case_only():
+    coder = packing.WordIds(packing.tokenizer_path())
+    pieces = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "E\u0301", "Y\u030a"]
+    texts = [*pieces, *(f"THE {p}AMZA, and {p}. Ab{p}C." for p in pieces), "".join(pieces), "AB. " + " ".join(pieces) + "\nÉCOLE X."]
+    got = coder.rows(pa.array(texts))
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [g.tolist() for g in got] == want
