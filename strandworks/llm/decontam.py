@@ -12,7 +12,8 @@ such guarantee; their whole word sequence is looked up at every place of its len
 
 The test side is cut into blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast (that
 is the size bound); documents are read once per block, and results of several blocks are merged
-by one aggregation. Memory does not grow with either side, nor is anything shuffled for one block.
+by one aggregation. The driver builds, broadcasts and drops one block at a time, and an item longer
+than a block is cut into overlapping pieces. Nothing is shuffled for one block.
 
 Defined results: null texts have no words and are never contaminated; an item without words
 matches nothing; items of equal text count one by one; a null item id is named "null"; repeated
@@ -161,18 +162,22 @@ def merged(starts: list[int], ends: list[int]) -> int:
     return total
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int) -> Iterator[list]:
-    """The items in blocks of bounded size."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int, window: int = WINDOW) -> Iterator[list]:
+    """The items in blocks of bounded size; a longer item in pieces that have all its windows."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     held, size = [], 0
     for name, text in rows.toLocalIterator():
         data = LOWER[np.frombuffer(text.encode(), np.uint8)]
         words = [data[a:b].tobytes() for a, b in zip(*words_of(data, PLAIN_WORD), strict=True)] if len(data) else []
-        held.append((name, words))
-        size += len(words)
-        if size >= most_words:
-            yield held
-            held, size = [], 0
+        step = max(1, most_words - window + 1)
+        cuts = range(0, len(words) - window + 1, step) if len(words) > max(most_words, window) else (0,)
+        for a in cuts:
+            part = words[a : a + step + window - 1] if len(cuts) > 1 else words
+            held.append((name, part))
+            size += len(part)
+            if size >= most_words:
+                yield held
+                held, size = [], 0
     if held or size == 0:
         yield held
 
@@ -231,19 +236,21 @@ def contamination(
     item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW, k: int = K,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the ``spans`` of hit words."""
-    parts = [Block(rows, window, k) for rows in blocks(benchmark, item_col, item_text_col, block_words)]
-    slim = narrow(docs, id_col, text_col).withColumn("digest", F.md5(F.col("text").cast("binary")) if len(parts) > 1 else F.lit(""))
-    found = scan(slim, parts[0])
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(scan(slim, p))
+    parts = blocks(benchmark, item_col, item_text_col, block_words, window)
+    rows, following = next(parts), next(parts, None)
+    slim = narrow(docs, id_col, text_col).withColumn("digest", F.md5(F.col("text").cast("binary")) if following is not None else F.lit(""))
+    found, n_parts = scan(slim, Block(rows, window, k)), 1
+    while following is not None:
+        found, n_parts = found.unionByName(scan(slim, Block(following, window, k))), n_parts + 1
+        following = next(parts, None)
+    if n_parts > 1:
         # fully repeated rows have equal spans, so each stands for as many rows as came in
         found = found.groupBy("doc_id", "digest").agg(
             F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("starts")).alias("starts"),
             F.flatten(F.collect_list("ends")).alias("ends"),
             F.flatten(F.collect_list("items")).alias("items"),
-            (F.count("*") / len(parts)).cast("int").alias("copies"),
+            (F.count("*") / n_parts).cast("int").alias("copies"),
         )
         found = found.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated")
@@ -255,10 +262,11 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     With one block of benchmark text the rows pass through the scan and nothing is shuffled; with
     several, contaminated texts are found first and taken out by an anti-join.
     """
-    parts = [Block(rows) for rows in blocks(benchmark, item_col, item_text_col, block_words)]
-    if len(parts) == 1:
+    parts = blocks(benchmark, item_col, item_text_col, block_words)
+    first, following = next(parts), next(parts, None)
+    if following is None:
         rows = narrow(docs, id_col, text_col, keep_row=True).withColumn("digest", F.lit(""))
-        return judged(scan(rows, parts[0])).filter(~F.col("contaminated")).select("_row.*")
+        return judged(scan(rows, Block(first))).filter(~F.col("contaminated")).select("_row.*")
     rows, texts = keyed(docs, id_col, text_col, keep_row=True)
     bad = contamination(texts, benchmark, "rid", "text", item_col, item_text_col, block_words).filter("contaminated")
     return rows.join(bad.select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("_row.*")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +75,28 @@ def concat_sources(sources: DataFrame, gap: str, order: str) -> DataFrame:
     return sources.groupBy("species").agg(F.array_join(parts, gap).alias("seq"), F.count("*").alias("sequence_count"))
 
 
+def concat_digests(sources: DataFrame, gap: str, order: str) -> DataFrame:
+    """``species, seq_sha256, sequence_count`` of each species joined: digested row by row, so the joined text is never held."""
+
+    def run(batches):
+        species, digest, n, some = None, None, 0, False
+        for batch in batches:
+            for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or name != species:
+                    if digest is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([species], pa.string()), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["species", "seq_sha256", "sequence_count"])
+                    species, digest, n, some = name, hashlib.sha256(), 0, False
+                n += 1
+                if seq is not None:
+                    digest.update(((gap if some else "") + seq).encode())
+                    some = True
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([species], pa.string()), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["species", "seq_sha256", "sequence_count"])
+
+    rows = sources.repartition("species").sortWithinPartitions("species", F.col(order).asc_nulls_last(), "seq")
+    return rows.select("species", "seq").mapInArrow(run, "species string, seq_sha256 string, sequence_count long")
+
+
 def observed_alphabet(sources: DataFrame, *keys: str) -> DataFrame:
     """Sorted distinct characters per key (or over all)."""
     letters = sources.select(*keys, F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).filter("c <> ''").distinct()

@@ -152,8 +152,7 @@ def c1(spark, sf):
 
 @query("c2_concat", with_(SRC) + "SELECT species, sha256(string_agg(seq, repeat('N', 6) ORDER BY doc_id)) AS seq_sha256, count(*) AS sequence_count FROM src GROUP BY species")
 def c2(spark, sf):
-    out = C.concat_sources(sources(spark, sf), C.boundary("ACGTN", 2, 3), "doc_id")
-    return out.select("species", F.sha2("seq", 256).alias("seq_sha256"), "sequence_count")
+    return C.concat_digests(sources(spark, sf), C.boundary("ACGTN", 2, 3), "doc_id")
 
 
 @query("c2_concat_offsets", with_(SRC) + "SELECT doc_id, species, CAST(coalesce(sum(length(seq) + 6) OVER (PARTITION BY species ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM src")

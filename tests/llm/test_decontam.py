@@ -59,3 +59,25 @@ def test_clean_documents_keep_their_columns(spark):
         kept = decontam.clean_documents(d, b, block_words=words)
         assert kept.columns == d.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
+
+
+def test_one_block_at_a_time_and_long_items_in_pieces(spark, monkeypatch):
+    import weakref
+
+    live, most = weakref.WeakSet(), []
+
+    build = decontam.Block.__init__
+
+    def watched(self, items, *rest):
+        build(self, items, *rest)
+        live.add(self)
+        most.append((len(live), sum(len(w) for _, w in items)))
+
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((90, 5, 14, 200))]
+    docs = [(k, "lead " + " ".join(t.split()[a : a + 30])) for k, (_, t) in enumerate(items) for a in (0,)] + [(9, " ".join(items[3][1].split()[17:60])), (10, "none")]
+    monkeypatch.setattr(decontam.Block, "__init__", watched)
+    out = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_words=40)
+    assert len(most) > 5 and max(n for n, _ in most) <= 2 and max(w for _, w in most) <= 80
+    monkeypatch.undo()
+    got = out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert sorted(map(tuple, got)) == sorted(decontam.brute(docs, items))

@@ -139,3 +139,12 @@ def test_csv_and_events(spark, tmp_path):
     run.mkdir(parents=True)
     (run / "compression_compare.json").write_text('{"name": "n"}')
     assert fasta.read_results(spark, str(tmp_path / "runs"), "name string").first().run_dir.endswith("runs/r1")
+
+
+def test_joined_digests_never_gather_a_species(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("b", 2, "GG"), ("a", 1, "AC"), ("b", 1, "TÉ"), ("b", 3, None), ("b", 4, "")], "species string, o int, seq string").repartition(3)
+    out = C.concat_digests(rows, "NN", "o")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert sorted(map(tuple, out.collect())) == [(s, hashlib.sha256(t.encode()).hexdigest(), n) for s, t, n in (("a", "AC", 1), ("b", "TÉNNGGNN", 4))]
