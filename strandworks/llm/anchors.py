@@ -1,17 +1,14 @@
-"""Repeated windows of a fixed length, found through content-defined anchors.
+"""Repeated windows of a fixed length, looked for around content-defined anchors.
 
 A window is ``length`` consecutive symbols (bytes or words) of one text. Of the ``gram``-long
 stretches in a window, the one with the least hash (the first on ties) is its anchor, so equal
-windows have equal anchors at equal distances. Consecutive windows with one anchor form a run, and a run
-is one row: about two rows per ``length - gram`` symbols instead of one per symbol.
+windows have equal anchors at equal distances. Consecutive windows with one anchor form a run, and a
+run is one row: about two rows per ``length - gram`` symbols instead of one per symbol.
 
-Runs are compared in two steps:
-
-1. Runs of equal content (a 64-bit hash of the whole run within a 64-bit hash of its anchor) repeat
-   as a whole. Copies within a task are settled before the shuffle, so that a text that a third
-   of all rows share doesn't meet in one task; the rest is settled after one shuffle by anchor.
-2. Where an anchor has runs of different content, its windows may agree in part. One run of each
-   content is kept as an *edge*; the caller compares the windows of edges exactly.
+Hashes only choose anchors and bring together what may be equal. What is equal is decided by
+sorting: ``multikey_quicksort`` over the symbols themselves, first among the runs of one task
+(a third of all rows may be copies, which then never leave it), then by the callers among the runs
+of all tasks whose anchor is found twice or more.
 
 ``mode`` "later" marks every window that starts earlier too (by text, then place); "any" marks every
 window that starts anywhere else.
@@ -27,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import U64, Powers, groups_of, materialise, mix, partitions, prefix_sums, stretch, utf8
+from strandworks.llm.common import U64, groups_of, materialise, mix, partitions, utf8
 from strandworks.llm.decontam import window_min
 
 #: Windows of one piece, whose arrays stay in a core's cache.
 PIECE = 1 << 18
 _PLACE = U64((1 << 20) - 1)
-#: Runs that a task holds before it settles the copies among them.
-HELD = 1_000_000
-_POWERS = Powers(0xA24BAED4963EE407 | 1)
-#: Bytes of text that are hashed at a time.
+#: Runs that a task holds before it sorts them, and symbols that these may refer to.
+HELD, HELD_BYTES, HELD_WORDS = 500_000, 32_000_000, 4_000_000
+#: Bytes of text that are cut into runs at a time.
 CHUNK = 1 << 19
+_FACTORS = mix(np.arange(301, 365, dtype=U64)) | U64(1)
 
 
 @dataclass(frozen=True)
@@ -47,41 +44,139 @@ class Rule:
     mode: str  # "later" or "any"
 
 
-def runs(codes: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """(text, first window, number of windows, anchor's distance from the first, anchor hash, run hash) of each run."""
-    width, n_windows = rule.length - rule.gram + 1, len(codes) - rule.length + 1
+class Content:
+    """Symbols as columns of 64-bit integers that compare as the symbols do.
+
+    Bytes come eight to a column, big end first; a word takes two columns, the halves of its key.
+    """
+
+    def __init__(self, values: np.ndarray, words: bool):
+        self.words, self.values = words, values
+        self.scale, self.step = (2, 1) if words else (1, 8)
+        padded = np.concatenate([values, np.zeros(8, values.dtype)])
+        self.eight = padded if words else np.ndarray((len(padded) - 7,), ">u8", padded.data, strides=(1,))
+        self.top = len(self.eight) - 1
+
+    def depth(self, symbols: int) -> int:
+        """Columns that hold so many symbols."""
+        return 2 * symbols if self.words else -(-symbols // 8)
+
+    def column(self, start: np.ndarray, end: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        """Column ``j`` of each stretch of symbols [start, end), 0 beyond its end."""
+        at = start * self.scale + j * self.step
+        v = self.eight[np.minimum(at, self.top)].astype(U64)
+        left = end * self.scale - at
+        if self.words:
+            return np.where(left > 0, v, U64(0))
+        return v & _HIGH[np.clip(left, 0, 8)]
+
+    def shared(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, most: int) -> np.ndarray:
+        """How many leading bytes, ``most`` at the most, the stretches at ``a`` and ``b`` have in common."""
+        out = np.zeros(len(a), np.int64)
+        going = np.arange(len(a))
+        for j in range(self.depth(most)):
+            x = self.column(a[going], a_end[going], j) ^ self.column(b[going], b_end[going], j)
+            out[going] += (8 - (x[:, None] >= _BYTE[None, :]).sum(1)).astype(np.int64)
+            going = going[x == 0]
+            if not len(going):
+                break
+        return np.minimum(out, np.minimum(most, np.minimum(a_end - a, b_end - b)))
+
+
+#: The high 0, 1, ... 8 bytes of a 64-bit integer; and the least integer that takes 1, 2, ... 8 bytes.
+_HIGH = np.array([((1 << 64) - 1) ^ ((1 << 8 * (8 - k)) - 1) for k in range(9)], U64)
+_BYTE = np.array([1 << 8 * k for k in range(8)], U64)
+
+
+def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` consecutive bytes (eight or more)."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    n = len(data) - gram + 1
+    out = np.zeros(n, U64)
+    with np.errstate(over="ignore"):
+        for k, at in enumerate([*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
+            out += mix(eight[at : at + n] * _FACTORS[k]) if k % 2 else eight[at : at + n] * _FACTORS[k]
+        return mix(out)
+
+
+def multikey_quicksort(key: Callable, depth: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of rows by columns of integers; all segments advance together.
+
+    ``key(rows, columns)`` gives the integer of each row in each column. Rows come in segments of
+    the given lengths, each sorted by itself. A segment is parted into smaller, equal and larger by
+    a pivot in its current column; the equal part goes on to the next column. Returns the order,
+    and how many leading columns each row shares with the row before it (0 at a segment's start).
+    """
+    n = int(lengths.sum())
+    order, shared = np.arange(n), np.zeros(n, np.int64)
+    start, size, level = np.cumsum(lengths) - lengths, lengths.astype(np.int64), np.zeros(len(lengths), np.int64)
+    some = size > 1
+    start, size, level = start[some], size[some], level[some]
+    while len(start) and depth:
+        off = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(seg)) + (start - off)[seg]
+        rows = order[pos]
+        k = key(rows, level[seg])
+        a, b, c = k[off], k[off + size // 2], k[off + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[seg]
+        part = (k > pivot).astype(np.int64) + (k >= pivot)
+        cell = seg * 3 + part
+        count = np.bincount(cell, minlength=3 * len(size))
+        target = (np.cumsum(count) - count)[cell]
+        for p in range(3):  # stable places within each part
+            m = part == p
+            before = np.cumsum(m)
+            target += np.where(m, before - 1 - (before[off] - m[off])[seg], 0)
+        moved = np.empty_like(rows)
+        moved[target] = rows
+        order[pos] = moved
+        count = count.reshape(-1, 3)
+        begin = start[:, None] + np.cumsum(count, axis=1) - count
+        deep = level[:, None] + np.array([0, 1, 0])
+        cut = (count > 0) & (begin > start[:, None])
+        shared[begin[cut]] = np.broadcast_to(level[:, None], cut.shape)[cut]
+        whole = np.flatnonzero((count[:, 1] > 1) & (deep[:, 1] == depth))
+        if len(whole):  # equal in every column
+            m = count[whole, 1] - 1
+            shared[np.repeat(begin[whole, 1] + 1 - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))] = depth
+        go = (count > 1) & (deep < depth)
+        start, size, level = begin[go], count[go], deep[go]
+    return order, shared
+
+
+def runs(grams: Callable, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(text, first window, number of windows, anchor's distance from the first, anchor hash) of each run.
+
+    ``bounds`` part the symbols into texts; ``grams(a, b)`` hashes the grams of symbols [a, b).
+    """
+    width, n_windows = rule.length - rule.gram + 1, int(bounds[-1]) - rule.length + 1
     none = np.zeros(0, np.int64)
     if n_windows <= 0:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none, none.astype(U64)
     size = np.diff(bounds) - rule.length + 1
-    valid = np.zeros(len(codes) + 1, np.int8)
+    valid = np.zeros(n_windows + rule.length, np.int32)
     some = size > 0
     np.add.at(valid, bounds[:-1][some], 1)
     np.add.at(valid, bounds[:-1][some] + size[some], -1)
-    valid = np.cumsum(valid, dtype=np.int8)[:n_windows].astype(bool)
+    valid = np.cumsum(valid)[:n_windows] > 0
     out = []
     for p in range(0, n_windows, PIECE):
         ok = valid[p : p + PIECE]
         if not ok.any():
             continue
-        part = codes[p : p + len(ok) + rule.length - 1]
-        sums, down = prefix_sums(part, _POWERS)
-        at = np.arange(len(part) - rule.gram + 1)
-        with np.errstate(over="ignore"):
-            g = mix((sums[rule.gram :] - sums[: -rule.gram]) * down[: len(at)])
-            anchor = (window_min((g & ~_PLACE) | at.astype(U64), width) & _PLACE).astype(np.int64)
-            change = anchor[1:] != anchor[:-1]
-            first = np.flatnonzero(ok & np.concatenate([[True], change | ~ok[:-1]]))
-            last = np.flatnonzero(ok & np.concatenate([change | ~ok[1:], [True]]))
-            a = anchor[first]
-            whole = stretch(sums, down, first, last + rule.length)
-            shape = ((a - first).astype(U64) << U64(32)) + (last - first).astype(U64)
-            out.append((first + p, last - first + 1, a - first, g[a], mix(whole + mix(shape + U64(77)))))
-    if not out:
-        return none, none, none, none, none.astype(U64), none.astype(U64)
-    first, count, dist, h, t = (np.concatenate(x) for x in zip(*out, strict=True))
+        g = grams(p, p + len(ok) + rule.length - 1)
+        at = np.arange(len(g)).astype(U64)
+        anchor = (window_min((g & ~_PLACE) | at, width) & _PLACE).astype(np.int64)
+        change = anchor[1:] != anchor[:-1]
+        first = np.flatnonzero(ok & np.concatenate([[True], change | ~ok[:-1]]))
+        last = np.flatnonzero(ok & np.concatenate([change | ~ok[1:], [True]]))
+        a = anchor[first]
+        out.append((first + p, last - first + 1, a - first, g[a]))
+    first, count, dist, h = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.astype(U64))
     text = np.searchsorted(bounds, first, "right") - 1
-    return text, first - bounds[text], count, dist, h, t
+    # windows of neighbouring texts may share an anchor only by place, so runs never cross texts
+    return text, first - bounds[text], count, dist, h
 
 
 def merge_intervals(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -100,55 +195,123 @@ def merge_intervals(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return rid[at], start[at], np.maximum.reduceat(reach, at)
 
 
-COLUMNS = ["h", "t", "rid", "place", "flag"]
-SCHEMA = "h long, t long, rid long, place long, flag long"
-CANDIDATE, SEVERAL, DONE = 0, 1, 2  # a run; a run met before in its task; an interval that is settled
+COLUMNS = ["h", "until", "rid", "place", "flag"]
+SCHEMA = "h long, until long, rid long, place long, flag long"
+#: A run; a run whose anchor other runs of its task have, and a mark that they do; an interval that is settled.
+CANDIDATE, EDGE_RUN, MARK, DONE = 0, 1, 2, 3
 
 
 def pack_place(first, count, dist):
     return (first << 24) | (count << 12) | dist
 
 
-def settle(rid, first, count, dist, h, t, rule: Rule) -> list[pa.RecordBatch]:
-    """The rows that a task sends on: one of each content, and intervals that are marked for certain."""
-    order = np.lexsort((first, rid, t, h))
-    rid, first, count, dist, h, t = (x[order] for x in (rid, first, count, dist, h, t))
-    head = np.concatenate([[True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])])
-    alone = head & np.concatenate([head[1:], [True]])
-    marked = ~head if rule.mode == "later" else ~alone
-    m = np.flatnonzero(marked)
+def classes(order: np.ndarray, whole: np.ndarray, rid: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by class, the earliest of each class first; whether a row is its class's first; each row's class.
+
+    ``whole`` says whether a sorted row equals the one before it in every column.
+    """
+    klass = np.cumsum(~whole) - 1
+    o = np.lexsort((first[order], rid[order], klass))
+    rows, klass = order[o], klass[o]
+    return rows, np.concatenate([[True], klass[1:] != klass[:-1]]) if len(rows) else np.zeros(0, bool), klass
+
+
+def settle(rid, first, count, dist, h, start, content: Content, rule: Rule) -> list[pa.RecordBatch]:
+    """The rows that a task sends on: one of each content, and the intervals of the copies among its own runs.
+
+    Runs of one anchor and shape are sorted by their symbols. ``start``: a run's first symbol in ``content``.
+    """
+    by = np.argsort(h, kind="stable")
+    new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+    group = np.cumsum(new) - 1
+    alone = np.bincount(group)[group] == 1
+    single, multi, group = by[alone], by[~alone], group[~alone]
+    shape = (count[multi] << 12) | dist[multi]
+    o = np.lexsort((shape, group))
+    multi, group, shape = multi[o], group[o], shape[o]
+    head = np.concatenate([[True], (group[1:] != group[:-1]) | (shape[1:] != shape[:-1])]) if len(multi) else np.zeros(0, bool)
+    lengths = np.diff(np.append(np.flatnonzero(head), len(multi)))
+    begin, end = start[multi], start[multi] + count[multi] + rule.length - 1
+    depth = content.depth(int(count[multi].max()) + rule.length - 1) if len(multi) else 0
+    order, shared = multikey_quicksort(lambda rows, j: content.column(begin[rows], end[rows], j), depth, lengths)
+    rows, earliest, klass = classes(order, (shared == depth) & (depth > 0), rid[multi], first[multi])
+    again = ~earliest if rule.mode == "later" else (np.bincount(klass)[klass] > 1 if len(klass) else earliest)
+    m = multi[rows[again]]
     d_rid, d_start, d_end = merge_intervals(rid[m], first[m], first[m] + count[m] + rule.length - 1)
-    keep = np.flatnonzero(head)
-    flag = np.where(alone[keep], CANDIDATE, SEVERAL)
-    spread = mix(d_rid.astype(U64) * U64(31) + d_start.astype(U64)).view(np.int64)
+    kept = rows[earliest]
+    several = np.bincount(group[kept], minlength=int(group.max()) + 1 if len(group) else 0) > 1
+    edge, lone = multi[kept[several[group[kept]]]], multi[kept[~several[group[kept]]]]
+    marks = multi[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]) & several[group])] if len(group) else edge
+    cand = np.concatenate([single, lone])
+    spread = lambda r, s: mix(r.astype(U64) * U64(31) + s.astype(U64)).view(np.int64)
+    zero = lambda x: np.zeros(len(x), np.int64)
     cols = [
-        np.concatenate([h[keep].view(np.int64), spread]),
-        np.concatenate([t[keep].view(np.int64), d_start]),
-        np.concatenate([rid[keep], d_rid]),
-        np.concatenate([pack_place(first[keep], count[keep], dist[keep]), d_end]),
-        np.concatenate([flag, np.full(len(d_rid), DONE)]),
+        np.concatenate([h[cand].view(np.int64), spread(rid[edge], first[edge]), h[marks].view(np.int64), spread(d_rid, d_start)]),
+        np.concatenate([zero(cand), zero(edge), zero(marks), d_end]),
+        np.concatenate([rid[cand], rid[edge], zero(marks), d_rid]),
+        np.concatenate([pack_place(first[cand], count[cand], dist[cand]), pack_place(first[edge], count[edge], dist[edge]), zero(marks), d_start]),
+        np.repeat([CANDIDATE, EDGE_RUN, MARK, DONE], [len(cand), len(edge), len(marks), len(d_rid)]),
     ]
     return [pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000], pa.int64()) for c in cols], COLUMNS) for i in range(0, len(cols[0]), 50_000)]
 
 
-def candidates(docs: DataFrame, rule: Rule, encode: Callable) -> DataFrame:
-    """Runs and settled intervals of ``docs`` (rid, text); ``encode(bytes, offsets)`` gives codes and bounds."""
+def pieces(batches: Iterator[pa.RecordBatch], rule: Rule, encode: Callable, words: bool) -> Iterator[tuple]:
+    """(rids, first symbol of each text, hash of grams, values, bounds): many short texts, or a stretch of a long one.
+
+    ``encode(bytes, offsets)`` gives values (``Content``'s), what the grams are hashed from, and bounds.
+    A long text comes in stretches of ``CHUNK`` bytes, cut at a space where symbols are words; each
+    repeats the last ``length - 1`` symbols of the one before, so every window is in just one of them.
+    """
+    for batch in batches:
+        data, off = utf8(batch.column(1))
+        rids = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b in groups_of(off, CHUNK):
+            part = data[off[a] : off[b]]
+            if len(part) <= 2 * CHUNK:
+                yield rids[a:b], np.zeros(b - a, np.int64), *encode(part, off[a : b + 1] - off[a])
+                continue
+            at, n, tail = 0, 0, None
+            while at < len(part):
+                end = at + CHUNK
+                if words and end < len(part):
+                    gaps = np.flatnonzero(part[at + CHUNK // 2 : end] == 0x20)
+                    while not len(gaps) and end < len(part):
+                        gaps, end = np.flatnonzero(part[end : end + CHUNK] == 0x20) + end - at - CHUNK // 2, end + CHUNK
+                    end = at + CHUNK // 2 + int(gaps[-1]) + 1 if len(gaps) else len(part)
+                values, codes, bounds = encode(part[at:end], np.array([0, min(end, len(part)) - at]))
+                scale = len(values) // max(1, len(codes))
+                fresh = len(codes)
+                if tail is not None:
+                    values, codes = np.concatenate([tail[0], values]), np.concatenate([tail[1], codes])
+                yield rids[a:b], np.array([n - (len(codes) - fresh)]), values, codes, np.array([0, len(codes)])
+                n += fresh
+                keep = min(len(codes), rule.length - 1)
+                tail = (values[len(values) - keep * scale :].copy(), codes[len(codes) - keep :].copy()) if keep else None
+                at = end
+
+
+def candidates(docs: DataFrame, rule: Rule, encode: Callable, grams: Callable, words: bool) -> DataFrame:
+    """Runs and settled intervals of ``docs`` (rid, text); ``grams(codes)`` hashes what ``encode`` gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            data, off = utf8(batch.column(1))
-            rids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in groups_of(off, CHUNK):
-                codes, bounds = encode(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                text, *rest = runs(codes, bounds, rule)
-                held.append((rids[a:b][text], *rest))
-                n += len(text)
-                if n >= HELD:
-                    yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), rule)
-                    held, n = [], 0
+        held, values, n, symbols = [], [], 0, 0
+
+        def flush() -> list[pa.RecordBatch]:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            return settle(*cols, Content(np.concatenate(values), words), rule)
+
+        for rids, at, value, codes, bounds in pieces(batches, rule, encode, words):
+            text, first, count, dist, h = runs(lambda a, b, c=codes: grams(c[a:b]), bounds, rule)
+            if not len(text):
+                continue
+            held.append((rids[text], first + at[text], count, dist, h, bounds[text] + first + symbols))
+            values.append(value)
+            n, symbols = n + len(text), symbols + len(codes)
+            if n >= HELD or symbols >= (HELD_WORDS if words else HELD_BYTES):
+                yield from flush()
+                held, values, n, symbols = [], [], 0, 0
         if n:
-            yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)), rule)
+            yield from flush()
 
     return docs.select("rid", "text").mapInArrow(run, SCHEMA)
 
@@ -158,63 +321,52 @@ INTERVAL, EDGE = 0, 1
 
 
 def compared(sorted_rows: DataFrame, rule: Rule) -> DataFrame:
-    """Marks from rows that are sorted by (h, t, rid, place): intervals, and edges [first, last] with an anchor."""
-
-    def of(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, t, rid, place, flag = cols
-        done = flag == DONE
-        i_rid, i_start, i_end = [rid[done]], [t[done]], [place[done]]
-        h, t, rid, place, flag = (x[~done] for x in cols)
-        if len(h):
-            first, count, dist = place >> 24, (place >> 12) & 4095, place & 4095
-            new_h = np.concatenate([[True], h[1:] != h[:-1]])
-            head = new_h | np.concatenate([[True], t[1:] != t[:-1]])
-            klass = np.cumsum(head) - 1
-            heads = np.flatnonzero(head)
-            if rule.mode == "later":
-                marked = ~head
-            else:
-                several = np.add.reduceat(np.ones(len(h), np.int64) + (flag == SEVERAL), heads) > 1
-                marked = several[klass]
-            i_rid.append(rid[marked])
-            i_start.append(first[marked])
-            i_end.append((first + count + rule.length - 1)[marked])
-            kinds = np.add.reduceat(head.astype(np.int64), np.flatnonzero(new_h))
-            edge = heads[kinds[(np.cumsum(new_h) - 1)[heads]] > 1]
-        else:
-            first = count = dist = edge = np.zeros(0, np.int64)
-        m_rid, m_start, m_end = merge_intervals(*(np.concatenate(x) for x in (i_rid, i_start, i_end)))
-        n, e = len(m_rid), len(edge)
+    """Marks from rows sorted by h: intervals, and as edges [first, last] the runs whose anchor is not theirs alone.
+
+    A run's anchor is another's too if a neighbour in the order has it, so one row is held back at a time.
+    """
+
+    def of(cols: list[np.ndarray], before: int | None, after: int | None) -> pa.RecordBatch:
+        h, until, rid, place, flag = cols
+        same = h[1:] == h[:-1]
+        twin = np.concatenate([[before is not None and h[0] == before], same]) | np.concatenate([same, [after is not None and h[-1] == after]])
+        edge = (flag == EDGE_RUN) | ((flag == CANDIDATE) & twin)
+        keep = np.flatnonzero(edge | (flag == DONE))
+        done = flag[keep] == DONE
+        place = place[keep]
+        first, count, dist = place >> 24, (place >> 12) & 4095, place & 4095
         arrays = [
-            np.concatenate([m_rid, rid[edge]]),
-            np.concatenate([np.full(n, INTERVAL), np.full(e, EDGE)]),
-            np.concatenate([m_start, first[edge]]),
-            np.concatenate([m_end, (first + count - 1)[edge]]),
-            np.concatenate([np.zeros(n, np.int64), dist[edge]]),
+            pa.array(rid[keep], pa.int64()),
+            pa.array(np.where(done, INTERVAL, EDGE), pa.int32()),
+            pa.array(np.where(done, place, first), pa.int64()),
+            pa.array(np.where(done, until[keep], first + count - 1), pa.int64()),
+            pa.array(np.where(done, 0, dist), pa.int32()),
         ]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(arrays, types, strict=True)], ["rid", "kind", "first", "last", "dist"])
+        return pa.RecordBatch.from_arrays(arrays, ["rid", "kind", "first", "last", "dist"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        before, held = None, None
         for batch in batches:
+            if not len(batch):
+                continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last anchor may go on
-            if cut:
-                yield of([c[:cut] for c in cols])
-            rest = [c[cut:] for c in cols]
-        if rest is not None and len(rest[0]):
-            yield of(rest)
+            if held is not None:
+                yield of(held, before, int(cols[0][0]))
+                before = int(held[0][-1])
+            held = cols
+        if held is not None:
+            yield of(held, before, None)
 
     return sorted_rows.select(*COLUMNS).mapInArrow(run, MARK_SCHEMA)
 
 
-def marks(docs: DataFrame, rule: Rule, encode: Callable, name: str) -> DataFrame:
-    """Both steps over ``docs`` (rid, text), written once: ``rid, kind, first, last, dist``."""
-    found = candidates(docs, rule, encode)
-    spread = found.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h", "t", "rid", "place")
+def marks(docs: DataFrame, rule: Rule, encode: Callable, grams: Callable, words: bool, name: str) -> DataFrame:
+    """Settled intervals and edges of ``docs`` (rid, text), written once: ``rid, kind, first, last, dist``.
+
+    Each task sends one row at most for an anchor, or as many marks, so a common anchor is no larger than the number of tasks.
+    """
+    found = candidates(docs, rule, encode, grams, words)
+    spread = found.repartition(partitions(docs.sparkSession), "h").sortWithinPartitions("h")
     return materialise(compared(spread, rule), name)
 
 
@@ -230,31 +382,3 @@ def edges_by_text(marked: DataFrame) -> DataFrame:
 def intervals_by_text(marked: DataFrame) -> DataFrame:
     """``i_rid, spans``: all intervals (rid, first, last) of each text."""
     return marked.groupBy(F.col("rid").alias("i_rid")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-
-
-def multikey_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort over rows of integers, column by column; only tied rows go on to the next column.
-
-    Returns the order and the number of leading columns each row shares with the row before it.
-    """
-    n, depth = keys.shape
-    shared = np.full(n, depth, np.int64)
-    if not n:
-        return np.zeros(0, np.int64), shared
-    order = np.argsort(keys[:, 0], kind="stable")
-    first = keys[order, 0]
-    head = np.concatenate([[True], first[1:] != first[:-1]])
-    shared[head] = 0
-    for col in range(1, depth):
-        at = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))
-        if not len(at):
-            break
-        part = (np.cumsum(head) - 1)[at]
-        rows = order[at]
-        value = keys[rows, col]
-        o = np.lexsort((value, part))
-        order[at], value, part = rows[o], value[o], part[o]
-        cut = np.concatenate([[True], (part[1:] != part[:-1]) | (value[1:] != value[:-1])])
-        shared[at[cut & ~head[at]]] = col
-        head[at] = cut
-    return order, shared

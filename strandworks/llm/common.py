@@ -7,6 +7,7 @@ our own only where that is unset, as in tests), so that they outlive executors.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -106,11 +107,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     return rows, rows.select("rid", "text").dropDuplicates(["rid"])
 
 
-def fits(df: DataFrame, column: str | None, most_rows: int) -> bool:
-    """Whether a table has at most ``most_rows`` rows: the check before anything is broadcast."""
-    return df.limit(most_rows + 1).count() <= most_rows
-
-
 def sha256_hex(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
@@ -144,7 +140,6 @@ def groups_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15 | 1)
-_MULT2 = U64(0xD6E8FEB86659FD93 | 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,42 +158,6 @@ def byte_codes(seed: int) -> np.ndarray:
         return mix(mix(np.arange(1, 257, dtype=U64) * _MULT + U64(seed)) + U64(seed * 7919 + 1))
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base & (2**64 - 1), pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, U64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            with np.errstate(over="ignore"):
-                self.up, self.down = (
-                    np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, b, U64)])) for b in (self.base, self.inverse)
-                )
-        return self.up, self.down
-
-
-def prefix_sums(codes: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Sums that give the hash of any stretch in O(1): see ``stretch``."""
-    up, down = powers.of(len(codes) + 1)
-    out = np.zeros(len(codes) + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(codes * up[: len(codes)], out=out[1:])
-    return out, down
-
-
-def stretch(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The (unmixed) polynomial hash of each stretch [start, end), whatever its place."""
-    with np.errstate(over="ignore"):
-        return (sums[end] - sums[start]) * down[start]
-
-
-_WORD_POWERS = Powers(int(_MULT))
-_WORD_CODES = byte_codes(11)
-
-
 def words_of(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes. Rows must be parted by a non-word byte."""
     inside = is_word[data]
@@ -212,11 +171,39 @@ def words_of(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndar
     return edge[::2], edge[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    sums, down = prefix_sums(_WORD_CODES[data], _WORD_POWERS)
+#: The low 0, 1, ... 8 bytes of a 64-bit integer.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a word that is its own key.
+SHORT = 15
+_LONG = U64(0xFF << 56)
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit key of each word, in two halves: equal keys mean equal words.
+
+    A word of up to ``SHORT`` bytes is its own key, with its length in the top byte. A longer one
+    has a BLAKE2b digest of 120 bits: two of n long words share a key with probability n * n / 2**121.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    lo = eight[starts] & _LOW[np.minimum(size, 8)]
+    hi = (eight[starts + np.minimum(size, 8)] & _LOW[np.clip(size - 8, 0, 7)]) | (size.astype(U64) << U64(56))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        d = hashlib.blake2b(padded[starts[i] : ends[i]].data, digest_size=16).digest()
+        lo[i], hi[i] = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:15], "little") | int(_LONG)
+    return lo, hi
+
+
+def folded(lo: np.ndarray, hi: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of 128-bit keys. It selects and groups; whoever calls things equal compares keys or bytes."""
     with np.errstate(over="ignore"):
-        return mix(stretch(sums, down, starts, ends) + (ends - starts).astype(U64) * _MULT2)
+        return mix(lo ^ mix(hi + U64(seed) * _MULT))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, for what is compared exactly later on."""
+    return folded(*word_keys(data, starts, ends))
 
 
 def parted(data: np.ndarray, offsets: np.ndarray, sep: int = 0x20) -> tuple[np.ndarray, np.ndarray]:

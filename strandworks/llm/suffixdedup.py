@@ -3,22 +3,24 @@
 All texts are UTF-8 bytes; strings never cross texts; "earlier" is a smaller id, or an earlier
 start in the same text. Strings are judged on the input, and overlapping occurrences count.
 
-A full suffix array of the corpus would be a hundred times its size, so the array is sparse: only
-suffixes at content-defined anchors are rows (see ``anchors``), and runs of suffixes that agree as
-a whole are settled by one comparison. The suffixes that are left, those around the ends of
-repeats, are sorted: sampled splitters range-partition them by their leading bytes (the anchor),
-each bucket expands and sorts its suffixes by multikey quicksort, neighbours that agree on
-``LENGTH`` bytes are repeats, and the groups at a bucket's edges are compared across boundaries.
-A leading string that very many suffixes share is split by text over several buckets.
+A full suffix array of the corpus would be a hundred times its size, so the array is sparse: its
+suffixes are those at content-defined anchors (see ``anchors``), one for a run of string starts,
+and anchors that occur once in the corpus are left out. Sampled splitters range-partition the
+suffixes by their leading bytes, ties by text, so that a suffix of very many copies is split too.
+Each bucket is sorted; multikey quicksort over the bytes then finds the runs that agree as a whole,
+and, among what is left of an anchor, the single strings that agree. Only the outermost anchors of a
+bucket may go on beyond it: for these the first of each string is compared across the boundaries. How far a
+suffix agrees with its neighbours in the order bounds the strings that can repeat at all, so a
+common phrase that is shorter than ``LENGTH`` adds few of them.
 
 Defined results: null and empty texts have no bytes and nothing is removed; repeated or null ids
 as in ``common.keyed`` (fully repeated rows are one text, not earlier than each other); other
-columns are ignored. Removal may leave partial UTF-8, so kept bytes are binary.
+columns are ignored. Removal may leave partial UTF-8, so kept bytes are binary. Bytes are compared
+with bytes: no hash ever stands for a string.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.llm import anchors
-from strandworks.llm.common import byte_codes, keyed, materialise, partitions, utf8
+from strandworks.llm.common import keyed, materialise, partitions, utf8
 
 LENGTH = 100
 GRAM = 32
-#: Suffix runs that are expanded and sorted at a time.
-SORTED_RUNS = 3000
-_CODES = byte_codes(23)
+#: Suffixes that are looked at together, and strings that are sorted at a time.
+HELD_ROWS, HELD_STRINGS = 20_000, 1_000_000
 
 
-def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _CODES[data], offsets
+def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return data, data, offsets
 
 
-CONTEXT = "lead binary, rid long, first long, dist long, n long, context binary"
+CONTEXT = "rid long, first long, dist long, n long, context binary"
 
 
 def contexts(docs: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFrame:
-    """Each edge with the bytes of all its suffixes, and the leading bytes from its anchor."""
+    """Each edge with the bytes of all its strings."""
     names, kinds = zip(*(x.split() for x in CONTEXT.split(", ")), strict=True)
     types = [pa.binary() if k == "binary" else pa.int64() for k in kinds]
 
@@ -54,11 +55,11 @@ def contexts(docs: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFram
             for rid, text, edges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for e in edges:
-                    a = e["first"] + e["dist"]
-                    rows.append((data[a : a + rule.gram], rid, e["first"], e["dist"], e["last"] - e["first"] + 1, data[e["first"] : e["last"] + rule.length]))
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
-                    rows = []
+                    a, b = e["first"], e["last"]
+                    rows.append((rid, a, e["dist"], b - a + 1, data[a : b + rule.length]))
+                    if len(rows) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
@@ -66,115 +67,121 @@ def contexts(docs: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFram
     return j.select("rid", "text", "edges").mapInArrow(run, CONTEXT)
 
 
-def suffixes(data: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, place in run, bytes as big-endian words) of every suffix of the given runs."""
-    run = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    wide = -(-length // 8) * 8
-    body = np.zeros((len(run), wide), np.uint8)
-    body[:, :length] = data[(start[run] + place)[:, None] + np.arange(length)[None, :]]
-    return run, place, body.view(">u8").astype(np.uint64)
-
-
 SORTED = "kind int, rid long, first long, last long, suffix binary"
 CLOSED, OPEN = 0, 1
 
 
-def sort_buckets(ordered: DataFrame, length: int) -> DataFrame:
-    """Repeats within each bucket as ranges of suffix starts, and open rows for its outermost groups.
+class Bucket:
+    """Suffixes of whole anchors, in order, and what repeats among them."""
 
-    Rows must come sorted by (lead, rid, first).
+    def __init__(self, table: pa.Table, rule: anchors.Rule):
+        data, off = utf8(table.column("context"))
+        self.data, self.content, self.rule = data, anchors.Content(data, words=False), rule
+        self.start, self.end = off[:-1], off[1:]
+        self.rid, self.first, self.dist, self.n = (table.column(k).to_numpy() for k in ("rid", "first", "dist", "n"))
+        self.anchor = self.start + self.dist
+        new = np.zeros(len(table), bool)
+        for j in range(self.content.depth(rule.gram)):
+            c = self.content.column(self.anchor, self.anchor + rule.gram, j)
+            new[1:] |= c[1:] != c[:-1]
+        self.lead = np.cumsum(new)
+
+    def _equal(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, parts: tuple, first: np.ndarray, longest: int) -> tuple:
+        """Sort rows by their bytes within ``parts`` (integers): rows by class, earliest first; firsts; classes."""
+        o = np.lexsort(parts[::-1])
+        cut = np.concatenate([[True], np.any([p[o][1:] != p[o][:-1] for p in parts], axis=0)])
+        start, end = start[o], end[o]
+        depth = self.content.depth(longest)
+        order, shared = anchors.multikey_quicksort(lambda r, j: self.content.column(start[r], end[r], j), depth, np.diff(np.append(np.flatnonzero(cut), len(o))))
+        got, earliest, _ = anchors.classes(order, shared == depth, self.rid[rows[o]], first[o])
+        return o[got], earliest
+
+    def solve(self, open_first: bool, open_last: bool) -> Iterator[tuple]:
+        """(kind, rids, first and last string starts, bytes or None) of what repeats or may repeat elsewhere."""
+        length, every = self.rule.length, np.arange(len(self.rid))
+        rows, earliest = self._equal(every, self.start, self.end, (self.lead, self.n, self.dist), self.first, int(self.n.max()) + length - 1)
+        again = rows[~earliest]
+        yield CLOSED, *anchors.merge_intervals(self.rid[again], self.first[again], self.first[again] + self.n[again]), None
+        reps = np.sort(rows[earliest])
+        opened = (open_first & (self.lead[reps] == 0)) | (open_last & (self.lead[reps] == self.lead[-1]))
+        # how far each suffix agrees with a neighbour, from its anchor on; unknown at a bucket's ends
+        right, end = self.anchor[reps], self.end[reps]
+        common = self.content.shared(right[1:], end[1:], right[:-1], end[:-1], length) if len(reps) > 1 else np.zeros(0, np.int64)
+        reach = np.maximum(np.concatenate([[length * open_first], common]), np.concatenate([common, [length * open_last]]))
+        least = np.maximum(length - reach, self.dist[reps] - self.n[reps] + 1)  # a string's least distance from the anchor
+        live = (np.bincount(self.lead[reps])[self.lead[reps]] > 1) | opened
+        count = np.where(live, np.maximum(self.dist[reps] - least + 1, 0), 0)
+        # equal strings lie at equal distances, so distances can be taken a few at a time
+        cuts, total = [0], 0
+        per = np.zeros(int(self.dist.max()) + 2, np.int64)
+        np.add.at(per, np.maximum(least[count > 0], 0), 1)
+        np.add.at(per, self.dist[reps][count > 0] + 1, -1)
+        for d, k in enumerate(np.cumsum(per).tolist()):
+            if total and total + k > HELD_STRINGS:
+                cuts.append(d)
+                total = 0
+            total += k
+        for low, high in zip(cuts, [*cuts[1:], len(per)], strict=True):
+            a, b = np.maximum(least, low), np.minimum(self.dist[reps], high - 1)
+            m = np.where(count > 0, np.maximum(b - a + 1, 0), 0)
+            run = np.repeat(np.arange(len(reps)), m)
+            if not len(run):
+                continue
+            d = a[run] + np.arange(len(run)) - np.repeat(np.cumsum(m) - m, m)
+            row = reps[run]
+            place = self.dist[row] - d
+            start, first = self.start[row] + place, self.first[row] + place
+            o, earliest = self._equal(row, start, start + length, (self.lead[row], d), first, length)
+            again = o[~earliest]
+            yield CLOSED, *anchors.merge_intervals(self.rid[row[again]], first[again], first[again] + 1), None
+            q = o[earliest & opened[run[o]]]
+            if len(q):
+                yield OPEN, self.rid[row[q]], first[q], first[q] + 1, [self.data[x : x + length].tobytes() for x in start[q].tolist()]
+
+
+def sort_buckets(ordered: DataFrame, rule: anchors.Rule) -> DataFrame:
+    """Repeats within each bucket as ranges of string starts, and open rows for its outermost anchors.
+
+    Rows come in the order of their bytes from the anchor on, then rid and first.
     """
+    names = [x.split()[0] for x in SORTED.split(", ")]
 
-    def solve(rows: dict[str, np.ndarray], lead_id: np.ndarray, edge_ids: set[int]) -> pa.RecordBatch | None:
-        out = []
-        data, start, n = rows["data"], rows["start"], rows["n"]
-        parts = [np.arange(len(n))]
-        if len(n) > SORTED_RUNS:
-            # equal suffixes lie at equal distances from their anchor: one distance class at a time
-            parts = np.array_split(np.argsort(lead_id, kind="stable"), -(-len(n) // SORTED_RUNS))
-            cuts = [p[0] for p in parts]
-            same = [lead_id[a[-1]] == lead_id[b[0]] for a, b in zip(parts, parts[1:], strict=False)]
-            if any(same) or not cuts:
-                parts = None
-        if parts is None:
-            slices = []
-            for d in range(int(rows["dist"].max()), int((rows["dist"] - n + 1).min()) - 1, -1):
-                place = rows["dist"] - d
-                at = np.flatnonzero((place >= 0) & (place < n))
-                slices.append((at, place[at]))
-        else:
-            slices = [(p, None) for p in parts]
-        for at, place in slices:
-            if not len(at):
-                continue
-            if place is None:
-                run, where, keys = suffixes(data, start[at], n[at], length)
-            else:
-                run, where, keys = suffixes(data, start[at] + place, np.ones(len(at), np.int64), length)
-                where = place
-            order, shared = anchors.multikey_sort(keys)
-            head = shared < keys.shape[1]
-            klass = np.cumsum(head) - 1
-            run, where = at[run[order]], where[order]
-            pos = rows["first"][run] + where
-            # the earliest of each class stays
-            o = np.lexsort((pos, rows["rid"][run], klass))
-            run, pos, klass, where = run[o], pos[o], klass[o], where[o]
-            first = np.concatenate([[True], klass[1:] != klass[:-1]])
-            again = ~first
-            if again.any():
-                r, s, e = anchors.merge_intervals(rows["rid"][run[again]], pos[again], pos[again] + 1)
-                out.append((np.full(len(r), CLOSED), r, s, e, [None] * len(r)))
-            if edge_ids:
-                is_open = first & np.isin(lead_id[run], list(edge_ids))
-                q = np.flatnonzero(is_open)
-                body = [data[b : b + length].tobytes() for b in (start[run[q]] + where[q]).tolist()]
-                out.append((np.full(len(q), OPEN), rows["rid"][run[q]], pos[q], pos[q] + 1, body))
-        if not out:
-            return None
-        kind, rid, first, last = (np.concatenate([x[i] for x in out]) for i in range(4))
-        body = [b for x in out for b in x[4]]
-        names = [x.split()[0] for x in SORTED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(body, pa.binary())], names)
-
-    def load(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        data, off = utf8(table.column("context"))
-        lead = table.column("lead").combine_chunks()
-        codes = lead.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = {k: table.column(k).to_numpy() for k in ("rid", "first", "dist", "n")}
-        return rows | {"data": data, "start": off[:-1]}, codes
+    def rows(kind: int, rid, first, last, body) -> pa.RecordBatch:
+        n = len(rid)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind), pa.int32()), pa.array(rid, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(body, pa.binary()) if body else pa.nulls(n, pa.binary())], names
+        )
+
+    def lead_of(table: pa.Table, i: int) -> bytes:
+        d = table.column("dist")[i].as_py()
+        return table.column("context")[i].as_py()[d : d + rule.gram]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        outermost = True  # whether the held rows begin with the bucket's first group
+        held: list[pa.RecordBatch] = []
+        n, outermost = 0, True  # whether the held rows begin with the bucket's first anchor
+
+        def solved(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            for got in Bucket(table, rule).solve(outermost, last):
+                if len(got[1]):
+                    yield rows(*got)
+
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if len(held) < SORTED_RUNS:
+            held.append(batch)
+            n += len(batch)
+            if n < HELD_ROWS or not len(batch):
                 continue
-            lead = held.column("lead")
-            last = lead[len(held) - 1].as_py()
-            cut = len(held)
-            low, high = 0, len(held)
-            while low < high:  # where the last group begins
+            table = pa.Table.from_batches(held)
+            last, low, high = lead_of(table, n - 1), 0, n
+            if lead_of(table, 0) == last:
+                continue
+            while low < high:  # where the last anchor begins
                 mid = (low + high) // 2
-                if lead[mid].as_py() < last:
-                    low = mid + 1
-                else:
-                    high = mid
-            cut = low
-            if cut:
-                rows, codes = load(held.slice(0, cut))
-                got = solve(rows, codes, {int(codes[0])} if outermost else set())
-                outermost = False
-                if got is not None:
-                    yield got
-                held = held.slice(cut)
-        if held is not None and len(held):
-            rows, codes = load(held)
-            got = solve(rows, codes, {int(codes[-1])} | ({int(codes[0])} if outermost else set()))
-            if got is not None:
-                yield got
+                low, high = (mid + 1, high) if lead_of(table, mid) < last else (low, mid)
+            yield from solved(table.slice(0, low), False)
+            outermost = False
+            held, n = table.slice(low).to_batches(), n - low
+        if n:
+            yield from solved(pa.Table.from_batches(held), True)
 
     return ordered.select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(run, SORTED)
 
@@ -191,10 +198,11 @@ def across_boundaries(found: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``rid, first, last``: intervals [first, last) of bytes to remove (they may overlap); ``docs`` has rid and text."""
     rule = anchors.Rule(length, gram, "later")
-    marked = anchors.marks(docs, rule, encode, "byte-runs")
+    marked = anchors.marks(docs, rule, encode, lambda codes: anchors.byte_grams(codes, gram), False, "byte-runs")
     around = materialise(contexts(docs, marked, rule), "contexts")
-    ordered = around.repartitionByRange(partitions(docs.sparkSession), "lead", "rid").sortWithinPartitions("lead", "rid", "first")
-    found = across_boundaries(materialise(sort_buckets(ordered, length), "suffixes"))
+    suffix = F.expr("substring(context, cast(dist as int) + 1)")
+    ordered = around.repartitionByRange(partitions(docs.sparkSession), suffix, "rid").sortWithinPartitions(suffix, "rid", "first")
+    found = across_boundaries(materialise(sort_buckets(ordered, rule), "suffixes"))
     settled = marked.filter(F.col("kind") == anchors.INTERVAL).select("rid", "first", "last")
     return settled.unionByName(found.select("rid", "first", (F.col("last") + length - 1).alias("last")))
 
@@ -233,20 +241,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def brute(docs: list[tuple], length: int = LENGTH) -> list[tuple]:
-    """(id, bytes, removed, spans, kept digest) by definition, for tests; ids must be unique."""
-    seen: set[bytes] = set()
-    out = {}
-    for d, text in sorted(docs):
-        data = (text or "").encode()
-        gone = bytearray(len(data))
-        for i in range(len(data) - length + 1):
-            s = data[i : i + length]
-            if s in seen:
-                gone[i : i + length] = b"\x01" * length
-            seen.add(s)
-        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
-        out[d] = (d, len(data), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(data, gone, strict=True) if not g)).hexdigest())
-    return [out[d] for d, _ in docs]
