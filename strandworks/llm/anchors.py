@@ -379,6 +379,12 @@ def edges_by_text(marked: DataFrame) -> DataFrame:
     )
 
 
+def edge_arrays(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(row, first, last, dist) of all edges of a column of ``edges_by_text``."""
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), *(flat.field(k).to_numpy().astype(np.int64) for k in ("first", "last", "dist"))
+
+
 def intervals_by_text(marked: DataFrame) -> DataFrame:
     """``i_rid, spans``: all intervals (rid, first, last) of each text."""
     return marked.groupBy(F.col("rid").alias("i_rid")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))

@@ -111,6 +111,15 @@ def sha256_hex(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
 
 
+#: Rows of a few numbers each that may be broadcast: 64 MB at the most.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_enough(written: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a written table of narrow rows has at most ``most`` of them: the check before a broadcast."""
+    return written.limit(most + 1).count() <= most
+
+
 # --- Arrow and numpy -------------------------------------------------------------------------
 
 

@@ -4,14 +4,18 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is ``LENGTH`` consecutiv
 text. Every word that lies in a window whose word sequence starts anywhere else too is removed,
 first occurrences included. Windows are judged on the input.
 
-Only suffixes at content-defined anchors are rows, and runs of suffixes that repeat as a whole are
-settled by one comparison (see ``anchors``). Suffixes around the ends of repeats are dealt out by
-prefixes of variable length: the shortest of ``PREFIXES`` leading words that brings a group to
-``GROUP`` runs at most. Each group's suffixes are sorted, and the stack of longest common prefixes
-gives its suffix tree; internal nodes of depth ``LENGTH`` or more are the repeats. The runs of a
-group that is still too large under the longest prefix are taken apart into windows, each a row of
-its own under a 128-bit digest of its words. Equal windows within a task are settled before the
-shuffle, so neither a group nor one window is ever held or read by one task as a whole.
+Only suffixes at content-defined anchors are rows (see ``anchors``), one for a run of windows, and
+anchors that occur once in the corpus are left out. Suffixes are dealt out by prefixes of variable
+length: the shortest of ``PREFIXES`` leading words that brings a group to ``GROUP`` suffixes at most.
+The suffixes of a group are sorted by multikey quicksort, and common prefixes of neighbours give
+its suffix tree: how deep a suffix's node is bounds the windows that can repeat at all, and the
+leaves below the internal nodes of depth ``LENGTH`` are the repeats. Words are compared by keys that are the words
+themselves, or 120-bit digests of those over 15 bytes.
+
+A group that is too large under the longest of these prefixes, the anchor, has its prefixes extended
+to whole windows: each window is a row by the 128-bit digest of all its words, equal ones within a task are
+settled before the shuffle, and neighbours in the order are compared. So neither a group nor one
+window is ever held or read by one task as a whole.
 
 Defined results: null and empty texts have no words; repeated or null ids as in ``common.keyed``
 (fully repeated rows are one text, which alone is no repeat); other columns are ignored.
@@ -29,66 +33,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.llm import anchors
-from strandworks.llm.common import SPACED_WORD, U64, keyed, materialise, mix, parted, partitions, utf8, word_hashes, words_of
+from strandworks.llm.common import SPACED_WORD, folded, groups_of, keyed, materialise, parted, partitions, small_enough, utf8, word_hashes, word_keys, words_of
+from strandworks.llm.decontam import grams
 
 LENGTH = 35
 GRAM = 8
 #: Leading words that a group's suffixes share; the last is the whole anchor.
 PREFIXES = (1, 2, 4, 8)
-#: Runs of suffixes in one group (about 40 words each).
-GROUP = 20_000
+#: Suffixes in one group (about 48 words each), and windows that are sorted at a time.
+GROUP, HELD_WINDOWS = 20_000, 1_000_000
+#: Bytes of text whose words are told apart at a time.
+CHUNK = 1 << 21
 
 
-def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text, off = parted(data, offsets)
     starts, ends = words_of(text, SPACED_WORD)
-    return word_hashes(text, starts, ends), np.searchsorted(starts, off)
-
-
-def text_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of one text."""
-    return words_of(np.frombuffer(data, np.uint8), SPACED_WORD) if data else (np.zeros(0, np.int64),) * 2
+    lo, hi = word_keys(text, starts, ends)
+    return np.stack([lo, hi], 1).ravel(), folded(lo, hi), np.searchsorted(starts, off)
 
 
 CONTEXT = "rid long, first long, dist long, n long, context binary, p1 long, p2 long, p4 long, p8 long"
+CONTEXT_NAMES = [x.split()[0] for x in CONTEXT.split(", ")]
 
 
 def contexts(texts: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFrame:
-    """Each edge with the words of all its suffixes, and hashes of the leading words from its anchor."""
-    names, kinds = zip(*(x.split() for x in CONTEXT.split(", ")), strict=True)
-    types = [pa.binary() if k == "binary" else pa.int64() for k in kinds]
+    """Each edge with the words of all its windows, and hashes of the leading words from its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rid, text, edges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                starts, ends = text_words(data)
-                for e in edges:
-                    a = e["first"] + e["dist"]
-                    spans = zip(starts[e["first"] : e["last"] + rule.length].tolist(), ends[e["first"] : e["last"] + rule.length].tolist(), strict=True)
-                    lead = [data[starts[a + j] : ends[a + j]] for j in range(rule.gram)]
-                    keys = [int.from_bytes(hashlib.blake2b(b" ".join(lead[:p]), digest_size=8).digest(), "little", signed=True) for p in PREFIXES]
-                    rows.append((rid, e["first"], e["dist"], e["last"] - e["first"] + 1, b" ".join([data[x:y] for x, y in spans]), *keys))
-                if len(rows) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+            rids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, off = utf8(batch.column(1))
+            for x, y in groups_of(off, CHUNK):
+                row, first, last, dist = anchors.edge_arrays(batch.column(2).slice(x, y - x))
+                text, at = parted(data[off[x] : off[y]], off[x : y + 1] - off[x])
+                starts, ends = words_of(text, SPACED_WORD)
+                h = word_hashes(text, starts, ends)
+                begin = np.searchsorted(starts, at)[row] + first
+                a, b = starts[begin], ends[begin + last - first + rule.length - 1]
+                body = [text[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                keys = [grams(h, p)[begin + dist].view(np.int64) for p in PREFIXES]
+                cols = [rids[x:y][row], first, dist, last - first + 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(body, pa.binary()), *(pa.array(k, pa.int64()) for k in keys)], CONTEXT_NAMES)
 
     j = texts.join(anchors.edges_by_text(marked), F.col("rid") == F.col("e_rid"))
     return j.select("rid", "text", "edges").mapInArrow(run, CONTEXT)
 
 
 def prefix_groups(around: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
-    """Runs with ``grp``, a prefix of variable length; and the runs whose longest prefix is still too common.
+    """Suffixes with ``grp``, a prefix of variable length; and those whose longest prefix is still too common.
 
-    At most one prefix per ``group`` rows is too common, so these are broadcast and no common prefix meets in a join.
+    Prefixes are counted with partial sums. The too common ones, at most one in ``group`` rows, are
+    broadcast if they are few; else each level is joined, in a way that Spark can split where it is skewed.
     """
+    levels = [f"p{p}" for p in PREFIXES]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(p).alias("key")) for i, p in enumerate(levels)])).alias("e")
+    counted = around.select(each).groupBy("e.level", "e.key").count().filter(F.col("count") > group).select("level", "key")
+    common = materialise(counted, "common-prefixes")
+    few = small_enough(common)
     out, choice = around, None
-    for level in (f"p{p}" for p in PREFIXES):
-        hot = around.groupBy(F.col(level).alias(f"{level}_hot")).count().filter(F.col("count") > group).select(f"{level}_hot")
-        out = out.join(F.broadcast(hot), F.col(level) == F.col(f"{level}_hot"), "left")
+    for i, level in enumerate(levels):
+        hot = common.filter(F.col("level") == i).select(F.col("key").alias(f"{level}_hot"))
+        out = out.join(F.broadcast(hot) if few else hot, F.col(level) == F.col(f"{level}_hot"), "left")
         small = F.col(f"{level}_hot").isNull()
         pick = F.struct(F.lit(level).alias("level"), F.col(level).alias("key"))
         choice = F.when(small, pick) if choice is None else choice.when(small, pick)
@@ -97,108 +103,170 @@ def prefix_groups(around: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
     return out.filter("grp is not null").select(columns), out.filter("grp is null").select(columns[1:])
 
 
+FOUND = "rid long, first long, last long"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+
+
+def found_rows(*cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], FOUND_NAMES)
+
+
+APART = "k1 long, k2 long, rid long, first long, done boolean"
+
+
 def windows_apart(large: DataFrame, rule: anchors.Rule) -> DataFrame:
-    """Each window of the runs as a row by the digest of its words; copies within a task are settled."""
+    """Each window of the runs as a row by the digest of its words; of equal ones in a task one row stays, the others are done."""
+    names = [x.split()[0] for x in APART.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         rids: list[int] = []
         firsts: list[int] = []
 
-        def flush() -> list[pa.RecordBatch]:
-            h, t = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2).T
-            zero = np.zeros(len(keys), np.int64)
-            rows = anchors.settle(np.array(rids, np.int64), np.array(firsts, np.int64), zero + 1, zero, h.copy(), t.copy(), rule)
+        def flush() -> pa.RecordBatch:
+            k1, k2 = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
+            o = np.lexsort((k2, k1))
+            head = np.concatenate([[True], (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1])])
+            alone = head & np.concatenate([head[1:], [True]])
+            # all of several are done, and the first goes on to meet those of other tasks
+            rows, done = np.concatenate([o[head], o[~alone]]), np.repeat([False, True], [head.sum(), (~alone).sum()])
+            cols = [k1[rows], k2[rows], np.array(rids)[rows], np.array(firsts)[rows]]
             keys.clear(), rids.clear(), firsts.clear()
-            return rows
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(done)], names)
 
         for batch in batches:
             for rid, first, n, context in zip(*(batch.column(c).to_pylist() for c in ("rid", "first", "n", "context")), strict=True):
-                words = context.split(b" ")
+                words = _BYTES_WORD.findall(context)
                 keys += [hashlib.blake2b(b" ".join(words[i : i + rule.length]), digest_size=16).digest() for i in range(n)]
                 rids += [rid] * n
                 firsts += range(first, first + n)
                 if len(keys) >= anchors.HELD // 2:
-                    yield from flush()
+                    yield flush()
         if keys:
-            yield from flush()
+            yield flush()
 
-    return large.mapInArrow(run, anchors.SCHEMA)
+    return large.mapInArrow(run, APART)
 
 
-def deep_nodes(shared: np.ndarray, depth: int) -> list[tuple[int, int, int]]:
-    """(first leaf, end, string depth) of the internal nodes of a suffix tree that are ``depth`` deep or more.
+def twins(sorted_rows: DataFrame, length: int) -> DataFrame:
+    """Intervals of windows that a neighbour in the order of digests equals, and of those that are done."""
 
-    ``shared[i]`` is how much sorted suffix i shares with the one before it (0 for the first).
-    """
-    out, stack = [], []  # open nodes: (first leaf, string depth)
-    deep = np.flatnonzero(shared >= depth)
-    for run in np.split(deep, np.flatnonzero(np.diff(deep) > 1) + 1) if len(deep) else []:
-        stack = []
-        for i in [*run.tolist(), None]:
-            value = int(shared[i]) if i is not None else 0
-            left, end = (i - 1, i) if i is not None else (0, int(run[-1]) + 1)
-            while stack and stack[-1][1] > value:
-                left, d = stack.pop()
-                out.append((left, end, d))
-            if value and (not stack or stack[-1][1] < value):
-                stack.append((left, value))
-    return out
+    def of(t: list, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        k1, k2, rid, first, done = t
+        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+        twin = np.concatenate([[before == (k1[0], k2[0])], same]) | np.concatenate([same, [after == (k1[-1], k2[-1])]]) | done
+        return found_rows(*anchors.merge_intervals(rid[twin], first[twin], first[twin] + length))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                yield of(held, before, (cols[0][0], cols[1][0]))
+                before = (held[0][-1], held[1][-1])
+            held = cols
+        if held is not None:
+            yield of(held, before, None)
 
-FOUND = "rid long, first long, last long"
+    return sorted_rows.mapInArrow(run, FOUND)
 
 
-def solve_group(contexts_: list[bytes], first: np.ndarray, n: np.ndarray, rid: np.ndarray, length: int):
-    """Starts of suffixes of one group that some other suffix repeats."""
-    split = [c.split(b" ") for c in contexts_]
-    sizes = np.array([len(s) for s in split], np.int64)
-    ids: dict[bytes, int] = {}
-    codes = np.array([ids.setdefault(w, len(ids)) for s in split for w in s], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    run = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-    keys = codes[(begin[run] + place)[:, None] + np.arange(length)[None, :]]
-    order, shared = anchors.multikey_sort(keys)
-    again = np.zeros(len(order), bool)
-    for a, b, _ in deep_nodes(shared, length):
-        again[a:b] = True
-    q = order[again]
-    if not len(q):
-        return None
-    pos = first[run[q]] + place[q]
-    return anchors.merge_intervals(rid[run[q]], pos, pos + length)
+def deep_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first leaf, end) of the topmost internal nodes of a suffix tree that are ``depth`` deep or more.
+
+    ``shared[i]`` is how much sorted suffix i shares with the one before it (0 for the first).
+    """
+    deep = np.concatenate([[False], shared >= depth, [False]])
+    return np.flatnonzero(deep[1:] & ~deep[:-1]) - 1, np.flatnonzero(deep[:-1] & ~deep[1:])
+
+
+class Tree:
+    """The suffix trees of some whole groups, sorted together, and what repeats in them."""
+
+    def __init__(self, table: pa.Table, length: int):
+        data, off = utf8(table.column("context"))
+        text, at = parted(data, off)
+        starts, ends = words_of(text, SPACED_WORD)
+        self.content, self.length = anchors.Content(np.stack(word_keys(text, starts, ends), 1).ravel(), words=True), length
+        self.start = np.searchsorted(starts, at[:-1])
+        grp = table.column("grp").to_numpy()
+        self.grp = np.cumsum(np.concatenate([[False], grp[1:] != grp[:-1]]))
+        self.rid, self.first, self.dist, self.n = (table.column(k).to_numpy() for k in ("rid", "first", "dist", "n"))
+
+    def _sorted(self, parts: tuple, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of suffixes of so many words within ``parts`` (integers), and the words each shares with the one before."""
+        if not len(start):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        o = np.lexsort(parts[::-1])
+        cut = np.concatenate([[True], np.any([p[o][1:] != p[o][:-1] for p in parts], axis=0)])
+        start, end = start[o], start[o] + size[o]
+        key = lambda r, j: self.content.column(start[r], end[r], j)
+        order, shared = anchors.multikey_quicksort(key, self.content.depth(int(size.max())), np.diff(np.append(np.flatnonzero(cut), len(o))))
+        return o[order], shared // 2
+
+    def _leaves(self, shared: np.ndarray, depth: int) -> np.ndarray:
+        below = np.zeros(len(shared) + 1, np.int64)
+        a, b = deep_nodes(shared, depth)
+        np.add.at(below, a, 1)
+        np.add.at(below, b, -1)
+        return np.cumsum(below[:-1]) > 0
+
+    def repeats(self) -> Iterator[tuple]:
+        """(rids, first, end) of words below deep nodes."""
+        length, size = self.length, self.n + self.length - 1
+        # runs that agree as a whole: all their windows repeat, and one of each goes on
+        order, shared = self._sorted((self.grp, self.n, self.dist), self.start, size)
+        equal = shared >= size[order]
+        whole = equal | np.concatenate([equal[1:], [False]])
+        m = order[whole]
+        yield self.rid[m], self.first[m], self.first[m] + size[m]
+        reps = np.sort(order[~equal])
+        # the tree over suffixes at anchors: how deep a leaf's parent is bounds the windows that repeat
+        order, shared = self._sorted((self.grp[reps],), self.start[reps] + self.dist[reps], size[reps] - self.dist[reps])
+        reps = reps[order]
+        reach = np.maximum(shared, np.append(shared[1:], 0)) if len(reps) else shared
+        least = np.maximum(length - reach, self.dist[reps] - self.n[reps] + 1)
+        count = np.maximum(self.dist[reps] - least + 1, 0)
+        for part in np.array_split(np.arange(int(self.dist.max()) + 1), max(1, min(int(self.dist.max()) + 1, -(-int(count.sum()) // HELD_WINDOWS)))):
+            # equal windows lie at equal distances, so distances can be taken a few at a time
+            a, b = np.maximum(least, part[0]), np.minimum(self.dist[reps], part[-1])
+            k = np.where(count > 0, np.maximum(b - a + 1, 0), 0)
+            run = np.repeat(np.arange(len(reps)), k)
+            row = reps[run]
+            place = self.dist[row] - (a[run] + np.arange(len(run)) - np.repeat(np.cumsum(k) - k, k))
+            order, shared = self._sorted((self.grp[row],), self.start[row] + place, np.full(len(row), length))
+            q = order[self._leaves(shared, length)]
+            pos = self.first[row[q]] + place[q]
+            yield self.rid[row[q]], pos, pos + length
 
 
 def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
     """Intervals of repeated words, from rows sorted by grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        n = 0
 
         def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            grp = t.column("grp").to_numpy()
-            cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist(), len(grp)]
-            out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a > 1:
-                    g = t.slice(a, b - a)
-                    cols = {c: g.column(c).to_numpy() for c in ("first", "n", "rid")}
-                    got = solve_group(g.column("context").to_pylist(), cols["first"], cols["n"], cols["rid"], length)
-                    if got is not None:
-                        out.append(got)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+            for part in Tree(t, length).repeats():
+                if len(part[0]):
+                    yield found_rows(*anchors.merge_intervals(*part))
 
         for batch in batches:
-            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-            grp = held.column("grp").to_numpy()
+            held.append(batch)
+            n += len(batch)
+            if n < GROUP:
+                continue
+            table = pa.Table.from_batches(held)
+            grp = table.column("grp").to_numpy()
             cut = int(np.argmax(grp == grp[-1]))
             if cut:
-                yield from solve(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from solve(held)
+                yield from solve(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield from solve(pa.Table.from_batches(held))
 
     return dealt.mapInArrow(run, FOUND)
 
@@ -206,14 +274,13 @@ def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
 def repeated_words(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``rid, first, last``: intervals [first, last) of words to remove (they may overlap); ``texts`` has rid and text."""
     rule = anchors.Rule(length, GRAM, "any")
-    marked = anchors.marks(texts, rule, encode, "word-runs")
+    marked = anchors.marks(texts, rule, encode, lambda codes: grams(codes, GRAM), True, "word-runs")
     around = materialise(contexts(texts, marked, rule), "word-contexts")
     n = partitions(texts.sparkSession)
     small, large = prefix_groups(around, group)
     found = solve_groups(small.repartition(n, "grp").sortWithinPartitions("grp"), length)
-    apart = windows_apart(large, rule).repartition(n, "h").sortWithinPartitions("h", "t", "rid", "place")
-    again = anchors.compared(apart, rule).unionByName(marked).filter(F.col("kind") == anchors.INTERVAL)
-    return again.select("rid", "first", "last").unionByName(found)
+    apart = twins(windows_apart(large, rule).repartition(n, "k1").sortWithinPartitions("k1", "k2"), length)
+    return marked.filter(F.col("kind") == anchors.INTERVAL).select(*FOUND_NAMES).unionByName(found).unionByName(apart)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -242,22 +309,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 _BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def brute(docs: list[tuple], length: int = LENGTH) -> list[tuple]:
-    """(id, words, removed, kept digest) by definition, for tests; ids must be unique."""
-    table: dict[tuple, int] = {}
-    split = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
-    for w in split.values():
-        for i in range(len(w) - length + 1):
-            table[tuple(w[i : i + length])] = table.get(tuple(w[i : i + length]), 0) + 1
-    out = []
-    for d, _ in docs:
-        w = split[d]
-        gone = set()
-        for i in range(len(w) - length + 1):
-            if table[tuple(w[i : i + length])] > 1:
-                gone.update(range(i, i + length))
-        left = [x for i, x in enumerate(w) if i not in gone]
-        out.append((d, len(w), len(gone), hashlib.sha256(" ".join(left).encode()).hexdigest()))
-    return out

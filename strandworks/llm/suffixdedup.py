@@ -42,26 +42,23 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 CONTEXT = "rid long, first long, dist long, n long, context binary"
+CONTEXT_NAMES = [x.split()[0] for x in CONTEXT.split(", ")]
 
 
 def contexts(docs: DataFrame, marked: DataFrame, rule: anchors.Rule) -> DataFrame:
     """Each edge with the bytes of all its strings."""
-    names, kinds = zip(*(x.split() for x in CONTEXT.split(", ")), strict=True)
-    types = [pa.binary() if k == "binary" else pa.int64() for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rid, text, edges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for e in edges:
-                    a, b = e["first"], e["last"]
-                    rows.append((rid, a, e["dist"], b - a + 1, data[a : b + rule.length]))
-                    if len(rows) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+            rids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, off = utf8(batch.column(1))
+            row, first, last, dist = anchors.edge_arrays(batch.column(2))
+            start, end = off[row] + first, off[row] + last + rule.length
+            for i in range(0, len(row), 20_000):
+                part = slice(i, i + 20_000)
+                body = [data[a:b].tobytes() for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)]
+                cols = [rids[row[part]], first[part], dist[part], last[part] - first[part] + 1]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(body, pa.binary())], CONTEXT_NAMES)
 
     j = docs.join(anchors.edges_by_text(marked), F.col("rid") == F.col("e_rid"))
     return j.select("rid", "text", "edges").mapInArrow(run, CONTEXT)
@@ -183,7 +180,7 @@ def sort_buckets(ordered: DataFrame, rule: anchors.Rule) -> DataFrame:
         if n:
             yield from solved(pa.Table.from_batches(held), True)
 
-    return ordered.select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(run, SORTED)
+    return ordered.select(*CONTEXT_NAMES).mapInArrow(run, SORTED)
 
 
 def across_boundaries(found: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+from unittest import mock
 
+import brute_force
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -23,11 +25,12 @@ def corpus(seed, n=80):
 
 
 def test_against_brute_force(spark):
-    for seed, group in ((1, substrings.GROUP), (2, 4)):
+    for seed, group, windows, at_once in ((1, substrings.GROUP, substrings.HELD_WINDOWS, anchors.HELD), (2, 4, 3, 4), (3, 30, 50, 1)):
         docs = corpus(seed)
         df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("n", F.lit(1)).repartition(4)
-        got = substrings.dedup(df, group=group).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
-        assert sorted(map(tuple, got)) == sorted(substrings.brute(docs))
+        with mock.patch.object(substrings, "HELD_WINDOWS", windows), mock.patch.object(anchors, "HELD", at_once):
+            got = substrings.dedup(df, group=group).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_force.repeated_words(docs))
 
 
 def test_repeated_and_null_ids_and_empty_table(spark):
@@ -42,15 +45,14 @@ def test_repeated_and_null_ids_and_empty_table(spark):
 def test_deep_nodes_are_those_of_the_suffix_tree():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2, (200, 7)).astype(np.uint64)
-    _, shared = anchors.multikey_sort(keys)
+    _, shared = anchors.multikey_quicksort(lambda r, c: keys[r, c], 7, np.array([200]))
     for depth in (3, 5, 7):
-        got = set(substrings.deep_nodes(shared, depth))
+        got = set(zip(*(x.tolist() for x in substrings.deep_nodes(shared, depth)), strict=True))
         want = set()
         for a in range(200):
             for b in range(a + 2, 201):
-                least = shared[a + 1 : b].min()
-                if least >= depth and (a == 0 or shared[a] < least) and (b == 200 or shared[b] < least):
-                    want.add((a, b, int(least)))
+                if shared[a + 1 : b].min() >= depth and (a == 0 or shared[a] < depth) and (b == 200 or shared[b] < depth):
+                    want.add((a, b))
         assert got == want
 
 
@@ -63,11 +65,29 @@ def test_a_common_passage_among_different_neighbours_is_dealt_out(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     rule = anchors.Rule(substrings.LENGTH, substrings.GRAM, "any")
     texts = df.withColumnRenamed("doc_id", "rid")
-    around = substrings.contexts(texts, anchors.marks(texts, rule, substrings.encode, "test-runs"), rule).cache()
+    around = substrings.contexts(texts, anchors.marks(texts, rule, substrings.encode, lambda c: substrings.grams(c, substrings.GRAM), True, "test-runs"), rule).cache()
     small, large = substrings.prefix_groups(around, 20)
-    assert small.count() + large.count() == around.count() and large.count() > 200
+    assert small.count() + large.count() == around.count() and large.count() > 100
     assert not small.groupBy("grp").count().filter("count > 20").count()
     apart = substrings.windows_apart(large, rule)
-    assert apart.filter(F.col("flag") != anchors.DONE).groupBy("h").count().agg(F.max("count")).first()[0] <= apart.rdd.getNumPartitions()
+    assert apart.filter("not done").groupBy("k1", "k2").count().agg(F.max("count")).first()[0] <= apart.rdd.getNumPartitions()
     got = substrings.dedup(df, group=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
-    assert sorted(map(tuple, got)) == sorted(substrings.brute(docs))
+    assert sorted(map(tuple, got)) == sorted(brute_force.repeated_words(docs))
+
+
+def test_words_of_one_polynomial_hash_differ_and_long_texts_are_cut(spark):
+    """Two words that collide under any polynomial modulo 2**64, and texts of several stretches."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    plain = [f"p{i}" for i in range(40)]
+    docs = [(0, " ".join([*plain[:17], word, *plain[18:35]])), (1, " ".join([*plain[:17], other, *plain[18:35]]))]
+    docs += [(2, " ".join(long)), (3, "\n".join(long[500:1500] + ["x"] + long[2000:2034])), (4, "q" * 5000 + " " + " ".join(long[2500:2600]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for chunk in (anchors.CHUNK, 512):
+        with mock.patch.object(anchors, "CHUNK", chunk):
+            got = substrings.dedup(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_force.repeated_words(docs))
