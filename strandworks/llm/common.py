@@ -11,12 +11,12 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Shuffle files of a finished write are of no use to later jobs.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,12 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for scratch tables; a temporary one only if the session names none."""
+    """The shared folder for scratch tables. A temporary one only in local mode, where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="strandworks-")
         spark.sparkContext.setCheckpointDir(base)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -76,39 +78,42 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     )
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> tuple[DataFrame, DataFrame]:
+class Keyed(NamedTuple):
+    rows: DataFrame  # doc_id, text, rid
+    texts: DataFrame  # rid, text, once for each rid
+    plain: bool  # whether rids are the ids
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> Keyed:
     """``doc_id, text, rid``, and ``rid, text`` once for each rid. A rid is unique per distinct (doc_id, text) and ordered as doc_id is.
 
     Normally ids are unique and rid is the id itself. If an id is null or repeated, distinct
-    (doc_id, text) pairs are numbered in order (null ids last, then by a 128-bit text digest);
-    fully repeated rows are one document and share a rid.
+    (doc_id, text) pairs are numbered in order (null ids last, then by a 128-bit text digest):
+    range partitions are sorted, counted, and numbered on from the counts before them. Fully repeated
+    rows are one document and share a rid.
     """
     slim = narrow(docs, id_col, text_col, keep_row)
-    seen = slim.agg(
-        F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.max("doc_id").alias("top")
-    ).first()
+    seen = slim.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids")).first()
     repeated = seen["ids"] < seen["n"] or bool(
         slim.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     )
     if not repeated:
         rows = slim.withColumn("rid", F.col("doc_id"))
-        return rows, rows.select("rid", "text")
+        return Keyed(rows, rows.select("rid", "text"), True)
     marked = slim.withColumn("digest", F.md5(F.col("text").cast("binary")))
-    pairs = marked.select("doc_id", "digest").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
-    numbered = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(
-        T.StructType(
-            [T.StructField("k_id", T.LongType()), T.StructField("k_digest", T.StringType()), T.StructField("rid", T.LongType())]
-        )
-    )
-    numbered = materialise(numbered, "rids")
+    pairs = marked.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")).distinct()
+    order = [F.col("k_id").asc_nulls_last(), F.col("k_digest")]
+    placed = materialise(pairs.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "rid-ranges")
+    # the counts are one row per partition, which bounds what is broadcast
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    placed = placed.join(F.broadcast(base), "part")
+    numbered = materialise(placed.select("k_id", "k_digest", (within + F.col("base")).cast("long").alias("rid")), "rids")
     rows = marked.join(
         numbered, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
     ).drop("k_id", "k_digest", "digest")
-    return rows, rows.select("rid", "text").dropDuplicates(["rid"])
-
-
-def sha256_hex(col: Column) -> Column:
-    return F.sha2(col.cast("binary"), 256)
+    return Keyed(rows, rows.select("rid", "text").dropDuplicates(["rid"]), False)
 
 
 #: Rows of a few numbers each that may be broadcast: 64 MB at the most.

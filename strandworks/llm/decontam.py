@@ -267,7 +267,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     if following is None:
         rows = narrow(docs, id_col, text_col, keep_row=True).withColumn("digest", F.lit(""))
         return judged(scan(rows, Block(first))).filter(~F.col("contaminated")).select("_row.*")
-    rows, texts = keyed(docs, id_col, text_col, keep_row=True)
+    rows, texts, _ = keyed(docs, id_col, text_col, keep_row=True)
     bad = contamination(texts, benchmark, "rid", "text", item_col, item_text_col, block_words).filter("contaminated")
     return rows.join(bad.select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("_row.*")
 

@@ -10,13 +10,17 @@ linked if the Jaccard similarity of their sets is ``THRESHOLD`` or more.
    (1 - 0.8**6)**42, about 3e-6, and with less above it.
 3. Candidates are compared ``STEP`` MinHash values at a time. After each step the posterior
    probability that the similarity reaches the threshold, given the matches so far and a uniform
-   prior, decides: below ``TOLERANCE`` the pair is dropped.
-4. What survives is joined into components of candidates. Within a component each surviving pair is
-   verified exactly on its shingle sets.
-
-No pair is ever a row. Band groups and components are cut into blocks of ``BLOCK`` classes; a task
-holds two blocks, compares them in memory, and returns link counts and a spanning forest. A band
-group or component of g classes is sent g / BLOCK times over, one of fewer than BLOCK only once.
+   prior, decides: below ``TOLERANCE`` the pair is dropped. Over all steps a pair at the threshold is
+   lost with probability 1e-6 (``pruning_loss``).
+4. What survives is joined into components of candidates. Within a component each pair whose set sizes
+   allow the threshold is verified exactly on its shingle sets. Shingles are compared by 128 bits, two
+   independent hashes of words that are told apart by themselves (``common.word_keys``).
+
+No pair is ever a row. Band groups and components are cut into blocks; a task holds two blocks,
+compares them in memory, and returns link counts and a spanning forest. What travels to be verified is
+the packed set of a class (16 bytes a shingle), and a component of g classes is sent g / VERIFY_BLOCK times over;
+one of fewer than VERIFY_BLOCK classes and BLOCK_SHINGLES shingles only once. The number of links of g texts
+that are all alike takes g * g / 2 comparisons in any case.
 
 Results: per document its class (the least id that it is linked to, over any number of links) and
 its number of links: the other documents of similarity at the threshold or above, copies included.
@@ -35,14 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import LOWER, PLAIN_WORD, U64, groups_of, keyed, materialise, mix, parted, partitions, utf8, word_hashes, words_of
+from strandworks.llm.common import LOWER, PLAIN_WORD, U64, folded, groups_of, keyed, materialise, mix, parted, partitions, utf8, word_keys, words_of
 from strandworks.llm.decontam import grams
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, ROWS, STEP = 252, 6, 21
-TOLERANCE = 1e-5
-BLOCK = 1024
+TOLERANCE = 1e-7
+BLOCK, VERIFY_BLOCK = 1024, 4096
 #: Shingles of one block at most, on average: long texts make more blocks.
 BLOCK_SHINGLES = 2_000_000
 CHUNK = 1 << 20
@@ -54,26 +58,28 @@ _B = mix(np.arange(1001, HASHES + 1001, dtype=U64) * U64(0x9E3779B97F4A7C15)).as
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, one after the other, and their offsets."""
+    """Sorted distinct shingles (rows of two hashes) of each text, one after the other, and their offsets."""
     text, off = parted(data, offsets)
     text = LOWER[text]
     starts, ends = words_of(text, PLAIN_WORD)
-    h = word_hashes(text, starts, ends)
+    lo, hi = word_keys(text, starts, ends)
+    both = folded(lo, hi, 1), folded(hi, lo, 2)
     first = np.searchsorted(starts, off)
-    g = grams(h, size)
+    g = np.stack([grams(h, size) for h in both], 1)
     sets = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            s = np.sort(g[a : b - size + 1])
-            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            s = g[a : b - size + 1]
+            s = s[np.argsort(s[:, 0], kind="stable")]
+            sets.append(s[np.concatenate([[True], (s[1:] != s[:-1]).any(1)])])
         else:
-            sets.append(grams(h[a:b], b - a)[:1] if b > a else np.zeros(0, U64))
-    return (np.concatenate(sets) if sets else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+            sets.append(np.stack([grams(h[a:b], b - a)[:1] for h in both], 1) if b > a else np.zeros((0, 2), U64))
+    return (np.concatenate(sets) if sets else np.zeros((0, 2), U64)), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values (uint32) of one set, by multiply-add hashing of folded and mixed shingles."""
-    x = mix(shingles)
+    x = mix(shingles[:, 0])
     x = (x ^ (x >> U64(32))).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     with np.errstate(over="ignore"):
@@ -117,6 +123,18 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return tuple(out)
 
 
+def pruning_loss(similarity: float) -> float:
+    """The probability that a pair of this similarity is dropped after one of the steps."""
+    p = similarity + (1 - similarity) * CHANCE
+    step = np.array([math.comb(STEP, k) * p**k * (1 - p) ** (STEP - k) for k in range(STEP + 1)])
+    going, lost = np.ones(1), 0.0
+    for least in least_matches():
+        going = np.convolve(going, step)
+        lost += float(going[:least].sum())
+        going[:least] = 0
+    return lost
+
+
 def survivors(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which of the other signatures (rows of bytes) are not dropped against ``one``, step by step."""
     at = np.arange(len(others))
@@ -269,16 +287,18 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for table in stream_groups(batches, ["comp", "i", "j"]):
             cuts = cuts_of(table, ["comp", "i", "j"])
             rid, side, cell_i, cell_j, weight = (table.column(c).to_numpy() for c in ("rid", "side", "i", "j", "weight"))
-            low = np.frombuffer(utf8(table.column("low"))[0], np.uint8).reshape(len(table), HASHES)
-            data, off = utf8(table.column("text"))
+            packed, off = utf8(table.column("packed"))
+            packed, off = packed.view(U64).reshape(-1, 2), off // 16
             rows: list[tuple] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b - a < 2:
                     continue
-                values, cut = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                uniq, codes = np.unique(values, return_inverse=True)
+                values, cut = packed[off[a] : off[b]], off[a : b + 1] - off[a]
+                by = np.lexsort((values[:, 1], values[:, 0]))
+                codes = np.zeros(len(by), np.int64)
+                codes[by[1:]] = np.cumsum((values[by][1:] != values[by][:-1]).any(1))
                 size = np.diff(cut)
-                flags = np.zeros(len(uniq), bool)
+                flags = np.zeros(len(by), bool)
                 links, forest = np.zeros(b - a, np.int64), Forest(b - a)
                 same_block = cell_i[a] == cell_j[a]
                 near = np.arange(b - a) if same_block else np.flatnonzero(side[a:b] == 0)
@@ -287,7 +307,6 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     others = np.arange(x + 1, b - a) if far is None else far
                     if not len(others):
                         continue
-                    others = others[survivors(low[a + x], low[a + others])]
                     others = others[(size[others] >= threshold * size[x] - 1e-9) & (size[x] >= threshold * size[others] - 1e-9)]
                     if not len(others):
                         continue
@@ -307,22 +326,37 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rid", "links", "other"])
 
-    return grouped.select("comp", "i", "j", "side", "rid", "weight", "low", "text").mapInArrow(run, VERIFIED)
+    return grouped.select("comp", "i", "j", "side", "rid", "weight", "packed").mapInArrow(run, VERIFIED)
+
+
+def packed_sets(members: DataFrame) -> DataFrame:
+    """The members with their sets, ``packed``, in place of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = utf8(batch.column(2))
+            for a, b in groups_of(off, CHUNK):
+                values, cut = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                sets = pa.array([values[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(batch.column(i).slice(a, b - a) for i in (3, 4)), sets], ["rid", "comp", "weight", "blocks", "packed"])
+
+    return members.select("rid", "comp", "text", "weight", "blocks").mapInArrow(run, "rid long, comp long, weight long, blocks long, packed binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``v, comp``: the least vertex of each vertex's component, for the vertices of ``edges`` (a, b).
 
     Alternates two steps until nothing changes: every vertex hangs its larger neighbours, then
-    its smaller ones, on its least neighbour. Minima are partial sums and joins, so that a vertex
-    with very many neighbours is nowhere collected. Each round is written to the shared folder.
+    its smaller ones, on its least neighbour. Minima are partial sums, written before they are joined, so
+    that Spark can split the edges of a vertex with very many neighbours. Each round is written to the shared folder.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct(), name)
     while True:
         both = now.union(now.select("lo", "hi")).toDF("v", "w")
-        least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("m", "v").alias("m"))
+        least = materialise(both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("m", "v").alias("m")), name)
         large = both.join(least, "v").filter("w > v").select(F.col("w").alias("hi"), F.col("m").alias("lo")).filter("hi > lo").distinct()
-        under = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = materialise(large, name)
+        under = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), name)
         hung = large.join(under, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = materialise(hung.union(under.toDF("hi", "lo")).filter("hi > lo").distinct(), name)
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
@@ -335,9 +369,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 # --- the join ------------------------------------------------------------------------------------
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, keep_row: bool = False) -> DataFrame:
-    """``doc_id, rid, class_rid, n_links`` of every row (and ``_row``, if asked for)."""
-    rows, texts = keyed(docs, id_col, text_col, keep_row)
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, keep_row: bool = False) -> tuple[DataFrame, bool]:
+    """``doc_id, rid, class_rid, n_links`` of every row (and ``_row``, if asked for); and whether rids are the ids."""
+    rows, texts, plain = keyed(docs, id_col, text_col, keep_row)
     deal = lambda df, *keys: df.repartition(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
     described = materialise(signed(texts), "signatures")
     worded = described.filter("n_shingles > 0")
@@ -346,19 +380,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     # candidates: classes that share a band, compared step by step
     banded = reps.select("rid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialise(banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "shared-bands")
     meeting = materialise(banded.join(shared, "band"), "bands")
     carried = meeting.join(worded.select("rid", "low"), "rid")
     edges = candidate_edges(deal(in_blocks(carried, F.ceil(F.col("size") / block)), "band", "i", "j"))
     comps = components(edges, "candidates")
 
     # components of survivors, verified exactly
-    in_comp = materialise(
-        comps.join(reps.select("rid", "weight", "n_shingles", "low"), F.col("v") == F.col("rid")).select("rid", "comp", "weight", "n_shingles", "low"), "members"
-    )
-    sizes = in_comp.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    with_text = in_comp.join(sizes, "comp").join(texts, "rid")
-    checked = materialise(verified(deal(in_blocks(with_text, F.col("blocks")), "comp", "i", "j"), threshold), "links")
+    in_comp = materialise(comps.join(reps.select("rid", "weight", "n_shingles"), F.col("v") == F.col("rid")).select("rid", "comp", "weight", "n_shingles"), "members")
+    n_blocks = F.greatest(F.ceil(F.count("*") / (VERIFY_BLOCK * block // BLOCK or 1)), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = materialise(in_comp.groupBy("comp").agg(n_blocks.cast("long").alias("blocks")), "component-sizes")
+    with_sets = packed_sets(in_comp.join(sizes, "comp").join(texts, "rid"))
+    checked = materialise(verified(deal(in_blocks(with_sets, F.col("blocks")), "comp", "i", "j"), threshold), "links")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links")).filter("links is not null")
     joined = components(checked.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b")), "true")
 
@@ -373,45 +406,21 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         F.when(F.col("n_shingles") > 0, F.col("class_rid")).otherwise(F.col("rid")).alias("class_rid"),
         F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
-    return rows.drop("text").join(per_text, F.col("rid") == F.col("p_rid")).drop("p_rid")
+    return rows.drop("text").join(per_text, F.col("rid") == F.col("p_rid")).drop("p_rid"), plain
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``doc_id, class_id, n_links`` of every document."""
-    out = linked(docs, id_col, text_col, threshold, block)
+    out, plain = linked(docs, id_col, text_col, threshold, block)
+    if plain:
+        return out.select("doc_id", F.col("class_rid").alias("class_id"), "n_links")
+    out = materialise(out, "classes")
     names = out.groupBy(F.col("rid").alias("c_rid")).agg(F.min("doc_id").alias("class_id"))
+    names = materialise(names, "names")
     return out.join(names, F.col("class_rid") == F.col("c_rid")).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The first document (by id) of each class, in the columns that came in; texts without words all stay."""
-    kept = linked(docs, id_col, text_col, threshold, keep_row=True).filter(F.col("rid") == F.col("class_rid"))
+    kept = linked(docs, id_col, text_col, threshold, keep_row=True)[0].filter(F.col("rid") == F.col("class_rid"))
     return kept.dropDuplicates(["rid"]).select("_row.*")
-
-
-def brute(docs: list[tuple], threshold: float = THRESHOLD) -> list[tuple]:
-    """(id, class, links) by comparing all pairs, for tests; ids must be unique."""
-    import re
-
-    sets = {}
-    for d, text in docs:
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        n = min(SHINGLE, len(w))
-        sets[d] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
-    ids = sorted(sets)
-    up, links = {d: d for d in ids}, dict.fromkeys(ids, 0)
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and both >= threshold * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
-                links[a] += 1
-                links[b] += 1
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    return [(d, root(d), links[d]) for d, _ in docs]

@@ -55,7 +55,7 @@ def later_windows(found: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_row: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_text`` per row; with ``keep_row`` also the row that came in, as ``_row``."""
-    rows, texts = keyed(docs, id_col, text_col, keep_row)
+    rows, texts, _ = keyed(docs, id_col, text_col, keep_row)
     found = materialise(windows(texts, window), "windows")
     covered = (
         later_windows(found)

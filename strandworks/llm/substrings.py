@@ -285,7 +285,7 @@ def repeated_words(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every document, kept being the words that stay, one space apart."""
-    rows, texts = keyed(docs, id_col, text_col)
+    rows, texts, _ = keyed(docs, id_col, text_col)
     spans = anchors.intervals_by_text(repeated_words(texts, length, group))
     joined = rows.join(spans, F.col("rid") == F.col("i_rid"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
 

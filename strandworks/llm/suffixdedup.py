@@ -216,7 +216,7 @@ def union_of(spans: list[dict]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary`` of every document."""
-    rows, texts = keyed(docs, id_col, text_col)
+    rows, texts, _ = keyed(docs, id_col, text_col)
     spans = anchors.intervals_by_text(repeated_spans(texts, length, gram))
     joined = rows.join(spans, F.col("rid") == F.col("i_rid"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
 
