@@ -8,10 +8,12 @@ partition's token stream is cut into sequences of ``SEQUENCE`` tokens. What is l
 end is cut at powers of two, so no sequence needs padding.
 
 Token ids come from the tokenizer, word by word: its normaliser and splitter never join what
-white space parts, so a bounded cache of words (by 64-bit hash) gives the same ids as whole texts.
+white space parts, so a bounded cache of words gives the same ids as whole texts. A hash finds a
+word's place in the cache; a word is taken from there only if it is the same by its key (``common.word_keys``).
+Long texts are coded in stretches that are cut at spaces.
 
 Defined results: a null or empty text is the end token alone; equal ids and repeated rows are
-packed one by one; a null id sorts first; other columns are ignored.
+packed one by one, parted by their place in the input, so that they spread over tasks too; a null id sorts first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import LOWER, U64, groups_of, materialise, mix, narrow, parted, partitions, utf8, word_hashes
+from strandworks.llm.common import LOWER, U64, folded, groups_of, materialise, mix, narrow, parted, partitions, session_conf, utf8, word_keys
 
 SEQUENCE = 4096
 END = 2
@@ -37,7 +39,9 @@ BITS = 16
 #: Words whose ids a worker remembers (a power of two), and bytes of text coded at a time.
 CACHE_SLOTS, CHUNK = 1 << 21, 1 << 20
 #: Tokens of one row. Longer documents travel in several, so that ranges of rows are ranges of tokens too.
-SHARD = 4096
+SHARD = 1024
+#: Rows of each partition that the splitters are taken from (Spark takes a million in all at most).
+SAMPLED_ROWS = 1000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,7 +72,7 @@ BYTE_CHARS = byte_chars()
 
 
 class WordIds:
-    """Token ids of texts, through a bounded cache of words by hash; one per worker process.
+    """Token ids of texts, through a bounded cache of words; one per worker process.
 
     Words are stretches that the tokenizer codes alone: what white space parts, with a lone stop or
     comma behind a letter as a word of its own. Words of ASCII alone are lower-cased first, as the
@@ -86,12 +90,12 @@ class WordIds:
         #: Whether words may be coded one by one, and letters by the model alone.
         self.by_word = form["normalizer"] == NORMALIZER and form["pre_tokenizer"] == PRE_TOKENIZER
         self.model = self.tokenizer.model
-        self.keys = np.zeros(CACHE_SLOTS, U64)
+        self.lo, self.hi = np.zeros(CACHE_SLOTS, U64), np.zeros(CACHE_SLOTS, U64)  # no word's key is 0
         self.entry = np.zeros(CACHE_SLOTS, np.int64)
         self.reset()
 
     def reset(self) -> None:
-        self.keys[:] = 0
+        self.hi[:] = 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.n, self.filled = np.zeros(1 << 18, np.uint32), 0, 0
 
@@ -139,17 +143,21 @@ class WordIds:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         text = lowered(text, starts, ends)
-        h = word_hashes(text, starts, ends) | U64(1)
-        slot = (h >> U64(40)).astype(np.int64) & (CACHE_SLOTS - 1)
+        lo, hi = word_keys(text, starts, ends)
+        slot = (folded(lo, hi) >> U64(40)).astype(np.int64) & (CACHE_SLOTS - 1)
         entry = self.entry[slot]
-        missed = np.flatnonzero(self.keys[slot] != h)
+        missed = np.flatnonzero((self.lo[slot] != lo) | (self.hi[slot] != hi))
         if len(missed):
-            _, at, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            at = missed[at]
+            by = missed[np.lexsort((hi[missed], lo[missed]))]
+            new_word = np.concatenate([[True], (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])])
+            at = by[new_word]
             words = [text[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             new = self.learn(words) + np.arange(len(at))
-            entry[missed] = new[back]
-            self.keys[slot[at]], self.entry[slot[at]] = h[at], new
+            entry[by] = new[np.cumsum(new_word) - 1]
+            # two new words of one slot: the later one stays, whole
+            put = np.unique(slot[at][::-1], return_index=True)[1]
+            at, new = at[::-1][put], new[::-1][put]
+            self.lo[slot[at]], self.hi[slot[at]], self.entry[slot[at]] = lo[at], hi[at], new
         size = self.length[entry]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[entry] - total[:-1], size) + np.arange(total[-1])]
@@ -166,11 +174,29 @@ class WordIds:
                 whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in column.slice(a, b - a).to_pylist()]
                 out += [np.array([*ids, END], np.uint32) for ids in whole]
                 continue
+            if len(part) > 2 * CHUNK:  # one long text
+                cuts = spaced_cuts(part, CHUNK)
+                ids = [self.chunk(part[i:j], np.array([0, j - i]))[0] for i, j in zip(cuts, cuts[1:], strict=False)]
+                out.append(np.concatenate([*ids, end]))
+                continue
             ids, place = self.chunk(part, off[a : b + 1] - off[a])
             out += [np.concatenate([ids[i:j], end]) for i, j in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
         return out
 
 
+def spaced_cuts(data: np.ndarray, size: int) -> list[int]:
+    """Cut bytes about every ``size`` at a space; where there is none, the stretch goes on."""
+    cuts = [0]
+    while len(data) - cuts[-1] > 2 * size:
+        at = cuts[-1] + size
+        while at < len(data) and not (near := np.flatnonzero(data[at : at + size] == 0x20)).size:
+            at += size
+        if at >= len(data):
+            break
+        cuts.append(at + int(near[0]))
+    return [*cuts, len(data)]
+
+
 def lowered(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes with A-Z lower-cased, but for words that hold a byte beyond ASCII."""
     out = LOWER[text]
@@ -249,9 +275,15 @@ def curve_key(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, key, n_tokens, shard, ids``: ids as uint16 or uint32 bytes, long documents in several shards."""
+    """``doc_id, key, n_tokens, row, shard, ids``: ids as uint16 or uint32 bytes, long documents in several shards.
+
+    ``row`` tells documents of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         words, matrix = coder(path), projection()
         small = words.tokenizer.get_vocab_size() <= 1 << 16
         for whole in batches:
@@ -261,13 +293,14 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 keys = curve_key(ids, matrix)
                 rows = []
                 for doc, key, a in zip(batch.column(0).to_pylist(), keys.tolist(), ids, strict=True):
+                    row += 1
                     for s in range(0, len(a), SHARD):
-                        rows.append((doc, key, len(a), s // SHARD, a[s : s + SHARD].astype("<u2" if small else "<u4").tobytes()))
-                names = ["doc_id", "key", "n_tokens", "shard", "ids"]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                        rows.append((doc, key, len(a), row, s // SHARD, a[s : s + SHARD].astype("<u2" if small else "<u4").tobytes()))
+                names = ["doc_id", "key", "n_tokens", "row", "shard", "ids"]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_tokens long, shard int, ids binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n_tokens long, row long, shard int, ids binary")
 
 
 def tail_cuts(n: int) -> list[int]:
@@ -335,14 +368,15 @@ def pack_sorted(rows: DataFrame, wide: bool) -> DataFrame:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
-    The tokens are written once, so that sampling the splitters doesn't tokenise again.
+    The tokens are written once, so that sampling the splitters doesn't tokenise again. Rows hold up to
+    ``SHARD`` tokens and splitters come from a large sample, so ranges hold about equal numbers of tokens.
     """
     from tokenizers import Tokenizer
 
     path = path or tokenizer_path()
     wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
     coded = materialise(tokenised(narrow(docs, id_col, text_col), path), "tokens")
-    # repeated rows of one id are told apart by length only; their shards stay in order all the same
-    order = [F.col("key"), F.col("doc_id"), F.col("n_tokens"), F.col("shard")]
-    spread = coded.repartitionByRange(partitions(docs.sparkSession), "key", "doc_id", "shard")
-    return pack_sorted(spread.sortWithinPartitions(*order), wide)
+    order = [F.col("key"), F.col("doc_id"), F.col("row"), F.col("shard")]
+    spread = coded.repartitionByRange(partitions(docs.sparkSession), *order)
+    with session_conf(docs.sparkSession, {"spark.sql.execution.rangeExchange.sampleSizePerPartition": str(SAMPLED_ROWS)}):
+        return materialise(pack_sorted(spread.sortWithinPartitions(*order), wide), "pieces")

@@ -86,3 +86,28 @@ def test_capitals_with_marks_that_compose_in_lower_case_only():
     got = coder.rows(pa.array(texts))
     want = [coder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert [g.tolist() for g in got] == want
+
+
+def test_words_of_one_polynomial_hash_and_long_texts():
+    """Two words that collide under any polynomial modulo 2**64 have ids of their own; a long text is cut at spaces."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    coder = packing.WordIds(packing.tokenizer_path())
+    old, packing.CHUNK = packing.CHUNK, 64
+    try:
+        texts = [f"x {word}", f"x {other}", " ".join(f"Word{i} don't, É." for i in range(200)), "y" * 1000, "z " + "y" * 1000 + " z " * 100]
+        got = coder.rows(pa.array(texts))
+    finally:
+        packing.CHUNK = old
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [g.tolist() for g in got] == want
+
+
+def test_rows_of_one_id_and_text_spread(spark):
+    """Rows that agree in id and text tie nowhere: no range holds them all."""
+    df = spark.createDataFrame([(None, "the same words " * 40)] * 400, "doc_id long, text string").repartition(4)
+    pieces = packing.pack(df)
+    parts = pieces.groupBy((F.col("sequence_id") / (1 << 40)).cast("long")).agg(F.sum("length").alias("n")).collect()
+    assert len(parts) > 1 and max(r.n for r in parts) < 0.6 * sum(r.n for r in parts)
