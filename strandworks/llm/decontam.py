@@ -7,22 +7,23 @@ word inside any occurrence of a window is hit.
 Both sides are fingerprinted alike: of every ``WINDOW - K + 1`` consecutive k-gram hashes the
 least is kept, so any shared span of ``WINDOW`` words or more shares a fingerprint. Documents are
 joined to the fingerprints of the test items, and each match is extended: the windows that lie
-around it are compared word for word with the items' windows. Items shorter than a window have no
-such guarantee; their whole word sequence is looked up at every place of its length.
+around it are looked up by a hash and then compared word by word with the items' (by word keys, see
+``common.word_keys``). Items shorter than a window have no such guarantee; their whole word sequence is
+looked up at every place of its length.
 
-The test side is cut into blocks of at most ``BLOCK_WORDS`` words, each of which is broadcast (that
-is the size bound); documents are read once per block, and results of several blocks are merged
-by one aggregation. The driver builds, broadcasts and drops one block at a time, and an item longer
-than a block is cut into overlapping pieces. Nothing is shuffled for one block.
+The test side is cut into blocks of at most ``BLOCK_BYTES`` of text (that is the size bound of what is
+broadcast), whose index is a few flat arrays. An item longer than a block is cut into overlapping
+pieces. With several blocks the driver builds, broadcasts, applies and drops one at a time, so its memory
+doesn't grow with the benchmark; documents are read once per block, each block's finds are written, and
+results are merged by one aggregation. Nothing is shuffled for one block.
 
 Defined results: null texts have no words and are never contaminated; an item without words
-matches nothing; items of equal text count one by one; a null item id is named "null"; repeated
-document rows are each judged by themselves; other columns are ignored.
+matches nothing; items of equal text count one by one; a null item id is named "null", and rows of one item id
+are one item; repeated document rows are each judged by themselves; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,23 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandworks.llm.common import LOWER, PLAIN_WORD, U64, groups_of, keyed, mix, narrow, parted, utf8, word_hashes, words_of
+from strandworks.llm.common import LOWER, PLAIN_WORD, U64, folded, groups_of, keyed, materialise, mix, narrow, parted, utf8, word_keys, words_of
 
 WINDOW = 13
 K = 5
-#: Words of benchmark text in one broadcast block (about 32 bytes each in a worker).
-BLOCK_WORDS = 2_000_000
+#: Bytes of benchmark text in one broadcast block; a block takes about ten times as much in a worker.
+BLOCK_BYTES = 8 << 20
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 _M = [int(x) | 1 for x in mix(np.arange(1, 200, dtype=U64))]
 
 
-def grams(words: np.ndarray, k: int) -> np.ndarray:
+def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of each k consecutive word hashes."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    out = np.zeros(n, U64)
+    out = np.full(n, U64(seed))
     with np.errstate(over="ignore"):
         for j in range(k):
             out += words[j : j + n] * U64(_M[j])
@@ -74,41 +75,79 @@ def fingerprint_places(g: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(g == most)
 
 
-def winnow_chunk(data: np.ndarray, offsets: np.ndarray):
-    """Word starts, ends and hashes of a chunk of texts, and the first word of each text."""
-    padded, off = parted(data, offsets)
-    padded = LOWER[padded]
-    starts, ends = words_of(padded, PLAIN_WORD)
-    first = np.searchsorted(starts, off)
-    return padded, starts, ends, word_hashes(padded, starts, ends), first
+class Words:
+    """The words of a chunk of texts: keys, hashes, and the first word of each text."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        text, off = parted(data, offsets)
+        text = LOWER[text]
+        starts, ends = words_of(text, PLAIN_WORD)
+        self.lo, self.hi = word_keys(text, starts, ends)
+        self.h = folded(self.lo, self.hi)
+        self.first = np.searchsorted(starts, off)
+
+
+class Windows:
+    """The distinct windows of one length, by hash: a place where each occurs, and the set of items that have it."""
+
+    def __init__(self, words: Words, at: np.ndarray, item: np.ndarray, n: int):
+        self.n = n
+        seed = 0
+        while True:  # another hash in the case, never seen, that two windows share one
+            h = gram_at(words.h, at, n, seed)
+            o = np.lexsort((item, h))
+            new = np.concatenate([[True], h[o][1:] != h[o][:-1]]) if len(o) else np.zeros(0, bool)
+            group = np.cumsum(new) - 1
+            self.seed, self.h, self.place = seed, h[o][new], at[o][new]
+            if not len(o) or equal_words(words, at[o], words, self.place[group], n).all():
+                break
+            seed += 1
+        # items of each window once; windows of the same items share one set
+        keep = new | np.concatenate([[False], item[o][1:] != item[o][:-1]]) if len(o) else new
+        owners, cut = item[o][keep], np.append(np.flatnonzero(new[keep]), keep.sum())
+        sets: dict[bytes, int] = {}
+        self.owner_set = np.array([sets.setdefault(owners[a:b].tobytes(), len(sets)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.int64)
+        self.owners = [np.frombuffer(x, item.dtype) for x in sets]
+
+
+def gram_at(h: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """A hash of the n words from each place."""
+    out = np.full(len(at), U64(seed))
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out += h[at + j] * U64(_M[j])
+        return mix(out)
+
+
+def equal_words(a: Words, at: np.ndarray, b: Words, bt: np.ndarray, n: int) -> np.ndarray:
+    same = np.ones(len(at), bool)
+    for j in range(n):
+        same &= (a.lo[at + j] == b.lo[bt + j]) & (a.hi[at + j] == b.hi[bt + j])
+    return same
 
 
 class Block:
-    """The windows of some items, indexed for lookup in a task."""
+    """Items, indexed for lookup in a task: flat arrays of fingerprints and windows."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, k: int = K):
+    def __init__(self, names: list[str], texts: list[bytes], window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
-        self.windows: dict[bytes, list[str]] = {}
-        self.by_length: dict[int, set[int]] = {}
-        prints: set[int] = set()
-        for name, words in items:
-            n = min(window, len(words))
-            if not n:
-                continue
-            for i in range(len(words) - n + 1):
-                owners = self.windows.setdefault(b" ".join(words[i : i + n]), [])
-                if not owners or owners[-1] != name:
-                    owners.append(name)
-            joined = np.frombuffer(b" ".join(words), np.uint8)
-            starts, ends = words_of(joined, PLAIN_WORD)
-            h = word_hashes(joined, starts, ends)
+        number: dict[str, int] = {}
+        item = np.array([number.setdefault(x, len(number)) for x in names], np.int32)
+        self.names = list(number)
+        sizes = np.cumsum([0, *map(len, texts)]).astype(np.int64)
+        self.words = w = Words(np.frombuffer(b"".join(texts), np.uint8), sizes)
+        count = np.diff(w.first)
+        self.prints = np.zeros(0, U64)
+        self.by_length: dict[int, Windows] = {}
+        for n in sorted({min(window, c) for c in count.tolist() if c}):
+            mine = np.flatnonzero(np.minimum(count, window) == n)
+            each = count[mine] - n + 1
+            at = np.repeat(w.first[:-1][mine], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            self.by_length[n] = Windows(w, at, np.repeat(item[mine], each), n)
             if n == window:
-                g = grams(h, k)
-                prints.update(g[fingerprint_places(g, window - k + 1)].tolist())
-            else:
-                self.by_length.setdefault(n, set()).update(grams(h, n).tolist())
-        self.prints = np.array(sorted(prints), U64)
-        self.short = {n: np.array(sorted(v), U64) for n, v in self.by_length.items()}
+                g = grams(w.h, k)
+                kept = [a + fingerprint_places(g[a : b - k + 1], window - k + 1) for a, b in zip(w.first[:-1][mine].tolist(), w.first[1:][mine].tolist(), strict=True)]
+                self.prints = np.unique(g[np.concatenate(kept)])
 
 
 def within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -125,95 +164,113 @@ def within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def hits_of_chunk(data: np.ndarray, offsets: np.ndarray, block: Block):
     """Per text: number of words, and (starts, ends, item names) of the occurrences of windows."""
-    text, starts, ends, h, first = winnow_chunk(data, offsets)
-    w, k = block.window, block.k
-    g = grams(h, k)
-    # fingerprints of the document side: those of the chunk as a whole hold those of every text in it,
-    # as each window that counts lies inside one text
-    at = np.zeros(0, np.int64)
-    if len(g) >= w - k + 1:
-        kept = fingerprint_places(g, w - k + 1)
-        at = kept[within(g[kept], block.prints)]
-    spread = np.unique((at[:, None] - np.arange(w - k + 1)[None, :]).ravel())
-    candidates = [(i, w) for i in spread.tolist()]
-    for n, table in block.short.items():
-        candidates += [(i, n) for i in within(grams(h, n), table).tolist()]
-    owner = np.searchsorted(first, [i for i, _ in candidates], "right") - 1 if candidates else []
+    words = Words(data, offsets)
+    first, w, k = words.first, block.window, block.k
     found: dict[int, list] = {}
-    for (i, n), d in zip(candidates, owner, strict=True):
-        if i < first[d] or i + n > first[d + 1]:
+    items: dict[int, list] = {}
+    for n, windows in block.by_length.items():
+        if not len(windows.h):
             continue
-        words = b" ".join(text[a:b].tobytes() for a, b in zip(starts[i : i + n], ends[i : i + n], strict=True))
-        names = block.windows.get(words)
-        if names:
-            a, b, items = found.setdefault(int(d), [[], [], set()])
-            a.append(i - int(first[d]))
-            b.append(i - int(first[d]) + n)
-            items.update(names)
-    return np.diff(first), found
-
-
-def merged(starts: list[int], ends: list[int]) -> int:
-    """How many places the spans cover."""
-    total, reach = 0, -1
-    for a, b in sorted(zip(starts, ends, strict=True)):
-        total += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    return total
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_words: int, window: int = WINDOW) -> Iterator[list]:
-    """The items in blocks of bounded size; a longer item in pieces that have all its windows."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    held, size = [], 0
+        if n == w:
+            # fingerprints of the document side: those of the chunk as a whole hold those of every text in it,
+            # as each window that counts lies inside one text
+            g = grams(words.h, k)
+            if len(g) < w - k + 1:
+                continue
+            kept = fingerprint_places(g, w - k + 1)
+            at = kept[within(g[kept], block.prints)]
+            at = np.unique((at[:, None] - np.arange(w - k + 1)[None, :]).ravel())
+            at = at[(at >= 0) & (at + n <= len(words.h))]
+            at = at[within(gram_at(words.h, at, n, windows.seed), windows.h)]
+        else:
+            at = within(grams(words.h, n, windows.seed), windows.h)
+        owner = np.searchsorted(first, at, "right") - 1
+        inside = at + n <= first[owner + 1]
+        at, owner = at[inside], owner[inside]
+        which = np.searchsorted(windows.h, gram_at(words.h, at, n, windows.seed))
+        same = equal_words(words, at, block.words, windows.place[which], n)
+        at, owner, which = at[same], owner[same], which[same]
+        for d in np.unique(owner).tolist():
+            m = owner == d
+            a, b = found.setdefault(d, [[], []])
+            a += (at[m] - first[d]).tolist()
+            b += (at[m] - first[d] + n).tolist()
+            items.setdefault(d, []).extend(windows.owners[x] for x in np.unique(windows.owner_set[which[m]]).tolist())
+    named = {d: (*x, [block.names[i] for i in np.unique(np.concatenate(items[d])).tolist()]) for d, x in found.items()}
+    return np.diff(first), named
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, most_bytes: int, window: int = WINDOW) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Names and texts in blocks of bounded size; a longer text in pieces that have all its windows."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    names, texts, size = [], [], 0
     for name, text in rows.toLocalIterator():
-        data = LOWER[np.frombuffer(text.encode(), np.uint8)]
-        words = [data[a:b].tobytes() for a, b in zip(*words_of(data, PLAIN_WORD), strict=True)] if len(data) else []
-        step = max(1, most_words - window + 1)
-        cuts = range(0, len(words) - window + 1, step) if len(words) > max(most_words, window) else (0,)
-        for a in cuts:
-            part = words[a : a + step + window - 1] if len(cuts) > 1 else words
-            held.append((name, part))
-            size += len(part)
-            if size >= most_words:
-                yield held
-                held, size = [], 0
-    if held or size == 0:
-        yield held
-
-
-def scan(docs: DataFrame, block: Block) -> DataFrame:
-    """Each document against one block: its words, spans of occurrences and items found; ``_row`` passes through."""
-    carried = [c for c in docs.columns if c == "_row"]
-    schema = T.StructType(
-        [
-            T.StructField("doc_id", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("n_words", T.LongType()),
-            T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())),
-            *(docs.schema[c] for c in carried),
-        ]
-    )
-    docs = docs.select("doc_id", "text", "digest", *carried)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+        data = text.encode()
+        pieces = [data]
+        if len(data) > most_bytes:
+            starts, ends = words_of(LOWER[np.frombuffer(data, np.uint8)], PLAIN_WORD)
+            pieces, i = [], 0
+            while i < len(starts):
+                j = max(int(np.searchsorted(ends, starts[i] + most_bytes, "right")), min(i + window, len(starts)))
+                pieces.append(data[starts[i] : ends[j - 1]])
+                i = len(starts) if j == len(starts) else max(i + 1, j - window + 1)
+        for piece in pieces:
+            names.append(name)
+            texts.append(piece)
+            size += len(piece)
+            if size >= most_bytes:
+                yield names, texts
+                names, texts, size = [], [], 0
+    if names or size == 0:
+        yield names, texts
+
+
+FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
+
+
+def scan(docs: DataFrame, shared) -> DataFrame:
+    """Each row of ``docs`` (text first, other columns pass through) against one broadcast block."""
+    schema = T.StructType([*(T.StructField(n, t) for n, t in FOUND.items()), *docs.schema.fields[1:]])
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
     names = [f.name for f in schema]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
-            counts, spans = [], {}
+            data, off = utf8(batch.column(0))
+            counts, spans = [np.zeros(0, np.int64)], {}
             for a, b in groups_of(off, CHUNK):
                 n, found = hits_of_chunk(data[off[a] : off[b]], off[a : b + 1] - off[a], shared.value)
                 counts.append(n)
                 spans |= {a + d: x for d, x in found.items()}
-            empty = ((), (), ())
-            cols = zip(*(spans.get(i, empty) for i in range(len(batch))), strict=True)
-            starts, ends, items = ([list(x) for x in c] for c in cols) if len(batch) else ([], [], [])
-            arrays = [batch.column(0), batch.column(2), pa.array(np.concatenate(counts) if counts else [], kinds[2])]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, t) for x, t in zip((starts, ends, items), kinds[3:], strict=True)), *batch.columns[3:]], names)
+            empty = ([], [], [])
+            lists = [[spans.get(i, empty)[c] for i in range(len(batch))] for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(counts), kinds[0]), *(pa.array(x, t) for x, t in zip(lists, kinds[1:], strict=True)), *batch.columns[1:]], names)
 
     return docs.mapInArrow(run, schema)
 
 
+def scanned(docs: DataFrame, keys: list[str], benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int, window: int = WINDOW, k: int = K) -> DataFrame:
+    """``docs`` (text and others) with what each block found.
+
+    For one block the other columns pass through; for several, finds are merged by ``keys``, which must be unique.
+    """
+    sc = docs.sparkSession.sparkContext
+    parts = blocks(benchmark, item_col, item_text_col, block_bytes, window)
+    held, following = next(parts), next(parts, None)
+    if following is None:
+        return scan(docs, sc.broadcast(Block(*held, window, k)))
+    written = []
+    while held is not None:
+        shared = sc.broadcast(Block(*held, window, k))
+        written.append(materialise(scan(docs.select("text", *keys), shared), "block-finds"))
+        shared.destroy()
+        held, following = following, next(parts, None)
+    found = written[0]
+    for other in written[1:]:
+        found = found.unionByName(other.filter(F.size("starts") > 0))
+    return found.groupBy(*keys).agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")))
+
+
 def judged(found: DataFrame) -> DataFrame:
     """The figures of each document, from the spans and items found in it; other columns stay."""
     spans = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
@@ -233,64 +290,32 @@ def judged(found: DataFrame) -> DataFrame:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW, k: int = K,
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, window: int = WINDOW, k: int = K,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the ``spans`` of hit words."""
-    parts = blocks(benchmark, item_col, item_text_col, block_words, window)
-    rows, following = next(parts), next(parts, None)
-    slim = narrow(docs, id_col, text_col).withColumn("digest", F.md5(F.col("text").cast("binary")) if following is not None else F.lit(""))
-    found, n_parts = scan(slim, Block(rows, window, k)), 1
-    while following is not None:
-        found, n_parts = found.unionByName(scan(slim, Block(following, window, k))), n_parts + 1
-        following = next(parts, None)
-    if n_parts > 1:
-        # fully repeated rows have equal spans, so each stands for as many rows as came in
-        found = found.groupBy("doc_id", "digest").agg(
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("starts")).alias("starts"),
-            F.flatten(F.collect_list("ends")).alias("ends"),
-            F.flatten(F.collect_list("items")).alias("items"),
-            (F.count("*") / n_parts).cast("int").alias("copies"),
-        )
-        found = found.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    of = (benchmark, item_col, item_text_col, block_bytes, window, k)
+    if one_block(benchmark, item_text_col, block_bytes):
+        found = scanned(narrow(docs, id_col, text_col).select("text", "doc_id"), [], *of)
+    else:
+        rows, texts, _ = keyed(docs, id_col, text_col)
+        found = rows.select("doc_id", "rid").join(scanned(texts.select("text", "rid"), ["rid"], *of), "rid")
     return judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def one_block(benchmark: DataFrame, text_col: str, block_bytes: int) -> bool:
+    """Whether all texts of the benchmark fit into one block."""
+    return (benchmark.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0) < block_bytes
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that aren't contaminated, in the columns that came in.
 
     With one block of benchmark text the rows pass through the scan and nothing is shuffled; with
     several, contaminated texts are found first and taken out by an anti-join.
     """
-    parts = blocks(benchmark, item_col, item_text_col, block_words)
-    first, following = next(parts), next(parts, None)
-    if following is None:
-        rows = narrow(docs, id_col, text_col, keep_row=True).withColumn("digest", F.lit(""))
-        return judged(scan(rows, Block(first))).filter(~F.col("contaminated")).select("_row.*")
+    if one_block(benchmark, item_text_col, block_bytes):
+        found = scanned(narrow(docs, id_col, text_col, keep_row=True).select("text", "_row"), [], benchmark, item_col, item_text_col, block_bytes)
+        return judged(found).filter(~F.col("contaminated")).select("_row.*")
     rows, texts, _ = keyed(docs, id_col, text_col, keep_row=True)
-    bad = contamination(texts, benchmark, "rid", "text", item_col, item_text_col, block_words).filter("contaminated")
+    bad = contamination(texts, benchmark, "rid", "text", item_col, item_text_col, block_bytes).filter("contaminated")
     return rows.join(bad.select(F.col("doc_id").alias("rid")), "rid", "left_anti").select("_row.*")
-
-
-def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """The same results by definition, for tests."""
-    import re
-
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    split = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    table: dict[tuple, set] = {}
-    for name, text in items:
-        w = split(text)
-        n = min(window, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            table.setdefault(tuple(w[i : i + n]), set()).add("null" if name is None else str(name))
-    lengths, out = {len(x) for x in table}, []
-    for name, text in docs:
-        w, hit, got = split(text), set(), set()
-        for n in lengths:
-            for i in range(len(w) - n + 1):
-                if tuple(w[i : i + n]) in table:
-                    hit.update(range(i, i + n))
-                    got |= table[tuple(w[i : i + n])]
-        out.append((name, len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    return out

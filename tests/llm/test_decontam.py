@@ -1,5 +1,6 @@
 import random
 
+import brute_force
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ def test_against_brute_force_in_one_block_and_in_many(spark):
     docs, items = cases(1)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("items", F.lit("x")).repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(map(str, decontam.brute(docs, items)))
-    for words in (decontam.BLOCK_WORDS, 20):
-        got = decontam.contamination(d, b, block_words=words).select(*COLS).collect()
+    want = sorted(map(str, brute_force.contaminated(docs, items)))
+    for size in (decontam.BLOCK_BYTES, 90):
+        got = decontam.contamination(d, b, block_bytes=size).select(*COLS).collect()
         assert sorted(map(str, map(tuple, got))) == want
 
 
@@ -54,9 +55,9 @@ def test_clean_documents_keep_their_columns(spark):
     docs, items = cases(2)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("digest", F.lit(1)).withColumn("tags", F.array(F.lit("x"))).repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    bad = {(r[0]) for r in decontam.brute(docs, items) if r[5]}
-    for words in (decontam.BLOCK_WORDS, 20):
-        kept = decontam.clean_documents(d, b, block_words=words)
+    bad = {(r[0]) for r in brute_force.contaminated(docs, items) if r[5]}
+    for size in (decontam.BLOCK_BYTES, 90):
+        kept = decontam.clean_documents(d, b, block_bytes=size)
         assert kept.columns == d.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
 
@@ -68,16 +69,28 @@ def test_one_block_at_a_time_and_long_items_in_pieces(spark, monkeypatch):
 
     build = decontam.Block.__init__
 
-    def watched(self, items, *rest):
-        build(self, items, *rest)
+    def watched(self, names, texts, *rest):
+        build(self, names, texts, *rest)
         live.add(self)
-        most.append((len(live), sum(len(w) for _, w in items)))
+        most.append((len(live), sum(map(len, texts))))
 
     items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((90, 5, 14, 200))]
     docs = [(k, "lead " + " ".join(t.split()[a : a + 30])) for k, (_, t) in enumerate(items) for a in (0,)] + [(9, " ".join(items[3][1].split()[17:60])), (10, "none")]
     monkeypatch.setattr(decontam.Block, "__init__", watched)
-    out = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_words=40)
-    assert len(most) > 5 and max(n for n, _ in most) <= 2 and max(w for _, w in most) <= 80
+    out = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), block_bytes=200)
+    assert len(most) > 5 and max(n for n, _ in most) <= 2 and max(n for _, n in most) <= 400
     monkeypatch.undo()
     got = out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
-    assert sorted(map(tuple, got)) == sorted(decontam.brute(docs, items))
+    assert sorted(map(tuple, got)) == sorted(brute_force.contaminated(docs, items))
+
+
+def test_memory_of_a_block_follows_its_bytes():
+    """About ten bytes for a byte of text, however many items have one text."""
+    import pickle
+
+    texts = [" ".join(f"word{i}n{j}" for j in range(60)).encode() for i in range(2000)]
+    block = decontam.Block([str(i) for i in range(2000)], texts)
+    size = sum(map(len, texts))
+    assert len(pickle.dumps(block)) < 12 * size
+    same = decontam.Block([str(i) for i in range(2000)], texts[:1] * 2000)
+    assert len(same.by_length[13].owners) == 1 and len(same.by_length[13].h) == 48
