@@ -2,15 +2,16 @@
 
 Pattern spans (``assign``, ``access``, ``hex``) are leftmost, non-overlapping matches per kind of
 fixed patterns over the whole text; matches that are too short are dropped. The entropy scan looks
-at every maximal run of ``[A-Za-z0-9+/_=-]`` of ``CLASSES``' window length or more: a window slides
-over it, symbol counts are kept up incrementally, and so is the sum of ``c * log2(c)`` that the
-entropy follows from. Windows that reach the threshold of their class are merged into spans. Runs
-that match an allow-list (identifiers, digests by name, data URLs, plain or camel-case words,
-sequences) are suppressed; so are spans that touch a pattern span, as those are reported already.
-Only spans of the entropy scan are ever suppressed.
+at every maximal run of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, less the pattern spans and
+known shapes in it (identifiers, digests by name, placeholders). For each class of ``CLASSES`` a window slides over every stretch of
+the class's own characters, symbol counts are kept up incrementally, and so is the sum of ``c * log2(c)`` that the
+entropy follows from. Windows that reach the threshold of their class are merged into spans, and
+each span, not the run around it, is held against the allow-list: numbers, words and names in words, paths of these.
+So letters of one case alone count as words. Only spans of the entropy scan are ever suppressed.
 
 Defined results: null and empty texts have no spans; places are code points, end exclusive;
-repeated rows are scanned one by one; other columns are ignored.
+repeated rows are scanned one by one; other columns are ignored. The time of a text grows with its length,
+however many spans it has.
 """
 
 from __future__ import annotations
@@ -49,36 +50,37 @@ class CharClass:
 _HEX_CHARS = frozenset("0123456789abcdefABCDEF")
 _BASE36 = frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
 _BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-#: From the narrowest alphabet to the widest; a run is judged by the first that holds all its characters.
 CLASSES = (
     CharClass("hex", _HEX_CHARS, 20, 3.0),
     CharClass("base36", _BASE36, 20, 3.5),
     CharClass("base64", _BASE64, 20, 3.7),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_STRETCHES = [re.compile(f"[{re.escape(''.join(sorted(c.alphabet)))}]{{{c.window},}}") for c in CLASSES]
 
-#: Shapes that look random and are no secrets.
+#: Shapes that look random and are no secrets: they are cut out of a run before it is judged.
+KNOWN = re.compile(
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"  # UUID
+    r"|(?i:example|sample|dummy|placeholder|xxxxx|00000|abcdefgh|12345678)"
+    r"|(?<![A-Za-z0-9])(?:[sS][hH][aA](?:1|224|256|384|512)|[mM][dD]5)[-=_][A-Za-z0-9+/]+={0,2}"  # digests by name
+)
+#: What a span may be, as a whole, without being reported.
 ALLOW = (
-    re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(sha(1|224|256|384|512)|md5)[-=_].*", re.IGNORECASE),  # digests by name
-    re.compile(r"[0-9_=+-]+"),  # numbers and rules
-    re.compile(r"[A-Z]?[a-z]+([_/-][A-Z]?[a-z]+)*[_/-]?"),  # words and paths of words
-    re.compile(r"[a-z]+([A-Z][a-z]+)+|([A-Z][a-z]+)+|[A-Z_-]+"),  # camel case, capitals
-    re.compile(r".*(example|sample|dummy|placeholder|xxxxx|00000|abcdefgh|12345678).*", re.IGNORECASE),
+    re.compile(r"[0-9+/_=-]+"),  # numbers and rules
+    # paths of words: a word is capitals, or small letters in twos behind a capital or none; four digits or fewer end a part
+    re.compile(r"(?:(?:[A-Z]{2,}+|[A-Z]?[a-z]{2,}+)*+[0-9]{0,4}(?:[+/_=-]++|$))*+"),
 )
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
 
 
-def allowed(run: str) -> bool:
-    """Whether a candidate is on the allow-list, or lacks either digits or letters."""
-    return not _DIGIT.search(run) or not _LETTER.search(run) or any(p.fullmatch(run) for p in ALLOW)
+def allowed(span: str) -> bool:
+    """Whether a span of high entropy is on the allow-list."""
+    return any(p.fullmatch(span) for p in ALLOW)
 
 
 def entropy_spans(run: str, cls: CharClass) -> list[tuple[int, int]]:
     """Merged windows of ``run`` whose entropy reaches the class's threshold, in one pass."""
     w = min(cls.window, len(run))
-    xlogx = [0.0, 0.0] + [c * math.log2(c) for c in range(2, w + 1)]
+    xlogx = [0.0, 0.0] + [c * math.log2(c) for c in range(2, w + 2)]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     most = w * (math.log2(w) - cls.least) + 1e-9  # entropy = log2(w) - sum(c log2 c) / w
@@ -99,22 +101,57 @@ def entropy_spans(run: str, cls: CharClass) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def less(start: int, end: int, taken: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """What is left of [start, end) without the intervals ``taken``, which are in order and disjoint."""
+    for a, b in taken:
+        if a > start:
+            yield start, min(a, end)
+        start = max(start, b)
+        if start >= end:
+            return
+    if start < end:
+        yield start, end
+
+
+def union(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Overlapping or touching spans as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def random_spans(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of high entropy in a stretch of a run."""
+    for a, b in less(start, end, [list(m.span()) for m in KNOWN.finditer(text, start, end)]):
+        hot = []
+        for cls, stretch in zip(CLASSES, _STRETCHES, strict=True):
+            for m in stretch.finditer(text, a, b):
+                hot += [(m.start() + x, m.start() + y) for x, y in entropy_spans(m[0], cls)]
+        for x, y in union(hot):
+            if not allowed(text[x:y]):
+                yield x, y
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's index, end) of every span, in order of start and kind."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     base += [(m.start(), 2, m.end()) for m in _LONG_HEX.finditer(text)]
-    more = []
+    taken = union([(a, b) for a, _, b in base])
+    more, k = [], 0
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if allowed(run):
-            continue
-        have = set(run)
-        cls = next(c for c in CLASSES if have <= c.alphabet)
-        for a, b in entropy_spans(run, cls):
-            a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in base):
-                more.append((a, 3, b))
+        # both lists are in order: go on from the last pattern span that this run reaches
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < m.end():
+            j += 1
+        for a, b in less(m.start(), m.end(), taken[k:j]):
+            more += [(x, 3, y) for x, y in random_spans(text, a, b)]
     return sorted(base + more)
 
 
@@ -153,30 +190,3 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.array_join(F.transform("spans", say), ",").alias("spans"),
         of("entropy").alias("n_entropy"),
     )
-
-
-def brute(text: str | None) -> tuple:
-    """The same figures by definition: every window's entropy counted anew. For tests."""
-    text = text or ""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
-    base, marks = sorted(spans), []
-    for m in CANDIDATE.finditer(text):
-        if allowed(m[0]):
-            continue
-        cls = next(c for c in CLASSES if set(m[0]) <= c.alphabet)
-        hot = set()
-        for i in range(len(m[0]) - cls.window + 1):
-            part = m[0][i : i + cls.window]
-            h = -sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part))
-            if h >= cls.least - 1e-12:
-                hot.update(range(i + m.start(), i + m.start() + cls.window))
-        for p in sorted(hot):
-            if marks and marks[-1][1] == p:
-                marks[-1][1] = p + 1
-            else:
-                marks.append([p, p + 1])
-    more = [(a, 3, b) for a, b in marks if not any(s < b and a < e for s, _, e in base)]
-    n = [sum(k == i for _, k, _ in base) for i in range(3)]
-    return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)))

@@ -108,3 +108,124 @@ def without_repeated_lines(docs, window=3):
                 gone.update(i for i, _ in t[p : p + window])
         out.append((d, len(t), len(gone), "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)))
     return out
+
+
+ALNUM = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def stretches(text, chars, least=1):
+    """(start, end) of the maximal runs of some characters."""
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        if end - at >= least and end > at:
+            yield at, end
+        at = max(end, at + 1)
+
+
+def base_secrets(text):
+    """op1: (start, kind, end) of the pattern spans, character by character."""
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            seen = text[i : i + len(word)]
+            if len(seen) == len(word) and seen.isascii() and seen.lower() == word:
+                j = i + len(word)
+                j += j < len(text) and text[j] in "\"'"
+                while j < len(text) and text[j] == " ":
+                    j += 1
+                if j < len(text) and text[j] in ":=":
+                    j += 1
+                    while j < len(text) and text[j] == " ":
+                        j += 1
+                    j += j < len(text) and text[j] in "\"'"
+                    end = j
+                    while end < len(text) and (text[end] in ALNUM or text[end] in "+/_.=-"):
+                        end += 1
+                    if end == j:
+                        end = None
+                break
+        if end is not None:
+            if end - j >= 6:
+                out.append((i, 0, end))
+            i = end
+        else:
+            i += 1
+    i = text.find("AKIA")
+    while i >= 0:
+        end = i + 4
+        while end < len(text) and text[end] in ALNUM and not text[end].islower():
+            end += 1
+        if end - i >= 20:
+            out.append((i, 1, end))
+        i = text.find("AKIA", end if end > i + 4 else i + 1)
+    out += [(a, 2, b) for a, b in stretches(text, set("0123456789abcdef"), 24)]
+    return sorted(out)
+
+
+def wordy(part):
+    """Whether a path's part is made of words: capitals in twos, or small letters in twos behind a capital or none; digits at the end."""
+    n = len(part.rstrip("0123456789"))
+    if len(part) - n > 4:
+        return False
+    i = 0
+    while i < n:
+        j = i
+        while j < n and part[j].isupper():
+            j += 1
+        if j - i >= 2:
+            i = j
+            continue
+        k = j
+        while k < n and part[k].islower():
+            k += 1
+        if k - j < 2:
+            return False
+        i = k
+    return True
+
+
+def secrets(text):
+    """op1: counts by kind, digest of the pattern spans, all spans; every window's entropy counted anew."""
+    text = text or ""
+    base = base_secrets(text)
+    blocked = set()
+    for a, _, b in base:
+        blocked.update(range(a, b))
+    hot = set()
+    for a, b in stretches(text, ALNUM | set("+/_=-"), 20):
+        free = [i in blocked for i in range(a, b)]
+        start = a
+        for end in [*(a + i for i, x in enumerate(free) if x), b]:
+            piece = text[start:end]
+            known = [m.span() for m in KNOWN_SHAPES.finditer(text, start, end)]
+            gone = {i for x, y in known for i in range(x, y)}
+            for least, window, chars in ((3.0, 20, set("0123456789abcdefABCDEF")), (3.5, 20, set("0123456789abcdefghijklmnopqrstuvwxyz")), (3.7, 20, ALNUM | set("+/_=-"))):
+                for i in range(start, start + len(piece) - window + 1):
+                    w = text[i : i + window]
+                    if set(w) <= chars and not gone & set(range(i, i + window)):
+                        h = -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w))
+                        if h >= least - 1e-12:
+                            hot.add((i, i + window))
+            start = end + 1
+    merged = []
+    for a, b in sorted(hot):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    kinds = ("assign", "access", "hex", "entropy")
+    more = [(a, 3, b) for a, b in merged if not all(wordy(x) for x in re.split("[+/_=-]+", text[a:b])) and not set(text[a:b]) <= set("0123456789+/_=-")]
+    say = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+    n = [sum(k == i for _, k, _ in base) for i in range(3)]
+    return (*n, hashlib.sha256(say(base).encode()).hexdigest(), say(sorted(base + more)))
+
+
+_HEX = "[0-9a-fA-F]"
+KNOWN_SHAPES = re.compile(
+    rf"(?<![0-9A-Za-z]){_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}(?![0-9A-Za-z])"
+    r"|(?i:example|sample|dummy|placeholder|xxxxx|00000|abcdefgh|12345678)|(?<![A-Za-z0-9])(?i:sha1|sha224|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/]+={0,2}"
+)
