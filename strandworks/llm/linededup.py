@@ -6,9 +6,10 @@ window. Of all occurrences of a window, in all documents, the first (by id, then
 lines of later occurrences are covered, covered places are merged, and covered lines are removed.
 Lines that don't count are never part of a window and always stay. Windows are judged on the input, not on what is left.
 
-A hash of 128 bits stands for a window. Windows are counted with partial sums before the shuffle,
-so a window that a third of all documents share is one row per task there; only repeated windows
-are joined back, on both sides of a skew-joinable sort-merge join (or broadcast if Spark finds them small).
+A digest of 128 bits stands for a window. Windows are counted with partial sums before the shuffle,
+so a window that a third of all documents share is one row per task there. The repeated ones are
+written, then joined back: both sides of that join are plain exchanges, so Spark can split the
+occurrences of a very common window over tasks (or broadcasts the written table if it is small).
 
 Defined results: null and empty texts have no lines that count and stay as they are; texts of fewer than three counting lines are never changed; where ids are repeated or null,
 see ``common.keyed``: fully repeated rows are one document, and none of them is a later one.
@@ -44,12 +45,8 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def later_windows(found: DataFrame) -> DataFrame:
     """``rid, p`` of every occurrence but the first of each repeated window."""
-    again = (
-        found.groupBy("h")
-        .agg(F.count("*").alias("n"), F.min(F.struct("rid", "p")).alias("first"))
-        .filter("n > 1")
-        .select("h", "first")
-    )
+    counted = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("rid", "p")).alias("first"))
+    again = materialise(counted.filter("n > 1").select("h", "first"), "repeated-windows")
     return found.join(again, "h").filter((F.col("rid") != F.col("first.rid")) | (F.col("p") != F.col("first.p"))).select("rid", "p")
 
 
@@ -82,21 +79,3 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = dedup(docs, id_col, text_col, window, keep_row=True)
     new = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_row")[text_col])
     return out.select(*[(new if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
-
-
-def brute(docs: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """(id, counting lines, removed lines, kept text) by definition, for tests; ids must be unique."""
-    seen, out = {}, []
-    space = " \t\n\x0b\x0c\r"
-    tables = {d: [(i, x.strip(space)) for i, x in enumerate((t or "").split("\n")) if x.strip(space)] for d, t in docs}
-    for d in sorted(tables):
-        t = tables[d]
-        for p in range(len(t) - window + 1):
-            seen.setdefault(tuple(x for _, x in t[p : p + window]), (d, p))
-    for d, text in docs:
-        t, gone = tables[d], set()
-        for p in range(len(t) - window + 1):
-            if seen[tuple(x for _, x in t[p : p + window])] != (d, p):
-                gone.update(i for i, _ in t[p : p + window])
-        out.append((d, len(t), len(gone), "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)))
-    return out
