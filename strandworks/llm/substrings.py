@@ -40,8 +40,8 @@ LENGTH = 35
 GRAM = 8
 #: Leading words that a group's suffixes share; the last is the whole anchor.
 PREFIXES = (1, 2, 4, 8)
-#: Suffixes in one group (about 48 words each), and windows that are sorted at a time.
-GROUP, HELD_WINDOWS = 20_000, 1_000_000
+#: Suffixes in one group (about 48 words each); those that are held, and windows that are sorted, at a time.
+GROUP, HELD_ROWS, HELD_WINDOWS = 2_000, 20_000, 1_000_000
 #: Bytes of text whose words are told apart at a time.
 CHUNK = 1 << 21
 
@@ -257,7 +257,7 @@ def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += len(batch)
-            if n < GROUP:
+            if n < HELD_ROWS:
                 continue
             table = pa.Table.from_batches(held)
             grp = table.column("grp").to_numpy()
