@@ -40,7 +40,7 @@ class Rule:
 
 #: The production table. Ratios are per word or per line with a word.
 RULES = (
-    Rule("length", "n_words", 50, 1_000_000),
+    Rule("length", "n_words", 50, None),
     Rule("word_length", "mean_word_chars", 2, 12),
     Rule("symbols", "symbol_ratio", None, 0.1),
     Rule("stop_words", "stop_ratio", 0.02, None),
@@ -78,18 +78,23 @@ def window_keys(words: Column) -> Column:
 def repeated_words(words: Column, keys: Column) -> Column:
     """How many words lie in a three-word window that is found twice or more in the array.
 
-    Equal neighbours among the sorted ``window_keys`` are confirmed word by word; texts without
-    keys sort the windows themselves.
+    Equal neighbours among the sorted ``window_keys`` are confirmed word by word. If one pair of them differs,
+    which two windows of one hash would show, or if there are no keys, the windows themselves are sorted.
     """
     at = lambda k: k.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
 
-    def places(k: Column) -> Column:
-        twin = F.filter(
+    def neighbours(k: Column) -> Column:
+        return F.filter(
             F.transform(k, lambda x, i: F.when(F.shiftright(x.bitwiseXOR(F.get(k, i + 1)), PLACE_BITS) == 0, F.struct(at(x).alias("a"), at(F.get(k, i + 1)).alias("b")))),
             lambda x: x.isNotNull(),
         )
-        sure = F.filter(twin, lambda x: F.forall(F.array(*map(F.lit, range(3))), lambda j: F.get(words, x["a"] + j) == F.get(words, x["b"] + j)))
-        return F.flatten(F.transform(sure, lambda x: F.array(x["a"], x["b"])))
+
+    def confirmed(twins: Column) -> Column:
+        sure = F.forall(twins, lambda x: F.forall(F.array(*map(F.lit, range(3))), lambda j: F.get(words, x["a"] + j) == F.get(words, x["b"] + j)))
+        return F.when(sure, _let(F.flatten(F.transform(twins, lambda x: F.array(x["a"], x["b"]))), total)).otherwise(by_sorting())
+
+    def by_sorting() -> Column:
+        return _let(_let(F.sort_array(pairs), places_of_pairs), total)
 
     def places_of_pairs(s: Column) -> Column:
         again = F.filter(s, lambda x, i: (x["g"] == F.get(s, i + 1)["g"]) | (x["g"] == F.get(s, i - 1)["g"]))
@@ -103,37 +108,42 @@ def repeated_words(words: Column, keys: Column) -> Column:
     )
     return (
         F.when(F.size(words) < 4, F.lit(0))
-        .when(keys.isNotNull(), _let(places(keys), total))
-        .otherwise(_let(_let(F.sort_array(pairs), places_of_pairs), total))
+        .when(keys.isNotNull(), _let(neighbours(keys), confirmed))
+        .otherwise(by_sorting())
         .cast("long")
     )
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts and ratios that rules may name. Existing columns of these names are replaced."""
+    """Add the counts and ratios that rules may name. Existing columns of these names are replaced, and no others."""
+    part = {}
+    for name in ("words", "lines", "keys"):  # columns on the way, by names that the table doesn't have
+        part[name] = f"_{name}"
+        while part[name] in docs.columns:
+            part[name] += "_"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     split = docs.withColumns(
         {
-            "_words": F.array_remove(F.split(text, SPACE), ""),
-            "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
+            part["words"]: F.array_remove(F.split(text, SPACE), ""),
+            part["lines"]: F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         }
     )
-    split = split.withColumn("_keys", window_keys(F.col("_words")))
+    split = split.withColumn(part["keys"], window_keys(F.col(part["words"])))
     stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
-    words, lines = F.col("_words"), F.col("_lines")
+    words, lines = F.col(part["words"]), F.col(part["lines"])
     counted = split.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "n_lines": F.size(lines).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": repeated_words(words, F.col("_keys")),
+            "n_repeat_words": repeated_words(words, F.col(part["keys"])),
             "n_stop_words": F.size(F.filter(words, lambda w: w.isin(stops))).cast("long"),
             "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike("^[\\x20\\x09-\\x0D]*[-*•]"))).cast("long"),
             "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike("(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$"))).cast("long"),
         }
-    ).drop("_words", "_lines", "_keys")
+    ).drop(*part.values())
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return counted.withColumns(
         {

@@ -78,8 +78,7 @@ WITH d AS (
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT base_failed AND n_words <= {_LIMITS["length"].most}
-       AND word_chars / n_words BETWEEN {_LIMITS["word_length"].least} AND {_LIMITS["word_length"].most}
+       NOT base_failed AND word_chars / n_words BETWEEN {_LIMITS["word_length"].least} AND {_LIMITS["word_length"].most}
        AND n_symbols / n_words <= {_LIMITS["symbols"].most} AND n_stop_words / n_words >= {_LIMITS["stop_words"].least}
        AND n_dup_lines / n_lines <= {_LIMITS["line_repeats"].most} AND n_bullets / n_lines <= {_LIMITS["bullet_lines"].most}
        AND n_ellipsis / n_lines <= {_LIMITS["ellipsis_lines"].most} AS kept

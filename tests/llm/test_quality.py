@@ -53,3 +53,22 @@ def test_native_and_compiled_from_the_table(spark):
     assert "Python" not in plan and "Arrow" not in plan
     strict = quality.score(df, [quality.Rule("tiny", "n_words", None, 3)]).first()
     assert strict.failed_rules == ["tiny"] and not strict.kept
+
+
+def test_windows_of_one_hash_hide_no_repeat(spark, monkeypatch):
+    """With one bit of hash left, windows collide and interleave by place; what repeats is found all the same."""
+    from pyspark.sql import functions as fn
+
+    texts = ["a b c x y z a b c q r s a b c", " ".join(f"w{i % 9}" for i in range(60)), "p q r s t u v w x y"]
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *cols: fn.length(cols[0]).cast("long"))
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_repeat_words").collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
+def test_columns_of_the_table_stay_and_the_filter_stays_above_the_measures(spark):
+    df = spark.createDataFrame([(1, "the house of the man and the dog " * 8, "w", "l", "k")], "doc_id long, text string, _words string, _lines string, _keys string")
+    row = quality.score(df).first()
+    assert (row["_words"], row["_lines"], row["_keys"], row["n_words"]) == ("w", "l", "k", 64)
+    plan = quality.keep_good(df)._jdf.queryExecution().optimizedPlan().toString()
+    conditions = [x for x in plan.splitlines() if "Filter" in x]
+    assert len(conditions) == 1 and "split" not in conditions[0] and "rand" not in conditions[0]
