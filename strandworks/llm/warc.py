@@ -5,7 +5,8 @@ record, and exactly as many content bytes as the line declares; a line feed part
 ``parse_arc`` honours the declared lengths, never the payload. ``convert`` synthesises the WARC
 identifier (a name-based UUID of archive, place and URL), timestamp, type and digests, and turns
 later records with the payload of an earlier one into revisits. ``write_warc`` writes the
-records with Spark's text writer, so archives land wherever Spark can write; ``read_warc`` reads them.
+records with Spark's text writer, so archives land wherever Spark can write; ``read_warc`` reads them. A file is
+one gzip member, as that writer makes it, and has no ``warcinfo`` record.
 
 Defined results: a null or empty payload is an empty payload; payloads of under ``MIN_REVISIT``
 bytes never become revisits; where rows share one page id and one payload they count as one page,
@@ -38,8 +39,8 @@ RECORD_SCHEMA = (
     "archive string, offset long, arc_version int, url string, ip string, warc_date string, content_type string, "
     "status int, http_head binary, page_id long, payload_bytes long, payload_digest string, record_id string"
 )
-#: Records of one WARC file at most: a reader holds one file at a time.
-FILE_RECORDS = 4096
+#: Records of one WARC file, and its bytes before compression, at most (one record at least): a reader holds one file at a time.
+FILE_RECORDS, FILE_BYTES = 4096, 64 << 20
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -227,9 +228,10 @@ def convert(arcs: DataFrame) -> DataFrame:
     return j.select("archive", "page_id", whole.cast("string").alias("record"))
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write the records as gzipped WARC files of at most ``FILE_RECORDS`` records."""
-    records.select("record").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_warc(records: DataFrame, path: str, longest: int = FILE_BYTES // FILE_RECORDS) -> None:
+    """Write the records, the longest of so many bytes, as gzipped WARC files of bounded size."""
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, longest)))
+    records.select("record").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse_warc(name: str, content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -279,5 +281,6 @@ def convert_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archive ``pages`` in the legacy format, convert to WARC files under ``path``, and read those back."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/strandworks-warc-{uuid.uuid4().hex}"
-    write_warc(convert(arcs_from_pages(pages)), path)
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    write_warc(convert(arcs_from_pages(pages)), path, longest + 2048)
     return read_warc(spark, path)

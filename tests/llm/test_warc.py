@@ -55,3 +55,13 @@ def test_arbitrary_bytes_survive(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.convert_pages(pages, str(tmp_path / "w")).count() == 0
+
+
+def test_long_payloads_make_short_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
+    rows = [(i, f"http://a/{i}", f"{i} " + "é" * 1_000_000) for i in range(9)] + [(20, "http://b/", rows_text := "z" * 3_000_000), (21, "http://c/", rows_text)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.convert_pages(pages, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == sorted((i, len(t.encode()), "revisit" if i == 21 else "response", 20 if i == 21 else None) for i, _, t in rows)
+    sizes = [len(gzip.decompress(open(p, "rb").read())) for p in glob.glob(str(tmp_path / "w/*.gz"))]
+    assert len(sizes) == len(rows) and max(sizes) < 4 << 20
