@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, decontamination, packing.
 
 Each stage works on all that the one before it kept; its result is written as Parquet and read
-again. All stages but the last return the columns of ``documents``.
+again. All stages but the last return the columns of ``documents``, whatever else these are called.
+
+Defined results: null and empty texts fail the quality rules and go. Rows of one id with different texts are
+documents of their own, in the order of a digest of their texts; fully repeated rows are one document to line
+dedup, and one row of them stays after the Jaccard join. A null id counts as the largest, so of a group such a row stays only if no other
+is in it. Of copies the smallest id stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
