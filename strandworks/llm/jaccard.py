@@ -17,10 +17,11 @@ linked if the Jaccard similarity of their sets is ``THRESHOLD`` or more.
    independent hashes of words that are told apart by themselves (``common.word_keys``).
 
 No pair is ever a row. Band groups and components are cut into blocks; a task holds two blocks,
-compares them in memory, and returns link counts and a spanning forest. What travels to be verified is
-the packed set of a class (16 bytes a shingle), and a component of g classes is sent g / VERIFY_BLOCK times over;
-one of fewer than VERIFY_BLOCK classes and BLOCK_SHINGLES shingles only once. The number of links of g texts
-that are all alike takes g * g / 2 comparisons in any case.
+compares them in memory, and returns link counts and a spanning forest. Texts travel once. What is dealt to
+blocks is how a class's set differs from that of its component's first class (16 bytes a shingle), which
+for near copies is little, and the sizes of intersections follow from these differences exactly. A component of g
+classes is sent g / VERIFY_BLOCK times over. The number of links of g texts that are all alike takes g * g / 2
+comparisons in any case.
 
 Results: per document its class (the least id that it is linked to, over any number of links) and
 its number of links: the other documents of similarity at the threshold or above, copies included.
@@ -46,7 +47,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, ROWS, STEP = 252, 6, 21
 TOLERANCE = 1e-7
-BLOCK, VERIFY_BLOCK = 1024, 4096
+BLOCK, VERIFY_BLOCK = 1024, 512
 #: Shingles of one block at most, on average: long texts make more blocks.
 BLOCK_SHINGLES = 2_000_000
 CHUNK = 1 << 20
@@ -286,7 +287,7 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in stream_groups(batches, ["comp", "i", "j"]):
             cuts = cuts_of(table, ["comp", "i", "j"])
-            rid, side, cell_i, cell_j, weight = (table.column(c).to_numpy() for c in ("rid", "side", "i", "j", "weight"))
+            rid, side, cell_i, cell_j, weight, size_, minus_, base = (table.column(c).to_numpy() for c in ("rid", "side", "i", "j", "weight", "size", "minus", "base"))
             packed, off = utf8(table.column("packed"))
             packed, off = packed.view(U64).reshape(-1, 2), off // 16
             rows: list[tuple] = []
@@ -297,7 +298,7 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 by = np.lexsort((values[:, 1], values[:, 0]))
                 codes = np.zeros(len(by), np.int64)
                 codes[by[1:]] = np.cumsum((values[by][1:] != values[by][:-1]).any(1))
-                size = np.diff(cut)
+                size, minus, n_diff = size_[a:b], minus_[a:b], np.diff(cut)
                 flags = np.zeros(len(by), bool)
                 links, forest = np.zeros(b - a, np.int64), Forest(b - a)
                 same_block = cell_i[a] == cell_j[a]
@@ -305,18 +306,19 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 far = None if same_block else np.flatnonzero(side[a:b] == 1)
                 for x in near.tolist():
                     others = np.arange(x + 1, b - a) if far is None else far
-                    if not len(others):
-                        continue
                     others = others[(size[others] >= threshold * size[x] - 1e-9) & (size[x] >= threshold * size[others] - 1e-9)]
                     if not len(others):
                         continue
                     mine = codes[cut[x] : cut[x + 1]]
                     flags[mine] = True
-                    n = size[others]
-                    at = np.repeat(cut[others] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    both = np.add.reduceat(flags[codes[at]].astype(np.int64), np.cumsum(n) - n)
+                    n = n_diff[others]
+                    end = np.cumsum(n)
+                    at = np.repeat(cut[others] - (end - n), n) + np.arange(int(n.sum()))
+                    alike = np.concatenate([[0], np.cumsum(flags[codes[at]])])
                     flags[mine] = False
-                    true = others[both >= threshold * (size[x] + n - both) - 1e-9]
+                    # of the base's shingles those that neither lacks, and of the others those that both have
+                    both = base[a] - minus[x] - minus[others] + alike[end] - alike[end - n]
+                    true = others[both >= threshold * (size[x] + size[others] - both) - 1e-9]
                     links[x] += weight[a + true].sum()
                     links[true] += weight[a + x]
                     for y in true.tolist():
@@ -326,21 +328,50 @@ def verified(grouped: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rid", "links", "other"])
 
-    return grouped.select("comp", "i", "j", "side", "rid", "weight", "packed").mapInArrow(run, VERIFIED)
+    return grouped.select("comp", "i", "j", "side", "rid", "weight", "size", "minus", "base", "packed").mapInArrow(run, VERIFIED)
+
+
+def absent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which shingles of one sorted set the other doesn't have."""
+    if not len(b):
+        return np.ones(len(a), bool)
+    if (b[1:, 0] == b[:-1, 0]).any():  # one hash may stand twice, for different shingles
+        return ~np.isin(a.view("V16").ravel(), b.view("V16").ravel())
+    at = np.minimum(np.searchsorted(b[:, 0], a[:, 0]), len(b) - 1)
+    return (b[at] != a).any(1)
+
 
+DIFFERENCES = "rid long, comp long, weight long, blocks long, size long, minus long, base long, packed binary"
 
-def packed_sets(members: DataFrame) -> DataFrame:
-    """The members with their sets, ``packed``, in place of their texts."""
+
+def differences(members: DataFrame) -> DataFrame:
+    """The members with their sets' differences from their component's first set, ``base_text``'s.
+
+    ``packed`` has the shingles that just one of the two sets has; ``minus`` of them are the base's, which has ``base`` in all.
+    """
+    names = [x.split()[0] for x in DIFFERENCES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, np.zeros((0, 2), U64))  # rows of one component often follow each other
         for batch in batches:
-            data, off = utf8(batch.column(2))
+            data, off = utf8(batch.column(4))
+            comps = batch.column(1).to_pylist()
             for a, b in groups_of(off, CHUNK):
                 values, cut = shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                sets = pa.array([values[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(batch.column(i).slice(a, b - a) for i in (3, 4)), sets], ["rid", "comp", "weight", "blocks", "packed"])
-
-    return members.select("rid", "comp", "text", "weight", "blocks").mapInArrow(run, "rid long, comp long, weight long, blocks long, packed binary")
+                sizes, minus, base, packed = [], [], [], []
+                for i in range(a, b):
+                    if held[0] != comps[i]:
+                        held = comps[i], shingle_sets(*utf8(batch.column(5).slice(i, 1)))[0]
+                    mine, first = values[cut[i - a] : cut[i - a + 1]], held[1]
+                    lacks, has = first[absent(first, mine)], mine[absent(mine, first)]
+                    sizes.append(len(mine))
+                    minus.append(len(lacks))
+                    base.append(len(first))
+                    packed.append(np.concatenate([lacks, has]).tobytes())
+                cols = [*(batch.column(i).slice(a, b - a) for i in range(4)), *(pa.array(x, pa.int64()) for x in (sizes, minus, base)), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return members.select("rid", "comp", "weight", "blocks", "text", "base_text").mapInArrow(run, DIFFERENCES)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -390,8 +421,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     in_comp = materialise(comps.join(reps.select("rid", "weight", "n_shingles"), F.col("v") == F.col("rid")).select("rid", "comp", "weight", "n_shingles"), "members")
     n_blocks = F.greatest(F.ceil(F.count("*") / (VERIFY_BLOCK * block // BLOCK or 1)), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     sizes = materialise(in_comp.groupBy("comp").agg(n_blocks.cast("long").alias("blocks")), "component-sizes")
-    with_sets = packed_sets(in_comp.join(sizes, "comp").join(texts, "rid"))
-    checked = materialise(verified(deal(in_blocks(with_sets, F.col("blocks")), "comp", "i", "j"), threshold), "links")
+    firsts = materialise(sizes.join(texts, F.col("comp") == F.col("rid")).select("comp", "blocks", F.col("text").alias("base_text")), "first-texts")
+    with_texts = materialise(in_comp.join(texts, "rid"), "member-texts")
+    different = differences(with_texts.join(firsts, "comp"))
+    checked = materialise(verified(deal(in_blocks(different, F.col("blocks")), "comp", "i", "j"), threshold), "links")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links")).filter("links is not null")
     joined = components(checked.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b")), "true")
 

@@ -24,7 +24,7 @@ def corpus(seed, n=60):
 
 
 def test_against_all_pairs(spark):
-    for seed, block in ((1, jaccard.BLOCK), (2, 3)):
+    for seed, block in ((1, jaccard.BLOCK), (2, 6)):
         docs = corpus(seed)
         df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rid", F.lit("x")).withColumn("comp", F.lit(1)).repartition(4)
         got = jaccard.near_duplicates(df, block=block).collect()
@@ -95,3 +95,14 @@ def test_query_against_all_pairs_of_given_texts(spark):
 
     got = sorted(map(tuple, QUERIES["op7_jaccard_join"](spark, sf).collect()))
     assert got == sorted(brute_force.links(docs))
+
+
+def test_differences_give_intersections():
+    rng = np.random.default_rng(2)
+    pool = np.stack([np.arange(60), rng.integers(0, 2**60, 60)], 1).astype(np.uint64)
+    pool[1::9, 0] = pool[::9, 0][: len(pool[1::9])]  # hashes that stand for two shingles
+    pool = pool[np.argsort(pool[:, 0], kind="stable")]
+    for _ in range(50):
+        a, b = (pool[rng.random(60) < 0.5] for _ in range(2))
+        have = {tuple(x) for x in b.tolist()}
+        assert jaccard.absent(a, b).tolist() == [tuple(x) not in have for x in a.tolist()]
