@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,13 +74,90 @@ def kmers(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s).{{{k}}}"), F.lit(0))
 
 
+def letters_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, and the offsets of its rows."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
+
+
+def letter_codes(alphabet: str) -> np.ndarray:
+    """The digit of each byte: its place in the alphabet, 255 elsewhere."""
+    table = np.full(256, 255, np.uint8)
+    table[np.frombuffer(alphabet.encode("ascii"), np.uint8)] = np.arange(len(alphabet), dtype=np.uint8)
+    return table
+
+
+def ids_of(k: int, alphabet: str) -> Callable[[pa.Array], pa.Array]:
+    """K-mer ids of sequences in the alphabet, batch by batch."""
+    table, n = letter_codes(alphabet), len(alphabet)
+
+    def ids(column: pa.Array) -> pa.Array:
+        data, off = letters_of(column)
+        size = np.diff(off) // k
+        cut = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(off[:-1] - cut[:-1] * k, size) + np.arange(cut[-1]) * k
+        digits, out = table[data], np.zeros(len(at), np.int64)
+        for j in range(k):
+            out = out * n + digits[at + j]
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out))
+
+    return ids
+
+
 def kmer_ids(seq: Column, k: int, alphabet: str = "ACGTN") -> Column:
-    """Ids of non-overlapping k-mers, the first base most significant; characters outside the alphabet drop out first."""
+    """Ids of non-overlapping k-mers, the first base most significant; characters outside the alphabet drop out first.
+
+    The letters are turned into numbers in Arrow batches: as an expression over arrays this takes many times as long.
+    """
     alphabet = normalize_alphabet(alphabet)
-    if not 1 <= k or len(alphabet) ** k > 2**63 - 1 or len(alphabet) > 36:
-        raise ValueError("k-mer ids must fit a BIGINT over at most 36 letters")
-    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(alphabet)]
-    return F.transform(kmers(in_alphabet(seq, alphabet), k), lambda m: F.conv(F.translate(m, alphabet, digits), len(alphabet), 10).cast("long"))
+    if not 1 <= k or len(alphabet) ** k > 2**63 - 1 or len(alphabet) > 36 or not alphabet.isascii():
+        raise ValueError("k-mer ids must fit a BIGINT over at most 36 ASCII letters")
+    ids = ids_of(k, alphabet)
+
+    @F.arrow_udf("array<long>")
+    def of(column: pa.Array) -> pa.Array:
+        return ids(column)
+
+    return of(in_alphabet(seq, alphabet))
+
+
+def kmer_tally(seq: Column, k: int, letters: str = "ACGTU") -> Column:
+    """``array<struct<kmer, count>>`` of the overlapping k-mers of these letters in each sequence."""
+    if len(letters) ** k > 2**63 - 1:
+        raise ValueError("k-mers must fit a BIGINT")
+    codes = letter_codes(letters)
+
+    @F.arrow_udf("array<struct<kmer:string,count:long>>")
+    def of(column: pa.Array) -> pa.Array:
+        data, off = letters_of(column)
+        digits = codes[data].astype(np.int64)
+        kmers, counts, cut = [], [], [0]
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            m = max(0, b - a - k + 1)
+            ids, ok = np.zeros(m, np.int64), np.ones(m, bool)
+            for j in range(k):
+                d = digits[a + j : a + j + m]
+                ids = ids * len(letters) + d
+                ok &= d < 255
+            value, n = np.unique(ids[ok], return_counts=True)
+            kmers.append(value)
+            counts.append(n)
+            cut.append(cut[-1] + len(value))
+        value = np.concatenate([np.zeros(0, np.int64), *kmers])
+        text = np.zeros((len(value), k), np.uint8)
+        alphabet = np.frombuffer(letters.encode(), np.uint8)
+        for j in range(k - 1, -1, -1):
+            text[:, j] = alphabet[value % len(letters)]
+            value = value // len(letters)
+        names = pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer((np.arange(len(text) + 1) * k).astype(np.int32)), pa.py_buffer(text.tobytes())])
+        pairs = pa.StructArray.from_arrays([names, pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())], ["kmer", "count"])
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs)
+
+    return of(seq)
 
 
 def tail(seq: Column, k: int) -> Column:

@@ -44,17 +44,25 @@ def quantised(rows: DataFrame, key: str, probs: str, total: int) -> DataFrame:
     """
     p, v = F.col(probs), F.size(probs)
 
+    def rest(b: Column) -> Column:
+        return F.lit(total).cast("long") - v - F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x)
+
     def extra(s: Column, b: Column) -> Column:
-        left = F.lit(total).cast("long") - v - F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x)
         order = F.array_sort(F.transform(s, lambda x, i: F.struct((F.floor(x) - x).alias("f"), i.alias("i"))))
-        return F.transform(F.slice(order, 1, left.cast("int")), lambda x: x["i"])
+        return F.transform(F.slice(order, 1, F.greatest(rest(b), F.lit(0)).cast("int")), lambda x: x["i"])
+
+    def lowered(b: Column) -> Column:
+        """Where doubles rounded up to too much: one less, as often as needed, for the largest, the first on ties."""
+        first = lambda x: F.array_position(x, F.array_max(x)).cast("int") - 1
+        times = F.when(rest(b) < 0, F.sequence(F.lit(1).cast("long"), -rest(b))).otherwise(F.array().cast("array<long>"))
+        return F.aggregate(times, b, lambda x, _: let(first(x), lambda j: F.transform(x, lambda y, i: y - (i == j).cast("long"))))
 
     scaled = let(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), lambda norm: F.transform(p, lambda x: x / norm * (F.lit(total) - v)))
     freqs = let(
         scaled,
         lambda s: let(
             F.transform(s, lambda x: F.floor(x)),
-            lambda b: let(extra(s, b), lambda e: F.transform(b, lambda x, i: x + 1 + F.array_contains(e, i).cast("long"))),
+            lambda b: let(extra(s, b), lambda e: F.transform(lowered(b), lambda x, i: x + 1 + F.array_contains(e, i).cast("long"))),
         ),
     )
     step = rows.select(key, freqs.alias("freqs"))
@@ -75,10 +83,14 @@ def quantise(probs: np.ndarray, total: int) -> np.ndarray:
     left = total - v - base.sum(1)
     # the largest fractions get one more, the lowest index first where fractions are equal
     key = base - scaled
-    edge = np.take_along_axis(np.sort(key, axis=1), np.maximum(left - 1, 0)[:, None], axis=1)
-    under, ties = key < edge, key == edge
-    room = left - under.sum(1)
-    extra = (under | (ties & (np.cumsum(ties, axis=1) <= room[:, None]))) & (left > 0)[:, None]
+    kth = np.clip(left - 1, 0, v - 1)
+    edge = np.partition(key, np.unique(kth), axis=1)[np.arange(n), kth][:, None] if n else key[:, :1]
+    extra = key < edge
+    ties = key == edge
+    room = left - extra.sum(1)
+    some = ties.sum(1) > room  # mostly all that tie get one
+    ties[some] &= np.cumsum(ties[some], axis=1) <= room[some, None]
+    extra = (extra | ties) & (left > 0)[:, None]
     freq = base + 1 + extra
     for r in np.flatnonzero(left < 0):  # rounding up by floats: take back from the largest
         for _ in range(int(-left[r])):
@@ -86,6 +98,8 @@ def quantise(probs: np.ndarray, total: int) -> np.ndarray:
     return np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(freq, axis=1)], axis=1)
 
 
+#: Windows that are scored at a time.
+SCORED_WINDOWS = 64
 SCORED = "source_name string, pos long, target int, log2p double, cum_low long, cum_high long, total long"
 
 
@@ -93,24 +107,26 @@ def score_windows(windows: DataFrame, score_fn: Callable[[np.ndarray], np.ndarra
     """Score every position of ``windows`` (source_name, start, input_ids, labels) with a caller's function.
 
     ``score_fn`` maps (n, L) input ids to (n, L, V) natural-log probabilities; labels below 0 are
-    not scored. Probability rows are gathered, quantised and dropped window by window.
+    not scored. Probability rows are gathered, quantised and dropped ``SCORED_WINDOWS`` windows at a time.
     """
     names = [x.split()[0] for x in SCORED.split(", ")]
 
+    def rows_of(column: pa.ListArray) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 16):
-                t = batch.slice(lo, 16).to_pylist()
-                log_p = score_fn(np.array([r["input_ids"] for r in t]))
-                labels = np.array([r["labels"] for r in t])
+            for lo in range(0, len(batch), SCORED_WINDOWS):
+                part = batch.slice(lo, SCORED_WINDOWS)
+                labels = rows_of(part.column(3))
                 row, col = np.nonzero(labels >= 0)
                 if not len(row):
                     continue
-                target, p = labels[row, col], log_p[row, col]
+                target, p = labels[row, col], score_fn(rows_of(part.column(2)))[row, col]
                 cum = quantise(np.exp(p), total)
                 at = np.arange(len(row))
                 cols = [
-                    pa.array([t[r]["source_name"] for r in row]), pa.array(np.array([r["start"] for r in t])[row] + col, pa.int64()), pa.array(target.astype(np.int32)),
+                    part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + col, pa.int64()), pa.array(target.astype(np.int32)),
                     pa.array(p[at, target] / np.log(2)), pa.array(cum[at, target]), pa.array(cum[at, target + 1]), pa.array(np.full(len(row), total, np.int64)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names)

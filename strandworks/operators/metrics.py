@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,13 @@ def loss_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def position_profile(windows: DataFrame, k: int, eos: int) -> DataFrame:
-    """``base, position, count, bits`` from rows (position of the token in its window, token, piece, bits)."""
-    each = windows.filter(F.col("token") != eos).select("position", "bits", F.posexplode(F.filter(F.split("piece", ""), lambda c: c != "")).alias("j", "base"))
-    return each.groupBy("base", (F.col("position") * k + F.col("j")).alias("position")).agg(F.count("*").alias("count"), F.sum(F.col("bits") / k).alias("bits"))
+    """``base, position, count, bits`` from rows (position of the token in its window, token, piece, bits).
+
+    Tokens are summed up by place and piece first; only these sums are taken apart into bases.
+    """
+    sums = windows.filter(F.col("token") != eos).groupBy("position", "piece").agg(F.count("*").alias("n"), F.sum("bits").alias("b"))
+    each = sums.select("position", "n", "b", F.posexplode(F.filter(F.split("piece", ""), lambda c: c != "")).alias("j", "base"))
+    return each.groupBy("base", (F.col("position") * k + F.col("j")).alias("position")).agg(F.sum("n").alias("count"), F.sum(F.col("b") / k).alias("bits"))
 
 
 def profile_rows(profile: DataFrame, length: int) -> DataFrame:
@@ -84,18 +90,10 @@ def manifest_check(expected: DataFrame, files: DataFrame) -> DataFrame:
 # --- profiles of sequences -----------------------------------------------------------------------
 
 
-def kmer_occurrences(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``key, pos, kmer`` of every overlapping k-mer of A, C, G, T and U."""
-    # k shifted cuts into groups of k take each place once, in time linear in the sequence
-    cut = lambda j: F.transform(S.kmers(F.substr("seq", F.lit(j + 1)), k), lambda x, i: F.struct((i * k + j).alias("pos"), x.alias("kmer")))
-    shifted = [cut(j) for j in range(k)]
-    plain = F.filter(F.flatten(F.array(*shifted)), lambda x: x["kmer"].rlike(f"^[ACGTU]{{{k}}}$"))
-    return rows.select(key, F.explode(plain).alias("o")).select(key, "o.pos", "o.kmer")
-
-
-def kmer_counts(occurrences: DataFrame, key: str) -> DataFrame:
-    """Counted in two steps, so that a k-mer that dominates is summed before it meets."""
-    return occurrences.groupBy(key, "kmer").agg(F.count("*").alias("count"))
+def kmer_counts(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """``key, kmer, count`` of the overlapping k-mers of A, C, G, T and U: counted within each row first."""
+    each = rows.select(key, F.explode(S.kmer_tally(F.col("seq"), k)).alias("t"))
+    return each.groupBy(key, "t.kmer").agg(F.sum("t.count").alias("count"))
 
 
 def top_kmers(counts: DataFrame, key: str, least: int, limit: int) -> DataFrame:
@@ -103,11 +101,37 @@ def top_kmers(counts: DataFrame, key: str, least: int, limit: int) -> DataFrame:
     return counts.filter(F.col("count") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def repeat_mask(occurrences: DataFrame, top: DataFrame, key: str, k: int, strong: int = 8) -> DataFrame:
-    """``key, pos, level`` of the bases that a top k-mer covers: 2 if it is frequent, else 1."""
-    hits = occurrences.join(top.select(key, "kmer", F.when(F.col("count") >= strong, 2).otherwise(1).alias("level")), [key, "kmer"])
-    each = hits.select(key, F.explode(F.sequence(F.col("pos"), F.col("pos") + k - 1)).alias("pos"), "level")
-    return each.groupBy(key, "pos").agg(F.max("level").alias("level"))
+def repeat_mask(rows: DataFrame, top: DataFrame, key: str, k: int, strong: int = 8) -> DataFrame:
+    """``key, pos, level`` of the bases that a top k-mer covers: 2 if it is frequent, else 1.
+
+    The few top k-mers of a sequence meet it in a join; its places are looked through once, in Arrow batches.
+    """
+    codes = S.letter_codes("ACGTU")
+
+    @F.arrow_udf("array<byte>")
+    def levels(seqs: pa.Array, weak: pa.Array, strong_: pa.Array) -> pa.Array:
+        data, off = S.letters_of(seqs)
+        digits = codes[data].astype(np.int64)
+        out = np.zeros(len(data), np.int8)
+        for a, b, *sets in zip(off[:-1].tolist(), off[1:].tolist(), weak.to_pylist(), strong_.to_pylist(), strict=True):
+            m = b - a - k + 1
+            if m <= 0:
+                continue
+            ids = np.zeros(m, np.int64)
+            for j in range(k):
+                ids = ids * 5 + np.where(digits[a + j : a + j + m] < 255, digits[a + j : a + j + m], -(5**k))
+            for level, kmers in enumerate(sets, 1):
+                wanted = [int(sum(int(codes[c]) * 5 ** (k - 1 - i) for i, c in enumerate(x.encode()))) for x in kmers or ()]
+                hit = np.isin(ids, wanted)
+                for j in range(k):
+                    view = out[a + j : a + j + m]
+                    view[hit] = level
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out))
+
+    kmers = lambda c: F.collect_list(F.when(c, F.col("kmer")))
+    sets = top.groupBy(F.col(key).alias("_key")).agg(kmers(F.col("count") < strong).alias("weak"), kmers(F.col("count") >= strong).alias("strong"))
+    j = rows.join(sets, F.col(key) == F.col("_key")).select(key, F.posexplode(levels(F.col("seq"), F.col("weak"), F.col("strong"))).alias("pos", "level"))
+    return j.filter("level > 0").select(key, "pos", F.col("level").cast("int").alias("level"))
 
 
 def repeat_lines(rows: DataFrame, mask: DataFrame, key: str, width: int) -> DataFrame:

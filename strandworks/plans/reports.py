@@ -120,7 +120,7 @@ _TOP = "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id
 
 @query("g11_kmers", with_(SRC, _OCC, _CNT) + "SELECT * FROM cnt")
 def g11(spark, sf):
-    return M.kmer_counts(M.kmer_occurrences(sources(spark, sf), "doc_id", 4), "doc_id")
+    return M.kmer_counts(sources(spark, sf), "doc_id", 4)
 
 
 @query("g12_fasta_totals", with_(SRC) + "SELECT count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases FROM src")
@@ -130,16 +130,15 @@ def g12(spark, sf):
 
 @query("h3_top_kmers", with_(SRC, _OCC, _CNT, _TOP) + "SELECT doc_id, kmer, count, rank FROM top")
 def h3(spark, sf):
-    counts = M.kmer_counts(M.kmer_occurrences(sources(spark, sf), "doc_id", 4), "doc_id")
-    return M.top_kmers(counts, "doc_id", 2, 5).withColumn("rank", F.col("rank").cast("long"))
+    return M.top_kmers(M.kmer_counts(sources(spark, sf), "doc_id", 4), "doc_id", 2, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 _MASK = "mask AS (SELECT doc_id, pos, max(CASE WHEN count >= 8 THEN 2 ELSE 1 END) AS level FROM (SELECT doc_id, kmer, count, unnest([pos, pos + 1, pos + 2, pos + 3]) AS pos FROM occ JOIN top USING (doc_id, kmer)) GROUP BY doc_id, pos)"
 
 
 def _mask(spark, sf):
-    occ = M.kmer_occurrences(sources(spark, sf), "doc_id", 4)
-    return M.repeat_mask(occ, M.top_kmers(M.kmer_counts(occ, "doc_id"), "doc_id", 2, 5), "doc_id", 4)
+    src = sources(spark, sf)
+    return M.repeat_mask(src, M.top_kmers(M.kmer_counts(src, "doc_id", 4), "doc_id", 2, 5), "doc_id", 4)
 
 
 @query("h4_repeat_mask", with_(SRC, _OCC, _CNT, _TOP, _MASK) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, level FROM mask")
