@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions.config import grouped_widths
@@ -36,6 +36,12 @@ def bits_of(log_p: Column) -> Column:
     return -log_p / F.lit(float(np.log(2)))
 
 
+def frequency_totals(vocab: Column, target_mass: float = 0.01, least: int = 1 << 15) -> Column:
+    """``functions.config.frequency_total`` of a column of vocabulary sizes."""
+    need = F.greatest(F.lit(least), vocab + 1, F.ceil(vocab / target_mass))
+    return F.pow(F.lit(2), F.ceil(F.log2(need))).cast("long")
+
+
 def quantised(rows: DataFrame, key: str, probs: str, total: int) -> DataFrame:
     """``key, idx, freq, cum_low, cum_high``: integers of at least 1 that sum to ``total``.
 
@@ -74,28 +80,40 @@ def quantised(rows: DataFrame, key: str, probs: str, total: int) -> DataFrame:
 # --- the same in numpy, for large vocabularies inside a scorer -----------------------------------
 
 
+#: Rows that are quantised at a time: their tables stay in a core's cache.
+QUANTISED_ROWS = 512
+
+
 def quantise(probs: np.ndarray, total: int) -> np.ndarray:
     """Cumulative integer tables (rows x V + 1) of probability rows."""
-    probs = probs / probs.sum(1, keepdims=True)
     n, v = probs.shape
-    scaled = probs * (total - v)
-    base = np.floor(scaled).astype(np.int64)
-    left = total - v - base.sum(1)
+    out = np.zeros((n, v + 1), np.int64)
+    for i in range(0, n, QUANTISED_ROWS):
+        _quantise(probs[i : i + QUANTISED_ROWS], total, out[i : i + QUANTISED_ROWS, 1:])
+    return out
+
+
+def _quantise(probs: np.ndarray, total: int, out: np.ndarray) -> None:
+    n, v = probs.shape
+    key = probs / probs.sum(1, keepdims=True)
+    key *= total - v
+    freq = np.floor(key)
+    left = (total - v - freq.sum(1)).astype(np.int64)
+    np.subtract(freq, key, out=key)  # minus the fraction
     # the largest fractions get one more, the lowest index first where fractions are equal
-    key = base - scaled
-    kth = np.clip(left - 1, 0, v - 1)
-    edge = np.partition(key, np.unique(kth), axis=1)[np.arange(n), kth][:, None] if n else key[:, :1]
-    extra = key < edge
-    ties = key == edge
-    room = left - extra.sum(1)
-    some = ties.sum(1) > room  # mostly all that tie get one
-    ties[some] &= np.cumsum(ties[some], axis=1) <= room[some, None]
-    extra = (extra | ties) & (left > 0)[:, None]
-    freq = base + 1 + extra
+    edge = np.sort(key, axis=1)[np.arange(n), np.clip(left - 1, 0, v - 1)][:, None]
+    extra = key <= edge
+    uneven = np.flatnonzero(extra.sum(1) != left)
+    if len(uneven):  # more that tie than are left, or nothing left at all
+        under, ties = key[uneven] < edge[uneven], key[uneven] == edge[uneven]
+        room = left[uneven] - under.sum(1)
+        extra[uneven] = (under | (ties & (np.cumsum(ties, axis=1) <= room[:, None]))) & (left[uneven] > 0)[:, None]
+    freq += 1
+    freq += extra
     for r in np.flatnonzero(left < 0):  # rounding up by floats: take back from the largest
         for _ in range(int(-left[r])):
             freq[r, int(np.argmax(freq[r]))] -= 1
-    return np.concatenate([np.zeros((n, 1), np.int64), np.cumsum(freq, axis=1)], axis=1)
+    out[:] = np.cumsum(freq, axis=1)
 
 
 #: Windows that are scored at a time.
@@ -123,8 +141,8 @@ def score_windows(windows: DataFrame, score_fn: Callable[[np.ndarray], np.ndarra
                 if not len(row):
                     continue
                 target, p = labels[row, col], score_fn(rows_of(part.column(2)))[row, col]
-                cum = quantise(np.exp(p), total)
                 at = np.arange(len(row))
+                cum = quantise(np.exp(p), total)
                 cols = [
                     part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + col, pa.int64()), pa.array(target.astype(np.int32)),
                     pa.array(p[at, target] / np.log(2)), pa.array(cum[at, target]), pa.array(cum[at, target + 1]), pa.array(np.full(len(row), total, np.int64)),
@@ -233,23 +251,32 @@ def chunk_symbols(token: Column, k: int, m: int, letters: int) -> Column:
 
 
 def step_probabilities(probs: DataFrame, k: int, m: int, letters: int) -> DataFrame:
-    """``key, token, step, p``: conditional probabilities whose product over the steps is the token's own.
+    """``key, token, step, symbol, width, p``: conditional probabilities whose product over the steps is the token's own.
 
-    Input: ``key, token, p`` for all letters**k tokens of each key.
+    Input: ``key, token, p`` of all letters**k tokens of each key, and of reserved tokens, whose ids follow
+    those. The root has the mass of all reserved tokens as symbol 0, then the mass of each first group; a reserved token
+    takes one more step, among the reserved. Masses are sums within a key: its rows are one group of V.
     """
-    widths = grouped_widths(k, m)
-    out, rest, parent = None, k, None
-    cur = probs
-    for step, w in enumerate(widths):
+    regular = letters**k
+    p = probs.withColumn("reserved", F.col("token") >= regular)
+    out, rest, cur = None, k, p.filter("not reserved")
+    parts = []
+    for step, w in enumerate(grouped_widths(k, m)):
         rest -= w
-        cur = cur.withColumn(f"g{step}", F.floor(F.col("token") / letters**rest).cast("long"))
-        mass = cur.groupBy("key", f"g{step}").agg(F.sum("p").alias(f"m{step}"))
-        cur = cur.join(mass, ["key", f"g{step}"])
-        above = F.col(f"m{step - 1}") if step else F.lit(1.0)
-        part = cur.select("key", "token", F.lit(step).alias("step"), (F.col(f"m{step}") / above).alias("p"))
-        out = part if out is None else out.unionByName(part)
-        parent = step
-    return out
+        prefix = F.floor(F.col("token") / letters**rest).cast("long")
+        cur = cur.withColumn(f"m{step}", F.sum("p").over(Window.partitionBy("key", prefix)))
+        symbol = prefix % letters**w
+        first = step == 0
+        parts.append(F.struct(F.lit(step).alias("step"), (symbol + 1 if first else symbol).cast("long").alias("symbol"), F.lit(letters**w + first).cast("long").alias("width"), (F.col(f"m{step}") if first else F.try_divide(f"m{step}", f"m{step - 1}")).alias("p")))
+    out = cur.select("key", "token", F.explode(F.array(*parts)).alias("s"))
+    other = Window.partitionBy("key")
+    root = letters ** grouped_widths(k, m)[0] + 1
+    mass = p.filter("reserved").withColumns({"m": F.sum("p").over(other), "n": F.count("*").over(other)})
+    two = F.array(
+        F.struct(F.lit(0).alias("step"), F.lit(0).cast("long").alias("symbol"), F.lit(root).cast("long").alias("width"), F.col("m").alias("p")),
+        F.struct(F.lit(1).alias("step"), (F.col("token") - regular).cast("long").alias("symbol"), F.col("n").alias("width"), F.try_divide("p", "m").alias("p")),
+    )
+    return out.unionByName(mass.select("key", "token", F.explode(two).alias("s"))).select("key", "token", "s.*")
 
 
 def prefix_tree(vocabulary: DataFrame) -> DataFrame:
@@ -259,40 +286,67 @@ def prefix_tree(vocabulary: DataFrame) -> DataFrame:
     return nodes.groupBy("prefix").agg(F.count("*").alias("n_pieces")).select("prefix", F.when(F.length("prefix") > 0, F.expr("substring(prefix, 1, length(prefix) - 1)")).alias("parent"), F.length("prefix").cast("long").alias("depth"), "n_pieces")
 
 
+#: The prefix under which the mass of reserved pieces stands.
+OTHER = "<other>"
+_RESERVED = "^<.*>$"
+
+
 def subtree_mass(probs: DataFrame) -> DataFrame:
-    """``key, prefix, mass`` from ``key, piece, p``: what lies at or under each prefix."""
-    spread = probs.select("key", "p", F.explode(F.transform(F.sequence(F.lit(0), F.length("piece")), lambda i: F.substring("piece", F.lit(1), i))).alias("prefix"))
-    return spread.groupBy("key", "prefix").agg(F.sum("p").alias("mass"))
+    """``key, prefix, mass, exact`` from ``key, piece, p``: what lies at or under each prefix, and at it; reserved ``<...>`` pieces are ``OTHER``."""
+    reserved = F.col("piece").rlike(_RESERVED)
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("piece")), lambda i: F.substring("piece", F.lit(1), i))
+    spread = probs.select("key", "piece", "p", F.explode(F.when(reserved, F.array(F.lit(OTHER))).otherwise(prefixes)).alias("prefix"))
+    return spread.groupBy("key", "prefix").agg(F.sum("p").alias("mass"), F.coalesce(F.sum(F.when(F.col("piece") == F.col("prefix"), F.col("p"))), F.lit(0.0)).alias("exact"))
 
 
-def base_stream(probs: DataFrame, targets: DataFrame, longest: int) -> DataFrame:
-    """``key, step, symbol, p``: the target piece base by base; a short piece ends with a stop (empty symbol)."""
+def _steps(probs: DataFrame, targets: DataFrame, n_steps: Column, m: int) -> DataFrame:
+    """Each target's steps of m bases with the masses at the prefix before (``at_``) and behind (``next_``) it, and of reserved pieces."""
     mass = subtree_mass(probs)
-    steps = targets.select("key", F.col("piece").alias("target"), F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(longest - 1)))).alias("step"))
-    steps = steps.withColumns({"at": F.substring("target", F.lit(1), F.col("step")), "next": F.substring("target", F.lit(1), F.col("step") + 1)})
+    steps = targets.select("key", F.col("piece").alias("target"), F.explode(F.sequence(F.lit(0), n_steps - 1)).alias("step"))
+    steps = steps.withColumns({"at": F.substring("target", F.lit(1), F.col("step") * m), "next": F.substring("target", F.lit(1), (F.col("step") + 1) * m)})
+    of = lambda name: mass.withColumnsRenamed({"prefix": name, "mass": f"{name}_mass", "exact": f"{name}_exact"})
+    other = mass.filter(F.col("prefix") == OTHER).select("key", F.col("mass").alias("other"))
+    j = steps.join(of("at"), ["key", "at"]).join(of("next"), ["key", "next"]).join(other, "key", "left")
+    return j.withColumn("other", F.when(F.col("step") == 0, F.coalesce("other", F.lit(0.0))).otherwise(0.0))
+
+
+def _number(bases: Column, letters: str) -> Column:
+    """Bases as a number, the first most significant."""
+    digits = F.translate(bases, letters, "0123456789"[: len(letters)])
+    return F.coalesce(F.conv(digits, len(letters), 10).cast("long"), F.lit(0).cast("long"))
+
+
+def base_stream(probs: DataFrame, targets: DataFrame, longest: int, letters: str = "NAGCT") -> DataFrame:
+    """``key, step, symbol, p``: the target piece base by base. Symbol 0 is "reserved" at the root and "stop" beyond it; bases are 1 to 5.
+
+    A piece of ``longest`` bases needs no stop.
+    """
+    j = _steps(probs, targets, F.least(F.length("piece") + 1, F.lit(longest)), 1)
     stop = F.length("target") == F.col("step")
-    exact = probs.select("key", F.col("piece").alias("target"), F.col("p").alias("exact"))
-    j = steps.join(mass.withColumnsRenamed({"prefix": "at", "mass": "above"}), ["key", "at"]).join(mass.withColumnsRenamed({"prefix": "next", "mass": "below"}), ["key", "next"]).join(exact, ["key", "target"])
-    p = F.when(stop, F.col("exact")).otherwise(F.col("below")) / F.col("above")
-    return j.select("key", "step", F.when(stop, "").otherwise(F.expr("substring(target, step + 1, 1)")).alias("symbol"), p.alias("p"))
+    symbol = F.when(stop, F.lit(0).cast("long")).otherwise(_number(F.expr("substring(target, step + 1, 1)"), letters) + 1)
+    p = F.try_divide(F.when(stop, F.col("at_exact")).otherwise(F.col("next_mass")), F.col("at_mass") + F.col("other"))
+    return j.select("key", "step", symbol.alias("symbol"), p.alias("p"))
 
 
-def grouped_stream(probs: DataFrame, targets: DataFrame, m: int) -> DataFrame:
-    """``key, step, symbol, p`` in groups of m bases: a step either ends the piece with its last 1 to m bases, or continues."""
-    mass = subtree_mass(probs)
-    steps = targets.select("key", F.col("piece").alias("target"), F.explode(F.sequence(F.lit(0), F.ceil(F.length("piece") / m).cast("int") - 1)).alias("step"))
-    steps = steps.withColumns({"at": F.substring("target", F.lit(1), F.col("step") * m), "next": F.substring("target", F.lit(1), (F.col("step") + 1) * m)})
-    ends = F.length("target") <= (F.col("step") + 1) * m
-    exact = probs.select("key", F.col("piece").alias("target"), F.col("p").alias("exact"))
-    own = probs.select("key", F.col("piece").alias("at"), F.col("p").alias("at_exact"))
-    own_next = probs.select("key", F.col("piece").alias("next"), F.col("p").alias("next_exact"))
-    j = steps.join(mass.withColumnsRenamed({"prefix": "at", "mass": "above"}), ["key", "at"]).join(mass.withColumnsRenamed({"prefix": "next", "mass": "below"}), ["key", "next"])
-    j = j.join(exact, ["key", "target"]).join(own, ["key", "at"], "left").join(own_next, ["key", "next"], "left")
-    # a piece that ended at ``at`` was the step before; what is left to tell apart excludes it
-    above = F.col("above") - F.when(F.col("step") > 0, F.coalesce("at_exact", F.lit(0.0))).otherwise(0.0)
-    below = F.col("below") - F.coalesce("next_exact", F.lit(0.0))
-    symbol = F.expr(f"substring(target, step * {m} + 1, {m})")
-    return j.select("key", "step", F.when(ends, symbol).otherwise(F.concat(symbol, F.lit("+"))).alias("symbol"), (F.when(ends, F.col("exact")).otherwise(below) / above).alias("p"))
+def grouped_stream(probs: DataFrame, targets: DataFrame, m: int, longest: int, letters: str = "NAGCT") -> DataFrame:
+    """``key, step, symbol, width, p`` in groups of m bases.
+
+    The symbols of a step: reserved (at the root only), then "ends after 1, 2, ... bases" block by block,
+    then "continues after m bases" if longer pieces can follow. ``width`` is how many there are.
+    """
+    n = len(letters)
+    j = _steps(probs, targets, F.ceil(F.length("piece") / m).cast("int"), m)
+    root, room = (F.col("step") == 0).cast("long"), F.lit(longest) - F.col("step") * m
+    left = F.length("target") - F.col("step") * m
+    ends = left <= m
+    before = lambda c: (F.pow(F.lit(n), c) - n) / (n - 1)  # noqa: E731  n + n**2 + ... + n**(c - 1)
+    terms = before(F.least(F.lit(m), room) + 1)
+    number = _number(F.expr(f"substring(target, step * {m} + 1, {m})"), letters)
+    symbol = root + F.when(ends, before(left)).otherwise(terms) + number
+    width = root + terms + F.when(room > m, F.lit(n**m)).otherwise(0)
+    above = F.when(F.col("step") == 0, F.col("other") + F.col("at_mass")).otherwise(F.col("at_mass") - F.col("at_exact"))
+    p = F.try_divide(F.when(ends, F.col("next_exact")).otherwise(F.col("next_mass") - F.col("next_exact")), above)
+    return j.select("key", "step", symbol.cast("long").alias("symbol"), width.cast("long").alias("width"), p.alias("p"))
 
 
 # --- side information, baselines, residuals ------------------------------------------------------
@@ -345,23 +399,29 @@ def latent_bits(mode: str, valid: Column, ratio: float, hidden: int, bottleneck:
 
 
 def residuals(rows: DataFrame, key: str) -> DataFrame:
-    """``key, nonzeros, density, indices, data, exact`` from arrays ``codes`` and ``prediction`` of equal length."""
+    """``key, nonzeros, density, indices, data`` from arrays ``codes`` and ``prediction`` of equal length; see ``restored``."""
     delta = F.zip_with("codes", "prediction", lambda a, b: a - b)
     d = rows.withColumn("delta", delta)
     at = F.filter(F.transform("delta", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
     d = d.withColumn("indices", at).withColumn("data", F.filter("delta", lambda x: x != 0))
-    back = F.zip_with("prediction", "delta", lambda a, b: a + b)
     n = F.size("indices").cast("long")
-    return d.select(key, n.alias("nonzeros"), (n / F.greatest(F.size("codes"), F.lit(1))).alias("density"), "indices", "data", (back == F.col("codes")).alias("exact"))
+    return d.select(key, n.alias("nonzeros"), (n / F.greatest(F.size("codes"), F.lit(1))).alias("density"), "indices", "data")
+
+
+def restored(prediction: Column, indices: Column, data: Column) -> Column:
+    """The codes that a prediction and its sparse residuals stand for."""
+    return let(F.map_from_arrays(indices, data), lambda at: F.transform(prediction, lambda p, i: p + F.coalesce(F.try_element_at(at, i), F.lit(0))))
 
 
 def csr(cells: DataFrame) -> DataFrame:
-    """``matrix, data, indices, indptr`` from ``matrix, row, col, value`` (rows 0 to n_rows - 1)."""
-    lines = cells.groupBy("matrix", "row", "n_rows").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("l"))
-    whole = lines.groupBy("matrix", "n_rows").agg(F.array_sort(F.collect_list(F.struct("row", "l"))).alias("rows"))
-    flat = F.flatten(F.transform("rows", lambda r: r["l"]))
-    sizes = F.transform(F.sequence(F.lit(0), F.col("n_rows")), lambda i: F.aggregate(F.filter("rows", lambda r: r["row"] < i), F.lit(0), lambda a, r: a + F.size(r["l"])))
-    return whole.select("matrix", F.transform(flat, lambda x: x["value"]).alias("data"), F.transform(flat, lambda x: x["col"]).alias("indices"), sizes.alias("indptr"))
+    """``matrix, row, start, indices, data`` from ``matrix, row, col, value``: one compressed row each, and where it starts in its matrix's arrays.
+
+    No row holds a whole matrix; ``start`` is what ``indptr`` has for the row.
+    """
+    lines = cells.groupBy("matrix", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("l"))
+    before = Window.partitionBy("matrix").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.size("l")).over(before), F.lit(0)).cast("long")
+    return lines.select("matrix", "row", start.alias("start"), F.transform("l", lambda x: x["col"]).alias("indices"), F.transform("l", lambda x: x["value"]).alias("data"))
 
 
 def recheck(decoded: DataFrame, originals: DataFrame) -> DataFrame:

@@ -43,8 +43,7 @@ def f2(spark, sf):
 @query("f3_frequency_total", "SELECT DISTINCT n AS vocab, CAST(pow(2, greatest(15, ceil(log2(greatest(32768, n + 1, ceil(n / 0.01)))))) AS BIGINT) AS total FROM (SELECT n_chars + 2 AS n FROM documents)")
 def f3(spark, sf):
     n = table(spark, sf, "documents").select((F.col("n_chars") + 2).alias("vocab")).distinct()
-    need = F.greatest(F.lit(32768), F.col("vocab") + 1, F.ceil(F.col("vocab") / 0.01))
-    return n.withColumn("total", F.pow(F.lit(2), F.greatest(F.lit(15), F.ceil(F.log2(need)))).cast("long"))
+    return n.withColumn("total", K.frequency_totals(F.col("vocab")))
 
 
 _TOTAL = frequency_total(64)
@@ -58,17 +57,12 @@ def _quantised(spark, sf):
     return K.quantised(p, "key", "p", _TOTAL)
 
 
-@query("f4_quantise")
+@query("f4_quantise", with_(_P, _Q) + "SELECT key, CAST(idx AS INTEGER) AS idx, freq FROM q")
 def f4(spark, sf):
-    """Sums and floors; single frequencies may differ from another engine's by one where doubles round otherwise."""
-    q = _quantised(spark, sf)
-    return q.groupBy("key").agg(F.sum("freq").alias("total"), F.min("freq").alias("least"), F.max("cum_high").alias("top"), F.count("*").alias("symbols"))
+    return _quantised(spark, sf).select("key", "idx", "freq")
 
 
-SQL["f4_quantise"] = with_(_P, _Q) + "SELECT key, CAST(sum(freq) AS BIGINT) AS total, min(freq) AS least, CAST(sum(freq) AS BIGINT) AS top, count(*) AS symbols FROM q GROUP BY key"
-
-
-@query("f5_target_interval")
+@query("f5_target_interval", with_(_P, _Q, "c AS (SELECT key, idx, freq, CAST(sum(freq) OVER (PARTITION BY key ORDER BY idx) AS BIGINT) AS cum_high FROM q)") + f"SELECT key, cum_high - freq AS cum_low, cum_high, CAST({_TOTAL} AS BIGINT) AS total FROM c JOIN embeddings ON key = vec_id AND idx = label")
 def f5(spark, sf):
     t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("idx"))
     return _quantised(spark, sf).join(t, ["key", "idx"]).select("key", "cum_low", "cum_high", F.lit(_TOTAL).cast("long").alias("total"))
@@ -112,16 +106,17 @@ def f6(spark, sf):
     return coded.select("source_name", "code_block", "symbols", F.length("coded").cast("long").alias("coded_bytes"))
 
 
-@query("f7_step_probabilities")
-def f7(spark, sf):
-    """64 probabilities as 3 letters of 4: conditional steps whose product is each token's own probability."""
-    p = _probs(spark, sf).select("key", F.posexplode(F.transform("log_p", lambda x: F.exp(x))).alias("token", "p"))
-    steps = K.step_probabilities(p, 3, 2, 4)
-    both = steps.groupBy("key", "token").agg(F.exp(F.sum(F.ln("p"))).alias("product")).join(p, ["key", "token"])
-    return both.groupBy("key").agg(F.round(F.max(F.abs(F.col("product") - F.col("p"))), 9).alias("worst"), F.count("*").alias("tokens"))
+_F7 = """t AS (SELECT key, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS token FROM p),
+m AS (SELECT *, token >= 27 AS reserved, sum(p) OVER (PARTITION BY key, token >= 27) AS other, sum(p) OVER (PARTITION BY key, token >= 27, token // 3) AS pair FROM t),
+s AS (SELECT key, token, 0 AS step, CASE WHEN reserved THEN 0 ELSE token // 3 + 1 END AS symbol, 10 AS width, CASE WHEN reserved THEN other ELSE pair END AS p FROM m
+UNION ALL SELECT key, token, 1, CASE WHEN reserved THEN token - 27 ELSE token % 3 END, CASE WHEN reserved THEN 37 ELSE 3 END, p / CASE WHEN reserved THEN other ELSE pair END FROM m)"""
 
 
-SQL["f7_step_probabilities"] = "SELECT vec_id AS key, CAST(0.0 AS DOUBLE) AS worst, CAST(64 AS BIGINT) AS tokens FROM embeddings"
+@query("f7_step_probabilities", with_(_P, _F7) + "SELECT key, CAST(token AS INTEGER) AS token, step, CAST(symbol AS BIGINT) AS symbol, CAST(width AS BIGINT) AS width, round(p, 9) AS p FROM s")
+def f7(spark, sf):
+    """64 probabilities: 3 letters of 3 in groups of two, and 37 reserved tokens."""
+    p = _probs(spark, sf).select("key", F.posexplode(F.transform("log_p", lambda x: F.exp(x))).alias("token", "p"))
+    return K.step_probabilities(p, 3, 2, 3).withColumn("p", F.round("p", 9))
 
 
 @query("f8_chunk_symbols", with_(SRC) + "SELECT doc_id, sha256(array_to_string(list_transform(regexp_extract_all(seq, '.{3}'), lambda m: ((strpos('ACGTN', m[1]) - 1) * 5 + strpos('ACGTN', m[2]) - 1) || '/' || (strpos('ACGTN', m[3]) - 1)), ',')) AS steps_sha256 FROM src")
@@ -141,41 +136,49 @@ def f9(spark, sf):
     return K.prefix_tree(pieces.union(pieces.sparkSession.createDataFrame([("<P>",)], "piece string")))
 
 
+def _pieces(spark):
+    """The first 60 pieces of the vocabulary, and four reserved ones behind them."""
+    return vocabulary(spark).withColumn("piece", F.when(F.col("id") >= 60, F.concat(F.lit("<r"), "id", F.lit(">"))).otherwise(F.col("piece")))
+
+
 def _piece_probs(spark, sf):
-    """64 probabilities on the first 64 pieces of the vocabulary."""
     p = _probs(spark, sf).select("key", F.posexplode(F.transform("log_p", lambda x: F.exp(x))).alias("id", "p"))
-    return p.join(F.broadcast(vocabulary(spark)), "id").select("key", "piece", "p")
+    return p.join(F.broadcast(_pieces(spark)), "id").select("key", "piece", "p")
+
+
+def _targets(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), (F.col("vec_id") % 60).alias("id")).join(F.broadcast(_pieces(spark)), "id").select("key", "piece")
 
 
 _PIECE = "CASE WHEN i < 5 THEN 'NAGCT'[i + 1] WHEN i < 30 THEN 'NAGCT'[(i - 5) // 5 + 1] || 'NAGCT'[(i - 5) % 5 + 1] ELSE 'NAGCT'[(i - 30) // 25 + 1] || 'NAGCT'[(i - 30) // 5 % 5 + 1] || 'NAGCT'[(i - 30) % 5 + 1] END"
-_PP = f"pp AS (SELECT key, {_PIECE} AS piece, p FROM (SELECT key, unnest(p) AS p, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS i FROM p))"
+_PP = f"pp AS (SELECT key, i >= 60 AS reserved, {_PIECE} AS piece, p FROM (SELECT key, unnest(p) AS p, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS i FROM p))"
+_MASS = """mass AS (SELECT key, prefix, sum(p) AS mass, coalesce(sum(p) FILTER (piece = prefix), 0) AS exact FROM (SELECT key, piece, p, unnest(list_transform(range(0, length(piece) + 1), lambda n: piece[1 : n])) AS prefix FROM pp WHERE NOT reserved) GROUP BY key, prefix),
+oth AS (SELECT key, sum(p) AS other FROM pp WHERE reserved GROUP BY key)"""
+_TARGET = f"t AS (SELECT key, {_PIECE} AS piece FROM (SELECT vec_id AS key, CAST(vec_id % 60 AS INTEGER) AS i FROM embeddings))"
+_BASE = "(strpos('NAGCT', {}) - 1)"
 
 
-@query("f10_subtree_mass", with_(_P, _PP) + "SELECT key, prefix, round(sum(p), 9) AS mass FROM (SELECT key, p, unnest(list_transform(range(0, length(piece) + 1), lambda n: piece[1 : n])) AS prefix FROM pp) GROUP BY key, prefix")
+@query("f10_subtree_mass", with_(_P, _PP, _MASS) + "SELECT key, prefix, round(mass, 9) AS mass, round(exact, 9) AS exact FROM mass UNION ALL SELECT key, '<other>', round(other, 9), 0.0 FROM oth")
 def f10(spark, sf):
     m = K.subtree_mass(_piece_probs(spark, sf))
-    return m.withColumn("mass", F.round("mass", 9))
-
-
-def _stream_check(spark, sf, stream):
-    probs = _piece_probs(spark, sf)
-    target = _probs(spark, sf).select("key", (F.col("key") % 64).alias("id")).join(F.broadcast(vocabulary(spark)), "id").select("key", "piece")
-    steps = stream(probs, target)
-    product = steps.groupBy("key").agg(F.exp(F.sum(F.ln("p"))).alias("product"), F.count("*").alias("steps"))
-    return product.join(target, "key").join(probs, ["key", "piece"]).select("key", "piece", "steps", F.round(F.col("product") - F.col("p"), 9).alias("error"))
+    return m.select("key", "prefix", F.round("mass", 9).alias("mass"), F.round("exact", 9).alias("exact"))
 
 
-_TARGET = f"t AS (SELECT key, {_PIECE} AS piece FROM (SELECT vec_id AS key, CAST(vec_id % 64 AS INTEGER) AS i FROM embeddings))"
-
-
-@query("f11_base_stream", with_(_TARGET) + "SELECT key, piece, CAST(least(length(piece) + 1, 3) AS BIGINT) AS steps, CAST(0.0 AS DOUBLE) AS error FROM t")
+@query("f11_base_stream", with_(_P, _PP, _MASS, _TARGET, "st AS (SELECT key, piece, unnest(range(0, CAST(least(length(piece) + 1, 3) AS BIGINT))) AS step FROM t)") + f"""SELECT key, CAST(step AS INTEGER) AS step, CAST(CASE WHEN step = length(piece) THEN 0 ELSE {_BASE.format("piece[step + 1]")} + 1 END AS BIGINT) AS symbol,
+round(CASE WHEN step = length(piece) THEN a.exact ELSE n.mass END / (a.mass + CASE WHEN step = 0 THEN other ELSE 0 END), 9) AS p
+FROM st JOIN mass a USING (key) JOIN mass n USING (key) JOIN oth USING (key) WHERE a.prefix = piece[1 : step] AND n.prefix = piece[1 : step + 1]""")
 def f11(spark, sf):
-    return _stream_check(spark, sf, lambda p, t: K.base_stream(p, t, 3))
+    return K.base_stream(_piece_probs(spark, sf), _targets(spark, sf), 3).withColumn("p", F.round("p", 9))
 
 
-@query("f12_grouped_stream", with_(_TARGET) + "SELECT key, piece, CAST(ceil(length(piece) / 2.0) AS BIGINT) AS steps, CAST(0.0 AS DOUBLE) AS error FROM t")
+@query("f12_grouped_stream", with_(_P, _PP, _MASS, _TARGET) + f"""SELECT key, 0 AS step, CAST(CASE length(piece) WHEN 1 THEN 1 + {_BASE.format("piece")} WHEN 2 THEN 6 + {_BASE.format("piece[1]")} * 5 + {_BASE.format("piece[2]")} ELSE 31 + {_BASE.format("piece[1]")} * 5 + {_BASE.format("piece[2]")} END AS BIGINT) AS symbol,
+CAST(56 AS BIGINT) AS width, round(CASE WHEN length(piece) <= 2 THEN m.exact ELSE m.mass - m.exact END / (r.mass + other), 9) AS p
+FROM t JOIN mass m USING (key) JOIN mass r USING (key) JOIN oth USING (key) WHERE m.prefix = piece[1 : 2] AND r.prefix = ''
+UNION ALL SELECT key, 1, CAST({_BASE.format("piece[3]")} AS BIGINT), CAST(5 AS BIGINT), round(m.exact / (r.mass - r.exact), 9)
+FROM t JOIN mass m USING (key) JOIN mass r USING (key) WHERE length(piece) = 3 AND m.prefix = piece AND r.prefix = piece[1 : 2]""")
 def f12(spark, sf):
-    return _stream_check(spark, sf, lambda p, t: K.grouped_stream(p, t, 2))
+    """Groups of two bases over pieces of three at most: 1 + 5 + 25 + 25 symbols at the root, then 5."""
+    return K.grouped_stream(_piece_probs(spark, sf), _targets(spark, sf), 2, 3).withColumn("p", F.round("p", 9))
 
 
 _BITS = "lpad(bin(length(t)), 3, '0') || array_to_string(list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: lpad(bin(strpos('NAGCT', c) - 1), 3, '0')), '')"
@@ -198,6 +201,13 @@ def f15(spark, sf):
     return K.baseline_sizes(sources(spark, sf))
 
 
+@query("f15_plain_sizes", with_(SRC) + "SELECT source_name, CAST(length(seq) AS BIGINT) AS ascii, CAST((2 * length(seq) + 7) // 8 AS BIGINT) AS two_bit FROM src")
+def f15b(spark, sf):
+    """The two baselines that need no codec."""
+    n = F.octet_length("seq").cast("long")
+    return sources(spark, sf).select("source_name", n.alias("ascii"), S.two_bit_bytes(n).alias("two_bit"))
+
+
 @query("f16_latent_bits", with_(SRC, "v AS (SELECT source_name, least(128, n - w * 128) AS valid FROM (SELECT source_name, length(seq) // 3 AS n, unnest(range(0, CAST(ceil((length(seq) // 3) / 128.0) AS BIGINT))) AS w FROM src))", "k AS (SELECT *, CAST(least(greatest(ceil(valid * 0.25), 1), valid) AS BIGINT) AS n FROM v)") + "SELECT source_name, CAST(sum(n) AS BIGINT) AS latents, CAST(sum((n * 64 * 2 + 4 + n * 2) * 8) AS BIGINT) AS dense_bits, CAST(sum((n * 8 * 2 + 4) * 8) AS BIGINT) AS continuous_bits, CAST(sum((8 * 2 + 4) * 8) AS BIGINT) AS flat_bits FROM k GROUP BY source_name")
 def f16(spark, sf):
     w = W.tumbling(tokens(spark, sf).select("source_name", "tokens"), 128, 125)
@@ -210,12 +220,14 @@ def f16(spark, sf):
     )
 
 
-@query("f17_residuals", with_(ACGT) + "SELECT doc_id, CAST(length(seq) - length(replace(seq, 'C', '')) AS BIGINT) AS same, CAST(length(replace(seq, 'C', '')) AS BIGINT) AS nonzeros, round(length(replace(seq, 'C', '')) / greatest(length(seq), 1), 9) AS density, true AS exact FROM acgt")
+@query("f17_residuals", with_(ACGT) + "SELECT doc_id, CAST(length(seq) - length(replace(seq, 'C', '')) AS BIGINT) AS same, CAST(length(replace(seq, 'C', '')) AS BIGINT) AS nonzeros, round(length(replace(seq, 'C', '')) / greatest(length(seq), 1), 9) AS density, sha256(seq) AS restored_sha256 FROM acgt")
 def f17(spark, sf):
     """Deltas against a constant prediction of C."""
     r = acgt(spark, sf).withColumn("codes", S.base_codes(F.col("seq"))).withColumn("prediction", F.transform("codes", lambda c: F.lit(2)))
-    out = K.residuals(r, "doc_id").join(r.select("doc_id", F.size("codes").alias("n")), "doc_id")
-    return out.select("doc_id", (F.col("n") - F.col("nonzeros")).alias("same"), "nonzeros", F.round("density", 9).alias("density"), "exact")
+    out = K.residuals(r, "doc_id").join(r.select("doc_id", "prediction"), "doc_id")
+    # restored from what is stored: prediction, places and values
+    back = S.from_base_codes(K.restored(F.col("prediction"), F.col("indices"), F.col("data")))
+    return out.select("doc_id", (F.size("prediction") - F.col("nonzeros")).alias("same"), "nonzeros", F.round("density", 9).alias("density"), F.sha2(back, 256).alias("restored_sha256"))
 
 
 @query("f18_recheck", with_(ACGT) + "SELECT source_name, doc_id % 7 <> 0 AS exact FROM acgt")

@@ -76,11 +76,57 @@ def test_scores_depend_on_window_place_and_context(spark):
 
 
 def test_csr_and_residuals(spark):
-    cells = spark.createDataFrame([(1, 0, 1, 1, 2), (1, 1, 0, -2, 2), (1, 1, 2, 3, 2)], "matrix int, row int, col int, value int, n_rows int")
-    r = K.csr(cells).first()
-    assert (r.data, r.indices, r.indptr) == ([1, -2, 3], [1, 0, 2], [0, 1, 3])
-    d = K.residuals(spark.createDataFrame([(1, [1, 2, 3, 4], [1, 2, 2, 1])], "id int, codes array<int>, prediction array<int>"), "id").first()
-    assert (d.nonzeros, d.indices, d.data, d.exact) == (2, [2, 3], [1, 3], True)
+    cells = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 0, -2), (1, 1, 2, 3), (2, 4, 0, 7)], "matrix int, row int, col int, value int")
+    rows = [(r.matrix, r.row, r.start, r.indices, r.data) for r in K.csr(cells).orderBy("matrix", "row").collect()]
+    assert rows == [(1, 0, 0, [1], [1]), (1, 1, 1, [0, 2], [-2, 3]), (2, 4, 0, [0], [7])]
+    d = K.residuals(spark.createDataFrame([(1, [1, 2, 3, 4], [1, 2, 2, 1])], "id int, codes array<int>, prediction array<int>"), "id")
+    r = d.withColumn("back", K.restored(F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(1)), F.col("indices"), F.col("data"))).first()
+    assert (r.nonzeros, r.indices, r.data, r.back) == (2, [2, 3], [1, 3], [1, 2, 3, 4])
+
+
+def test_column_form_of_the_quantiser(spark):
+    """Within one of the numpy form everywhere; and both take back from the largest where too much was given."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(20) * 0.3, 60)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "key int, p array<double>")
+    got = np.zeros(p.shape, np.int64)
+    for r in K.quantised(df, "key", "p", 1 << 15).collect():
+        got[r.key, r.idx] = r.freq
+    want = np.diff(K.quantise(p, 1 << 15), axis=1)
+    assert (got.sum(1) == 1 << 15).all() and (got >= 1).all() and np.abs(got - want).max() <= 1
+    ones = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "key int, p array<double>")
+    assert [r.freq for r in K.quantised(ones, "key", "p", 10).orderBy("idx").collect()] == [8, 1, 1]
+
+
+def test_steps_multiply_to_the_tokens_own_probability(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.ones(29))
+    df = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(p)], "key int, token int, p double")
+    rows = K.step_probabilities(df, 3, 2, 3).collect()
+    product, symbols = {}, {}
+    for r in rows:
+        product[r.token] = product.get(r.token, 1.0) * r.p
+        symbols.setdefault(r.token, {})[r.step] = (r.symbol, r.width)
+    assert np.allclose([product[i] for i in range(29)], p)
+    assert symbols[14] == {0: (5, 10), 1: (2, 3)} and symbols[28] == {0: (0, 10), 1: (1, 2)}
+
+
+def test_streams_multiply_to_the_pieces_own_probability(spark):
+    pieces = ["N", "A", "AC", "ACG", "ACT", "ACTN", "TT", "<a>", "<b>"]
+    p = np.random.default_rng(5).dirichlet(np.ones(len(pieces)))
+    probs = spark.createDataFrame([(k, x, float(v)) for k in range(7) for x, v in zip(pieces, p, strict=True)], "key int, piece string, p double")
+    targets = spark.createDataFrame(list(enumerate(pieces[:7])), "key int, piece string")
+    for rows, width in ((K.base_stream(probs, targets, 4).collect(), None), (K.grouped_stream(probs, targets, 2, 4).collect(), 56), (K.grouped_stream(probs, targets, 3, 4).collect(), 281)):
+        product = dict.fromkeys(range(7), 1.0)
+        for r in rows:
+            product[r.key] *= r.p
+            if width and r.step == 0:
+                assert r.width == width and 0 < r.symbol < width
+        assert np.allclose([product[i] for i in range(7)], p[:7])
+    symbols = {(r.key, r.step): r.symbol for r in K.base_stream(probs, targets, 4).collect()}
+    assert [symbols[3, s] for s in range(4)] == [2, 4, 3, 0] and (5, 3) in symbols and (5, 4) not in symbols
+    grouped = {(r.key, r.step): r.symbol for r in K.grouped_stream(probs, targets, 2, 4).collect()}
+    assert grouped[1, 0] == 1 + 1 and grouped[2, 0] == 6 + 1 * 5 + 3 and grouped[5, 0] == 31 + 8 and grouped[5, 1] == 5 + 4 * 5 + 0
 
 
 def test_tail_side_info(spark):
