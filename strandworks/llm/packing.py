@@ -41,7 +41,7 @@ CACHE_SLOTS, CHUNK = 1 << 21, 1 << 20
 #: Tokens of one row. Longer documents travel in several, so that ranges of rows are ranges of tokens too.
 SHARD = 1024
 #: Rows of each partition that the splitters are taken from (Spark takes a million in all at most).
-SAMPLED_ROWS = 1000
+SAMPLED_ROWS = 200
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
