@@ -41,7 +41,7 @@ GRAM = 8
 #: Leading words that a group's suffixes share; the last is the whole anchor.
 PREFIXES = (1, 2, 4, 8)
 #: Suffixes in one group (about 48 words each); those that are held, and windows that are sorted, at a time.
-GROUP, HELD_ROWS, HELD_WINDOWS = 2_000, 20_000, 1_000_000
+GROUP, HELD_ROWS, HELD_WINDOWS = 500, 20_000, 1_000_000
 #: Bytes of text whose words are told apart at a time.
 CHUNK = 1 << 21
 
