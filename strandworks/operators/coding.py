@@ -398,6 +398,12 @@ def latent_bits(mode: str, valid: Column, ratio: float, hidden: int, bottleneck:
     return ((width * dtype_bytes + 4 + (n * dtype_bytes if scores else 0)) * 8).cast("long")
 
 
+def whole_latent_bits(mode: str, valid: Column, windows: Column, hidden: int, code: int, flat: int, dtype_bytes: int) -> Column:
+    """The other family's rule: a latent vector for each valid place (or one for each window), no count of them and no scores."""
+    width = {"dense": valid * hidden, "continuous_bottleneck": valid * code, "flatten_bottleneck": windows * flat}[mode]
+    return ((width * dtype_bytes + windows * 4) * 8).cast("long")
+
+
 def residuals(rows: DataFrame, key: str) -> DataFrame:
     """``key, nonzeros, density, indices, data`` from arrays ``codes`` and ``prediction`` of equal length; see ``restored``."""
     delta = F.zip_with("codes", "prediction", lambda a, b: a - b)

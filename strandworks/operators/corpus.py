@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +33,13 @@ def non_empty(sources: DataFrame) -> DataFrame:
     return sources.filter(F.length("seq") > 0)
 
 
+def require_sources(sources: DataFrame) -> None:
+    """An error that names species (20 at most) of which no source has a sequence."""
+    lost = sources.groupBy("species").agg(F.max(F.length("seq")).alias("n")).filter("n is null or n = 0").limit(20).collect()
+    if lost:
+        raise ValueError(f"no sequence left for {sorted(r.species for r in lost)}")
+
+
 def prefix_sample(sources: DataFrame, limit: int | None) -> DataFrame:
     """The first ``limit`` characters of each source; all of it for none or a limit below one."""
     return sources if not limit or limit <= 0 else sources.withColumn("seq", F.substring("seq", 1, limit))
@@ -69,34 +73,6 @@ def concat_offsets(lengths: DataFrame, gap: int, order: str) -> DataFrame:
     return lengths.withColumn("start", F.coalesce(F.sum(F.col("length") + gap).over(w), F.lit(0)).cast("long"))
 
 
-def concat_sources(sources: DataFrame, gap: str, order: str) -> DataFrame:
-    """Small species joined whole. Genomes keep their blocks and take ``concat_offsets`` instead."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "seq"))), lambda x: x["seq"])
-    return sources.groupBy("species").agg(F.array_join(parts, gap).alias("seq"), F.count("*").alias("sequence_count"))
-
-
-def concat_digests(sources: DataFrame, gap: str, order: str) -> DataFrame:
-    """``species, seq_sha256, sequence_count`` of each species joined: digested row by row, so the joined text is never held."""
-
-    def run(batches):
-        species, digest, n, some = None, None, 0, False
-        for batch in batches:
-            for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest is None or name != species:
-                    if digest is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([species], pa.string()), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["species", "seq_sha256", "sequence_count"])
-                    species, digest, n, some = name, hashlib.sha256(), 0, False
-                n += 1
-                if seq is not None:
-                    digest.update(((gap if some else "") + seq).encode())
-                    some = True
-        if digest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([species], pa.string()), pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], ["species", "seq_sha256", "sequence_count"])
-
-    rows = sources.repartition("species").sortWithinPartitions("species", F.col(order).asc_nulls_last(), "seq")
-    return rows.select("species", "seq").mapInArrow(run, "species string, seq_sha256 string, sequence_count long")
-
-
 def observed_alphabet(sources: DataFrame, *keys: str) -> DataFrame:
     """Sorted distinct characters per key (or over all)."""
     letters = sources.select(*keys, F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).filter("c <> ''").distinct()
@@ -126,15 +102,34 @@ def too_small(splits: DataFrame, least: int = 2) -> DataFrame:
     return splits.groupBy("source_name").agg(F.min("size").alias("least")).filter(F.col("least") < least)
 
 
+def require_splits(splits: DataFrame, least: int = 2) -> None:
+    """An error that names sources (20 at most) of which a split is too small."""
+    lost = too_small(splits, least).limit(20).collect()
+    if lost:
+        raise ValueError(f"fewer than {least} characters in a split of {sorted(r.source_name for r in lost)}")
+
+
+#: What a summary row says about its source; columns that a table lacks are null.
+SOURCE_FIELDS = {
+    "source_mode": "string", "source_path": "string", "sequence_keys": "array<string>", "sequence_files": "array<string>", "clean_cache_status": "string", "clean_cache_path": "string",
+}
+
+
 def split_summary(splits: DataFrame) -> DataFrame:
-    """One row per source with the start and size of each split."""
+    """One row per source: what it was made of, how long it is, start and size of each split, state of its clean table."""
     of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
-    return splits.groupBy("species", "source_name").agg(*(of(s, c) for s in SPLITS for c in ("start", "size")))
+    have = [F.first(c).alias(c) if c in splits.columns else F.lit(None).cast(t).alias(c) for c, t in SOURCE_FIELDS.items()]
+    out = splits.groupBy("species", "source_name").agg(*have, *(of(s, c) for s in SPLITS for c in ("start", "size")))
+    total = F.col(f"{SPLITS[-1]}_start") + F.col(f"{SPLITS[-1]}_size")
+    return out.withColumns({"selected_sequence_count": F.size(F.coalesce("sequence_keys", F.array().cast("array<string>"))).cast("long"), "total_size": total})
 
 
 def dataset_totals(splits: DataFrame) -> DataFrame:
+    """Species, bytes in all and by split, and how many letters the sequences use."""
     of = lambda s: F.sum(F.when(F.col("split") == s, F.col("size")).otherwise(0)).cast("long").alias(f"{s}_bytes")
-    return splits.agg(F.countDistinct("species").alias("species_count"), F.sum("size").cast("long").alias("total_bytes"), *map(of, SPLITS))
+    totals = splits.agg(F.countDistinct("species").alias("species_count"), F.sum("size").cast("long").alias("total_bytes"), *map(of, SPLITS))
+    letters = splits.select(F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).filter("c <> ''").agg(F.countDistinct("c").alias("alphabet_size"))
+    return totals.join(F.broadcast(letters))  # one row each
 
 
 def window_starts_available(sources: DataFrame, seq_length: int, keep_short: bool) -> DataFrame:
@@ -153,13 +148,19 @@ def sampling_weights(available: DataFrame, strategy: str) -> DataFrame:
 def sample_windows(weighted: DataFrame, samples: int, seed: int, order: str) -> DataFrame:
     """``sample_index, source_name, start``: one weighted draw per index, the same for the same seed.
 
-    Cumulative weights are a prefix sum over sources; draws are hashes of (seed, index), and meet
-    their source in a range join on the scaled cumulative weight, bucketed so that it is an equi-join.
+    Cumulative weights are prefix sums within hashed buckets of sources, lifted by the sums of the buckets
+    before; draws are hashes of (seed, index), and meet their source in a range join on the scaled cumulative
+    weight, dealt to cells so that it is an equi-join.
     """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per source
-    total = Window.partitionBy()
-    cells = 4096
-    c = weighted.withColumn("hi", F.sum("weight").over(w) / F.sum("weight").over(total)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(order)), F.lit(0.0)))
+    buckets, cells = 256, 4096
+    bucket = F.pmod(F.xxhash64(order), F.lit(buckets))
+    own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = weighted.withColumn("bucket", bucket)
+    sums = b.groupBy("bucket").agg(F.sum("weight").alias("w"))  # one row per bucket, so windows over all of them are small
+    before = F.coalesce(F.sum("w").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    base = sums.select("bucket", before.alias("before"), F.sum("w").over(Window.partitionBy()).alias("total"))
+    c = b.join(F.broadcast(base), "bucket").withColumn("upto", F.col("before") + F.sum("weight").over(own))
+    c = c.withColumns({"hi": F.col("upto") / F.col("total"), "lo": (F.col("upto") - F.col("weight")) / F.col("total")})
     c = c.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.least(F.col("hi"), F.lit(1 - 1e-12)) * cells))))
     unit = lambda tag: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     draws = weighted.sparkSession.range(samples).withColumns({"u": unit("source"), "v": unit("start")}).withColumn("cell", F.floor(F.col("u") * cells))
@@ -167,13 +168,20 @@ def sample_windows(weighted: DataFrame, samples: int, seed: int, order: str) ->
     return hit.select(F.col("id").alias("sample_index"), "source_name", F.floor(F.col("v") * F.col("available")).cast("long").alias("start"))
 
 
-def shuffled_split(chunks: DataFrame, seed: int, ratio: float, key: str) -> DataFrame:
-    """Chunks in seeded order; the last ``int(n * ratio)`` are validation (train keeps one at least)."""
-    n = chunks.count()
-    val = min(int(n * ratio), max(0, n - 1))
-    ordered = chunks.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF([*ordered.columns, "rank"])
-    return numbered.withColumn("split", F.when(F.col("rank") >= n - val, "val").otherwise("train")).drop("_h")
+def shuffled_split(chunks: DataFrame, seed: int, ratio: float, key: str, bits: int = 12) -> DataFrame:
+    """Chunks in seeded order (``rank``); the last ``int(n * ratio)`` are validation (train keeps one at least).
+
+    The order is that of a hash; its top bits part it into 2**bits ranges of about equal size, which are ranked each by itself and lifted
+    by the counts of the ranges before.
+    """
+    ranged = chunks.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.shiftright("_h", 64 - bits))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("_range", before.alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) - 1
+    val = F.least(F.floor(F.col("n") * ratio), F.col("n") - 1)
+    out = ranged.join(F.broadcast(base), "_range").withColumn("rank", rank)
+    return out.withColumn("split", F.when(F.col("rank") >= F.col("n") - val, "val").otherwise("train")).select(*chunks.columns, "rank", "split")
 
 
 def samples_per_pass(train_sizes: DataFrame, seq_length: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +20,47 @@ def append_eos(tokens: Column, eos: int) -> Column:
     return F.concat(tokens, F.array(F.lit(eos).cast("long")))
 
 
+#: Pieces of a vocabulary at most: 6**9 are 10 million.
+VOCABULARY = 1 << 24
+
+
 def dictionary_tokens(rows: DataFrame, vocabulary: DataFrame, k: int, unk: int, drop_tail: bool = False, seq: str = "seq") -> DataFrame:
     """``source_name, token_ids, base_lengths, tail_sequence, total_bases``: pieces of k looked up in (piece, id).
 
-    The vocabulary is 6**k entries at most; Spark broadcasts it if its size allows.
+    The vocabulary, whose size is checked, goes to the tasks; pieces are looked up where they are, so nothing is shuffled.
     """
+    entries = vocabulary.select("piece", "id").limit(VOCABULARY + 1).toPandas()
+    if len(entries) > VOCABULARY:
+        raise ValueError(f"a vocabulary has at most {VOCABULARY} pieces")
+    known, ids = pa.array(entries["piece"], pa.string()), np.append(entries["id"].to_numpy(np.int64), unk)
+
+    @F.arrow_udf("array<long>")
+    def look_up(pieces: pa.Array) -> pa.Array:
+        at = pc.index_in(pieces.flatten(), value_set=known).fill_null(len(known)).to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).fill_null(0).to_numpy())]), pa.int32()), pa.array(ids[at]))
+
     s = F.upper(F.regexp_replace(seq, "^\\s+|\\s+$", ""))
     pieces = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{k}}}"), F.lit(0))
-    last_short = F.length(s) % k != 0
-    cut = F.when(last_short & F.lit(drop_tail), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(pieces)
-    base = rows.select("source_name", s.alias("s"), cut.alias("pieces"), F.when(last_short & F.lit(drop_tail), F.element_at(pieces, -1)).otherwise("").alias("tail_sequence"))
-    flat = base.select("source_name", F.posexplode("pieces").alias("pos", "piece"))
-    ids = flat.join(vocabulary.select("piece", "id"), "piece", "left").groupBy("source_name").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk)).cast("long").alias("id"), F.length("piece").alias("n")))).alias("t")
-    )
-    empty = F.array().cast("array<long>")
-    out = base.select("source_name", "tail_sequence", F.length("s").cast("long").alias("total_bases")).join(ids, "source_name", "left")
-    return out.select("source_name", F.coalesce(F.transform("t", lambda x: x["id"]), empty).alias("token_ids"), F.coalesce(F.transform("t", lambda x: x["n"].cast("long")), empty).alias("base_lengths"), "tail_sequence", "total_bases")
+    cut_off = (F.length(s) % k != 0) & F.lit(drop_tail)
+    cut = F.when(cut_off, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(pieces)
+    base = rows.select("source_name", s.alias("s"), cut.alias("pieces"), F.when(cut_off, F.element_at(pieces, -1)).otherwise("").alias("tail_sequence"))
+    lengths = F.transform("pieces", lambda x: F.length(x).cast("long"))
+    return base.select("source_name", look_up("pieces").alias("token_ids"), lengths.alias("base_lengths"), "tail_sequence", F.length("s").cast("long").alias("total_bases"))
+
+
+def prefix_ids(species: Column, prefixes: dict[str, str], vocabulary: DataFrame) -> Column:
+    """The ids of the species' prefix: none or one. A prefix token that the vocabulary lacks is an error, before any job runs."""
+    tokens = {k: v if v.startswith("<") and v.endswith(">") else f"<{v}>" for k, v in ((k, (v or "").strip()) for k, v in prefixes.items()) if v}
+    known = {r.piece: r.id for r in vocabulary.filter(F.col("piece").isin([*tokens.values(), ""])).select("piece", "id").collect()}
+    lost = sorted({v for v in tokens.values() if v not in known})
+    if lost:
+        raise ValueError(f"the vocabulary has no {', '.join(lost)}")
+    none = F.array().cast("array<long>")
+    if not tokens:
+        return none
+    table = F.create_map(*[F.lit(x) for k, v in tokens.items() for x in (k, known[v])])
+    got = F.try_element_at(table, species)
+    return F.when(got.isNull(), none).otherwise(F.array(got.cast("long")))
 
 
 def prefix_token(species: Column, prefixes: dict[str, str]) -> Column:

@@ -220,6 +220,13 @@ def f16(spark, sf):
     )
 
 
+@query("f16_whole_latent_bits", with_(SRC, "v AS (SELECT source_name, length(seq) // 3 AS n, CAST(ceil((length(seq) // 3) / 128.0) AS BIGINT) AS w FROM src)") + "SELECT source_name, CAST((n * 64 * 2 + w * 4) * 8 AS BIGINT) AS dense_bits, CAST((n * 8 * 2 + w * 4) * 8 AS BIGINT) AS continuous_bits, CAST((w * 16 * 2 + w * 4) * 8 AS BIGINT) AS flat_bits FROM v WHERE w > 0")
+def f16b(spark, sf):
+    w = W.tumbling(tokens(spark, sf).select("source_name", "tokens"), 128, 125).groupBy("source_name").agg(F.sum("valid").alias("v"), F.count("*").alias("w"))
+    of = lambda mode: K.whole_latent_bits(mode, F.col("v"), F.col("w"), 64, 8, 16, 2)
+    return w.select("source_name", of("dense").alias("dense_bits"), of("continuous_bottleneck").alias("continuous_bits"), of("flatten_bottleneck").alias("flat_bits"))
+
+
 @query("f17_residuals", with_(ACGT) + "SELECT doc_id, CAST(length(seq) - length(replace(seq, 'C', '')) AS BIGINT) AS same, CAST(length(replace(seq, 'C', '')) AS BIGINT) AS nonzeros, round(length(replace(seq, 'C', '')) / greatest(length(seq), 1), 9) AS density, sha256(seq) AS restored_sha256 FROM acgt")
 def f17(spark, sf):
     """Deltas against a constant prediction of C."""

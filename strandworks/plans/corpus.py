@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
+from strandworks.operators import blocks as B
 from strandworks.operators import corpus as C
 from strandworks.plans.base import SPLIT, SRC, documents, sources, table, with_
 from strandworks.sources import fasta
@@ -150,9 +151,13 @@ def c1(spark, sf):
     return C.separate(sources(spark, sf)).select("source_name", F.length("seq").cast("long").alias("size"))
 
 
-@query("c2_concat", with_(SRC) + "SELECT species, sha256(string_agg(seq, repeat('N', 6) ORDER BY doc_id)) AS seq_sha256, count(*) AS sequence_count FROM src GROUP BY species")
+@query("c2_concat", with_(SRC, "j AS (SELECT species, string_agg(seq, repeat('N', 6) ORDER BY doc_id) AS s FROM src GROUP BY species)") + "SELECT species, b AS block_id, b * 100000 AS start, sha256(s[b * 100000 + 1 : b * 100000 + 100000]) AS seq_sha256 FROM (SELECT species, s, unnest(range(0, CAST(ceil(length(s) / 100000.0) AS BIGINT))) AS b FROM j)")
 def c2(spark, sf):
-    return C.concat_digests(sources(spark, sf), C.boundary("ACGTN", 2, 3), "doc_id")
+    """Species joined up, in blocks of the joined text."""
+    src, gap = sources(spark, sf), C.boundary("ACGTN", 2, 3)
+    starts = C.concat_offsets(src.select("source_name", "doc_id", "species", F.length("seq").alias("length")), len(gap), "doc_id")
+    out = B.concatenated(src.select("species", "source_name", "seq"), starts.select("source_name", "start"), gap, 100_000)
+    return out.select("species", "block_id", "start", F.sha2("seq", 256).alias("seq_sha256"))
 
 
 @query("c2_concat_offsets", with_(SRC) + "SELECT doc_id, species, CAST(coalesce(sum(length(seq) + 6) OVER (PARTITION BY species ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM src")
@@ -186,13 +191,14 @@ def c7(spark, sf):
     return C.too_small(C.split_table(sources(spark, sf)))
 
 
-@query("c8_split_summary", with_(SRC, SPLIT) + """SELECT species, source_name, max(start) FILTER (split = 'train') AS train_start, max(size) FILTER (split = 'train') AS train_size, max(start) FILTER (split = 'val') AS val_start, max(size) FILTER (split = 'val') AS val_size,
+@query("c8_split_summary", with_(SRC, SPLIT) + """SELECT species, source_name, 'flat_file' AS source_mode, CAST(max(doc_id) AS VARCHAR) AS keys, CAST(1 AS BIGINT) AS selected_sequence_count, CAST(sum(size) AS BIGINT) AS total_size, max(start) FILTER (split = 'train') AS train_start, max(size) FILTER (split = 'train') AS train_size, max(start) FILTER (split = 'val') AS val_start, max(size) FILTER (split = 'val') AS val_size,
 max(start) FILTER (split = 'test') AS test_start, max(size) FILTER (split = 'test') AS test_size FROM spl GROUP BY species, source_name""")
 def c8(spark, sf):
-    return C.split_summary(C.split_table(sources(spark, sf)))
+    src = sources(spark, sf).withColumns({"source_mode": F.lit("flat_file"), "sequence_keys": F.array("sequence_key")})
+    return C.split_summary(C.split_table(src)).select("species", "source_name", "source_mode", F.array_join("sequence_keys", ",").alias("keys"), "selected_sequence_count", "total_size", *(f"{s}_{c}" for s in C.SPLITS for c in ("start", "size")))
 
 
-@query("c9_dataset_totals", with_(SRC, SPLIT) + "SELECT count(DISTINCT species) AS species_count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(size) FILTER (split = 'train') AS BIGINT) AS train_bytes, CAST(sum(size) FILTER (split = 'val') AS BIGINT) AS val_bytes, CAST(sum(size) FILTER (split = 'test') AS BIGINT) AS test_bytes FROM spl")
+@query("c9_dataset_totals", with_(SRC, SPLIT) + "SELECT count(DISTINCT species) AS species_count, (SELECT count(DISTINCT c) FROM (SELECT unnest(string_split(seq, '')) AS c FROM src) WHERE c <> '') AS alphabet_size, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(size) FILTER (split = 'train') AS BIGINT) AS train_bytes, CAST(sum(size) FILTER (split = 'val') AS BIGINT) AS val_bytes, CAST(sum(size) FILTER (split = 'test') AS BIGINT) AS test_bytes FROM spl")
 def c9(spark, sf):
     return C.dataset_totals(C.split_table(sources(spark, sf)))
 
@@ -216,7 +222,7 @@ def c11(spark, sf):
     return C.window_starts_available(sources(spark, sf), 128, keep_short=True).select("source_name", "available")
 
 
-@query("c12_shuffled_split")
+@query("c12_shuffled_split")  # the order is that of Spark's own hash
 def c12(spark, sf):
     return C.shuffled_split(documents(spark, sf).select("doc_id", "species"), 11, 0.1, "doc_id")
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandworks.operators import blocks as B
 from strandworks.operators import corpus as C
 from strandworks.operators import metrics as M
 from strandworks.operators import report as R
 from strandworks.plans.base import SPLIT, SRC, sources, table, with_
 from strandworks.plans.tokens import TOK, tokens
+from strandworks.sources.fasta import blocks_of
 from strandworks.streaming import events as E
 
 QUERIES, SQL = {}, {}
@@ -123,6 +125,11 @@ def g11(spark, sf):
     return M.kmer_counts(sources(spark, sf), "doc_id", 4)
 
 
+@query("g11_block_kmers", with_(SRC, _OCC, _CNT) + "SELECT source_name, kmer, count FROM cnt JOIN src USING (doc_id)")
+def g11_blocks(spark, sf):
+    return B.kmer_counts(blocks_of(sources(spark, sf).select("source_name", "seq"), 1000), 4)
+
+
 @query("g12_fasta_totals", with_(SRC) + "SELECT count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS bases FROM src")
 def g12(spark, sf):
     return sources(spark, sf).agg(F.count("*").alias("records"), F.sum(F.length("seq")).cast("long").alias("bases"))

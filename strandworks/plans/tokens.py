@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
 from strandworks.functions.config import overlap_stride
+from strandworks.operators import blocks as B
 from strandworks.operators import corpus as C
 from strandworks.operators import windows as W
 from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, sources, table, with_
+from strandworks.sources.fasta import blocks_of
 
 QUERIES, SQL = {}, {}
 
@@ -182,3 +184,35 @@ SELECT doc_id, i AS chunk_id, rpad(translate(seq[i * 64 + 1 : i * 64 + 64], 'ACG
 def e9(spark, sf):
     codes = acgt(spark, sf).select("doc_id", F.transform(S.base_codes(F.col("seq")), lambda c: c.cast("long")).alias("tokens"))
     return W.chunks(codes, 64).select("doc_id", "chunk_id", F.array_join("codes", "").alias("codes"), "padding")
+
+
+#: Characters of a block in these queries; no multiple of the k-mers' length, so that blocks begin at every phase.
+BLOCK = 1000
+
+
+def seq_blocks(spark, sf):
+    return blocks_of(sources(spark, sf).select("source_name", "seq"), BLOCK)
+
+
+@query("d2_block_tokens", with_(SRC, TOK) + f"""SELECT source_name, b AS block_id, CAST(ceil(b * {BLOCK} / 3.0) AS BIGINT) AS first_token, sha256(array_to_string(tokens[CAST(ceil(b * {BLOCK} / 3.0) AS BIGINT) + 1 : CAST(ceil((b + 1) * {BLOCK} / 3.0) AS BIGINT)], ',')) AS ids_sha256
+FROM (SELECT source_name, tokens, unnest(range(0, CAST(ceil(length(seq) / {BLOCK}.0) AS BIGINT))) AS b FROM tok)""")
+def d2_blocks(spark, sf):
+    """Token ids over blocks, each block's first k-mer wherever its phase puts it."""
+    return B.block_tokens(seq_blocks(spark, sf), 3).select("source_name", "block_id", "first_token", _ids("tokens").alias("ids_sha256"))
+
+
+def _by_source(name, columns):
+    """The SQL of a query by doc_id, by source instead."""
+    return f"WITH base AS ({SQL[name]}) SELECT source || ':' || doc_id AS source_name, {columns} FROM base JOIN documents USING (doc_id)"
+
+
+@query("e1_block_windows", _by_source("e1_windows", "window_id, ids_sha256, valid"))
+def e1_blocks(spark, sf):
+    w = B.tumbling(B.block_tokens(seq_blocks(spark, sf), 3), 128, 125)
+    return w.select("source_name", "window_id", _ids("input_ids").alias("ids_sha256"), "valid")
+
+
+@query("e5_block_windows", _by_source("e5_sliding_windows", "pos, ids"))
+def e5_blocks(spark, sf):
+    w = B.sliding(B.block_tokens(seq_blocks(spark, sf), 3), 8, 125)
+    return w.select("source_name", "pos", F.array_join("input_ids", ",").alias("ids"))
