@@ -7,9 +7,11 @@ downstream holds a chromosome.
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def discover_fasta(spark: SparkSession, root: str) -> DataFrame:
     files = with_species(list_files(spark, root, "*.fa*"), root).filter(F.col("path").rlike("\\.fa(\\.gz)?$"))
     files = files.filter(F.col("is_dna") | F.col("rest").rlike("^[^/]+/[^/]+$"))
     best = files.groupBy("species").agg(F.max("is_dna").alias("use_dna"))
-    return files.join(F.broadcast(best), "species").filter(F.col("is_dna") == F.col("use_dna")).select(
+    return files.join(best, "species").filter(F.col("is_dna") == F.col("use_dna")).select(
         "species", "path", "length", "modificationTime", S.sequence_key(F.regexp_extract("path", "([^/]+)$", 1)).alias("sequence_key")
     )
 
@@ -68,40 +70,99 @@ def _letter_tables(alphabet: str) -> tuple[bytes, bytes]:
     return bytes(table), bytes(gone)
 
 
-def fasta_blocks(spark: SparkSession, root: str, alphabet: str = "ACGTN", block: int = 1 << 20) -> DataFrame:
-    """``species, sequence_key, block_id, start, seq``: every file cleaned and cut into blocks."""
+def lines_of(path: str, content: pa.Scalar) -> Iterator[bytes]:
+    """The lines of a file's bytes, unpacked as they are read if it is gzipped: the text is never held whole."""
+    raw = io.BytesIO(memoryview(content.as_buffer()))
+    with gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw as f:
+        yield from f
+
+
+class Cutter:
+    """Cuts a stream of text into blocks of fixed length: (start, block)."""
+
+    def __init__(self, block: int):
+        self.block, self.held, self.n, self.start = block, [], 0, 0
+
+    def add(self, text: bytes) -> Iterator[tuple[int, bytes]]:
+        self.held.append(text)
+        self.n += len(text)
+        if self.n >= self.block:
+            whole, at = b"".join(self.held), 0
+            while self.n - at >= self.block:
+                yield self.start + at, whole[at : at + self.block]
+                at += self.block
+            self.start, self.held, self.n = self.start + at, [whole[at:]], self.n - at
+
+    def rest(self) -> Iterator[tuple[int, bytes]]:
+        if self.n:
+            yield self.start, b"".join(self.held)
+
+
+def _contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """The given files (path and other columns) with their content; a file of over 2 GB, as stored, doesn't fit a Spark value."""
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fa*").load(root).select("path", "content")
+    return content.join(files, "path")
+
+
+def fasta_blocks(spark: SparkSession, root: str, alphabet: str = "ACGTN", block: int = 1 << 20, files: DataFrame | None = None) -> DataFrame:
+    """``species, sequence_key, path, block_id, start, seq``: every file (or those given) cleaned and cut into blocks."""
     table, gone = _letter_tables(alphabet)
+    names = ["species", "sequence_key", "path", "block_id", "start", "seq"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["species", "sequence_key", "block_id", "start", "seq"]
         for batch in batches:
-            for species, key, path, content in zip(*(batch.column(i) for i in range(4)), strict=True):
-                data = content.as_buffer().to_pybytes()
-                data = gzip.decompress(data) if path.as_py().endswith(".gz") else data
-                held, n, start = [], 0, 0
+            for species, key, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                cutter = Cutter(block)
 
-                def out(seq: bytes, species=species, key=key, at=None) -> pa.RecordBatch:
-                    return pa.RecordBatch.from_arrays([pa.array([species.as_py()]), pa.array([key.as_py()]), pa.array([at // block], pa.int64()), pa.array([at], pa.int64()), pa.array([seq.decode()])], names)
+                def out(pieces, who=(species, key, path)) -> Iterator[pa.RecordBatch]:
+                    for at, seq in pieces:
+                        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in who), pa.array([at // block], pa.int64()), pa.array([at], pa.int64()), pa.array([seq.decode()])], names)
 
-                for line in data.split(b"\n"):
+                for line in lines_of(path, content):
                     line = line.strip()
-                    if not line or line.startswith(b">"):
-                        continue
-                    line = line.translate(table, gone)
-                    held.append(line)
-                    n += len(line)
-                    if n >= block:
-                        whole = b"".join(held)
-                        for i in range(0, n - n % block, block):
-                            yield out(whole[i : i + block], at=start + i)
-                        start, held, n = start + n - n % block, [whole[n - n % block :]], n % block
-                if n:
-                    yield out(b"".join(held), at=start)
+                    if line and not line.startswith(b">"):
+                        yield from out(cutter.add(line.translate(table, gone)))
+                yield from out(cutter.rest())
 
-    files = discover_fasta(spark, root)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.fa*").load(root).select("path", "content")
-    rows = content.join(F.broadcast(files.select("path", "species", "sequence_key")), "path").select("species", "sequence_key", "path", "content")
-    return rows.mapInArrow(cut, "species string, sequence_key string, block_id long, start long, seq string")
+    files = files if files is not None else discover_fasta(spark, root)
+    rows = _contents(spark, root, files.select("path", "species", "sequence_key")).select("species", "sequence_key", "path", "content")
+    return rows.mapInArrow(cut, "species string, sequence_key string, path string, block_id long, start long, seq string")
+
+
+def read_records(spark: SparkSession, root: str, block: int = 1 << 20) -> DataFrame:
+    """``path, record, header, block_id, start, seq``: the FASTA records of every file under a root, gzipped or not, in blocks.
+
+    Lines are stripped and upper-cased; what stands before the first header drops out; a record without a sequence is one empty block.
+    """
+    names = ["path", "record", "header", "block_id", "start", "seq"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                record, header, cutter, some = -1, None, Cutter(block), False
+
+                def out(pieces) -> Iterator[pa.RecordBatch]:
+                    for at, seq in pieces:
+                        row = (path, record, header, at // block, at, seq.decode("utf-8", "replace"))  # noqa: B023
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names)
+
+                def ended() -> Iterator[pa.RecordBatch]:
+                    if header is not None:  # noqa: B023
+                        yield from out(cutter.rest() if cutter.n or some else [(0, b"")])  # noqa: B023
+
+                for line in lines_of(path, content):
+                    line = line.strip()
+                    if line.startswith(b">"):
+                        yield from ended()
+                        record, header, cutter, some = record + 1, line[1:].strip().decode("utf-8", "replace"), Cutter(block), False
+                    elif line and header is not None:
+                        for got in out(cutter.add(line.upper())):
+                            some = True
+                            yield got
+                yield from ended()
+
+    files = list_files(spark, root, "*.fa*").filter(F.col("path").rlike("\\.fa(\\.gz)?$")).select("path")
+    return _contents(spark, root, files).select("path", "content").mapInArrow(cut, "path string, record long, header string, block_id long, start long, seq string")
 
 
 def flat_blocks(spark: SparkSession, root: str, block: int = 1 << 20) -> DataFrame:
@@ -140,13 +201,72 @@ def token_cache_key(identity: list[Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*identity)), 256)
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or none if there is nothing at that path yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+MANIFEST = "path string, identity string, version long"
+
+
+def refresh_clean(spark: SparkSession, root: str, table: str, alphabet: str = "ACGTN", block: int = 1 << 20, enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(blocks, statuses) of the FASTA files under a root, cleaned through the table at ``table``.
+
+    Only files that are new or have changed are read; their blocks take the place of older ones, file by
+    file, and only then does the manifest name them, so that a run that breaks off is made good by the
+    next. Without the table (``enabled`` false) everything is cleaned and nothing is kept.
+    """
+    files = discover_fasta(spark, root)
+    if not enabled:
+        return fasta_blocks(spark, root, alphabet, block), cache_status(files, spark.createDataFrame([], MANIFEST), alphabet, enabled=False)
+    known = read_or_none(spark, f"{table}/manifest")
+    known = spark.createDataFrame([], MANIFEST) if known is None else known
+    version = (known.agg(F.max("version")).first()[0] or 0) + 1
+    current = known.groupBy("path").agg(F.max_by("identity", "version").alias("identity"))
+    statuses = cache_status(files, current, alphabet)  # of the manifest as it was listed above, whatever is added below
+    changed = statuses.filter("status <> 'hit'")
+    blocks = fasta_blocks(spark, root, alphabet, block, changed).withColumn("file_id", F.sha2("path", 256))
+    empty = changed.select(F.sha2("path", 256).alias("file_id"), "species", "sequence_key", "path")  # so that a file without sequence replaces its older blocks too
+    blocks = blocks.unionByName(empty.withColumns({"block_id": F.lit(-1).cast("long"), "start": F.lit(0).cast("long"), "seq": F.lit("")}))
+    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{table}/blocks")
+    changed.select("path", "identity", F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{table}/manifest")
+    out = spark.read.parquet(f"{table}/blocks").filter("block_id >= 0")
+    return out.join(statuses.select("path"), "path", "left_semi").select("species", "sequence_key", "path", "block_id", "start", "seq"), statuses
+
+
+def refresh_tokens(wanted: DataFrame, identity: list[Column], tokenise: Callable[[DataFrame], DataFrame], table: str) -> tuple[DataFrame, DataFrame]:
+    """(token rows, statuses) of ``wanted`` sources through the table at ``table``: only entries that it lacks are tokenised, and appended.
+
+    ``identity`` is what an entry depends on (source, its bytes or their digest, split and its place, tokeniser);
+    ``tokenise`` maps rows of ``wanted`` with ``cache_key`` to token rows that keep it.
+    """
+    spark = wanted.sparkSession
+    keyed = wanted.withColumn("cache_key", token_cache_key(identity))
+    known = read_or_none(spark, f"{table}/entries")
+    have = keyed.select("cache_key").limit(0) if known is None else known.select("cache_key").distinct()
+    statuses = keyed.join(have.withColumn("have", F.lit(True)), "cache_key", "left").withColumn("status", F.when(F.col("have"), "hit").otherwise("created")).drop("have")
+    missing = keyed.join(have, "cache_key", "left_anti").dropDuplicates(["cache_key"])
+    if not missing.isEmpty():  # both writes are of the entries as they were listed above
+        tokenise(missing).write.mode("append").parquet(f"{table}/tokens")
+        missing.select("cache_key").write.mode("append").parquet(f"{table}/entries")
+    return spark.read.parquet(f"{table}/tokens").join(keyed.select("cache_key").distinct(), "cache_key", "left_semi"), statuses
+
+
 def write_csv(frames: list[DataFrame], path: str) -> None:
-    """One CSV whose header is the union of columns in order of first appearance."""
+    """A CSV table whose header is the union of columns in order of first appearance; without frames, one without a line."""
     names = list(dict.fromkeys(c for f in frames for c in f.columns))
+    if not names:
+        SparkSession.active().createDataFrame([], "value string").write.mode("overwrite").text(path)
+        return
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f, allowMissingColumns=True)
-    rows.select(*names).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*names).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_results(spark: SparkSession, root: str, schema: str, name: str = "compression_compare.json") -> DataFrame:

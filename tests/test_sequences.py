@@ -122,29 +122,88 @@ def test_requested_keys(spark):
     assert sorted(r.sequence_key for r in C.select_keys(s, want).collect()) == ["2", "I"]
     with pytest.raises(ValueError, match="worm"):
         C.require_keys(s, spark.createDataFrame([("worm", "X")], "species string, sequence_key string"))
-    plant = spark.createDataFrame([("plant", "a", "AAAA"), ("plant", "b", "CCCC")], "species string, sequence_key string, seq string")
-    assert len(C.concat_sources(plant, C.boundary("ACGTN", 2, 3), "sequence_key").first().seq) == 14
+    with pytest.raises(ValueError, match="worm"):
+        C.require_sources(spark.createDataFrame([("human", "A"), ("worm", ""), ("worm", None)], "species string, seq string"))
+    C.require_sources(s)
+    with pytest.raises(ValueError, match="w:I"):
+        C.require_splits(C.split_table(s.withColumn("source_name", F.lit("w:I"))))
+
+
+def test_prefix_ids(spark):
+    vocabulary = spark.createDataFrame([("A", 0), ("<H>", 7)], "piece string, id long")
+    rows = spark.createDataFrame([("human",), ("worm",), ("fish",)], "species string")
+    got = {r.species: r.p for r in rows.select("species", W.prefix_ids(F.col("species"), {"human": "H", "worm": " "}, vocabulary).alias("p")).collect()}
+    assert got == {"human": [7], "worm": [], "fish": []}
+    with pytest.raises(ValueError, match="<Z>"):
+        W.prefix_ids(F.col("species"), {"human": "Z"}, vocabulary)
+
+
+def test_records_of_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.fa").write_text("dropped\n>one two\nac gt\n  nn  \n\n>empty\n>three\nAC\n")
+    with gzip.open(tmp_path / "a" / "y.fa.gz", "wt") as f:
+        f.write(">z\n" + "acgtn" * 30 + "\n" + "tt\n")
+    for block in (4, 1 << 20):
+        got = {}
+        for r in fasta.read_records(spark, str(tmp_path), block).orderBy("path", "record", "block_id").collect():
+            key = (r.path[-4:], r.record, r.header)
+            assert r.start == r.block_id * block == len(got.get(key, ""))
+            got[key] = got.get(key, "") + r.seq
+        assert got == {("x.fa", 0, "one two"): "AC GTNN", ("x.fa", 1, "empty"): "", ("x.fa", 2, "three"): "AC", ("a.gz", 0, "z"): "ACGTN" * 30 + "TT"}
+
+
+def test_clean_table_is_kept_up(spark, tmp_path):
+    root, table = tmp_path / "in", str(tmp_path / "table")
+    (root / "yeast").mkdir(parents=True)
+    (root / "yeast" / "a.fa").write_text(">a\nacgt\n")
+    (root / "yeast" / "b.fa").write_text(">b\nttxx\n")
+    state = lambda **o: [(sorted((r.sequence_key, r.seq) for r in b.collect()), {r.sequence_key: r.status for r in s.collect()}) for b, s in [fasta.refresh_clean(spark, str(root), table, **o)]][0]
+    assert state() == ([("a", "ACGT"), ("b", "TTNN")], {"a": "created", "b": "created"})
+    assert state() == ([("a", "ACGT"), ("b", "TTNN")], {"a": "hit", "b": "hit"})
+    (root / "yeast" / "b.fa").write_text(">b\nggggg\n")
+    (root / "yeast" / "c.fa").write_text(">c\nc\n")
+    assert state() == ([("a", "ACGT"), ("b", "GGGGG"), ("c", "C")], {"a": "hit", "b": "rebuilt", "c": "created"})
+    (root / "yeast" / "b.fa").write_text(">b\n\n\n")
+    assert state() == ([("a", "ACGT"), ("c", "C")], {"a": "hit", "b": "rebuilt", "c": "hit"})
+    assert state(alphabet="ACG")[1] == {"a": "rebuilt", "b": "rebuilt", "c": "rebuilt"}
+    assert state(enabled=False) == ([("a", "ACGT"), ("c", "C")], {"a": "disabled", "b": "disabled", "c": "disabled"})
+
+
+def test_token_table_is_kept_up(spark, tmp_path):
+    table, calls = str(tmp_path / "t"), []
+
+    def tokenise(rows):
+        calls.append(rows.count())
+        return rows.select("cache_key", "source_name", S.kmer_ids(F.col("seq"), 2).alias("tokens"))
+
+    def state(rows):
+        wanted = spark.createDataFrame(rows, "source_name string, split string, seq string")
+        identity = [F.lit(1).alias("version"), F.col("source_name"), F.col("split"), F.sha2("seq", 256).alias("payload")]
+        out, statuses = fasta.refresh_tokens(wanted, identity, tokenise, table)
+        return sorted((r.source_name, tuple(r.tokens)) for r in out.collect()), sorted(r.status for r in statuses.collect())
+
+    first = [("a", "train", "ACGT"), ("a", "val", "ACGT")]  # the same bytes in two splits are two entries
+    want = sorted([("a", (1, 13)), ("a", (1, 13))])
+    assert state(first) == (want, ["created", "created"])
+    assert state(first) == (want, ["hit", "hit"])
+    assert state([*first, ("b", "train", "CC")]) == (sorted([*want, ("b", (6,))]), ["created", "hit", "hit"])
+    assert calls == [2, 1]
 
 
 def test_csv_and_events(spark, tmp_path):
     fasta.write_csv([spark.createDataFrame([(1, "x")], "a int, b string"), spark.createDataFrame([(2, 3)], "c int, a int")], str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.columns == ["a", "b", "c"] and back.count() == 2
+    fasta.write_csv([], str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
     (tmp_path / "log.jsonl").write_text('{"event":"train","step":10}\n\n[1]\n{"event":"eval","step":20}\n')
     assert [r.step for r in fasta.read_events(spark, str(tmp_path / "log.jsonl"), "event string, step long").orderBy("step").collect()] == [10, 20]
     (tmp_path / "bad.jsonl").write_text('{"event":\n')
     with pytest.raises(Exception, match="malformed line in .*bad.jsonl"):
         fasta.read_events(spark, str(tmp_path / "bad.jsonl"), "event string, step long").collect()
-    run = tmp_path / "runs" / "r1"
-    run.mkdir(parents=True)
-    (run / "compression_compare.json").write_text('{"name": "n"}')
-    assert fasta.read_results(spark, str(tmp_path / "runs"), "name string").first().run_dir.endswith("runs/r1")
-
-
-def test_joined_digests_never_gather_a_species(spark):
-    import hashlib
-
-    rows = spark.createDataFrame([("b", 2, "GG"), ("a", 1, "AC"), ("b", 1, "TÉ"), ("b", 3, None), ("b", 4, "")], "species string, o int, seq string").repartition(3)
-    out = C.concat_digests(rows, "NN", "o")
-    assert "collect_list" not in out._jdf.queryExecution().toString()
-    assert sorted(map(tuple, out.collect())) == [(s, hashlib.sha256(t.encode()).hexdigest(), n) for s, t, n in (("a", "AC", 1), ("b", "TÉNNGGNN", 4))]
+    for name in ("r2", "r1", "deep/r0"):
+        run = tmp_path / "runs" / name
+        run.mkdir(parents=True)
+        (run / "compression_compare.json").write_text('{"name": "%s"}' % name)
+    rows = fasta.read_results(spark, str(tmp_path / "runs"), "name string").orderBy("run_dir").collect()
+    assert [r.name for r in rows] == ["deep/r0", "r1", "r2"] and rows[1].run_dir.endswith("runs/r1")
