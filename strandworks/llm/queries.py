@@ -42,6 +42,20 @@ def op5_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Bytes as hexadecimal digits, two for each.
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(h[2 * i + 1 : 2 * i + 200]) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+s AS (SELECT doc_id, i, sum(CASE WHEN i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i) AS last FROM r)),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, span),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(CASE WHEN a > before THEN h[2 * before + 1 : 2 * a] ELSE '' END, '' ORDER BY a) || h[2 * max(b) + 1 :] AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id, h)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.score(narrow(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -177,6 +191,7 @@ QUERIES = {
 SQL = {
     "op3_decontaminate": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op5_suffix_dedup": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
