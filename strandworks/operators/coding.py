@@ -238,6 +238,37 @@ def encode_blocks(symbols: DataFrame, keys: list[str], block: int = 1 << 16) ->
     return blocks.select(*keys, "code_block", "pos", "cum_low", "cum_high", "total").groupBy(*keys, "code_block").applyInPandas(run, schema)
 
 
+def encode_sequences(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """``source_name, block_id, symbols, coded`` of blocks (source_name, block_id, seq), each coded by its source's table.
+
+    ``tables``: ``source_name, letters, counts``, a letter's interval being as wide as its count. A block is coded from its text, without a row for each base.
+    """
+    names = ["source_name", "block_id", "symbols", "coded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, coded = [], []
+            for seq, letters, counts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                high = np.cumsum(counts).tolist()
+                table, e = {c: (h - n, h, high[-1]) for c, h, n in zip(letters, high, counts, strict=True)}, Encoder()
+                for c in seq:
+                    e.encode(*table[c])
+                symbols.append(len(seq))
+                coded.append(e.finish())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.int64()), pa.array(coded, pa.binary())], names)
+
+    j = blocks.join(tables, "source_name").select("source_name", "block_id", "seq", "letters", "counts")
+    return j.mapInArrow(run, "source_name string, block_id long, symbols long, coded binary")
+
+
+def letter_tables(sources: DataFrame) -> DataFrame:
+    """``source_name, letters, counts`` of each source's (or its blocks') letters in order."""
+    each = sources.select("source_name", F.explode(F.array_distinct(F.filter(F.split("seq", ""), lambda c: c != ""))).alias("c"), "seq")
+    n = each.groupBy("source_name", "c").agg(F.sum(F.length("seq") - F.length(F.replace(F.col("seq"), F.col("c"), F.lit("")))).cast("long").alias("n"))
+    t = n.groupBy("source_name").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("t"))
+    return t.select("source_name", F.array_join(F.transform("t", lambda x: x["c"]), "").alias("letters"), F.transform("t", lambda x: x["n"]).alias("counts"))
+
+
 # --- factorisations ------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from strandworks.operators import corpus as C
 from strandworks.operators import windows as W
 from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, sources, table, with_
 from strandworks.plans.tokens import tokens, vocabulary
+from strandworks.sources.fasta import blocks_of
 
 QUERIES, SQL = {}, {}
 
@@ -96,14 +97,9 @@ def f1b(spark, sf):
 @query("f6_arithmetic_code")
 def f6(spark, sf):
     """Coded bytes of every source under its own base frequencies; tests decode them again."""
-    flat = sources(spark, sf).select("source_name", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "c"))
-    freq = flat.groupBy("source_name", "c").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source_name")
-    table_ = freq.withColumns({"cum_high": F.sum("n").over(w.orderBy("c")), "total": F.sum("n").over(w)}).withColumn("cum_low", F.col("cum_high") - F.col("n"))
-    coded = K.encode_blocks(flat.join(table_, ["source_name", "c"]), ["source_name"])
-    return coded.select("source_name", "code_block", "symbols", F.length("coded").cast("long").alias("coded_bytes"))
+    src = sources(spark, sf).select("source_name", "seq")
+    coded = K.encode_sequences(blocks_of(src, 1 << 16), K.letter_tables(src))
+    return coded.select("source_name", F.col("block_id").alias("code_block"), "symbols", F.length("coded").cast("long").alias("coded_bytes"))
 
 
 _F7 = """t AS (SELECT key, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS token FROM p),

@@ -161,15 +161,21 @@ def h5(spark, sf):
 # --- reports -------------------------------------------------------------------------------------
 
 
+#: Sources of one run at most, which bounds the size of a result document.
+RUN_SOURCES = 200
+
+
 def _results(spark, sf):
-    """One result document per species and run, as JSON, with a malformed one among them."""
-    p = _parts(spark, sf).withColumn("one", F.struct("species", "source_name", F.col("bases").alias("sample_bytes"), F.col("bases").alias("sample_bases"), (F.col("coded_bytes") * 8 / F.greatest("bases", F.lit(1))).alias("arithmetic_bits_per_base"), "coded_bytes", (F.col("bases") % 7 * 10).alias("gzip_bytes"), F.lit(1000.0).alias("bases_per_second")))
-    per = p.groupBy("species", "split").agg(F.collect_list("one").alias("per_source"), F.struct(F.sum("bases").alias("sample_bases"), F.sum("coded_bytes").alias("coded_bytes"), F.sum(F.col("bases") % 7 * 10).alias("gzip_bytes"), (F.sum("coded_bytes") * 8 / F.greatest(F.sum("bases"), F.lit(1))).alias("arithmetic_bits_per_base")).alias("aggregate"))
-    doc = per.groupBy(F.col("species").alias("run")).agg(F.map_from_entries(F.collect_list(F.struct("split", F.create_map(F.lit("windows"), F.struct("aggregate", "per_source"), F.lit("broken"), F.lit(None))))).alias("m"))
+    """One result document per run, a bounded batch of a species' sources, as JSON, with a malformed branch in it."""
+    p = _parts(spark, sf).withColumn("run", F.concat_ws("/", "species", F.floor(F.col("doc_id") / RUN_SOURCES)))
+    p = p.withColumn("one", F.struct("species", "source_name", F.col("bases").alias("sample_bytes"), F.col("bases").alias("sample_bases"), (F.col("coded_bytes") * 8 / F.greatest("bases", F.lit(1))).alias("arithmetic_bits_per_base"), "coded_bytes", (F.col("bases") % 7 * 10).alias("gzip_bytes"), F.lit(1000.0).alias("bases_per_second")))
+    per = p.groupBy("run", "split").agg(F.collect_list("one").alias("per_source"), F.struct(F.sum("bases").alias("sample_bases"), F.sum("coded_bytes").alias("coded_bytes"), F.sum(F.col("bases") % 7 * 10).alias("gzip_bytes"), (F.sum("coded_bytes") * 8 / F.greatest(F.sum("bases"), F.lit(1))).alias("arithmetic_bits_per_base")).alias("aggregate"))
+    doc = per.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("split", F.create_map(F.lit("windows"), F.struct("aggregate", "per_source"), F.lit("broken"), F.lit(None))))).alias("m"))
     return doc.select("run", F.to_json("m").alias("results"))
 
 
-_AGG = "agg AS (SELECT species AS run, split, 'windows' AS mode, CAST(sum(bases) AS BIGINT) AS sample_bases, CAST(sum(coded_bytes) AS BIGINT) AS coded_bytes, CAST(sum(bases % 7 * 10) AS BIGINT) AS gzip_bytes, 8.0 * sum(coded_bytes) / greatest(sum(bases), 1) AS bpb FROM parts GROUP BY species, split)"
+_RUN = f"species || '/' || doc_id // {RUN_SOURCES}"
+_AGG = f"agg AS (SELECT {_RUN} AS run, split, 'windows' AS mode, CAST(sum(bases) AS BIGINT) AS sample_bases, CAST(sum(coded_bytes) AS BIGINT) AS coded_bytes, CAST(sum(bases % 7 * 10) AS BIGINT) AS gzip_bytes, 8.0 * sum(coded_bytes) / greatest(sum(bases), 1) AS bpb FROM parts GROUP BY {_RUN}, split)"
 
 
 @query("i1_aggregate_rows", with_(SRC, SPLIT, _PARTS, _AGG) + "SELECT run, split, mode, sample_bases, coded_bytes, gzip_bytes, round(bpb, 6) AS arithmetic_bits_per_base FROM agg")
@@ -177,7 +183,7 @@ def i1(spark, sf):
     return _rounded(R.aggregate_rows(R.branches(_results(spark, sf))), "arithmetic_bits_per_base")
 
 
-@query("i1_source_rows", with_(SRC, SPLIT, _PARTS) + "SELECT species AS run, split, 'windows' AS mode, species, source_name, bases AS sample_bytes, bases AS sample_bases, round(8.0 * coded_bytes / greatest(bases, 1), 6) AS arithmetic_bits_per_base, coded_bytes, bases % 7 * 10 AS gzip_bytes, CAST(1000 AS DOUBLE) AS bases_per_second FROM parts")
+@query("i1_source_rows", with_(SRC, SPLIT, _PARTS) + f"SELECT {_RUN} AS run, split, 'windows' AS mode, species, source_name, bases AS sample_bytes, bases AS sample_bases, round(8.0 * coded_bytes / greatest(bases, 1), 6) AS arithmetic_bits_per_base, coded_bytes, bases % 7 * 10 AS gzip_bytes, CAST(1000 AS DOUBLE) AS bases_per_second FROM parts")
 def i1b(spark, sf):
     return _rounded(R.source_rows(R.branches(_results(spark, sf))), "arithmetic_bits_per_base")
 
@@ -230,10 +236,12 @@ def h8(spark, sf):
     return lost.agg(F.count("*").alias("only_odd")).join(names.agg(F.count("*").alias("all_names")))
 
 
-@query("i4_dataset_table", "SELECT source, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id) AS sequence_keys, count(*) AS sequence_count FROM documents GROUP BY source")
+@query("i4_dataset_table", "SELECT source, doc_id // 1000 AS part, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id) AS sequence_keys, count(*) AS sequence_count FROM documents GROUP BY source, doc_id // 1000")
 def i4(spark, sf):
-    g = table(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("k"), F.count("*").alias("sequence_count"))
-    return g.select("source", F.array_join("k", "|").alias("sequence_keys"), "sequence_count")
+    """A row of the table names a thousand keys at most; a larger species has several."""
+    d = table(spark, sf, "documents").withColumn("part", F.floor(F.col("doc_id") / 1000))
+    g = d.groupBy("source", "part").agg(F.array_sort(F.collect_list("doc_id")).alias("k"), F.count("*").alias("sequence_count"))
+    return g.select("source", "part", F.array_join("k", "|").alias("sequence_keys"), "sequence_count")
 
 
 @query("i5_flatten", "SELECT doc_id, unnest(['lang', 'size.chars', 'size.none']) AS name, unnest([lang, CAST(n_chars AS VARCHAR), NULL]) AS value FROM documents")

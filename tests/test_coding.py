@@ -60,6 +60,20 @@ def test_coded_blocks_decode(spark):
         assert got == symbols
 
 
+def test_coded_sequences_decode(spark):
+    rng = np.random.default_rng(2)
+    seqs = {f"s{i}": "".join(rng.choice(list("ACGTN"[: 1 + i % 5]), n)) for i, n in enumerate((1, 30, 64, 65, 200, 0))}
+    df = spark.createDataFrame(list(seqs.items()), "source_name string, seq string")
+    from strandworks.sources.fasta import blocks_of
+
+    tables = {r.source_name: (r.letters, np.cumsum([0, *r.counts])) for r in K.letter_tables(df).collect()}
+    back = {k: "" for k in seqs}
+    for r in K.encode_sequences(blocks_of(df, 64), K.letter_tables(df)).orderBy("source_name", "block_id").collect():
+        letters, cum = tables[r.source_name]
+        back[r.source_name] += "".join(letters[i] for i in decode(bytes(r.coded), r.symbols, [cum] * r.symbols))
+    assert back == seqs
+
+
 def test_scores_depend_on_window_place_and_context(spark):
     def score(ids):
         x = np.sin(ids[..., None] * 1.3 + np.arange(ids.shape[1])[None, :, None] * 0.7 + np.arange(5)[None, None, :])
