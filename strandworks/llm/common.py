@@ -48,7 +48,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/strandworks-{name}-{uuid.uuid4().hex}"
     with session_conf(spark, {_CLEANUP: "true"}):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager

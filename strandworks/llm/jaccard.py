@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import LOWER, PLAIN_WORD, U64, folded, groups_of, keyed, materialise, mix, parted, partitions, utf8, word_keys, words_of
+from strandworks.llm.common import LOWER, PLAIN_WORD, U64, discard, folded, groups_of, keyed, materialise, mix, parted, partitions, utf8, word_keys, words_of
 from strandworks.llm.decontam import grams
 
 SHINGLE = 5
@@ -391,6 +391,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         hung = large.join(under, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = materialise(hung.union(under.toDF("hi", "lo")).filter("hi > lo").distinct(), name)
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
+        discard(now, least, large, under)
         now = after
         if same:
             break
@@ -416,6 +417,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     carried = meeting.join(worded.select("rid", "low"), "rid")
     edges = candidate_edges(deal(in_blocks(carried, F.ceil(F.col("size") / block)), "band", "i", "j"))
     comps = components(edges, "candidates")
+    discard(shared, meeting)
 
     # components of survivors, verified exactly
     in_comp = materialise(comps.join(reps.select("rid", "weight", "n_shingles"), F.col("v") == F.col("rid")).select("rid", "comp", "weight", "n_shingles"), "members")
@@ -425,6 +427,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     with_texts = materialise(in_comp.join(texts, "rid"), "member-texts")
     different = differences(with_texts.join(firsts, "comp"))
     checked = materialise(verified(deal(in_blocks(different, F.col("blocks")), "comp", "i", "j"), threshold), "links")
+    discard(in_comp, sizes, firsts, with_texts)
     links = checked.groupBy("rid").agg(F.sum("links").alias("links")).filter("links is not null")
     joined = components(checked.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b")), "true")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandworks.llm import anchors
-from strandworks.llm.common import keyed, materialise, partitions, utf8
+from strandworks.llm.common import discard, keyed, materialise, partitions, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -199,7 +199,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     around = materialise(contexts(docs, marked, rule), "contexts")
     suffix = F.expr("substring(context, cast(dist as int) + 1)")
     ordered = around.repartitionByRange(partitions(docs.sparkSession), suffix, "rid").sortWithinPartitions(suffix, "rid", "first")
-    found = across_boundaries(materialise(sort_buckets(ordered, rule), "suffixes"))
+    sorted_ = materialise(sort_buckets(ordered, rule), "suffixes")
+    discard(around)
+    found = across_boundaries(sorted_)
     settled = marked.filter(F.col("kind") == anchors.INTERVAL).select("rid", "first", "last")
     return settled.unionByName(found.select("rid", "first", (F.col("last") + length - 1).alias("last")))
 
