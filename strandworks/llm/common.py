@@ -175,12 +175,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_codes(seed: int) -> np.ndarray:
-    """A fixed pseudo-random 64-bit code for each byte value."""
-    with np.errstate(over="ignore"):
-        return mix(mix(np.arange(1, 257, dtype=U64) * _MULT + U64(seed)) + U64(seed * 7919 + 1))
-
-
 def words_of(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of word bytes. Rows must be parted by a non-word byte."""
     inside = is_word[data]
