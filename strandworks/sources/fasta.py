@@ -166,9 +166,19 @@ def read_records(spark: SparkSession, root: str, block: int = 1 << 20) -> DataFr
 
 
 def flat_blocks(spark: SparkSession, root: str, block: int = 1 << 20) -> DataFrame:
-    """Flat files as they are: one source per file, named after the species, uncleaned."""
-    files = spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", "([^/]+)$", 1).alias("species"), F.decode("content", "ISO-8859-1").alias("seq"))
-    return blocks_of(files.withColumn("sequence_key", F.col("species")), block)
+    """``species, sequence_key, block_id, start, seq``: flat files as they are, one source per file, named after the species, uncleaned; a byte is a character."""
+    names = ["species", "sequence_key", "block_id", "start", "seq"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for species, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(content.as_buffer())
+                for at in range(0, len(data), block):
+                    seq = bytes(data[at : at + block]).decode("latin-1")
+                    yield pa.RecordBatch.from_arrays([pa.array([species]), pa.array([species]), pa.array([at // block], pa.int64()), pa.array([at], pa.int64()), pa.array([seq])], names)
+
+    files = spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", "([^/]+)$", 1).alias("species"), "content")
+    return files.mapInArrow(cut, "species string, sequence_key string, block_id long, start long, seq string")
 
 
 def blocks_of(rows: DataFrame, block: int) -> DataFrame:

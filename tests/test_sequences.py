@@ -152,6 +152,13 @@ def test_records_of_files(spark, tmp_path):
         assert got == {("x.fa", 0, "one two"): "AC GTNN", ("x.fa", 1, "empty"): "", ("x.fa", 2, "three"): "AC", ("a.gz", 0, "z"): "ACGTN" * 30 + "TT"}
 
 
+def test_flat_files_stay_as_they_are(spark, tmp_path):
+    body = bytes(range(1, 256)) * 3
+    (tmp_path / "HoSa").write_bytes(body)
+    rows = fasta.flat_blocks(spark, str(tmp_path), 100).orderBy("block_id").collect()
+    assert "".join(r.seq for r in rows).encode("latin-1") == body and {r.species for r in rows} == {"HoSa"} and [r.start for r in rows] == list(range(0, len(body), 100))
+
+
 def test_clean_table_is_kept_up(spark, tmp_path):
     root, table = tmp_path / "in", str(tmp_path / "table")
     (root / "yeast").mkdir(parents=True)
