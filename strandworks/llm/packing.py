@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import LOWER, U64, folded, groups_of, materialise, mix, narrow, parted, partitions, session_conf, utf8, word_keys
+from strandworks.llm.common import LOWER, U64, discard, folded, groups_of, materialise, mix, narrow, parted, partitions, session_conf, utf8, word_keys
 
 SEQUENCE = 4096
 END = 2
@@ -379,4 +379,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     order = [F.col("key"), F.col("doc_id"), F.col("row"), F.col("shard")]
     spread = coded.repartitionByRange(partitions(docs.sparkSession), *order)
     with session_conf(docs.sparkSession, {"spark.sql.execution.rangeExchange.sampleSizePerPartition": str(SAMPLED_ROWS)}):
-        return materialise(pack_sorted(spread.sortWithinPartitions(*order), wide), "pieces")
+        pieces = materialise(pack_sorted(spread.sortWithinPartitions(*order), wide), "pieces")
+    discard(coded)
+    return pieces
