@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, jaccard, licenses, linededup, packing, quality, secrets, substrings, suffixdedup, warc
+from strandworks.llm import decontam, jaccard, licenses, linededup, packing, periodic, quality, secrets, substrings, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -176,6 +176,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+def op13_periodic_runs(spark, sf_dir):
+    out = periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+#: The checksum of a decimal id, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(list_filter(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AS planted, h // 10 AS g
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC32} AS h FROM documents)
+), p AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM d WHERE n > 0),
+x AS (
+  SELECT doc_id, n, i, w[CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), e AS (SELECT u.doc_id, v.i - u.i AS q, u.i FROM x u JOIN x v ON u.doc_id = v.doc_id AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+s AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)
+), r AS (SELECT *, e - s AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.s <= s.s AND t.e >= s.e)),
+m AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+b AS (
+  SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r t WHERE t.doc_id = r.doc_id AND (t.n * r.q > r.n * t.q OR (t.n * r.q = r.n * t.q AND (t.s < r.s OR (t.s = r.s AND t.q < r.q)))))
+), k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM x
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.s + r.q AND x.i < r.e) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_curve_packing": op2_curve_packing,
@@ -187,6 +220,7 @@ QUERIES = {
     "op8_warc_convert": op8_warc_convert,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
     "op3_decontaminate": OP3_SQL,
@@ -195,4 +229,5 @@ SQL = {
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_periodic_runs": OP13_SQL,
 }

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import re
+import zlib
+from fractions import Fraction
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -229,3 +231,28 @@ KNOWN_SHAPES = re.compile(
     rf"(?<![0-9A-Za-z]){_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}(?![0-9A-Za-z])"
     r"|(?i:example|sample|dummy|placeholder|xxxxx|00000|abcdefgh|12345678)|(?<![A-Za-z0-9])(?i:sha1|sha224|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/]+={0,2}"
 )
+
+
+def periodic(doc_id, text, planted=True):
+    """op13: (id, runs, start, length, period, thousandths, runs digest, collapsed digest) by trying every period at every place."""
+    w = SPACED.findall(text or "")
+    n, h = len(w), zlib.crc32(str(doc_id).encode())
+    if planted and doc_id is not None and h % 10 == 0 and n:
+        a = (h // 10) % n
+        p = 1 + (n - a) // (3 + (h // 10) % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q) and not any(all(w[k] == w[k + s] for k in range(i, j + q - s)) for s in range(1, q)):
+                runs.append((i, j + q - i, q))
+            i = max(j, i + 1)
+    runs.sort(key=lambda r: (r[0], r[2]))
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{length},{q}\n" for s, length, q in runs), " ".join(x for i, x in enumerate(w) if i not in gone))]
+    best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+    return (doc_id, len(runs), *([*best, 1000 * best[1] // best[2]] if best else [None] * 4), *digests)
