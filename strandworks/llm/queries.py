@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, jaccard, licenses, linededup, packing, periodic, quality, secrets, substrings, suffixdedup, warc
+from strandworks.llm import decontam, jaccard, licenses, linecrf, linededup, packing, periodic, quality, secrets, substrings, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -176,6 +176,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+def op11_line_crf(spark, sf_dir):
+    return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     out = periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -220,6 +224,7 @@ QUERIES = {
     "op8_warc_convert": op8_warc_convert,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_line_crf": op11_line_crf,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
