@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandworks.llm import decontam, jaccard, licenses, linecrf, linededup, packing, periodic, quality, secrets, substrings, suffixdedup, warc
+from strandworks.llm import decontam, jaccard, licenses, linecrf, linededup, packing, periodic, phrases, quality, secrets, substrings, suffixdedup, warc
 from strandworks.llm.common import narrow, table
 
 
@@ -180,6 +180,37 @@ def op11_line_crf(spark, sf_dir):
     return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), g AS (
+  SELECT lang, k, w[i] AS w1, CASE WHEN k > 1 THEN w[i + 1] END AS w2, CASE WHEN k > 2 THEN w[i + 2] END AS w3
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, concat_ws(' ', w1, w2, w3) AS phrase, w1, w2, w3, count(*) AS n FROM g GROUP BY ALL),
+tot AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+q AS (
+  SELECT lang, k, phrase, n AS a, 1 AS cut, w1 AS p, CASE k WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS s FROM f WHERE k > 1 AND n >= 10
+  UNION ALL SELECT lang, k, phrase, n, 2, w1 || ' ' || w2, w3 FROM f WHERE k = 3 AND n >= 10
+), h AS (SELECT lang, phrase, n FROM f WHERE n >= 10),
+c AS (
+  SELECT q.*, u.n AS l, v.n AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(u.n AS HUGEINT) * v.n) AS score
+  FROM q JOIN h u ON u.lang = q.lang AND u.phrase = q.p JOIN h v ON v.lang = q.lang AND v.phrase = q.s
+), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM c) WHERE o = 1),
+x AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, n FROM f WHERE k = 3 AND n >= 10 UNION ALL SELECT lang, w2 || ' ' || w3, n FROM f WHERE k = 3 AND n >= 10
+), e AS (SELECT lang, phrase, max(n) AS longer FROM x GROUP BY lang, phrase),
+d AS (
+  SELECT m.* FROM m LEFT JOIN e ON e.lang = m.lang AND e.phrase = m.phrase AND m.k = 2 WHERE longer IS NULL OR 100 * longer < 50 * a
+), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM b JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_periodic_runs(spark, sf_dir):
     out = periodic.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
     return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -225,6 +256,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_line_crf": op11_line_crf,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {
@@ -234,5 +266,6 @@ SQL = {
     "op6_quality_rules": OP6_SQL,
     "op8_warc_convert": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_periodic_runs": OP13_SQL,
 }

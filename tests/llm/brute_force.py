@@ -256,3 +256,32 @@ def periodic(doc_id, text, planted=True):
     digests = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{length},{q}\n" for s, length, q in runs), " ".join(x for i, x in enumerate(w) if i not in gone))]
     best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
     return (doc_id, len(runs), *([*best, 1000 * best[1] // best[2]] if best else [None] * 4), *digests)
+
+
+def collocations(docs, least=10, cover=50, top=2000):
+    """op12: (lang, rank, phrase, a, l, r, n, score) of rows (lang, text)."""
+    counts, totals = {}, {}
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] = totals.get(lang, 0) + len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    key = (lang, *w[i : i + k])
+                    counts[key] = counts.get(key, 0) + 1
+    found = {}
+    for (lang, *p), a in counts.items():
+        if len(p) > 1 and a >= least:
+            cuts = [(1_000_000 * a * a // (counts[(lang, *p[:k])] * counts[(lang, *p[k:])]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            found[(lang, *p)] = (a, counts[(lang, *p[:k])], counts[(lang, *p[k:])], score)
+    out = []
+    for lang in totals:
+        rows = []
+        for (g, *p), (a, l, r, score) in found.items():
+            inside = any(h == g and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) and 100 * b >= cover * a for (h, *q), (b, *_) in found.items() if len(p) == 2)
+            if g == lang and not inside:
+                rows.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, i + 1, p.decode(), -a, l, r, totals[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top])]
+    return out

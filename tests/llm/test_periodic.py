@@ -20,10 +20,18 @@ def repetitive(rng):
 
 
 @pytest.mark.parametrize("slab", [8, 1 << 16])
-def test_against_brute_force(spark, monkeypatch, slab):
+def test_groups_against_brute_force(monkeypatch, slab):
     monkeypatch.setattr(periodic, "SLAB", slab)
     rng = random.Random(slab)
     rows = [(i, repetitive(rng)) for i in range(600)]
+    texts = [t.encode() for _, t in rows]
+    out = periodic._group([i for i, _ in rows], np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), True)
+    assert [(r[0], *r[2:7], *r[8:]) for r in out] == [brute_force.periodic(*r) for r in rows]
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(i, repetitive(rng)) for i in range(600)]
     got = [tuple(r[c] for c in RESULT) for r in spark.createDataFrame(rows, "doc_id long, text string").transform(lambda d: periodic.periodic_runs(d, planted=True)).collect()]
     assert sorted(got) == sorted(brute_force.periodic(*r) for r in rows)
 
