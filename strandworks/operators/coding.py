@@ -8,6 +8,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -217,12 +218,43 @@ class Encoder:
                 return
             self.low, self.high = self.low * 2, self.high * 2 + 1
 
+    def encode_all(self, lo: np.ndarray, hi: np.ndarray, total: int) -> None:
+        for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
+            self.encode(a, b, total)
+
     def finish(self) -> bytes:
         self.pending += 1
         self._emit(0 if self.low < self.QUARTER else 1)
         return np.packbits(np.array(self.bits, np.uint8)).tobytes() if self.bits else b""
 
 
+class Decoder:
+    """Reads what ``Encoder`` wrote: the caller gives each symbol's cumulative table."""
+
+    def __init__(self, coded: bytes):
+        self.bits, self.at = np.unpackbits(np.frombuffer(coded, np.uint8)).tolist(), 32
+        self.low, self.high, self.code = 0, Encoder.TOP, int("".join(map(str, (self.bits + [0] * 32)[:32])), 2)
+
+    def decode(self, cum: np.ndarray) -> int:
+        """The next symbol, given the cumulative table (from 0 to the total) that it was coded with."""
+        total, span = int(cum[-1]), self.high - self.low + 1
+        value = ((self.code - self.low + 1) * total - 1) // span
+        symbol = int(np.searchsorted(cum, value, "right")) - 1
+        self.high = self.low + span * int(cum[symbol + 1]) // total - 1
+        self.low += span * int(cum[symbol]) // total
+        while True:
+            if self.high < Encoder.HALF:
+                cut = 0
+            elif self.low >= Encoder.HALF:
+                cut = Encoder.HALF
+            elif self.low >= Encoder.QUARTER and self.high < 3 * Encoder.QUARTER:
+                cut = Encoder.QUARTER
+            else:
+                return symbol
+            bit = self.bits[self.at] if self.at < len(self.bits) else 0
+            self.low, self.high, self.code, self.at = (self.low - cut) * 2, (self.high - cut) * 2 + 1, (self.code - cut) * 2 + bit, self.at + 1
+
+
 def encode_blocks(symbols: DataFrame, keys: list[str], block: int = 1 << 16) -> DataFrame:
     """Code each block of ``block`` positions of each source: ``keys, code_block, symbols, coded``."""
     schema = ", ".join([*(f"{k} string" for k in keys), "code_block long, symbols long, coded binary"])
@@ -418,6 +450,45 @@ def baseline_sizes(samples: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     return samples.select("source_name", n.alias("ascii"), F.floor((2 * n + 7) / 8).cast("long").alias("two_bit"), sizes("seq").alias("z")).select("source_name", "ascii", "two_bit", "z.*")
 
 
+def _codecs() -> dict:
+    return {"gzip": zlib.compressobj(9, zlib.DEFLATED, 31), "bz2": bz2.BZ2Compressor(), "lzma": lzma.LZMACompressor()}
+
+
+def streamed_sizes(blocks: DataFrame, keys: list[str], at: str = "start") -> DataFrame:
+    """``keys, ascii, two_bit, gzip, bz2, lzma`` bytes of samples in blocks (``keys, at, seq``), however long: the sizes that whole samples give.
+
+    Blocks of a sample meet in their order and are fed to compressors of which only the state and the sizes are kept.
+    """
+    sizes = ["ascii", "two_bit", *CODECS]
+    names = [*keys, *sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, codecs, done = None, 0, {}, {}
+
+        def row() -> pa.RecordBatch:
+            total = [n, (2 * n + 7) // 8, *(done[c] + len(codecs[c].flush()) for c in CODECS)]
+            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(key, fields, strict=True)), *(pa.array([v], pa.int64()) for v in total)], names)
+
+        for batch in batches:
+            fields = [batch.schema.field(i) for i in range(len(keys))]
+            for i in range(len(batch)):
+                now = tuple(batch.column(j)[i].as_py() for j in range(len(keys)))
+                if key is None or now != key:
+                    if key is not None:
+                        yield row()
+                    key, n, codecs, done = now, 0, _codecs(), dict.fromkeys(CODECS, 0)
+                data = batch.column(len(keys))[i].as_py().encode()
+                n += len(data)
+                for c in CODECS:
+                    done[c] += len(codecs[c].compress(data))
+        if key is not None:
+            yield row()
+
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    met = blocks.repartition(*keys).sortWithinPartitions(*keys, at).select(*keys, "seq")
+    return met.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{c} long" for c in sizes)]))
+
+
 def latent_count(valid: Column, ratio: float) -> Column:
     return F.least(F.greatest(F.ceil(valid * ratio), F.lit(1)), valid).cast("long")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandworks.plans import coding, corpus, reports, tokens
+from strandworks.plans import coding, corpus, evaluation, reports, tokens
 
-_PARTS = (corpus, tokens, coding, reports)
+_PARTS = (corpus, tokens, coding, reports, evaluation)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
