@@ -351,65 +351,6 @@ def prefix_tree(vocabulary: DataFrame) -> DataFrame:
 
 #: The prefix under which the mass of reserved pieces stands.
 OTHER = "<other>"
-_RESERVED = "^<.*>$"
-
-
-def subtree_mass(probs: DataFrame) -> DataFrame:
-    """``key, prefix, mass, exact`` from ``key, piece, p``: what lies at or under each prefix, and at it; reserved ``<...>`` pieces are ``OTHER``."""
-    reserved = F.col("piece").rlike(_RESERVED)
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("piece")), lambda i: F.substring("piece", F.lit(1), i))
-    spread = probs.select("key", "piece", "p", F.explode(F.when(reserved, F.array(F.lit(OTHER))).otherwise(prefixes)).alias("prefix"))
-    return spread.groupBy("key", "prefix").agg(F.sum("p").alias("mass"), F.coalesce(F.sum(F.when(F.col("piece") == F.col("prefix"), F.col("p"))), F.lit(0.0)).alias("exact"))
-
-
-def _steps(probs: DataFrame, targets: DataFrame, n_steps: Column, m: int) -> DataFrame:
-    """Each target's steps of m bases with the masses at the prefix before (``at_``) and behind (``next_``) it, and of reserved pieces."""
-    mass = subtree_mass(probs)
-    steps = targets.select("key", F.col("piece").alias("target"), F.explode(F.sequence(F.lit(0), n_steps - 1)).alias("step"))
-    steps = steps.withColumns({"at": F.substring("target", F.lit(1), F.col("step") * m), "next": F.substring("target", F.lit(1), (F.col("step") + 1) * m)})
-    of = lambda name: mass.withColumnsRenamed({"prefix": name, "mass": f"{name}_mass", "exact": f"{name}_exact"})
-    other = mass.filter(F.col("prefix") == OTHER).select("key", F.col("mass").alias("other"))
-    j = steps.join(of("at"), ["key", "at"]).join(of("next"), ["key", "next"]).join(other, "key", "left")
-    return j.withColumn("other", F.when(F.col("step") == 0, F.coalesce("other", F.lit(0.0))).otherwise(0.0))
-
-
-def _number(bases: Column, letters: str) -> Column:
-    """Bases as a number, the first most significant."""
-    digits = F.translate(bases, letters, "0123456789"[: len(letters)])
-    return F.coalesce(F.conv(digits, len(letters), 10).cast("long"), F.lit(0).cast("long"))
-
-
-def base_stream(probs: DataFrame, targets: DataFrame, longest: int, letters: str = "NAGCT") -> DataFrame:
-    """``key, step, symbol, p``: the target piece base by base. Symbol 0 is "reserved" at the root and "stop" beyond it; bases are 1 to 5.
-
-    A piece of ``longest`` bases needs no stop.
-    """
-    j = _steps(probs, targets, F.least(F.length("piece") + 1, F.lit(longest)), 1)
-    stop = F.length("target") == F.col("step")
-    symbol = F.when(stop, F.lit(0).cast("long")).otherwise(_number(F.expr("substring(target, step + 1, 1)"), letters) + 1)
-    p = F.try_divide(F.when(stop, F.col("at_exact")).otherwise(F.col("next_mass")), F.col("at_mass") + F.col("other"))
-    return j.select("key", "step", symbol.alias("symbol"), p.alias("p"))
-
-
-def grouped_stream(probs: DataFrame, targets: DataFrame, m: int, longest: int, letters: str = "NAGCT") -> DataFrame:
-    """``key, step, symbol, width, p`` in groups of m bases.
-
-    The symbols of a step: reserved (at the root only), then "ends after 1, 2, ... bases" block by block,
-    then "continues after m bases" if longer pieces can follow. ``width`` is how many there are.
-    """
-    n = len(letters)
-    j = _steps(probs, targets, F.ceil(F.length("piece") / m).cast("int"), m)
-    root, room = (F.col("step") == 0).cast("long"), F.lit(longest) - F.col("step") * m
-    left = F.length("target") - F.col("step") * m
-    ends = left <= m
-    before = lambda c: (F.pow(F.lit(n), c) - n) / (n - 1)  # noqa: E731  n + n**2 + ... + n**(c - 1)
-    terms = before(F.least(F.lit(m), room) + 1)
-    number = _number(F.expr(f"substring(target, step * {m} + 1, {m})"), letters)
-    symbol = root + F.when(ends, before(left)).otherwise(terms) + number
-    width = root + terms + F.when(room > m, F.lit(n**m)).otherwise(0)
-    above = F.when(F.col("step") == 0, F.col("other") + F.col("at_mass")).otherwise(F.col("at_mass") - F.col("at_exact"))
-    p = F.try_divide(F.when(ends, F.col("next_exact")).otherwise(F.col("next_mass") - F.col("next_exact")), above)
-    return j.select("key", "step", symbol.cast("long").alias("symbol"), width.cast("long").alias("width"), p.alias("p"))
 
 
 # --- side information, baselines, residuals ------------------------------------------------------

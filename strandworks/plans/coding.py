@@ -8,6 +8,7 @@ from strandworks.functions import sequence as S
 from strandworks.functions.config import frequency_total
 from strandworks.operators import coding as K
 from strandworks.operators import corpus as C
+from strandworks.operators import trie as T
 from strandworks.operators import windows as W
 from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, sources, table, with_
 from strandworks.plans.tokens import tokens, vocabulary
@@ -137,13 +138,12 @@ def _pieces(spark):
     return vocabulary(spark).withColumn("piece", F.when(F.col("id") >= 60, F.concat(F.lit("<r"), "id", F.lit(">"))).otherwise(F.col("piece")))
 
 
-def _piece_probs(spark, sf):
-    p = _probs(spark, sf).select("key", F.posexplode(F.transform("log_p", lambda x: F.exp(x))).alias("id", "p"))
-    return p.join(F.broadcast(_pieces(spark)), "id").select("key", "piece", "p")
+def _tree(spark):
+    return T.tree_of(_pieces(spark).filter("id < 64"))
 
 
-def _targets(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), (F.col("vec_id") % 60).alias("id")).join(F.broadcast(_pieces(spark)), "id").select("key", "piece")
+def _piece_probs(spark, sf):
+    return _probs(spark, sf).select("key", F.transform("log_p", lambda x: F.exp(x)).alias("p"), (F.col("key") % 60).alias("target"))
 
 
 _PIECE = "CASE WHEN i < 5 THEN 'NAGCT'[i + 1] WHEN i < 30 THEN 'NAGCT'[(i - 5) // 5 + 1] || 'NAGCT'[(i - 5) % 5 + 1] ELSE 'NAGCT'[(i - 30) // 25 + 1] || 'NAGCT'[(i - 30) // 5 % 5 + 1] || 'NAGCT'[(i - 30) % 5 + 1] END"
@@ -156,7 +156,7 @@ _BASE = "(strpos('NAGCT', {}) - 1)"
 
 @query("f10_subtree_mass", with_(_P, _PP, _MASS) + "SELECT key, prefix, round(mass, 9) AS mass, round(exact, 9) AS exact FROM mass UNION ALL SELECT key, '<other>', round(other, 9), 0.0 FROM oth")
 def f10(spark, sf):
-    m = K.subtree_mass(_piece_probs(spark, sf))
+    m = T.subtree_masses(_piece_probs(spark, sf), _tree(spark))
     return m.select("key", "prefix", F.round("mass", 9).alias("mass"), F.round("exact", 9).alias("exact"))
 
 
@@ -164,7 +164,7 @@ def f10(spark, sf):
 round(CASE WHEN step = length(piece) THEN a.exact ELSE n.mass END / (a.mass + CASE WHEN step = 0 THEN other ELSE 0 END), 9) AS p
 FROM st JOIN mass a USING (key) JOIN mass n USING (key) JOIN oth USING (key) WHERE a.prefix = piece[1 : step] AND n.prefix = piece[1 : step + 1]""")
 def f11(spark, sf):
-    return K.base_stream(_piece_probs(spark, sf), _targets(spark, sf), 3).withColumn("p", F.round("p", 9))
+    return T.target_steps(_piece_probs(spark, sf), _tree(spark)).select("key", "step", "symbol", F.round("p", 9).alias("p"))
 
 
 @query("f12_grouped_stream", with_(_P, _PP, _MASS, _TARGET) + f"""SELECT key, 0 AS step, CAST(CASE length(piece) WHEN 1 THEN 1 + {_BASE.format("piece")} WHEN 2 THEN 6 + {_BASE.format("piece[1]")} * 5 + {_BASE.format("piece[2]")} ELSE 31 + {_BASE.format("piece[1]")} * 5 + {_BASE.format("piece[2]")} END AS BIGINT) AS symbol,
@@ -174,7 +174,7 @@ UNION ALL SELECT key, 1, CAST({_BASE.format("piece[3]")} AS BIGINT), CAST(5 AS B
 FROM t JOIN mass m USING (key) JOIN mass r USING (key) WHERE length(piece) = 3 AND m.prefix = piece AND r.prefix = piece[1 : 2]""")
 def f12(spark, sf):
     """Groups of two bases over pieces of three at most: 1 + 5 + 25 + 25 symbols at the root, then 5."""
-    return K.grouped_stream(_piece_probs(spark, sf), _targets(spark, sf), 2, 3).withColumn("p", F.round("p", 9))
+    return T.target_steps(_piece_probs(spark, sf), _tree(spark), 2).withColumn("p", F.round("p", 9))
 
 
 _BITS = "lpad(bin(length(t)), 3, '0') || array_to_string(list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: lpad(bin(strpos('NAGCT', c) - 1), 3, '0')), '')"

@@ -125,24 +125,6 @@ def test_steps_multiply_to_the_tokens_own_probability(spark):
     assert symbols[14] == {0: (5, 10), 1: (2, 3)} and symbols[28] == {0: (0, 10), 1: (1, 2)}
 
 
-def test_streams_multiply_to_the_pieces_own_probability(spark):
-    pieces = ["N", "A", "AC", "ACG", "ACT", "ACTN", "TT", "<a>", "<b>"]
-    p = np.random.default_rng(5).dirichlet(np.ones(len(pieces)))
-    probs = spark.createDataFrame([(k, x, float(v)) for k in range(7) for x, v in zip(pieces, p, strict=True)], "key int, piece string, p double")
-    targets = spark.createDataFrame(list(enumerate(pieces[:7])), "key int, piece string")
-    for rows, width in ((K.base_stream(probs, targets, 4).collect(), None), (K.grouped_stream(probs, targets, 2, 4).collect(), 56), (K.grouped_stream(probs, targets, 3, 4).collect(), 281)):
-        product = dict.fromkeys(range(7), 1.0)
-        for r in rows:
-            product[r.key] *= r.p
-            if width and r.step == 0:
-                assert r.width == width and 0 < r.symbol < width
-        assert np.allclose([product[i] for i in range(7)], p[:7])
-    symbols = {(r.key, r.step): r.symbol for r in K.base_stream(probs, targets, 4).collect()}
-    assert [symbols[3, s] for s in range(4)] == [2, 4, 3, 0] and (5, 3) in symbols and (5, 4) not in symbols
-    grouped = {(r.key, r.step): r.symbol for r in K.grouped_stream(probs, targets, 2, 4).collect()}
-    assert grouped[1, 0] == 1 + 1 and grouped[2, 0] == 6 + 1 * 5 + 3 and grouped[5, 0] == 31 + 8 and grouped[5, 1] == 5 + 4 * 5 + 0
-
-
 def test_tail_side_info(spark):
     r = spark.createDataFrame([("",), ("A",)], "t string").select(K.tail_side_info(F.col("t")).alias("x"), K.tail_bits(F.col("t")).alias("b")).collect()
     assert [(x.x, x.b) for x in r] == [("00", 3), ("24", 6)]
