@@ -1,13 +1,14 @@
 """Tokens, windows and k-mers over blocks of sequences, so that no row holds a source.
 
-``blocks`` are cleaned sequences cut to a fixed length: ``source_name, block_id, start, seq``. What reaches
-over a block's end is fetched from the next block by an equi-join of (source, block); a block must be
-as long as what reaches over (a few characters for k-mers, ``length`` tokens for windows).
+``blocks`` are cleaned sequences cut to a fixed length: ``source_name, block_id, start, seq``; ``regular`` makes them of raw ones.
+What reaches over a block's end is dealt to it by (source, block) from as many blocks as hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
@@ -19,14 +20,76 @@ def _range(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
+def _joined(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, at, seq``: parts (``at, part``) put together in their order, and the place of the first."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
+    met = dealt.groupBy(*keys).agg(parts.alias("p"))
+    return met.select(*keys, F.get("p", F.lit(0))["at"].alias("at"), F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq"))
+
+
 def with_after(blocks: DataFrame, n: int) -> DataFrame:
-    """``after``: the first ``n`` characters behind each block."""
+    """``after``: the first ``n`` characters behind each block, from as many blocks as hold them."""
     if n < 1:
         return blocks.withColumn("after", F.lit(""))
-    heads = blocks.select("source_name", (F.col("block_id") - 1).alias("block_id"), F.substring("seq", 1, n).alias("after"))
+    width = F.col("start") / F.col("block_id")
+    behind = blocks.filter((F.col("block_id") > 0) & (F.length("seq") > 0)).withColumn("w", width)
+    first = F.greatest(F.floor((F.col("start") - n) / F.col("w")), F.lit(0))
+    dealt = behind.withColumn("to", F.explode(_range(first, F.col("block_id") - 1)))
+    at = (F.col("start") - (F.col("to") + 1) * F.col("w")).cast("long")
+    dealt = dealt.select("source_name", F.col("to").alias("block_id"), at.alias("at"), F.substr("seq", F.lit(1), (n - at).cast("int")).alias("part"))
+    heads = _joined(dealt, ["source_name", "block_id"]).select("source_name", "block_id", F.col("seq").alias("after"))
     return blocks.join(heads, ["source_name", "block_id"], "left").withColumn("after", F.coalesce("after", F.lit("")))
 
 
+def regular(raw: DataFrame, clean: Callable[[Column], Column], size: int) -> DataFrame:
+    """``source_name, block_id, start, seq`` in blocks of ``size`` kept characters from raw blocks (``source_name, block_id, seq``) of any length.
+
+    ``clean`` drops and changes characters, each by itself. How many are kept before a block is a sum in two levels, over runs of
+    1,024 blocks and within them, so no task sees more of a source than such a run; then blocks are cut anew, in one shuffle.
+    """
+    run = F.floor(F.col("block_id") / 1024)
+    kept = raw.select("source_name", "block_id", clean(F.col("seq")).alias("seq")).withColumns({"n": F.length("seq").cast("long"), "run": run})
+    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = kept.groupBy("source_name", "run").agg(F.sum("n").alias("n"))
+    base = runs.select("source_name", "run", before(["source_name"], "run").alias("base"))
+    placed = kept.withColumn("lo", before(["source_name", "run"], "block_id")).join(base, ["source_name", "run"]).withColumn("lo", F.col("base") + F.col("lo"))
+    lo, hi = F.col("lo"), F.col("lo") + F.col("n")
+    d = placed.filter("n > 0").withColumn("to", F.explode(_range(F.floor(lo / size), F.floor((hi - 1) / size))))
+    a, b = F.greatest(lo, F.col("to") * size), F.least(hi, (F.col("to") + 1) * size)
+    d = d.select("source_name", F.col("to").alias("block_id"), a.cast("long").alias("at"), F.substr("seq", (a - lo + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    return _joined(d, ["source_name", "block_id"]).select("source_name", "block_id", F.col("at").alias("start"), "seq")
+
+
+def recut(blocks: DataFrame, keys: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """``keys, code_block, begin, symbols``: symbols dealt to blocks of ``size``, with up to ``before`` and ``after`` symbols around; ``begin`` is the place of the first.
+
+    Blocks may be of any length: whatever a code block needs comes to it from as many as hold it.
+    """
+    lo, hi = F.col("first_token"), F.col("first_token") + F.size("tokens")
+    first, last = F.greatest(F.floor((lo - after) / size), F.lit(0)), F.floor((hi - 1 + before) / size)
+    d = blocks.filter(F.size("tokens") > 0).withColumn("code_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    a, b = F.greatest(lo, F.col("code_block") * size - before), F.least(hi, (F.col("code_block") + 1) * size + after)
+    part = F.slice("tokens", (a - lo + 1).cast("int"), (b - a).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
+    met = d.select(*keys, "code_block", a.alias("at"), part.alias("part")).groupBy(*keys, "code_block").agg(parts.alias("p"))
+    out = met.select(*keys, "code_block", F.get("p", F.lit(0))["at"].alias("begin"), F.flatten(F.transform("p", lambda x: x["part"])).alias("symbols"))
+    # a block of which only the reach over its end is there holds no symbols of its own
+    return out.filter(F.col("begin") + F.size("symbols") > F.col("code_block") * size)
+
+
+def fetched(blocks: DataFrame, picks: DataFrame, length: int, block: int) -> DataFrame:
+    """``sample_index, source_name, start, seq``: ``length`` characters from each pick's ``start`` (``sample_index, source_name, start``), from blocks of ``block``.
+
+    A pick is dealt to the blocks that it touches, so it is an equi-join; what a source has beyond its end is not there.
+    """
+    lo, hi = F.col("start"), F.col("start") + length
+    asked = picks.withColumn("block_id", F.explode(_range(F.floor(lo / block), F.floor((hi - 1) / block)))).withColumnRenamed("start", "pick")
+    j = blocks.select("source_name", "block_id", "start", "seq").join(asked, ["source_name", "block_id"])
+    a, b = F.greatest("start", "pick"), F.least(F.col("start") + F.length("seq"), F.col("pick") + length)
+    parts = j.filter(b > a).select("sample_index", "source_name", "pick", a.alias("at"), F.substr("seq", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    return _joined(parts, ["sample_index", "source_name", "pick"]).select("sample_index", "source_name", F.col("pick").alias("start"), "seq")
+
+
 def block_tokens(blocks: DataFrame, k: int, alphabet: str = "ACGTN") -> DataFrame:
     """``source_name, block_id, first_token, tokens``: the ids of the k-mers that start in each block.
 
@@ -59,14 +122,16 @@ def tumbling(tokens: DataFrame, length: int, pad: int, prefix: int = 0) -> DataF
     return out.select("source_name", "window_id", F.concat("part", fill).alias("input_ids"), F.size("part").cast("long").alias("valid"))
 
 
-def sliding(tokens: DataFrame, length: int, pad: int) -> DataFrame:
-    """``source_name, pos, input_ids``: a window that ends at each token, filled up on the left at the source's start only."""
-    n = length - 1
-    tails = tokens.select("source_name", (F.col("block_id") + 1).alias("block_id"), F.slice("tokens", F.greatest(F.size("tokens") - n, F.lit(0)) + 1, n).alias("before"))
-    b = tokens.join(tails, ["source_name", "block_id"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<long>")))
-    halo = F.concat(F.array_repeat(F.lit(pad).cast("long"), n - F.size("before")), "before", "tokens")
-    out = b.select("source_name", "first_token", halo.alias("h"), F.explode(_range(F.lit(0), F.size("tokens") - 1)).alias("i"))
-    return out.select("source_name", (F.col("first_token") + F.col("i")).alias("pos"), F.slice("h", (F.col("i") + 1).cast("int"), length).alias("input_ids"))
+def sliding(tokens: DataFrame, length: int, pad: int, size: int = 4096) -> DataFrame:
+    """``source_name, pos, input_ids``: a window that ends at each token, filled up on the left at the source's start only.
+
+    A row for each token with its whole window; what only scores windows does without them (``evaluation``).
+    """
+    b, n, lo = recut(tokens, ["source_name"], size, length - 1), length - 1, F.col("code_block") * size
+    halo = F.concat(F.array_repeat(F.lit(pad).cast("long"), (n - (lo - F.col("begin"))).cast("int")), "symbols")
+    own = F.col("begin") + F.size("symbols") - lo
+    out = b.select("source_name", lo.alias("lo"), halo.alias("h"), F.explode(_range(F.lit(0), own - 1)).alias("i"))
+    return out.select("source_name", (F.col("lo") + F.col("i")).alias("pos"), F.slice("h", (F.col("i") + 1).cast("int"), length).alias("input_ids"))
 
 
 def kmer_counts(blocks: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ import bz2
 import gzip
 import lzma
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -235,11 +236,11 @@ class Decoder:
         self.bits, self.at = np.unpackbits(np.frombuffer(coded, np.uint8)).tolist(), 32
         self.low, self.high, self.code = 0, Encoder.TOP, int("".join(map(str, (self.bits + [0] * 32)[:32])), 2)
 
-    def decode(self, cum: np.ndarray) -> int:
+    def decode(self, cum: np.ndarray | list[int]) -> int:
         """The next symbol, given the cumulative table (from 0 to the total) that it was coded with."""
         total, span = int(cum[-1]), self.high - self.low + 1
         value = ((self.code - self.low + 1) * total - 1) // span
-        symbol = int(np.searchsorted(cum, value, "right")) - 1
+        symbol = bisect_right(cum, value) - 1
         self.high = self.low + span * int(cum[symbol + 1]) // total - 1
         self.low += span * int(cum[symbol]) // total
         while True:

@@ -145,15 +145,20 @@ def sampling_weights(available: DataFrame, strategy: str) -> DataFrame:
     return available.withColumn("weight", weight)
 
 
+def drawn(seed: int, tag: str, index: Column | str) -> Column:
+    """52 bits of a counter-based generator: the head of the MD5 digest of ``seed:tag:index``, which SQL can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col(index).cast("string") if isinstance(index, str) else index.cast("string"))), 1, 13), 16, 10).cast("long")
+
+
 def sample_windows(weighted: DataFrame, samples: int, seed: int, order: str) -> DataFrame:
     """``sample_index, source_name, start``: one weighted draw per index, the same for the same seed.
 
     Cumulative weights are prefix sums within hashed buckets of sources, lifted by the sums of the buckets
-    before; draws are hashes of (seed, index), and meet their source in a range join on the scaled cumulative
+    before; draws are ``drawn`` of (seed, index), and meet their source in a range join on the scaled cumulative
     weight, dealt to cells so that it is an equi-join.
     """
-    buckets, cells = 256, 4096
-    bucket = F.pmod(F.xxhash64(order), F.lit(buckets))
+    cells = 4096
+    bucket = F.substring(F.md5(F.col(order).cast("string")), 1, 2)
     own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = weighted.withColumn("bucket", bucket)
     sums = b.groupBy("bucket").agg(F.sum("weight").alias("w"))  # one row per bucket, so windows over all of them are small
@@ -162,7 +167,7 @@ def sample_windows(weighted: DataFrame, samples: int, seed: int, order: str) ->
     c = b.join(F.broadcast(base), "bucket").withColumn("upto", F.col("before") + F.sum("weight").over(own))
     c = c.withColumns({"hi": F.col("upto") / F.col("total"), "lo": (F.col("upto") - F.col("weight")) / F.col("total")})
     c = c.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.least(F.col("hi"), F.lit(1 - 1e-12)) * cells))))
-    unit = lambda tag: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), "id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    unit = lambda tag: drawn(seed, tag, "id") / F.lit(float(1 << 52))
     draws = weighted.sparkSession.range(samples).withColumns({"u": unit("source"), "v": unit("start")}).withColumn("cell", F.floor(F.col("u") * cells))
     hit = draws.join(c, "cell").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     return hit.select(F.col("id").alias("sample_index"), "source_name", F.floor(F.col("v") * F.col("available")).cast("long").alias("start"))
@@ -174,7 +179,7 @@ def shuffled_split(chunks: DataFrame, seed: int, ratio: float, key: str, bits: i
     The order is that of a hash; its top bits part it into 2**bits ranges of about equal size, which are ranked each by itself and lifted
     by the counts of the ranges before.
     """
-    ranged = chunks.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_range", F.shiftright("_h", 64 - bits))
+    ranged = chunks.withColumn("_h", drawn(seed, "order", key)).withColumn("_range", F.shiftright("_h", 52 - bits))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("_range", before.alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"))

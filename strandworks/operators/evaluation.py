@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
 from strandworks.functions.config import grouped_widths
+from strandworks.operators.blocks import recut
 from strandworks.operators.coding import Decoder, Encoder, quantise
 from strandworks.sources.fasta import blocks_of
 
@@ -67,23 +68,6 @@ def symbol_blocks(sequences: DataFrame, keys: list[str], k: int, alphabet: str,
     return cut.unionByName(ends)
 
 
-def recut(blocks: DataFrame, keys: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:
-    """``keys, code_block, begin, symbols``: symbols dealt to blocks of ``size``, with up to ``before`` and ``after`` symbols around; ``begin`` is the place of the first.
-
-    Blocks may be of any length: whatever a code block needs comes to it from as many as hold it.
-    """
-    lo, hi = F.col("first_token"), F.col("first_token") + F.size("tokens")
-    first, last = F.greatest(F.floor((lo - after) / size), F.lit(0)), F.floor((hi - 1 + before) / size)
-    d = blocks.filter(F.size("tokens") > 0).withColumn("code_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    a, b = F.greatest(lo, F.col("code_block") * size - before), F.least(hi, (F.col("code_block") + 1) * size + after)
-    part = F.slice("tokens", (a - lo + 1).cast("int"), (b - a).cast("int"))
-    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
-    met = d.select(*keys, "code_block", a.alias("at"), part.alias("part")).groupBy(*keys, "code_block").agg(parts.alias("p"))
-    out = met.select(*keys, "code_block", F.get("p", F.lit(0))["at"].alias("begin"), F.flatten(F.transform("p", lambda x: x["part"])).alias("symbols"))
-    # a block of which only the reach over its end is there holds no symbols of its own
-    return out.filter(F.col("begin") + F.size("symbols") > F.col("code_block") * size)
-
-
 def scored_places(mode: Mode, symbols: np.ndarray, begin: int, lo: int, hi: int, pad: int, vocab: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
     """Windows, the place from which they score, and the places (n, L - place) of the scored symbols, for the symbols lo .. hi - 1.
 

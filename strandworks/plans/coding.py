@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
@@ -12,6 +14,7 @@ from strandworks.operators import trie as T
 from strandworks.operators import windows as W
 from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, sources, table, with_
 from strandworks.plans.tokens import tokens, vocabulary
+from strandworks.sources import store as ST
 from strandworks.sources.fasta import blocks_of
 
 QUERIES, SQL = {}, {}
@@ -239,3 +242,13 @@ def f18(spark, sf):
     a = acgt(spark, sf)
     decoded = a.filter("doc_id % 7 <> 0").select("source_name", S.from_base_codes(S.base_codes(F.col("seq"))).alias("seq"))
     return K.recheck(decoded, a)
+
+
+@query("f18_stored", with_(ACGT) + "SELECT source_name, CAST(ceil(length(seq) / 1024.0) AS BIGINT) AS blocks, true AS exact, 0 AS bad FROM acgt WHERE length(seq) > 0")
+def f18b(spark, sf):
+    """Every source coded by its own table, stored, read again, decoded and compared block by block."""
+    src = acgt(spark, sf).select("source_name", "seq")
+    blocks, tables = blocks_of(src, 1024), K.letter_tables(src)
+    path = f"{ST.shared_dir(spark)}/coded-{uuid.uuid4().hex}"
+    ST.write_store(K.encode_sequences(blocks, tables), tables, path)
+    return ST.check_store(ST.read_store(spark, path), blocks).select("source_name", "blocks", "exact", F.size("bad_blocks").alias("bad"))

@@ -209,7 +209,21 @@ def c10(spark, sf):
     return out.select("source_name", "available", F.round("weight", 6).alias("weight"))
 
 
-@query("c10_sample_windows")
+#: ``operators.corpus.drawn``.
+def _drawn(seed, tag, index):
+    return f"CAST('0x' || substr(md5('{seed}:{tag}:' || {index}), 1, 13) AS BIGINT)"
+
+
+def _draws(av):
+    """SQL of weighted draws over (source_name, available), as many as there are documents."""
+    return (
+        f"wt AS (SELECT *, sum(available) OVER (ORDER BY substr(md5(source_name), 1, 2), source_name) AS upto, sum(available) OVER () AS total FROM {av})",
+        f"dr AS (SELECT id, {_drawn(7, 'source', 'id')} / 4503599627370496.0 AS u, {_drawn(7, 'start', 'id')} / 4503599627370496.0 AS v FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS id))",
+        "pk AS (SELECT id AS sample_index, source_name, CAST(floor(v * available) AS BIGINT) AS start FROM dr JOIN wt ON u >= CAST(upto - available AS DOUBLE) / CAST(total AS DOUBLE) AND u < CAST(upto AS DOUBLE) / CAST(total AS DOUBLE))",
+    )
+
+
+@query("c10_sample_windows", with_(SRC, "av AS (SELECT species AS source_name, sum(length(seq) - 127) AS available FROM src WHERE length(seq) >= 128 GROUP BY species)", *_draws("av")) + "SELECT * FROM pk")
 def c10b(spark, sf):
     """As many seeded draws as there are documents, over per-species weights."""
     per = C.window_starts_available(sources(spark, sf), 128, keep_short=False).groupBy(F.col("species").alias("source_name")).agg(F.sum("available").alias("available"))
@@ -222,7 +236,15 @@ def c11(spark, sf):
     return C.window_starts_available(sources(spark, sf), 128, keep_short=True).select("source_name", "available")
 
 
-@query("c12_shuffled_split")  # the order is that of Spark's own hash
+@query("c10_window_sequences", with_(SRC, "av AS (SELECT source_name, length(seq) - 127 AS available FROM src WHERE length(seq) >= 128)", *_draws("av")) + "SELECT sample_index, source_name, start, seq[start + 1 : start + 128] AS seq FROM pk JOIN src USING (source_name)")
+def c10c(spark, sf):
+    """Draws over single sources, and the windows that they stand for, fetched from blocks of 100 characters."""
+    src = sources(spark, sf)
+    picks = C.sample_windows(C.sampling_weights(C.window_starts_available(src, 128, keep_short=False).select("source_name", "available"), "proportional"), table(spark, sf, "documents").count(), 7, "source_name")
+    return B.fetched(fasta.blocks_of(src.select("source_name", "seq"), 100), picks, 128, 100)
+
+
+@query("c12_shuffled_split", f"SELECT doc_id, source AS species, rank, CASE WHEN rank >= n - least(CAST(floor(n * 0.1) AS BIGINT), n - 1) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (ORDER BY {_drawn(11, 'order', 'doc_id')}, doc_id) - 1 AS rank, count(*) OVER () AS n FROM documents)")
 def c12(spark, sf):
     return C.shuffled_split(documents(spark, sf).select("doc_id", "species"), 11, 0.1, "doc_id")
 

@@ -9,7 +9,7 @@ from strandworks.functions.config import overlap_stride
 from strandworks.operators import blocks as B
 from strandworks.operators import corpus as C
 from strandworks.operators import windows as W
-from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, sources, table, with_
+from strandworks.plans.base import ACGT, SPLIT, SRC, acgt, documents, sources, table, with_
 from strandworks.sources.fasta import blocks_of
 
 QUERIES, SQL = {}, {}
@@ -216,3 +216,11 @@ def e1_blocks(spark, sf):
 def e5_blocks(spark, sf):
     w = B.sliding(B.block_tokens(seq_blocks(spark, sf), 3), 8, 125)
     return w.select("source_name", "pos", F.array_join("input_ids", ",").alias("ids"))
+
+
+@query("d2_raw_blocks", with_(SRC, TOK, "b AS (SELECT source_name, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS i FROM tok)") + "SELECT source_name, CAST(i * 3 // 700 AS BIGINT) AS block_id, min(i) AS first_token, count(*) AS n_tokens, sha256(string_agg(t, ',' ORDER BY i)) AS ids_sha256 FROM b GROUP BY source_name, i * 3 // 700")
+def d2_raw(spark, sf):
+    """Tokens from raw blocks of 1,000 characters, line feeds and all: kept letters are counted up to each block, and blocks of 700 kept letters cut anew."""
+    raw = blocks_of(documents(spark, sf).select("source_name", F.col("text").alias("seq")), 1000)
+    t = B.block_tokens(B.regular(raw, lambda c: S.clean(c, "ACGTN"), 700), 3).filter(F.size("tokens") > 0)
+    return t.select("source_name", "block_id", "first_token", F.size("tokens").cast("long").alias("n_tokens"), _ids("tokens").alias("ids_sha256"))

@@ -50,3 +50,59 @@ def test_joined_species_in_blocks(spark):
     rows = B.concatenated(src.select("species", "source_name", "seq"), starts, "N" * 7, 60).orderBy("block_id").collect()
     assert "".join(r.seq for r in rows) == ("N" * 7).join(r.seq for r in src.orderBy("i").collect())
     assert all(r.start == 60 * r.block_id and len(r.seq) == 60 for r in rows[:-1])
+
+
+def test_what_reaches_over_several_blocks(spark):
+    """Blocks shorter than what a window or a k-mer needs."""
+    src = sources(spark)
+    blocks, key = blocks_of(src.select("source_name", "seq"), 7), lambda rows: sorted(map(str, rows))
+    whole = {r.source_name: r.seq for r in src.collect()}
+    for n in (1, 6, 7, 8, 40, 2000):
+        for r in B.with_after(blocks, n).collect():
+            assert r.after == whole[r.source_name][r.start + 7 : r.start + 7 + n]
+    tokens = B.block_tokens(blocks, 3)
+    names = ["source_name", "pos", "input_ids"]
+    want = W.sliding(src.select("source_name", S.kmer_ids(F.col("seq"), 3).alias("tokens")), 20, -7)
+    assert key(B.sliding(tokens, 20, -7, 9).select(names).collect()) == key(want.select(names).collect())
+    assert {(r.source_name, r.kmer) for r in B.kmer_counts(blocks_of(src.select("source_name", F.regexp_replace("seq", "N", "A").alias("seq")), 7), 10).collect()} == {
+        (n, s[i : i + 10]) for n, s in ((n, s.replace("N", "A")) for n, s in whole.items()) for i in range(len(s) - 9)
+    }
+
+
+def test_regular_blocks_of_raw_ones(spark):
+    rng = random.Random(4)
+    raw = {f"r{n}": "".join(rng.choice("ACGTNacgtn\n\r RYé-7") for _ in range(n)) for n in (0, 1, 5, 99, 100, 1001, 3000)}
+    raw["empty blocks"] = "\n" * 500 + "ACG" + "\n" * 700 + "T" * 50
+    df = spark.createDataFrame(list(raw.items()), "source_name string, seq string")
+    clean = {r.source_name: r.seq for r in df.select("source_name", S.clean(F.col("seq"), "ACGTN").alias("seq")).collect()}
+    for cut, size in ((1, 13), (100, 13), (100, 1 << 12), (7, 64)):
+        got = dict.fromkeys(raw, "")
+        for r in B.regular(blocks_of(df, cut), lambda c: S.clean(c, "ACGTN"), size).orderBy("source_name", "block_id").collect():
+            assert r.start == r.block_id * size == len(got[r.source_name]) and len(r.seq) <= size
+            got[r.source_name] += r.seq
+        assert got == clean
+
+
+def test_runs_of_blocks_are_lifted_by_the_runs_before(spark):
+    df = spark.createDataFrame([("a", "AC\n" * 2100)], "source_name string, seq string")
+    rows = B.regular(blocks_of(df, 3), lambda c: S.clean(c, "ACGTN"), 1000).orderBy("block_id").collect()
+    assert "".join(r.seq for r in rows) == "AC" * 2100 and [r.start for r in rows] == [0, 1000, 2000, 3000, 4000]
+
+
+def test_windows_fetched_over_blocks(spark):
+    src = sources(spark).select("source_name", "seq")
+    whole = {r.source_name: r.seq for r in src.collect()}
+    picks = [(i, n, s) for i, (n, s) in enumerate((n, s) for n, q in whole.items() for s in range(0, len(q), 13))] + [(9999, "s:0", 0), (9998, "s:10", 26)]
+    got = {r.sample_index: r.seq for r in B.fetched(blocks_of(src, 20), spark.createDataFrame(picks, "sample_index long, source_name string, start long"), 64, 20).collect()}
+    assert got == {i: whole[n][s : s + 64] for i, n, s in picks if whole[n][s : s + 64]}
+
+
+def test_draws_follow_the_weights(spark):
+    weighted = spark.createDataFrame([(f"s{i}", 10 * (i + 1), float(i + 1)) for i in range(10)], "source_name string, available long, weight double")
+    rows = C.sample_windows(weighted, 20_000, 5, "source_name").collect()
+    assert sorted(r.sample_index for r in rows) == list(range(20_000))
+    for i in range(10):
+        own = [r.start for r in rows if r.source_name == f"s{i}"]
+        assert abs(len(own) / 20_000 - (i + 1) / 55) < 0.02 and set(own) <= set(range(10 * (i + 1))) and len(set(own)) > 9 * (i + 1)
+    again = C.sample_windows(weighted.repartition(3), 20_000, 5, "source_name").collect()
+    assert sorted(rows) == sorted(again) and sorted(rows) != sorted(C.sample_windows(weighted, 20_000, 6, "source_name").collect())
