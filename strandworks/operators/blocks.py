@@ -53,11 +53,16 @@ def regular(raw: DataFrame, clean: Callable[[Column], Column], size: int) -> Dat
     runs = kept.groupBy("source_name", "run").agg(F.sum("n").alias("n"))
     base = runs.select("source_name", "run", before(["source_name"], "run").alias("base"))
     placed = kept.withColumn("lo", before(["source_name", "run"], "block_id")).join(base, ["source_name", "run"]).withColumn("lo", F.col("base") + F.col("lo"))
+    return cut_anew(placed.filter("n > 0"), ["source_name"], size)
+
+
+def cut_anew(placed: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """``keys, block_id, start, seq`` in blocks of ``size`` from parts of any length at known places (``keys, lo, n, seq``); a part of no length keeps its block in being."""
     lo, hi = F.col("lo"), F.col("lo") + F.col("n")
-    d = placed.filter("n > 0").withColumn("to", F.explode(_range(F.floor(lo / size), F.floor((hi - 1) / size))))
+    d = placed.withColumn("to", F.explode(_range(F.floor(lo / size), F.floor(F.greatest(hi - 1, lo) / size))))
     a, b = F.greatest(lo, F.col("to") * size), F.least(hi, (F.col("to") + 1) * size)
-    d = d.select("source_name", F.col("to").alias("block_id"), a.cast("long").alias("at"), F.substr("seq", (a - lo + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    return _joined(d, ["source_name", "block_id"]).select("source_name", "block_id", F.col("at").alias("start"), "seq")
+    d = d.select(*keys, F.col("to").alias("block_id"), a.cast("long").alias("at"), F.substr("seq", (a - lo + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    return _joined(d, [*keys, "block_id"]).select(*keys, "block_id", F.col("at").alias("start"), "seq")
 
 
 def recut(blocks: DataFrame, keys: list[str], size: int, before: int = 0, after: int = 0) -> DataFrame:

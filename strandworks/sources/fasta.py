@@ -286,11 +286,18 @@ def read_results(spark: SparkSession, root: str, schema: str, name: str = "compr
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An append-only event log; blank lines and non-objects drop out, malformed lines end the read with the file's name."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-    lines = lines.filter(F.trim("value") != "")
-    valid = F.try_parse_json("value")
-    checked = lines.withColumn("value", F.when(valid.isNotNull(), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed line in "), "file", F.lit(": "), F.substring("value", 1, 80)))))
+    """An append-only event log; blank lines and non-objects drop out, a malformed line ends the read with its file, its number and its text."""
+    placed = lambda p: spark.read.text(p).withColumns({"file": F.col("_metadata.file_path"), "range": F.col("_metadata.file_block_start"), "id": F.monotonically_increasing_id()})
+    lines = placed(path)
+    valid = F.try_parse_json("value").isNotNull() | (F.trim("value") == "")
+    bad = lines.filter(~valid).orderBy("file").select("file").first()
+    if bad:
+        # only now are lines counted, those of one file: ranges in order, and the lines within each
+        one = placed(bad["file"])
+        first = one.filter(~valid).orderBy("range", "id").first()
+        before = one.filter((F.col("range") < first["range"]) | ((F.col("range") == first["range"]) & (F.col("id") < first["id"]))).count()
+        raise ValueError(f"malformed line {before + 1} in {bad['file']}: {first['value'][:80]}")
+    checked = lines.filter(F.trim("value") != "")
     return checked.filter(F.trim("value").startswith("{")).select(F.from_json("value", schema).alias("e"), "file").select("e.*", "file")
 
 
