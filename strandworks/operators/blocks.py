@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions import sequence as S
 from strandworks.functions.config import max_target_tokens
+from strandworks.operators.metrics import masked
 
 
 def _range(first: Column, last: Column) -> Column:
@@ -41,6 +42,37 @@ def with_after(blocks: DataFrame, n: int) -> DataFrame:
     return blocks.join(heads, ["source_name", "block_id"], "left").withColumn("after", F.coalesce("after", F.lit("")))
 
 
+def with_before(blocks: DataFrame, n: int, block: int) -> DataFrame:
+    """``before``: the last ``n`` characters ahead of each block, from as many blocks as hold them; ``block`` is the blocks' length."""
+    end = F.col("start") + F.length("seq")
+    dealt = blocks.filter(F.length("seq") == block).withColumn("to", F.explode(_range(F.col("block_id") + 1, F.floor((end + n - 1) / block))))
+    at = F.greatest("start", F.col("to") * block - n)
+    dealt = dealt.select("source_name", F.col("to").alias("block_id"), at.cast("long").alias("at"), F.substr("seq", (at - F.col("start") + 1).cast("int"), F.lit(block)).alias("part"))
+    tails = _joined(dealt, ["source_name", "block_id"]).select("source_name", "block_id", F.col("seq").alias("before"))
+    return blocks.join(tails, ["source_name", "block_id"], "left").withColumn("before", F.coalesce("before", F.lit("")))
+
+
+def repeat_mask(blocks: DataFrame, top: DataFrame, k: int, block: int) -> DataFrame:
+    """``source_name, pos, level`` as ``metrics.repeat_mask`` gives them: k-mers that reach into a block from either side cover their part of it there."""
+    b = with_before(with_after(blocks, k - 1), k - 1, block)
+    around = b.select(F.struct("source_name", "start", F.length("before").alias("lead"), F.length("seq").alias("n")).alias("at"), F.concat("before", "seq", "after").alias("seq"), "source_name")
+    found = masked(around, top, "source_name", "at", k)
+    pos = F.col("pos") - F.col("at.lead")
+    return found.filter((pos >= 0) & (pos < F.col("at.n"))).select("at.source_name", (F.col("at.start") + pos).alias("pos"), "level")
+
+
+def repeat_lines(blocks: DataFrame, mask: DataFrame, width: int, block: int) -> DataFrame:
+    """``source_name, line, repeat_fraction, meter`` of display lines; blocks hold whole lines."""
+    if block % width:
+        raise ValueError("a block has to hold whole lines")
+    n = F.length("seq")
+    lines = blocks.select("source_name", "start", n.alias("n"), F.explode(_range(F.lit(0), F.ceil(n / width) - 1)).alias("i"))
+    lines = lines.select("source_name", (F.col("start") / width + F.col("i")).cast("long").alias("line"), F.least(F.lit(width), F.col("n") - F.col("i") * width).alias("n"))
+    covered = mask.groupBy("source_name", F.floor(F.col("pos") / width).alias("line")).agg(F.count("*").alias("covered"))
+    share = F.coalesce("covered", F.lit(0)) / F.col("n")
+    return lines.join(covered, ["source_name", "line"], "left").select("source_name", "line", share.alias("repeat_fraction"), F.greatest(F.lit(4), F.floor(share * 100)).cast("long").alias("meter"))
+
+
 def regular(raw: DataFrame, clean: Callable[[Column], Column], size: int) -> DataFrame:
     """``source_name, block_id, start, seq`` in blocks of ``size`` kept characters from raw blocks (``source_name, block_id, seq``) of any length.
 

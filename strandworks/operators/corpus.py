@@ -73,9 +73,9 @@ def concat_offsets(lengths: DataFrame, gap: int, order: str) -> DataFrame:
     return lengths.withColumn("start", F.coalesce(F.sum(F.col("length") + gap).over(w), F.lit(0)).cast("long"))
 
 
-def observed_alphabet(sources: DataFrame, *keys: str) -> DataFrame:
-    """Sorted distinct characters per key (or over all)."""
-    letters = sources.select(*keys, F.explode(F.array_distinct(F.split("seq", ""))).alias("c")).filter("c <> ''").distinct()
+def observed_alphabet(sources: DataFrame, *keys: str, boundary: str = "") -> DataFrame:
+    """Sorted distinct characters per key (or over all), with those of the boundary that sequences are joined with."""
+    letters = sources.select(*keys, F.explode(F.array_distinct(F.split(F.concat("seq", F.lit(boundary)), ""))).alias("c")).filter("c <> ''").distinct()
     return letters.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("c")), "").alias("alphabet"), F.count("*").alias("alphabet_size"))
 
 

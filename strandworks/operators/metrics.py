@@ -106,6 +106,11 @@ def repeat_mask(rows: DataFrame, top: DataFrame, key: str, k: int, strong: int =
 
     The few top k-mers of a sequence meet it in a join; its places are looked through once, in Arrow batches.
     """
+    return masked(rows, top, key, key, k, strong)
+
+
+def masked(rows: DataFrame, top: DataFrame, key: str, named: str, k: int, strong: int = 8) -> DataFrame:
+    """``repeat_mask`` of rows that meet their k-mers by ``key`` and are named by another column, as parts of a sequence are."""
     codes = S.letter_codes("ACGTU")
 
     @F.arrow_udf("array<byte>")
@@ -130,8 +135,8 @@ def repeat_mask(rows: DataFrame, top: DataFrame, key: str, k: int, strong: int =
 
     kmers = lambda c: F.collect_list(F.when(c, F.col("kmer")))
     sets = top.groupBy(F.col(key).alias("_key")).agg(kmers(F.col("count") < strong).alias("weak"), kmers(F.col("count") >= strong).alias("strong"))
-    j = rows.join(sets, F.col(key) == F.col("_key")).select(key, F.posexplode(levels(F.col("seq"), F.col("weak"), F.col("strong"))).alias("pos", "level"))
-    return j.filter("level > 0").select(key, "pos", F.col("level").cast("int").alias("level"))
+    j = rows.join(sets, F.col(key) == F.col("_key")).select(named, F.posexplode(levels(F.col("seq"), F.col("weak"), F.col("strong"))).alias("pos", "level"))
+    return j.filter("level > 0").select(named, "pos", F.col("level").cast("int").alias("level"))
 
 
 def repeat_lines(rows: DataFrame, mask: DataFrame, key: str, width: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_SOURCE = "array<struct<species:string,source_name:string,sample_bytes:bigint,sample_bases:bigint,arithmetic_bits_per_base:double,coded_bytes:bigint,gzip_bytes:bigint,bases_per_second:double>>"
+PER_SOURCE = "array<struct<species:string,source_name:string,sample_bytes:bigint,sample_bases:bigint,arithmetic_bits_per_base:double,coded_bytes:bigint,gzip_bytes:bigint,bases_per_second:double,compression_bytes_per_second:double>>"
 RESULT = f"map<string,map<string,struct<aggregate:struct<sample_bases:bigint,coded_bytes:bigint,gzip_bytes:bigint,arithmetic_bits_per_base:double>,per_source:{PER_SOURCE}>>>"
 
 
@@ -45,6 +45,7 @@ def curve_rows(rows: DataFrame) -> DataFrame:
         "percent_of_two_bit": F.col("arithmetic_bits_per_base") / 2 * 100,
         "baseline_bits_per_base": F.col("baseline_percent") / 100 * 2,
         "mbases_per_second": F.col("bases_per_second") / 1e6,
+        "compression_mbytes_per_second": F.col("compression_bytes_per_second") / 1e6,
     })
 
 

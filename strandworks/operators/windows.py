@@ -97,6 +97,12 @@ def decoder_window(target: Column, prefix: list[int], length: int, pad: int) ->
     return shifted, labels
 
 
+def label_lengths(base_lengths: Column, prefix: list[int], length: int) -> Column:
+    """How many bases each label of a window stands for; 0 at the prefix and where it is filled up."""
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    return F.concat(zeros(F.lit(len(prefix))), base_lengths, zeros(F.lit(length - len(prefix)) - F.size(base_lengths)))
+
+
 def encoder_window(target: Column, prefix: list[int], length: int, pad: int) -> tuple[Column, Column, Column]:
     """(input ids, attention mask, labels): inputs are not shifted."""
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")

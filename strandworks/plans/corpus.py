@@ -176,6 +176,12 @@ def c4(spark, sf):
     return C.observed_alphabet(sources(spark, sf), "species")
 
 
+@query("c4_joined_alphabet", with_(SRC) + "SELECT species, string_agg(DISTINCT c, '' ORDER BY c) AS alphabet, count(DISTINCT c) AS alphabet_size FROM (SELECT species, unnest(string_split(seq || '-R', '')) AS c FROM src) WHERE c <> '' GROUP BY species")
+def c4b(spark, sf):
+    """The letters of species whose sequences are joined with ``-R``."""
+    return C.observed_alphabet(sources(spark, sf), "species", boundary="-R")
+
+
 @query("c5_split", with_(SRC, SPLIT) + "SELECT doc_id, split, start, size FROM spl")
 def c5(spark, sf):
     return C.split_table(sources(spark, sf)).select("doc_id", "split", "start", "size")

@@ -158,6 +158,25 @@ def h5(spark, sf):
     return M.repeat_lines(sources(spark, sf), _mask(spark, sf), "doc_id", 60).withColumn("repeat_fraction", F.round("repeat_fraction", 9))
 
 
+_BY_SOURCE = "FROM {} JOIN (SELECT doc_id, source_name FROM src) USING (doc_id)"
+
+
+def _block_mask(spark, sf):
+    b = blocks_of(sources(spark, sf).select("source_name", "seq"), 600)
+    return b, B.repeat_mask(b, M.top_kmers(B.kmer_counts(b, 4), "source_name", 2, 5), 4, 600)
+
+
+@query("h4_block_mask", with_(SRC, _OCC, _CNT, _TOP, _MASK) + "SELECT source_name, CAST(pos AS BIGINT) AS pos, level " + _BY_SOURCE.format("mask"))
+def h4b(spark, sf):
+    """The mask from blocks of 600 characters, each with what reaches into it on both sides."""
+    return _block_mask(spark, sf)[1]
+
+
+@query("h5_block_lines", with_(SRC, _OCC, _CNT, _TOP, _MASK, "l AS (SELECT doc_id, length(seq) AS n, unnest(range(0, CAST(ceil(length(seq) / 60.0) AS BIGINT))) AS line FROM src)", "c AS (SELECT doc_id, pos // 60 AS line, count(*) AS k FROM mask GROUP BY doc_id, pos // 60)") + "SELECT source_name, line, round(coalesce(k, 0) / least(60, n - line * 60), 9) AS repeat_fraction, CAST(greatest(4, floor(coalesce(k, 0) / least(60, n - line * 60) * 100)) AS BIGINT) AS meter FROM l LEFT JOIN c USING (doc_id, line) JOIN (SELECT doc_id, source_name FROM src) USING (doc_id)")
+def h5b(spark, sf):
+    return B.repeat_lines(*_block_mask(spark, sf), 60, 600).withColumn("repeat_fraction", F.round("repeat_fraction", 9))
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
@@ -168,7 +187,7 @@ RUN_SOURCES = 200
 def _results(spark, sf):
     """One result document per run, a bounded batch of a species' sources, as JSON, with a malformed branch in it."""
     p = _parts(spark, sf).withColumn("run", F.concat_ws("/", "species", F.floor(F.col("doc_id") / RUN_SOURCES)))
-    p = p.withColumn("one", F.struct("species", "source_name", F.col("bases").alias("sample_bytes"), F.col("bases").alias("sample_bases"), (F.col("coded_bytes") * 8 / F.greatest("bases", F.lit(1))).alias("arithmetic_bits_per_base"), "coded_bytes", (F.col("bases") % 7 * 10).alias("gzip_bytes"), F.lit(1000.0).alias("bases_per_second")))
+    p = p.withColumn("one", F.struct("species", "source_name", F.col("bases").alias("sample_bytes"), F.col("bases").alias("sample_bases"), (F.col("coded_bytes") * 8 / F.greatest("bases", F.lit(1))).alias("arithmetic_bits_per_base"), "coded_bytes", (F.col("bases") % 7 * 10).alias("gzip_bytes"), F.lit(1000.0).alias("bases_per_second"), F.when(F.col("doc_id") % 3 > 0, F.col("bases") * 250.0).alias("compression_bytes_per_second")))
     per = p.groupBy("run", "split").agg(F.collect_list("one").alias("per_source"), F.struct(F.sum("bases").alias("sample_bases"), F.sum("coded_bytes").alias("coded_bytes"), F.sum(F.col("bases") % 7 * 10).alias("gzip_bytes"), (F.sum("coded_bytes") * 8 / F.greatest(F.sum("bases"), F.lit(1))).alias("arithmetic_bits_per_base")).alias("aggregate"))
     doc = per.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("split", F.create_map(F.lit("windows"), F.struct("aggregate", "per_source"), F.lit("broken"), F.lit(None))))).alias("m"))
     return doc.select("run", F.to_json("m").alias("results"))
@@ -183,7 +202,7 @@ def i1(spark, sf):
     return _rounded(R.aggregate_rows(R.branches(_results(spark, sf))), "arithmetic_bits_per_base")
 
 
-@query("i1_source_rows", with_(SRC, SPLIT, _PARTS) + f"SELECT {_RUN} AS run, split, 'windows' AS mode, species, source_name, bases AS sample_bytes, bases AS sample_bases, round(8.0 * coded_bytes / greatest(bases, 1), 6) AS arithmetic_bits_per_base, coded_bytes, bases % 7 * 10 AS gzip_bytes, CAST(1000 AS DOUBLE) AS bases_per_second FROM parts")
+@query("i1_source_rows", with_(SRC, SPLIT, _PARTS) + f"SELECT {_RUN} AS run, split, 'windows' AS mode, species, source_name, bases AS sample_bytes, bases AS sample_bases, round(8.0 * coded_bytes / greatest(bases, 1), 6) AS arithmetic_bits_per_base, coded_bytes, bases % 7 * 10 AS gzip_bytes, CAST(1000 AS DOUBLE) AS bases_per_second, CASE WHEN doc_id % 3 > 0 THEN bases * CAST(250 AS DOUBLE) END AS compression_bytes_per_second FROM parts")
 def i1b(spark, sf):
     return _rounded(R.source_rows(R.branches(_results(spark, sf))), "arithmetic_bits_per_base")
 
@@ -208,10 +227,10 @@ def h1(spark, sf):
     return R.with_baseline(_parts(spark, sf), _baseline(spark, sf)).select("source_name", "split", "baseline_percent")
 
 
-@query("i3_curve_rows", with_(SRC, SPLIT, _PARTS) + f"SELECT source_name, split, round(8.0 * coded_bytes / greatest(bases, 1) / 2 * 100, 6) AS percent_of_two_bit, round({_BASE} / 100 * 2, 6) AS baseline_bits_per_base, CAST(0.001 AS DOUBLE) AS mbases_per_second FROM parts")
+@query("i3_curve_rows", with_(SRC, SPLIT, _PARTS) + f"SELECT source_name, split, round(8.0 * coded_bytes / greatest(bases, 1) / 2 * 100, 6) AS percent_of_two_bit, round({_BASE} / 100 * 2, 6) AS baseline_bits_per_base, CAST(0.001 AS DOUBLE) AS mbases_per_second, round(CASE WHEN doc_id % 3 > 0 THEN bases * CAST(250 AS DOUBLE) END / 1000000, 6) AS compression_mbytes_per_second FROM parts")
 def i3(spark, sf):
     r = R.curve_rows(R.with_baseline(R.source_rows(R.branches(_results(spark, sf))), _baseline(spark, sf)))
-    return _rounded(r, "percent_of_two_bit", "baseline_bits_per_base").select("source_name", "split", "percent_of_two_bit", "baseline_bits_per_base", "mbases_per_second")
+    return _rounded(r, "percent_of_two_bit", "baseline_bits_per_base", "compression_mbytes_per_second").select("source_name", "split", "percent_of_two_bit", "baseline_bits_per_base", "mbases_per_second", "compression_mbytes_per_second")
 
 
 @query("h2_dataset_order", with_(SRC) + "SELECT source_name, CAST(CASE WHEN doc_id % 4 = 0 THEN doc_id WHEN species = 'src1' THEN 5 ELSE 1000000000 END AS BIGINT) AS sort_key FROM src")

@@ -132,23 +132,25 @@ _FILL = "list_transform(range(0, 63 - len(part)), lambda x: CAST({x} AS BIGINT))
 @query(
     "e3_decoder_windows",
     with_(SRC, TOK, _windows_sql(63, 125)) + f"""SELECT doc_id, window_id, sha256(array_to_string(list_concat([CAST(125 AS BIGINT)], (list_concat([CAST(9 AS BIGINT)], part))[1 : len(part)], {_FILL.format(x=125)}), ',')) AS inputs_sha256,
-sha256(array_to_string(list_concat([CAST(-100 AS BIGINT)], part, {_FILL.format(x=-100)}), ',')) AS labels_sha256 FROM padded""",
+sha256(array_to_string(list_concat([CAST(-100 AS BIGINT)], part, {_FILL.format(x=-100)}), ',')) AS labels_sha256,
+sha256(array_to_string(list_concat([CAST(0 AS BIGINT)], list_transform(part, lambda x: CAST(3 AS BIGINT)), {_FILL.format(x=0)}), ',')) AS lengths_sha256 FROM padded""",
 )
 def e3(spark, sf):
     t = W.targets(tokens(spark, sf).select("doc_id", "tokens"), 64, 1)
     inputs, labels = W.decoder_window(F.col("target"), [9], 64, 125)
-    return t.select("doc_id", "window_id", _ids(inputs).alias("inputs_sha256"), _ids(labels).alias("labels_sha256"))
+    lengths = W.label_lengths(F.transform("target", lambda x: F.lit(3).cast("long")), [9], 64)
+    return t.select("doc_id", "window_id", _ids(inputs).alias("inputs_sha256"), _ids(labels).alias("labels_sha256"), _ids(lengths).alias("lengths_sha256"))
 
 
 @query(
     "e4_encoder_windows",
-    with_(SRC, TOK, _windows_sql(63, 125)) + f"""SELECT doc_id, window_id, sha256(array_to_string(list_concat([CAST(9 AS BIGINT)], part, {_FILL.format(x=125)}), ',')) AS inputs_sha256, CAST(len(part) + 1 AS BIGINT) AS attended,
+    with_(SRC, TOK, _windows_sql(63, 125)) + f"""SELECT doc_id, window_id, sha256(array_to_string(list_concat([CAST(9 AS BIGINT)], part, {_FILL.format(x=125)}), ',')) AS inputs_sha256, CAST(len(part) + 1 AS BIGINT) AS attended, sha256(array_to_string(list_concat([CAST(1 AS BIGINT)], list_transform(part, lambda x: CAST(1 AS BIGINT)), {_FILL.format(x=0)}), ',')) AS mask_sha256,
 sha256(array_to_string(list_concat([CAST(-100 AS BIGINT)], part, {_FILL.format(x=-100)}), ',')) AS labels_sha256 FROM padded""",
 )
 def e4(spark, sf):
     t = W.targets(tokens(spark, sf).select("doc_id", "tokens"), 64, 1)
     inputs, mask, labels = W.encoder_window(F.col("target"), [9], 64, 125)
-    return t.select("doc_id", "window_id", _ids(inputs).alias("inputs_sha256"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), _ids(labels).alias("labels_sha256"))
+    return t.select("doc_id", "window_id", _ids(inputs).alias("inputs_sha256"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("attended"), _ids(mask).alias("mask_sha256"), _ids(labels).alias("labels_sha256"))
 
 
 @query(

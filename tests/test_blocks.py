@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandworks.functions import sequence as S
 from strandworks.operators import blocks as B
 from strandworks.operators import corpus as C
+from strandworks.operators import metrics as M
 from strandworks.operators import windows as W
 from strandworks.sources.fasta import blocks_of
 
@@ -106,3 +107,18 @@ def test_draws_follow_the_weights(spark):
         assert abs(len(own) / 20_000 - (i + 1) / 55) < 0.02 and set(own) <= set(range(10 * (i + 1))) and len(set(own)) > 9 * (i + 1)
     again = C.sample_windows(weighted.repartition(3), 20_000, 5, "source_name").collect()
     assert sorted(rows) == sorted(again) and sorted(rows) != sorted(C.sample_windows(weighted, 20_000, 6, "source_name").collect())
+
+
+def test_masks_and_lines_over_blocks(spark):
+    rng = random.Random(6)
+    rows = [(f"m{n}", "".join(rng.choice(["ACGT", "AC", "NNA", "GGG"]) for _ in range(n))) for n in (0, 1, 2, 30, 90)]
+    src = spark.createDataFrame(rows, "source_name string, seq string")
+    top = M.top_kmers(M.kmer_counts(src, "source_name", 4), "source_name", 2, 3)
+    want = {(r.source_name, r.pos): r.level for r in M.repeat_mask(src, top, "source_name", 4).collect()}
+    lines = {(r.source_name, r.line): (round(r.repeat_fraction, 9), r.meter) for r in M.repeat_lines(src, M.repeat_mask(src, top, "source_name", 4), "source_name", 10).collect()}
+    assert len(want) > 50
+    for size in (1, 2, 7, 10, 500):
+        mask = B.repeat_mask(blocks_of(src, size), top, 4, size)
+        assert {(r.source_name, r.pos): r.level for r in mask.collect()} == want
+        if size % 10 == 0:
+            assert {(r.source_name, r.line): (round(r.repeat_fraction, 9), r.meter) for r in B.repeat_lines(blocks_of(src, size), mask, 10, size).collect()} == lines

@@ -144,12 +144,12 @@ def test_modes_are_checked():
 
 def test_streamed_sizes_equal_whole_ones(spark):
     df, seqs = sequences(spark, (0, 1, 5000, 300_000))
-    got = {r.source_name: r for r in streamed_sizes(blocks_of(df, 999), ["source_name"]).collect()}
+    blocks = blocks_of(df, 999).select("source_name", "start", "seq").union(df.filter("seq = ''").selectExpr("source_name", "0L", "seq"))
+    got = {r.source_name: r for r in streamed_sizes(blocks, ["source_name"]).collect()}
     for name, seq in seqs.items():
-        if seq:
-            b = seq.encode()
-            assert (got[name].ascii, got[name].two_bit) == (len(b), (2 * len(b) + 7) // 8)
-            assert (got[name].gzip, got[name].bz2, got[name].lzma) == (len(gzip.compress(b, 9, mtime=0)), len(bz2.compress(b)), len(lzma.compress(b)))
+        b = seq.encode()
+        assert (got[name].ascii, got[name].two_bit) == (len(b), (2 * len(b) + 7) // 8)
+        assert (got[name].gzip, got[name].bz2, got[name].lzma) == (len(gzip.compress(b, 9, mtime=0)), len(bz2.compress(b)), len(lzma.compress(b)))
 
 
 def test_long_windows_in_bounded_memory(spark):
