@@ -12,9 +12,9 @@ its suffix tree: how deep a suffix's node is bounds the windows that can repeat
 leaves below the internal nodes of depth ``LENGTH`` are the repeats. Words are compared by keys that are the words
 themselves, or 120-bit digests of those over 15 bytes.
 
-A group that is too large under the longest of these prefixes, the anchor, has its prefixes extended
-to whole windows: each window is a row by the 128-bit digest of all its words, equal ones within a task are
-settled before the shuffle, and neighbours in the order are compared. So neither a group nor one
+A group that is too large under the longest of these prefixes, the anchor, is dealt out by whole windows instead: a task sorts
+the windows of its suffixes in the same way, of equal ones one goes on, and these meet by a hash of all their words and are
+sorted again. Wherever they meet, sorted words decide; sizes and hashes only deal rows out. So neither a group nor one
 window is ever held or read by one task as a whole.
 
 Defined results: null and empty texts have no words; repeated or null ids as in ``common.keyed``
@@ -23,7 +23,6 @@ Defined results: null and empty texts have no words; repeated or null ids as in
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -100,7 +99,7 @@ def prefix_groups(around: DataFrame, group: int) -> tuple[DataFrame, DataFrame]:
         choice = F.when(small, pick) if choice is None else choice.when(small, pick)
     out = out.withColumn("grp", F.when(choice.isNotNull(), F.xxhash64(choice)))
     columns = ["grp", "rid", "first", "dist", "n", "context"]
-    return out.filter("grp is not null").select(columns), out.filter("grp is null").select(columns[1:])
+    return out.filter("grp is not null").select(columns), out.filter("grp is null").select(F.col(levels[-1]).alias("grp"), *columns[1:])
 
 
 FOUND = "rid long, first long, last long"
@@ -111,68 +110,6 @@ def found_rows(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], FOUND_NAMES)
 
 
-APART = "k1 long, k2 long, rid long, first long, done boolean"
-
-
-def windows_apart(large: DataFrame, rule: anchors.Rule) -> DataFrame:
-    """Each window of the runs as a row by the digest of its words; of equal ones in a task one row stays, the others are done."""
-    names = [x.split()[0] for x in APART.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        rids: list[int] = []
-        firsts: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            k1, k2 = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T
-            o = np.lexsort((k2, k1))
-            head = np.concatenate([[True], (k1[o][1:] != k1[o][:-1]) | (k2[o][1:] != k2[o][:-1])])
-            alone = head & np.concatenate([head[1:], [True]])
-            # all of several are done, and the first goes on to meet those of other tasks
-            rows, done = np.concatenate([o[head], o[~alone]]), np.repeat([False, True], [head.sum(), (~alone).sum()])
-            cols = [k1[rows], k2[rows], np.array(rids)[rows], np.array(firsts)[rows]]
-            keys.clear(), rids.clear(), firsts.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(done)], names)
-
-        for batch in batches:
-            for rid, first, n, context in zip(*(batch.column(c).to_pylist() for c in ("rid", "first", "n", "context")), strict=True):
-                words = _BYTES_WORD.findall(context)
-                keys += [hashlib.blake2b(b" ".join(words[i : i + rule.length]), digest_size=16).digest() for i in range(n)]
-                rids += [rid] * n
-                firsts += range(first, first + n)
-                if len(keys) >= anchors.HELD // 2:
-                    yield flush()
-        if keys:
-            yield flush()
-
-    return large.mapInArrow(run, APART)
-
-
-def twins(sorted_rows: DataFrame, length: int) -> DataFrame:
-    """Intervals of windows that a neighbour in the order of digests equals, and of those that are done."""
-
-    def of(t: list, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
-        k1, k2, rid, first, done = t
-        same = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
-        twin = np.concatenate([[before == (k1[0], k2[0])], same]) | np.concatenate([same, [after == (k1[-1], k2[-1])]]) | done
-        return found_rows(*anchors.merge_intervals(rid[twin], first[twin], first[twin] + length))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                yield of(held, before, (cols[0][0], cols[1][0]))
-                before = (held[0][-1], held[1][-1])
-            held = cols
-        if held is not None:
-            yield of(held, before, None)
-
-    return sorted_rows.mapInArrow(run, FOUND)
-
-
 def deep_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(first leaf, end) of the topmost internal nodes of a suffix tree that are ``depth`` deep or more.
 
@@ -191,6 +128,7 @@ class Tree:
         starts, ends = words_of(text, SPACED_WORD)
         self.content, self.length = anchors.Content(np.stack(word_keys(text, starts, ends), 1).ravel(), words=True), length
         self.start = np.searchsorted(starts, at[:-1])
+        self.text, self.at, self.until = text, starts, ends
         grp = table.column("grp").to_numpy()
         self.grp = np.cumsum(np.concatenate([[False], grp[1:] != grp[:-1]]))
         self.rid, self.first, self.dist, self.n = (table.column(k).to_numpy() for k in ("rid", "first", "dist", "n"))
@@ -213,6 +151,13 @@ class Tree:
         np.add.at(below, b, -1)
         return np.cumsum(below[:-1]) > 0
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix and place of every window in the order of the words, and how many words each shares with the one before."""
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        order, shared = self._sorted((self.grp[row],), self.start[row] + place, np.full(len(row), self.length))
+        return row[order], place[order], shared
+
     def repeats(self) -> Iterator[tuple]:
         """(rids, first, end) of words below deep nodes."""
         length, size = self.length, self.n + self.length - 1
@@ -242,6 +187,54 @@ class Tree:
             yield self.rid[row[q]], pos, pos + length
 
 
+APART = "grp long, rid long, first long, last long, dist long, n long, context binary"
+
+
+def windows_apart(large: DataFrame, rule: anchors.Rule) -> DataFrame:
+    """Suffixes whose longest prefix is too common, dealt out by whole windows, the longest prefix that decides anything.
+
+    A task sorts the windows of its suffixes to the tree's leaves of depth ``length``: of equal ones one goes on, with its words and a hash of all of
+    them as ``grp``, and all of several are intervals (``grp`` is null). So a window has at most one row from each task, whatever its number.
+    """
+    names = [x.split()[0] for x in APART.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            table = table.take(pa.array(np.argsort(table.column("grp").to_numpy(), kind="stable")))
+            tree = Tree(table, rule.length)
+            row, place, shared = tree.windows()
+            head = shared < rule.length
+            alone = head & np.append(head[1:], True)
+            again = ~alone
+            rid, first, last = anchors.merge_intervals(tree.rid[row[again]], tree.first[row[again]] + place[again], tree.first[row[again]] + place[again] + rule.length)
+            none, zero = pa.nulls(len(rid), pa.int64()), pa.array(np.zeros(len(rid), np.int64))
+            yield pa.RecordBatch.from_arrays([none, *(pa.array(c, pa.int64()) for c in (rid, first, last)), zero, zero, pa.nulls(len(rid), pa.binary())], names)
+            row, place = row[head], place[head]
+            begin = tree.start[row] + place
+            key = grams(word_hashes(tree.text, tree.at, tree.until), rule.length)[begin].view(np.int64)
+            for i in range(0, len(row), 20_000):
+                p, q = row[i : i + 20_000], begin[i : i + 20_000]
+                body = [tree.text[x:y].tobytes() for x, y in zip(tree.at[q].tolist(), tree.until[q + rule.length - 1].tolist(), strict=True)]
+                place_in = tree.first[p] + place[i : i + 20_000]
+                zero = np.zeros(len(p), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key[i : i + 20_000], tree.rid[p], place_in, place_in + rule.length, zero, zero + 1)), pa.array(body, pa.binary())], names)
+
+        for batch in batches:
+            held.append(batch)
+            n += int(batch.column(4).to_numpy().sum())
+            if n >= anchors.HELD // 2:
+                yield from flush()
+                held, n = [], 0
+        if n:
+            yield from flush()
+
+    return large.mapInArrow(run, APART)
+
+
 def solve_groups(dealt: DataFrame, length: int) -> DataFrame:
     """Intervals of repeated words, from rows sorted by grp."""
 
@@ -279,8 +272,10 @@ def repeated_words(texts: DataFrame, length: int = LENGTH, group: int = GROUP) -
     n = partitions(texts.sparkSession)
     small, large = prefix_groups(around, group)
     found = solve_groups(small.repartition(n, "grp").sortWithinPartitions("grp"), length)
-    apart = twins(windows_apart(large, rule).repartition(n, "k1").sortWithinPartitions("k1", "k2"), length)
-    return marked.filter(F.col("kind") == anchors.INTERVAL).select(*FOUND_NAMES).unionByName(found).unionByName(apart)
+    apart = materialise(windows_apart(large, rule), "windows-apart")
+    met = apart.filter("grp is not null").select("grp", "rid", "first", "dist", "n", "context").repartition(n, "grp").sortWithinPartitions("grp")
+    settled = marked.filter(F.col("kind") == anchors.INTERVAL).select(*FOUND_NAMES).unionByName(apart.filter("grp is null").select(*FOUND_NAMES))
+    return settled.unionByName(found).unionByName(solve_groups(met, length))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP) -> DataFrame:

@@ -70,9 +70,20 @@ def test_a_common_passage_among_different_neighbours_is_dealt_out(spark):
     assert small.count() + large.count() == around.count() and large.count() > 100
     assert not small.groupBy("grp").count().filter("count > 20").count()
     apart = substrings.windows_apart(large, rule)
-    assert apart.filter("not done").groupBy("k1", "k2").count().agg(F.max("count")).first()[0] <= apart.rdd.getNumPartitions()
-    got = substrings.dedup(df, group=20).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
-    assert sorted(map(tuple, got)) == sorted(brute_force.repeated_words(docs))
+    assert apart.filter("grp is not null").groupBy("grp").count().agg(F.max("count")).first()[0] <= apart.rdd.getNumPartitions()
+    want = sorted(brute_force.repeated_words(docs))
+    for group in (20, 500, 2000):  # it only deals rows out
+        got = substrings.dedup(df, group=group).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("h")).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_words_decide_where_hashes_agree(spark):
+    """Whole windows of one hash are told apart by their words."""
+    rows = [(7, i, 0, 0, 1, (" ".join(f"w{k}" for k in range(34)) + f" {x}").encode()) for i, x in enumerate("aabc")]
+    df = spark.createDataFrame(rows, "grp long, rid long, first long, dist long, n long, context binary")
+    assert sorted((r.rid, r.first, r.last) for r in substrings.solve_groups(df.coalesce(1), 35).collect()) == [(0, 0, 35), (1, 0, 35)]
+    apart = substrings.windows_apart(df.coalesce(1), anchors.Rule(35, 8, "any")).collect()
+    assert sorted((r.rid, r.first, r["last"]) for r in apart if r.grp is None) == [(0, 0, 35), (1, 0, 35)] and sorted(r.rid for r in apart if r.grp is not None) == [0, 2, 3]
 
 
 def test_words_of_one_polynomial_hash_differ_and_long_texts_are_cut(spark):
