@@ -23,10 +23,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.llm.common import materialise, scratch_dir
+from strandworks.llm.common import materialise, scratch_dir, session_conf
 
 MIN_REVISIT = 100
 #: Bytes of content in one legacy archive made from a table; the next record starts a new one.
@@ -39,8 +40,8 @@ RECORD_SCHEMA = (
     "archive string, offset long, arc_version int, url string, ip string, warc_date string, content_type string, "
     "status int, http_head binary, page_id long, payload_bytes long, payload_digest string, record_id string"
 )
-#: Records of one WARC file, and its bytes before compression, at most (one record at least): a reader holds one file at a time.
-FILE_RECORDS, FILE_BYTES = 4096, 64 << 20
+#: Bytes of one WARC file before compression, at most (one record at least): a reader holds one file at a time.
+FILE_BYTES = 64 << 20
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -228,10 +229,29 @@ def convert(arcs: DataFrame) -> DataFrame:
     return j.select("archive", "page_id", whole.cast("string").alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, longest: int = FILE_BYTES // FILE_RECORDS) -> None:
-    """Write the records, the longest of so many bytes, as gzipped WARC files of bounded size."""
-    most = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, longest)))
-    records.select("record").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write the records as gzipped WARC files, each of ``FILE_BYTES`` before it is packed or of one record that is longer.
+
+    A task counts the bytes of its records as they come and numbers files by the sum, so one long page makes one file of its own at most.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, file, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            files = []
+            for n in pc.binary_length(batch.column(0)).to_pylist():
+                if size and size + n + 4 > FILE_BYTES:
+                    file, size = file + 1, 0
+                size += n + 4
+                files.append(f"{part:06d}-{file:06d}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files)], ["record", "file"])
+
+    numbered = records.select(F.col("record").cast("binary").alias("record")).mapInArrow(number, "record binary, file string")
+    # files follow one another, so a few writers at a time do without a sort
+    with session_conf(records.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "16"}):
+        numbered.select(F.col("record").cast("string").alias("record"), "file").write.partitionBy("file").option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(name: str, content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -281,6 +301,5 @@ def convert_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archive ``pages`` in the legacy format, convert to WARC files under ``path``, and read those back."""
     spark = pages.sparkSession
     path = path or f"{scratch_dir(spark)}/strandworks-warc-{uuid.uuid4().hex}"
-    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
-    write_warc(convert(arcs_from_pages(pages)), path, longest + 2048)
+    write_warc(convert(arcs_from_pages(pages)), path)
     return read_warc(spark, path)

@@ -38,7 +38,7 @@ def test_conversion_against_brute_force(spark, tmp_path):
         want.append((pid, len(data), "revisit" if again else "response", f if again else None))
     key = lambda x: tuple(str(v) for v in x)
     assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
-    for path in glob.glob(str(tmp_path / "w/*.gz")):
+    for path in glob.glob(str(tmp_path / "w/**/*.gz"), recursive=True):
         for h, block in warc.parse_warc(path, open(path, "rb").read()):
             assert h["WARC-Record-ID"].startswith("<urn:uuid:") and len(block) == int(h["Content-Length"])
 
@@ -57,11 +57,24 @@ def test_empty_table(spark, tmp_path):
     assert warc.convert_pages(pages, str(tmp_path / "w")).count() == 0
 
 
-def test_long_payloads_make_short_files(spark, tmp_path, monkeypatch):
+def written(path):
+    return [len(gzip.decompress(open(p, "rb").read())) for p in glob.glob(f"{path}/**/*.gz", recursive=True)]
+
+
+def test_files_are_cut_by_running_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 4 << 20)
     rows = [(i, f"http://a/{i}", f"{i} " + "é" * 1_000_000) for i in range(9)] + [(20, "http://b/", rows_text := "z" * 3_000_000), (21, "http://c/", rows_text)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     got = warc.convert_pages(pages, str(tmp_path / "w")).collect()
     assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == sorted((i, len(t.encode()), "revisit" if i == 21 else "response", 20 if i == 21 else None) for i, _, t in rows)
-    sizes = [len(gzip.decompress(open(p, "rb").read())) for p in glob.glob(str(tmp_path / "w/*.gz"))]
-    assert len(sizes) == len(rows) and max(sizes) < 4 << 20
+    sizes = written(tmp_path / "w")
+    assert max(sizes) <= 4 << 20 and len(sizes) <= 11
+
+
+def test_one_long_page_does_not_cut_the_others_apart(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " + "word " * (i % 50)) for i in range(2000)] + [(5000, "http://long/", "é" * (16 << 20))]
+    for place in (0, 1000, 2001):
+        pages = spark.createDataFrame(rows[:2000][:place] + rows[2000:] + rows[:2000][place:], "page_id long, url string, html string").coalesce(1)
+        got = warc.convert_pages(pages, str(tmp_path / f"w{place}")).select("page_id", "payload_bytes").collect()
+        assert sorted(map(tuple, got)) == sorted((i, len(t.encode())) for i, _, t in rows)
+        assert len(written(tmp_path / f"w{place}")) <= 3
