@@ -174,7 +174,8 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
 
 
 def _meet(df: DataFrame, n: int, *order: str) -> DataFrame:
-    return df.repartition(n, "lang", "part").sortWithinPartitions("lang", "part", *order)
+    """One range to a task: ranges are of about one size, so their numbers, not hashes of them, deal them out."""
+    return df.repartitionById(n, F.col("part")).sortWithinPartitions("lang", "part", *order)
 
 
 def _group_sums(w: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
