@@ -67,10 +67,23 @@ def boundary(alphabet: str, merge_size: int, seq_length: int) -> str:
     return "N" * (max(1, merge_size) * max(1, seq_length)) if "N" in alphabet else ""
 
 
-def concat_offsets(lengths: DataFrame, gap: int, order: str) -> DataFrame:
-    """Where each sequence of a species starts once they are joined with ``gap`` characters between: lengths only."""
-    w = Window.partitionBy("species").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return lengths.withColumn("start", F.coalesce(F.sum(F.col("length") + gap).over(w), F.lit(0)).cast("long"))
+def concat_offsets(lengths: DataFrame, gap: int, order: str, edges: int = 128) -> DataFrame:
+    """Where each sequence of a species starts once they are joined with ``gap`` characters between: lengths only.
+
+    Sums run within ranges of (species, order) and are lifted by the sums of the species' ranges before, so that no task holds a
+    species. The ranges are cut at ``edges`` rows, those with the smallest hashes; which rows these are changes no result. Of equal
+    places within a species any may come first. Nulls are a species of their own, and come first within one.
+    """
+    key = F.struct(F.col("species"), F.col(order))
+    cuts = lengths.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(edges).agg(F.collect_list("k").alias("_edges"))
+    ranged = lengths.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < key))).drop("_edges")  # one row of edges
+    sums = ranged.groupBy("species", "_range").agg(F.sum(F.col("length") + gap).alias("m"))
+    before = Window.partitionBy("species").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(F.col("species").alias("_species"), F.col("_range").alias("_before_range"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("species", "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(base, F.col("species").eqNullSafe(F.col("_species")) & (F.col("_range") == F.col("_before_range")))
+    start = F.col("_before") + F.coalesce(F.sum(F.col("length") + gap).over(own), F.lit(0))
+    return out.withColumn("start", start.cast("long")).select(*lengths.columns, "start")
 
 
 def observed_alphabet(sources: DataFrame, *keys: str, boundary: str = "") -> DataFrame:

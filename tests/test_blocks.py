@@ -122,3 +122,16 @@ def test_masks_and_lines_over_blocks(spark):
         assert {(r.source_name, r.pos): r.level for r in mask.collect()} == want
         if size % 10 == 0:
             assert {(r.source_name, r.line): (round(r.repeat_fraction, 9), r.meter) for r in B.repeat_lines(blocks_of(src, size), mask, 10, size).collect()} == lines
+
+
+def test_offsets_of_a_species_that_holds_nearly_all_rows(spark):
+    rows = [("big", i, (i * 37) % 11) for i in range(500)] + [("small", 3, 4), ("small", 1, 2), (None, 9, 5), (None, 7, 1)]
+    want, at = {}, {}
+    for species, i, n in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want[species, i] = at.get(species, 0)
+        at[species] = want[species, i] + n + 6
+    table = spark.createDataFrame(rows, "species string, i long, length int")
+    for edges in (1, 7, 128):
+        got = C.concat_offsets(table, 6, "i", edges).collect()
+        assert len(got) == len(rows) and {(r.species, r.i): r.start for r in got} == want
+    assert C.concat_offsets(table.limit(0), 6, "i").collect() == []
