@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,27 +43,85 @@ def without_headers(text: Column) -> Column:
     return F.regexp_replace(text, "(?md)^[ \\t\\r\\f\\x0B]*>.*$", "")
 
 
+#: A FASTA header in bytes, as ``without_headers`` has it.
+_HEADER = re.compile(rb"(?m)^[ \t\r\f\x0B]*>[^\n]*")
+_LINE_ENDS = re.compile(rb"\r\n|[\r\n\x0B\x0C\x1C\x1D\x1E\x85]")
+#: Rows whose bytes are looked up at a time.
+CLEANED_ROWS = 256
+
+
+def _strings(parts: list[np.ndarray], sizes: np.ndarray, like: pa.Array) -> pa.Array:
+    """Strings of ASCII bytes, null where ``like`` is."""
+    data = np.concatenate([np.zeros(0, np.uint8), *parts])
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    out = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(cut), pa.py_buffer(data)])
+    return out if not like.null_count else pc.if_else(pc.is_valid(like), out, None)
+
+
+def _looked_up(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What a table makes of each byte (0: gone), and how many are left in each row."""
+    parts, sizes = [], np.zeros(len(off) - 1, np.int64)
+    for i in range(0, len(sizes), CLEANED_ROWS):
+        at = off[i : i + CLEANED_ROWS + 1]
+        found = table[data[at[0] : at[-1]]]
+        there = found > 0
+        upto = np.concatenate([[0], np.cumsum(there, dtype=np.int64)])[at - at[0]]
+        sizes[i : i + len(at) - 1] = np.diff(upto)
+        parts.append(found[there])
+    return parts, sizes
+
+
 def clean(text: Column, alphabet: str = "ACGTN") -> Column:
-    """Letters of the alphabet in upper case; other letters as N if the alphabet has it, else gone; the rest gone."""
+    """Letters of the alphabet in upper case; other letters as N if the alphabet has it, else gone; the rest gone.
+
+    Bytes are looked up in a table in Arrow batches: a replacement for each letter takes many times as long.
+    """
     alphabet = normalize_alphabet(alphabet)
-    letters = F.regexp_replace(without_headers(byte_view(text)), f"[^A-Za-z{_HIGH_LETTERS}]", "")
-    known = alphabet + alphabet.lower()
-    return F.upper(F.regexp_replace(letters, f"[^{known}]", "N" if "N" in alphabet else ""))
+    if not alphabet.isascii():
+        letters = F.regexp_replace(without_headers(byte_view(text)), f"[^A-Za-z{_HIGH_LETTERS}]", "")
+        return F.upper(F.regexp_replace(letters, f"[^{alphabet + alphabet.lower()}]", "N" if "N" in alphabet else ""))
+    table = np.zeros(256, np.uint8)
+    for c in map(chr, range(256)):
+        if c.isascii() and c.isalpha() or re.match(f"[{_HIGH_LETTERS}]", c):
+            table[ord(c)] = ord(c.upper()) if c.isascii() and c.upper() in alphabet else ord("N") if "N" in alphabet else 0
+
+    @F.arrow_udf("string")
+    def of(column: pa.Array) -> pa.Array:
+        data, off = letters_of(column)
+        if (data == ord(">")).any():
+            data, off = letters_of(pa.array([_HEADER.sub(b"", x) if x and b">" in x else x for x in column.cast(pa.large_binary()).to_pylist()], pa.large_binary()))
+        return _strings(*_looked_up(data, off, table), column)
+
+    return of(text)
 
 
 def strict_clean(text: Column, max_bytes: int | None = None) -> Column:
     """struct(sequence, raw_bytes, removed_non_acgt, skipped_header_lines): only ACGT stays; the cap comes first."""
-    raw = byte_view(text)
-    raw = F.substring(raw, 1, max_bytes) if max_bytes else raw
-    lines = F.split(raw, "\\r\\n|\\r|\\n|\\x0B|\\x0C|\\x1C|\\x1D|\\x1E|\\x85")
-    body = F.array_join(F.filter(lines, lambda x: ~x.startswith(">")), "")
-    sequence = F.regexp_replace(F.upper(body), "[^ACGT]", "")
-    return F.struct(
-        sequence.alias("sequence"),
-        F.length(raw).cast("long").alias("raw_bytes"),
-        (F.length(body) - F.length(sequence)).cast("long").alias("removed_non_acgt"),
-        F.size(F.filter(lines, lambda x: x.startswith(">"))).cast("long").alias("skipped_header_lines"),
-    )
+    bases, ends = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    for c in "ACGTacgt":
+        bases[ord(c)] = ord(c.upper())
+    ends[list(b"\r\n\x0B\x0C\x1C\x1D\x1E\x85")] = 1
+
+    @F.arrow_udf("sequence string, raw_bytes long, removed_non_acgt long, skipped_header_lines long")
+    def of(column: pa.Array) -> pa.Array:
+        if max_bytes:
+            column = pc.binary_slice(column.cast(pa.large_binary()), 0, max_bytes)
+        data, off = letters_of(column)
+        raw, headers = np.diff(off), np.zeros(len(column), np.int64)
+        if (data == ord(">")).any():
+            bodies = column.cast(pa.large_binary()).to_pylist()
+            for i, x in enumerate(bodies):
+                if x and b">" in x:
+                    lines = _LINE_ENDS.split(x)
+                    headers[i] = sum(line.startswith(b">") for line in lines)
+                    bodies[i] = b"".join(line for line in lines if not line.startswith(b">"))
+            data, off = letters_of(pa.array(bodies, pa.large_binary()))
+        parts, sizes = _looked_up(data, off, bases)
+        body = np.diff(off) - _looked_up(data, off, ends)[1]
+        longs = [pa.array(x, pa.int64(), mask=np.array(column.is_null())) for x in (raw, body - sizes, headers)]
+        return pa.StructArray.from_arrays([_strings(parts, sizes, column), *longs], ["sequence", "raw_bytes", "removed_non_acgt", "skipped_header_lines"])
+
+    return of(text)
 
 
 def in_alphabet(seq: Column, alphabet: str) -> Column:
@@ -76,7 +136,7 @@ def kmers(seq: Column, k: int) -> Column:
 
 def letters_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, and the offsets of its rows."""
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or not len(column):

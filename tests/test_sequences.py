@@ -214,3 +214,15 @@ def test_csv_and_events(spark, tmp_path):
         (run / "compression_compare.json").write_text('{"name": "%s"}' % name)
     rows = fasta.read_results(spark, str(tmp_path / "runs"), "name string").orderBy("run_dir").collect()
     assert [r.name for r in rows] == ["deep/r0", "r1", "r2"] and rows[1].run_dir.endswith("runs/r1")
+
+
+def test_cleaning_is_looked_up_and_not_replaced_letter_by_letter(spark):
+    """Odd bytes, header lines at either kind of line end, and nulls; no replacement by a pattern is left in the plan."""
+    texts = [None, "", "ê\x85>a\rC", ">h\nac\r>gx\n \t>no\nT", "a>c\x1c>g\x0bt", "ßÿµ€\U0001f600k", "x" * 3000 + "ACGT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", S.clean(F.col("t")).alias("c"), S.clean(F.col("t"), "ACGT").alias("d"), S.strict_clean(F.col("t"), 9).alias("s"))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: r for r in out.collect()}
+    assert [got[i].c for i in range(7)] == [None, "", "NNNAC", "ACGNT", "ACGT", "NNNNNNN", "N" * 3000 + "ACGT"]
+    assert [got[i].d for i in range(6)] == [None, "", "AC", "ACGT", "ACGT", ""]
+    assert [tuple(got[i].s) if got[i].s else None for i in range(1, 5)] == [("", 0, 0, 0), ("C", 8, 3, 1), ("AC", 9, 0, 2), ("ACT", 8, 1, 1)]
