@@ -229,6 +229,119 @@ class Encoder:
         return np.packbits(np.array(self.bits, np.uint8)).tobytes() if self.bits else b""
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    """How many bits whole numbers below 2**53 have."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+def _in_order(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes from the longest to the shortest, where each begins, and how many of them reach over each step."""
+    order = np.argsort(-sizes, kind="stable")
+    size = sizes[order]
+    steps = np.arange(size[0] if len(size) else 0)
+    return order, (np.cumsum(sizes) - sizes)[order], np.searchsorted(-size, -steps, side="left")
+
+
+def _settled(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``low, high`` shifted until they are a quarter apart, and by how many bits: first those that agree, then those that straddle the middle."""
+    agreed = 32 - _bits(low ^ high)
+    low, high = (low << agreed) & Encoder.TOP, ((high << agreed) | ((1 << agreed) - 1)) & Encoder.TOP
+    straddle = 31 - _bits(~(low & ~high) & (Encoder.HALF - 1))
+    return (low << straddle) & (Encoder.HALF - 1), (((high << straddle) | ((1 << straddle) - 1)) & Encoder.TOP) | Encoder.HALF, agreed, straddle
+
+
+#: Intervals that ``encode_many`` is given at a time.
+CODED_INTERVALS = 1 << 22
+#: Lower bounds that are summed up at a time.
+SUMMED = 1 << 19
+#: Totals up to which an interval's bounds times the coder's range fit 63 bits.
+MOST_TOTAL = 1 << 30
+
+
+def encode_many(lo: np.ndarray, hi: np.ndarray, total: int | np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of an ``Encoder`` for each of several lanes, whose intervals follow each other lane by lane; ``total`` is one for all or one for each.
+
+    All lanes take a step at a time. What is written is the sum of the intervals' lower bounds at their places, so bits that hang on
+    a carry need no list of their own: sums are made in limbs of 16 bits, and carries go up at the end.
+    """
+    order, start, active = _in_order(sizes)
+    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), Encoder.TOP, np.int64)
+    total = np.broadcast_to(np.asarray(total, np.int64), sizes.shape)[order]
+    if len(total) and total.max() > MOST_TOTAL:
+        raise ValueError(f"a total is at most {MOST_TOTAL}")
+    one = total[0] if len(total) and (total == total[0]).all() else None
+    power = one is not None and one & (one - 1) == 0
+    added, shifted = np.empty(len(lo), np.uint32), np.empty(len(lo), np.uint8)
+    for t, m in enumerate(active.tolist()):
+        at, l, span = start[:m] + t, low[:m], high[:m] - low[:m] + 1
+        a, b = span * lo[at], span * hi[at]
+        if power:
+            n = int(one).bit_length() - 1
+            a, b = a >> n, b >> n
+        else:
+            a, b = a // total[:m], b // total[:m]
+        low[:m], high[:m], agreed, straddle = _settled(l + a, l + b - 1)
+        added[at], shifted[at] = a, agreed + straddle
+    last = np.empty(len(sizes), np.int64)
+    last[order] = np.where(low < Encoder.QUARTER, Encoder.QUARTER, Encoder.HALF) - low
+    after = np.concatenate([[0], np.cumsum(shifted, dtype=np.int64)])
+    ends = np.cumsum(sizes)
+    first, bits = after[ends - sizes], after[ends] - after[ends - sizes]
+    limbs = bits // 16 + 4
+    base = np.cumsum(limbs) - limbs
+    moved, out = np.repeat(base * 16 - first, sizes), np.zeros(int(limbs.sum()) + 2, np.int64)
+
+    def put(value: np.ndarray, place: np.ndarray) -> None:
+        limb = place // 16
+        value, from_ = value.astype(np.int64) << (16 - place % 16), int(limb.min())
+        for j, shift in enumerate((32, 16, 0)):
+            part = np.bincount(limb - from_, weights=((value >> shift) & 0xFFFF).astype(np.float64))
+            out[from_ + j : from_ + j + len(part)] += part.astype(np.int64)
+
+    for i in range(0, len(lo), SUMMED):
+        put(added[i : i + SUMMED], after[i : min(i + SUMMED, len(lo))] + moved[i : i + SUMMED])
+    if len(sizes):
+        put(last, base * 16 + bits)
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
+        out[:-1] += carry[1:]
+    data = out.astype(">u2").tobytes()
+    return [data[2 * b : 2 * b + (n + 9) // 8] for b, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def decode_many(coded: list[bytes], sizes: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The symbols that ``Decoder`` reads from each lane, lane by lane; ``tables`` has a lane's cumulative table in each row, filled up with its total."""
+    order, start, active = _in_order(sizes)
+    data = np.frombuffer(b"".join(c + bytes(16) for c in coded), np.uint8)
+    words = np.zeros(max(len(data) - 8, 0), np.uint64)
+    for j in range(8):
+        words |= data[j : j + len(words)].astype(np.uint64) << np.uint64(56 - 8 * j)
+    length = np.array([len(c) + 16 for c in coded], np.int64)
+    begin, end = ((np.cumsum(length) - length) * 8)[order], ((np.cumsum(length) - 16) * 8)[order]
+    cum, total = tables[order], tables[order, -1]
+
+    def read(at: np.ndarray, n: np.ndarray, end: np.ndarray) -> np.ndarray:
+        at = np.minimum(at, end)  # zeros behind the end
+        return ((words[at >> 3] << (at & 7).astype(np.uint64) >> np.uint64(32)).astype(np.int64)) >> (32 - n)
+
+    low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), Encoder.TOP, np.int64)
+    code, at = read(begin, np.full(len(sizes), 32), end), begin + 32
+    out = np.zeros(int(sizes.sum()), np.int64)
+    for t, m in enumerate(active.tolist()):
+        l, c, span = low[:m], code[:m], high[:m] - low[:m] + 1
+        value = ((c - l + 1) * total[:m] - 1) // span
+        symbol = (cum[:m, 1:-1] <= value[:, None]).sum(1)
+        out[start[:m] + t] = symbol
+        row = np.arange(m)
+        a, b = l + span * cum[row, symbol] // total[:m], l + span * cum[row, symbol + 1] // total[:m] - 1
+        low[:m], high[:m], agreed, straddle = _settled(a, b)
+        c = ((c << agreed) | read(at[:m], agreed, end[:m])) & Encoder.TOP
+        at[:m] += agreed
+        code[:m] = (c & Encoder.HALF) | (((c << straddle) | read(at[:m], straddle, end[:m])) & (Encoder.HALF - 1))
+        at[:m] += straddle
+    return out
+
+
 class Decoder:
     """Reads what ``Encoder`` wrote: the caller gives each symbol's cumulative table."""
 
@@ -256,6 +369,23 @@ class Decoder:
             self.low, self.high, self.code, self.at = (self.low - cut) * 2, (self.high - cut) * 2 + 1, (self.code - cut) * 2 + bit, self.at + 1
 
 
+def _places(text: str) -> np.ndarray:
+    """The code point of each character."""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _filled(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have up to ``most`` together, one row at least."""
+    lo, n = 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and n + size > most:
+            yield lo, i
+            lo, n = i, 0
+        n += size
+    if sizes:
+        yield lo, len(sizes)
+
+
 def encode_blocks(symbols: DataFrame, keys: list[str], block: int = 1 << 16) -> DataFrame:
     """Code each block of ``block`` positions of each source: ``keys, code_block, symbols, coded``."""
     schema = ", ".join([*(f"{k} string" for k in keys), "code_block long, symbols long, coded binary"])
@@ -278,17 +408,24 @@ def encode_sequences(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """
     names = ["source_name", "block_id", "symbols", "coded"]
 
+    def coded(rows: list[tuple[np.ndarray, str, list[int]]]) -> list[bytes]:
+        lo, hi, total = [], [], []
+        for seq, letters, counts in rows:
+            high, known = np.cumsum(counts), _places(letters)
+            at = np.minimum(np.searchsorted(known, seq), len(known) - 1)
+            if (known[at] != seq).any():
+                raise ValueError("a block has letters that its table lacks")
+            lo.append((high - counts)[at])
+            hi.append(high[at])
+            total.append(int(high[-1]))
+        return encode_many(np.concatenate(lo), np.concatenate(hi), np.array(total), np.array([len(s) for s, *_ in rows]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            symbols, coded = [], []
-            for seq, letters, counts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                high = np.cumsum(counts).tolist()
-                table, e = {c: (h - n, h, high[-1]) for c, h, n in zip(letters, high, counts, strict=True)}, Encoder()
-                for c in seq:
-                    e.encode(*table[c])
-                symbols.append(len(seq))
-                coded.append(e.finish())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols, pa.int64()), pa.array(coded, pa.binary())], names)
+            rows = [(_places(s), letters, n) for s, letters, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            for lo, up in _filled([len(s) for s, *_ in rows], CODED_INTERVALS):
+                part = batch.slice(lo, up - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s, *_ in rows[lo:up]], pa.int64()), pa.array(coded(rows[lo:up]), pa.binary())], names)
 
     j = blocks.join(tables, "source_name").select("source_name", "block_id", "seq", "letters", "counts")
     return j.mapInArrow(run, "source_name string, block_id long, symbols long, coded binary")

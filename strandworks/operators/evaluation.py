@@ -6,7 +6,8 @@ targets' intervals to one coder and drops them: what leaves it is a row for each
 and every symbol is scored once, so memory depends on the window and the vocabulary only.
 
 A scorer maps windows (n, L) and a place to natural-log probabilities (n, L - place, V) of the symbols from that place on, each
-given what stands before it in its window.
+given what stands before it in its window. One that has few distributions says so (``TableScorer``): then each is quantised once, and
+each symbol's interval in it is looked up.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from strandworks.functions import sequence as S
 from strandworks.functions.config import grouped_widths
 from strandworks.operators.blocks import recut
-from strandworks.operators.coding import Decoder, Encoder, quantise
+from strandworks.operators.coding import CODED_INTERVALS, Decoder, encode_many, quantise
 from strandworks.sources.fasta import blocks_of
 
 Scorer = Callable[[np.ndarray, int], np.ndarray]
@@ -94,7 +95,8 @@ def scored_places(mode: Mode, symbols: np.ndarray, begin: int, lo: int, hi: int,
     many = max(1, min(HELD // (vocab * (n - first)), HELD // n))
     for i in range(0, len(starts), many):
         s0 = starts[i : i + many]
-        yield views[s0 + at], first, s0[:, None] + np.arange(first, n)[None, :]
+        step = int(s0[1] - s0[0]) if len(s0) > 1 else 1
+        yield views[s0[0] + at : s0[-1] + at + 1 : step], first, s0[:, None] + np.arange(first, n)[None, :]
 
 
 # --- intervals -----------------------------------------------------------------------------------
@@ -145,6 +147,64 @@ def whole_intervals(p: np.ndarray, target: np.ndarray, total: int) -> tuple[np.n
     return cum[at, target][:, None], cum[at, target + 1][:, None]
 
 
+class TableScorer:
+    """A scorer of few distributions: ``table`` has one in each row, and ``states`` maps windows (n, L) and a place to the rows (n, L - place) that hold from there on."""
+
+    def __init__(self, table: np.ndarray, states: Callable[[np.ndarray, int], np.ndarray]):
+        self.table, self.states = table, states
+
+    def __call__(self, windows: np.ndarray, first: int) -> np.ndarray:
+        return self.table[self.states(windows, first)]
+
+
+#: Pairs of a distribution and a symbol of which intervals are kept.
+PAIRS = 1 << 22
+
+
+class _Intervals:
+    """Bits and intervals of symbols: of each symbol by itself, or looked up by (distribution, symbol), each of which is made when it is first met."""
+
+    def __init__(self, scorer: Scorer, vocab: int, total: int, codings: dict[str, Steps | None]):
+        self.scorer, self.vocab, self.total = scorer, vocab, total
+        self.of = {c: steps.intervals if steps else whole_intervals for c, steps in codings.items()}
+        self.kept = isinstance(scorer, TableScorer) and scorer.table.size <= PAIRS
+        if self.kept:
+            self.known, self.bounds = np.zeros(scorer.table.size, bool), {}
+
+    def _learn(self, pair: np.ndarray) -> None:
+        met = np.zeros(len(self.known), bool)
+        met[pair] = True
+        new = np.flatnonzero(met & ~self.known)
+        many = max(1, HELD // self.vocab)
+        for i in range(0, len(new), many):
+            part = new[i : i + many]
+            p = np.exp(self.scorer.table[part // self.vocab])
+            for c, f in self.of.items():
+                low, high = f(p, part % self.vocab, self.total)
+                if c not in self.bounds:
+                    self.bounds[c] = np.full((2, len(self.known), low.shape[1]), -1, np.int32)
+                self.bounds[c][0, part], self.bounds[c][1, part] = low, high
+        self.known |= met
+
+    def __call__(self, windows: np.ndarray, first: int, own: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, tuple[np.ndarray, np.ndarray]], float]:
+        """Bits, ``cum_low, cum_high`` of each coding, and the seconds that the latter took; ``own`` are the places of the targets."""
+        if self.kept:
+            pair = self.scorer.states(windows, first)[own] * self.vocab + target
+            log, began = self.scorer.table.ravel()[pair], time.perf_counter()
+            if not self.known[pair].all():
+                self._learn(pair)
+            found = {c: (low[pair], high[pair]) for c, (low, high) in self.bounds.items()} if len(pair) else {}
+        else:
+            logs = self.scorer(windows, first)[own]
+            log, p, began = logs[np.arange(len(target)), target], np.exp(logs), time.perf_counter()
+            found = {c: f(p, target, self.total) for c, f in self.of.items()}
+        out = {}
+        for c, (low, high) in found.items():
+            there = low >= 0
+            out[c] = low[there].astype(np.int32), high[there].astype(np.int32)
+        return -float(log.sum()) / np.log(2), out, time.perf_counter() - began
+
+
 # --- the job -------------------------------------------------------------------------------------
 
 RESULT = "mode string, coding string, code_block long, symbols long, emitted long, bits double, cum_low long, coded binary, score_seconds double, code_seconds double"
@@ -161,40 +221,53 @@ def evaluate(blocks: DataFrame, keys: list[str], modes: list[Mode], scorer: Scor
     before, after = (max(m.reach[i] for m in modes) for i in (0, 1))
     names = [*keys, *(c.split()[0] for c in RESULT.split(", "))]
 
-    def one(mode: Mode, symbols: np.ndarray, begin: int, lo: int, hi: int) -> list[tuple]:
-        bits, scoring = 0.0, time.perf_counter()
-        spent = 0.0
-        coders = {c: [Encoder(), 0, 0, 0.0] for c in codings}
+    def one(of: _Intervals, mode: Mode, symbols: np.ndarray, begin: int, lo: int, hi: int) -> list[tuple]:
+        """``mode, coding, symbols, bits, cum_lows, cum_highs, score_seconds, code_seconds``: a code block before it is coded."""
+        bits, began, spent = 0.0, time.perf_counter(), 0.0
+        bounds = {c: ([np.zeros(0, np.int32)], [np.zeros(0, np.int32)]) for c in codings}
         for windows, first, places in scored_places(mode, symbols, begin, lo, hi, pad, vocab):
             own = (places >= lo) & (places < hi)
-            logs = scorer(windows, first)[own]
-            target = symbols[places[own] - begin]
-            bits -= float(logs[np.arange(len(target)), target].sum()) / np.log(2)
-            p = np.exp(logs)
-            began = time.perf_counter()
-            for c, steps in codings.items():
-                t = time.perf_counter()
-                low, high = (steps.intervals if steps else whole_intervals)(p, target, total)
-                there = low >= 0
-                low, high = low[there], high[there]
-                coders[c][0].encode_all(low, high, total)
-                coders[c][1] += len(low)
-                coders[c][2] += int(low.sum())
-                coders[c][3] += time.perf_counter() - t
-            spent += time.perf_counter() - began
-        seconds = time.perf_counter() - scoring - spent
-        return [(mode.name, c, hi - lo, n, bits, low, e.finish(), seconds, took) for c, (e, n, low, took) in coders.items()]
+            more, found, took = of(windows, first, own, symbols[places[own] - begin])
+            bits, spent = bits + more, spent + took
+            for c, both in found.items():
+                for held, new in zip(bounds[c], both, strict=True):
+                    held.append(new)
+        seconds = time.perf_counter() - began - spent
+        return [(mode.name, c, hi - lo, bits, np.concatenate(low), np.concatenate(high), seconds, spent / len(codings)) for c, (low, high) in bounds.items()]
+
+    def coded(held: list[tuple]) -> list[tuple]:
+        """``RESULT`` behind the keys of code blocks, coded side by side; the seconds are shared out by intervals."""
+        sizes, began = np.array([len(r[-4]) for r in held], np.int64), time.perf_counter()
+        data = encode_many(np.concatenate([r[-4] for r in held]), np.concatenate([r[-3] for r in held]), total, sizes)
+        each = (time.perf_counter() - began) / max(int(sizes.sum()), 1)
+        return [
+            (*key, mode, coding, code_block, symbols, len(low), bits, int(low.sum(dtype=np.int64)), d, scoring, quantising + each * len(low))
+            for (*key, code_block, mode, coding, symbols, bits, low, _, scoring, quantising), d in zip(held, data, strict=True)
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, n, types = _Intervals(scorer, vocab, total, codings), [], 0, []
+
+        def row_batch() -> pa.RecordBatch:
+            columns = list(zip(*coded(held), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, types[j]) if j < len(types) else pa.array(c) for j, c in enumerate(columns)], names)
+
         for batch in batches:
+            types = [batch.schema.field(j).type for j in range(len(keys))]
             for i in range(len(batch)):
-                code_block, begin = batch.column(len(keys))[i].as_py(), batch.column(len(keys) + 1)[i].as_py()
+                head, code_block, begin = [batch.column(j)[i].as_py() for j in range(len(keys))], batch.column(len(keys))[i].as_py(), batch.column(len(keys) + 1)[i].as_py()
                 symbols = batch.column(len(keys) + 2)[i].values.to_numpy()
                 lo = code_block * block
                 hi = min(lo + block, begin + len(symbols))
-                rows = [(m, c, code_block, *rest) for mode in modes for m, c, *rest in one(mode, symbols, begin, lo, hi)]
-                head = [pa.array([batch.column(j)[i].as_py()] * len(rows), batch.schema.field(j).type) for j in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*head, *(pa.array(c) for c in zip(*rows, strict=True))], names)
+                for mode in modes:
+                    more = [(*head, code_block, *r) for r in one(of, mode, symbols, begin, lo, hi)]
+                    held += more
+                    n += sum(len(r[-4]) for r in more)
+                if n >= CODED_INTERVALS:
+                    yield row_batch()
+                    held, n = [], 0
+        if held:
+            yield row_batch()
 
     cut = recut(blocks, keys, block, before, after)
     types = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
@@ -224,12 +297,10 @@ def repeat_scorer(vocab: int, boost: float = 1.5) -> Scorer:
     """A stand-in scorer of our own: a fixed distribution that falls from the first symbol to the last, with the symbol before raised; the first place of a window stands behind the last but one symbol."""
     x = np.linspace(2, -2, vocab)
     weights = np.exp(x)
+    table = x[None, :] - np.log(weights.sum() + weights * (np.exp(boost) - 1))[:, None]
+    np.fill_diagonal(table, table.diagonal() + boost)
 
-    def score(windows: np.ndarray, first: int) -> np.ndarray:
-        before = windows[:, first - 1 : -1] if first else np.hstack([np.full((len(windows), 1), vocab - 2), windows[:, :-1]])
-        norm = np.log(weights.sum() + weights[before] * (np.exp(boost) - 1))
-        out = x[None, None, :] - norm[:, :, None]
-        np.put_along_axis(out, before[:, :, None], np.take_along_axis(out, before[:, :, None], 2) + boost, 2)
-        return out
+    def states(windows: np.ndarray, first: int) -> np.ndarray:
+        return windows[:, first - 1 : -1] if first else np.hstack([np.full((len(windows), 1), vocab - 2), windows[:, :-1]])
 
-    return score
+    return TableScorer(table, states)
