@@ -7,15 +7,15 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandworks.operators.coding import Decoder
+from strandworks.operators.coding import CODED_INTERVALS, _filled, decode_many
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,18 +38,24 @@ def write_store(coded: DataFrame, tables: DataFrame, path: str) -> None:
 def decoded(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """``source_name, block_id, seq, fault``: stored blocks decoded; a block whose bytes or table are not what was stored has no ``seq``, and ``fault`` says why."""
 
-    def letters_of(coded: bytes, n: int, letters: str, counts: list[int]) -> str:
-        d, cum = Decoder(coded), [0, *accumulate(counts)]
-        return "".join([letters[d.decode(cum)] for _ in range(n)])
+    def seqs_of(rows: list[dict]) -> list[str]:
+        width = max(len(r["counts"]) for r in rows) + 1
+        cum = np.array([(c := [0, *accumulate(r["counts"])]) + c[-1:] * (width - len(c)) for r in rows])
+        sizes = np.array([r["symbols"] for r in rows])
+        found, cut = decode_many([r["coded"] for r in rows], sizes, cum), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        return ["".join(map(r["letters"].__getitem__, found[a:b].tolist())) for r, a, b in zip(rows, cut[:-1], cut[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs, faults = [], []
-            for r in batch.select(["symbols", "coded_bytes", "checksum", "coded", "letters", "counts"]).to_pylist():
-                data = r["coded"] or b""
-                fault = "no table" if r["letters"] is None else "length" if len(data) != r["coded_bytes"] else "checksum" if zlib.crc32(data) != r["checksum"] else None
-                seqs.append(None if fault else letters_of(data, r["symbols"], r["letters"], r["counts"]))
-                faults.append(fault)
+            rows, faults = batch.select(["symbols", "coded_bytes", "checksum", "coded", "letters", "counts"]).to_pylist(), []
+            for r in rows:
+                data = r["coded"] = r["coded"] or b""
+                faults.append("no table" if r["letters"] is None else "length" if len(data) != r["coded_bytes"] else "checksum" if zlib.crc32(data) != r["checksum"] else None)
+            good = [i for i, f in enumerate(faults) if not f]
+            seqs: list[str | None] = [None] * len(rows)
+            for lo, up in _filled([rows[i]["symbols"] for i in good], CODED_INTERVALS):
+                for i, seq in zip(good[lo:up], seqs_of([rows[i] for i in good[lo:up]]), strict=True):
+                    seqs[i] = seq
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seqs, pa.string()), pa.array(faults, pa.string())], ["source_name", "block_id", "seq", "fault"])
 
     return blocks.join(tables, "table_id", "left").select("source_name", "block_id", "symbols", "coded_bytes", "checksum", "coded", "letters", "counts").mapInArrow(run, "source_name string, block_id long, seq string, fault string")
