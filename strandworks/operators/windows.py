@@ -134,9 +134,11 @@ def sliding(rows: DataFrame, length: int, pad: int, block: int = 4096) -> DataFr
 def left_contexts(rows: DataFrame, length: int, pad: int, prefix: list[int], block: int = 4096) -> DataFrame:
     """For each token the last ``length`` of pad, prefix and the tokens before it (nothing is filled up)."""
     lead = F.array(*[F.lit(x).cast("long") for x in [pad, *prefix]])
-    shifted = rows.withColumn("tokens", F.concat(lead, F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0)))))
+    n = F.size("tokens")
+    shifted = rows.withColumn("tokens", F.when(n > 0, F.concat(lead, F.slice("tokens", 1, F.greatest(n - 1, F.lit(0))))).otherwise(F.array().cast("array<long>")))
     filled = sliding(shifted, length, -1, block).filter(F.col("pos") >= len(prefix))
-    return filled.select(*[c for c in rows.columns if c != "tokens"], (F.col("pos") - len(prefix)).alias("pos"), F.filter("input_ids", lambda x: x != -1).alias("context"))
+    context = F.slice("input_ids", F.greatest(F.lit(length) - F.col("pos"), F.lit(1)).cast("int"), length)
+    return filled.select(*[c for c in rows.columns if c != "tokens"], (F.col("pos") - len(prefix)).alias("pos"), context.alias("context"))
 
 
 def overlap_ranges(lengths: DataFrame, length: int, stride: int) -> DataFrame:

@@ -168,7 +168,7 @@ def e5(spark, sf):
 SELECT * FROM (SELECT doc_id, CAST(pos AS BIGINT) AS pos, string_agg(CAST(t AS VARCHAR), ',') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS ids FROM p) WHERE pos >= 0""",
 )
 def e6(spark, sf):
-    return W.left_contexts(tokens(spark, sf).filter(F.size("tokens") > 0).select("doc_id", "tokens"), 6, 125, [9], block=500).select("doc_id", "pos", F.array_join("context", ",").alias("ids"))
+    return W.left_contexts(tokens(spark, sf).select("doc_id", "tokens"), 6, 125, [9], block=500).select("doc_id", "pos", F.array_join("context", ",").alias("ids"))
 
 
 @query(

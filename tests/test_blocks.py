@@ -135,3 +135,20 @@ def test_offsets_of_a_species_that_holds_nearly_all_rows(spark):
         got = C.concat_offsets(table, 6, "i", edges).collect()
         assert len(got) == len(rows) and {(r.species, r.i): r.start for r in got} == want
     assert C.concat_offsets(table.limit(0), 6, "i").collect() == []
+
+
+def test_sliding_windows_put_their_halo_together_once_a_block(spark):
+    """The halo stands below the explode that makes a row for each token; beside it, it was made anew for each."""
+    t = spark.createDataFrame([("a", 0, list(range(9))), ("a", 9, [9])], "source_name string, first_token long, tokens array<long>")
+    out = B.sliding(t, 3, -1, 4)
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "array_repeat" not in above and "flatten" not in above
+    assert [r.input_ids for r in out.orderBy("pos").collect()] == [[i if i >= 0 else -1 for i in range(p - 2, p + 1)] for p in range(10)]
+
+
+def test_left_contexts_of_no_tokens_and_of_ids_below_zero(spark):
+    from strandworks.operators import windows as W
+
+    rows = spark.createDataFrame([(1, []), (2, [5, -1, 7, 8])], "id int, tokens array<long>")
+    got = [(r.id, r.pos, r.context) for r in W.left_contexts(rows, 3, 0, [9], 2).orderBy("id", "pos").collect()]
+    assert got == [(2, 0, [0, 9]), (2, 1, [0, 9, 5]), (2, 2, [9, 5, -1]), (2, 3, [5, -1, 7])]
