@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -585,19 +586,40 @@ def whole_latent_bits(mode: str, valid: Column, windows: Column, hidden: int, co
     return ((width * dtype_bytes + windows * 4) * 8).cast("long")
 
 
-def residuals(rows: DataFrame, key: str) -> DataFrame:
-    """``key, nonzeros, density, indices, data`` from arrays ``codes`` and ``prediction`` of equal length; see ``restored``."""
-    delta = F.zip_with("codes", "prediction", lambda a, b: a - b)
-    d = rows.withColumn("delta", delta)
-    at = F.filter(F.transform("delta", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    d = d.withColumn("indices", at).withColumn("data", F.filter("delta", lambda x: x != 0))
-    n = F.size("indices").cast("long")
-    return d.select(key, n.alias("nonzeros"), (n / F.greatest(F.size("codes"), F.lit(1))).alias("density"), "indices", "data")
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the offsets of its rows."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _sparse(codes: pa.Array, prediction: pa.Array) -> pa.Array:
+    (a, off), (b, other) = _lists(codes), _lists(prediction)
+    if not np.array_equal(off, other):
+        raise ValueError("codes and prediction differ in length")
+    delta = a - b
+    at = np.flatnonzero(delta)
+    cut = pa.array(np.searchsorted(at, off), pa.int32())
+    row = np.searchsorted(off, at, side="right") - 1
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(cut, pa.array(x)) for x in ((at - off[row]).astype(np.int32), delta[at].astype(np.int64))], ["indices", "data"])
+
+
+def _restored(prediction: pa.Array, indices: pa.Array, data: pa.Array) -> pa.Array:
+    (out, off), (at, cut), (delta, _) = _lists(prediction), _lists(indices), _lists(data)
+    out = out.astype(np.int64)
+    out[at + np.repeat(off[:-1], np.diff(cut))] += delta
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out))
+
+
+def residuals(rows: DataFrame, key: str, *keep: str) -> DataFrame:
+    """``key, nonzeros, density, indices, data`` from arrays ``codes`` and ``prediction`` of equal length, and columns to ``keep``; see ``restored``."""
+    sparse = F.arrow_udf(_sparse, "struct<indices:array<int>,data:array<long>>")
+    d = rows.withColumn("sparse", sparse("codes", "prediction"))
+    n = F.size("sparse.indices").cast("long")
+    return d.select(key, n.alias("nonzeros"), (n / F.greatest(F.size("codes"), F.lit(1))).alias("density"), "sparse.indices", "sparse.data", *keep)
 
 
 def restored(prediction: Column, indices: Column, data: Column) -> Column:
-    """The codes that a prediction and its sparse residuals stand for."""
-    return let(F.map_from_arrays(indices, data), lambda at: F.transform(prediction, lambda p, i: p + F.coalesce(F.try_element_at(at, i), F.lit(0))))
+    """The codes that a prediction and its sparse residuals stand for: each residual is added at its place."""
+    return F.arrow_udf(_restored, "array<long>")(prediction, indices, data)
 
 
 def csr(cells: DataFrame) -> DataFrame:

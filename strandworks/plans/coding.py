@@ -232,8 +232,8 @@ def f16b(spark, sf):
 @query("f17_residuals", with_(ACGT) + "SELECT doc_id, CAST(length(seq) - length(replace(seq, 'C', '')) AS BIGINT) AS same, CAST(length(replace(seq, 'C', '')) AS BIGINT) AS nonzeros, round(length(replace(seq, 'C', '')) / greatest(length(seq), 1), 9) AS density, sha256(seq) AS restored_sha256 FROM acgt")
 def f17(spark, sf):
     """Deltas against a constant prediction of C."""
-    r = acgt(spark, sf).withColumn("codes", S.base_codes(F.col("seq"))).withColumn("prediction", F.transform("codes", lambda c: F.lit(2)))
-    out = K.residuals(r, "doc_id").join(r.select("doc_id", "prediction"), "doc_id")
+    r = acgt(spark, sf).withColumn("codes", S.base_codes(F.col("seq"))).withColumn("prediction", F.array_repeat(F.lit(2), F.size("codes")))
+    out = K.residuals(r, "doc_id", "prediction")
     # restored from what is stored: prediction, places and values
     back = S.from_base_codes(K.restored(F.col("prediction"), F.col("indices"), F.col("data")))
     return out.select("doc_id", (F.size("prediction") - F.col("nonzeros")).alias("same"), "nonzeros", F.round("density", 9).alias("density"), F.sha2(back, 256).alias("restored_sha256"))

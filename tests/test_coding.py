@@ -158,3 +158,12 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = E.metric_rows(log(spark))
     assert sorted(map(str, spark.table("metrics").collect())) == sorted(map(str, batch.collect()))
     assert sorted(map(str, spark.table("best").collect())) == sorted(map(str, E.running_best(log(spark)).collect()))
+
+
+def test_long_residuals_are_restored_by_place(spark):
+    """20,000 residuals of one row: no look-up of each place in a map of all."""
+    n = 20_000
+    rows = spark.createDataFrame([(1, [i % 4 + 1 for i in range(n)], [9] * n), (2, [], []), (3, [9, 8], [9, 9])], "id int, codes array<int>, prediction array<int>")
+    d = K.residuals(rows, "id", "codes", "prediction").withColumn("back", K.restored(F.col("prediction"), F.col("indices"), F.col("data")))
+    assert "map_from_arrays" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.nonzeros, r.back == r.codes) for r in d.orderBy("id").collect()] == [(1, n, True), (2, 0, True), (3, 1, True)]
