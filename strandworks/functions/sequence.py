@@ -159,10 +159,14 @@ def ids_of(k: int, alphabet: str) -> Callable[[pa.Array], pa.Array]:
         data, off = letters_of(column)
         size = np.diff(off) // k
         cut = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(off[:-1] - cut[:-1] * k, size) + np.arange(cut[-1]) * k
-        digits, out = table[data], np.zeros(len(at), np.int64)
-        for j in range(k):
-            out = out * n + digits[at + j]
+        out = np.zeros(cut[-1], np.int64)
+        for i in range(0, len(size), CLEANED_ROWS):  # what is made on the way is held for a few rows only
+            here = cut[i : i + CLEANED_ROWS + 1]
+            at = np.repeat(off[i : i + len(here) - 1] - here[:-1] * k, np.diff(here)) + np.arange(here[0], here[-1]) * k
+            ids = out[here[0] : here[-1]]
+            for j in range(k):
+                ids *= n
+                ids += table[data[at + j]]
         return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(out))
 
     return ids
@@ -194,13 +198,12 @@ def kmer_tally(seq: Column, k: int, letters: str = "ACGTU") -> Column:
     @F.arrow_udf("array<struct<kmer:string,count:long>>")
     def of(column: pa.Array) -> pa.Array:
         data, off = letters_of(column)
-        digits = codes[data].astype(np.int64)
         kmers, counts, cut = [], [], [0]
         for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
             m = max(0, b - a - k + 1)
-            ids, ok = np.zeros(m, np.int64), np.ones(m, bool)
+            ids, ok, digits = np.zeros(m, np.int64), np.ones(m, bool), codes[data[a:b]]
             for j in range(k):
-                d = digits[a + j : a + j + m]
+                d = digits[j : j + m]
                 ids = ids * len(letters) + d
                 ok &= d < 255
             value, n = np.unique(ids[ok], return_counts=True)
@@ -233,16 +236,35 @@ def byte_tokens(seq: Column) -> Column:
 
 def base_codes(seq: Column) -> Column:
     """A, C, G, T as 1 to 4; anything else is an error."""
-    ok = seq.rlike("^[ACGT]*$")
-    codes = F.transform(F.filter(F.split(F.translate(seq, "ACGT", "1234"), ""), lambda c: c != ""), lambda c: c.cast("int"))
-    return F.when(ok, codes).otherwise(F.raise_error(F.lit("base codes take A, C, G and T only")))
+    table = letter_codes("ACGT") + np.uint8(1)  # 0 elsewhere
+
+    @F.arrow_udf("array<int>")
+    def of(column: pa.Array) -> pa.Array:
+        data, off = letters_of(column)
+        codes = table[data]
+        if column.null_count or not codes.all():
+            raise ValueError("base codes take A, C, G and T only")
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(codes.astype(np.int32)))
+
+    return of(seq)
 
 
 def from_base_codes(codes: Column, length: Column | None = None) -> Column:
     """The sequence of base codes, cut to its original length if given."""
-    ok = F.forall(codes, lambda c: c.between(1, 4))
-    seq = F.translate(F.array_join(codes, ""), "1234", "ACGT")
-    return F.when(ok, seq if length is None else F.substr(seq, F.lit(1), length)).otherwise(F.raise_error(F.lit("base codes are 1 to 4")))
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    @F.arrow_udf("string")
+    def of(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        if column.null_count or flat.null_count:
+            raise ValueError("base codes are 1 to 4")
+        data = flat.to_numpy()
+        if len(data) and not 1 <= data.min() <= data.max() <= 4:
+            raise ValueError("base codes are 1 to 4")
+        return _strings([letters[data - 1]], pc.list_value_length(column).to_numpy(), column)
+
+    seq = of(codes)
+    return seq if length is None else F.substr(seq, F.lit(1), length)
 
 
 def count_of(seq: Column, letters: str) -> Column:

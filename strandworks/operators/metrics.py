@@ -116,15 +116,15 @@ def masked(rows: DataFrame, top: DataFrame, key: str, named: str, k: int, strong
     @F.arrow_udf("array<byte>")
     def levels(seqs: pa.Array, weak: pa.Array, strong_: pa.Array) -> pa.Array:
         data, off = S.letters_of(seqs)
-        digits = codes[data].astype(np.int64)
         out = np.zeros(len(data), np.int8)
         for a, b, *sets in zip(off[:-1].tolist(), off[1:].tolist(), weak.to_pylist(), strong_.to_pylist(), strict=True):
             m = b - a - k + 1
             if m <= 0:
                 continue
-            ids = np.zeros(m, np.int64)
+            ids, digits = np.zeros(m, np.int64), codes[data[a:b]].astype(np.int64)
+            digits[digits == 255] = -(5**k)
             for j in range(k):
-                ids = ids * 5 + np.where(digits[a + j : a + j + m] < 255, digits[a + j : a + j + m], -(5**k))
+                ids = ids * 5 + digits[j : j + m]
             for level, kmers in enumerate(sets, 1):
                 wanted = [int(sum(int(codes[c]) * 5 ** (k - 1 - i) for i, c in enumerate(x.encode()))) for x in kmers or ()]
                 hit = np.isin(ids, wanted)
