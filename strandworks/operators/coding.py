@@ -119,6 +119,16 @@ def _quantise(probs: np.ndarray, total: int, out: np.ndarray) -> None:
     out[:] = np.cumsum(freq, axis=1)
 
 
+class TableScorer:
+    """A scorer of few distributions: ``table`` has one in each row, and ``states`` maps windows (n, L) and a place to the rows (n, L - place) that hold from there on."""
+
+    def __init__(self, table: np.ndarray, states: Callable[[np.ndarray, int], np.ndarray]):
+        self.table, self.states = table, states
+
+    def __call__(self, windows: np.ndarray, first: int = 0) -> np.ndarray:
+        return self.table[self.states(windows, first)]
+
+
 #: Windows that are scored at a time.
 SCORED_WINDOWS = 64
 SCORED = "source_name string, pos long, target int, log2p double, cum_low long, cum_high long, total long"
@@ -128,24 +138,30 @@ def score_windows(windows: DataFrame, score_fn: Callable[[np.ndarray], np.ndarra
     """Score every position of ``windows`` (source_name, start, input_ids, labels) with a caller's function.
 
     ``score_fn`` maps (n, L) input ids to (n, L, V) natural-log probabilities; labels below 0 are
-    not scored. Probability rows are gathered, quantised and dropped ``SCORED_WINDOWS`` windows at a time.
+    not scored. Probability rows are gathered, quantised and dropped ``SCORED_WINDOWS`` windows at a time; the few of a ``TableScorer``
+    are quantised once, and more windows are looked up at a time.
     """
+    few = isinstance(score_fn, TableScorer)
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def rows_of(column: pa.ListArray) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, many = quantise(np.exp(score_fn.table), total) if few else None, SCORED_WINDOWS * (64 if few else 1)
         for batch in batches:
-            for lo in range(0, len(batch), SCORED_WINDOWS):
-                part = batch.slice(lo, SCORED_WINDOWS)
-                labels = rows_of(part.column(3))
+            for lo in range(0, len(batch), many):
+                part = batch.slice(lo, many)
+                labels, ids = rows_of(part.column(3)), rows_of(part.column(2))
                 row, col = np.nonzero(labels >= 0)
                 if not len(row):
                     continue
-                target, p = labels[row, col], score_fn(rows_of(part.column(2)))[row, col]
-                at = np.arange(len(row))
-                cum = quantise(np.exp(p), total)
+                target = labels[row, col]
+                if few:
+                    cum, p, at = table, score_fn.table, score_fn.states(ids, 0)[row, col]
+                else:
+                    p, at = score_fn(ids)[row, col], np.arange(len(row))
+                    cum = quantise(np.exp(p), total)
                 cols = [
                     part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + col, pa.int64()), pa.array(target.astype(np.int32)),
                     pa.array(p[at, target] / np.log(2)), pa.array(cum[at, target]), pa.array(cum[at, target + 1]), pa.array(np.full(len(row), total, np.int64)),
@@ -155,15 +171,10 @@ def score_windows(windows: DataFrame, score_fn: Callable[[np.ndarray], np.ndarra
     return windows.select("source_name", "start", "input_ids", "labels").mapInArrow(run, SCORED)
 
 
-def fixed_scores(vocab: int) -> Callable[[np.ndarray], np.ndarray]:
+def fixed_scores(vocab: int) -> TableScorer:
     """A stand-in scorer: one fixed distribution at every place, falling from the first symbol to the last."""
-
-    def score(ids: np.ndarray) -> np.ndarray:
-        x = np.linspace(2, -2, vocab)
-        x = x - np.log(np.exp(x).sum())
-        return np.broadcast_to(x, (*ids.shape, vocab))
-
-    return score
+    x = np.linspace(2, -2, vocab)
+    return TableScorer((x - np.log(np.exp(x).sum()))[None], lambda ids, first: np.zeros((len(ids), ids.shape[1] - first), np.int64))
 
 
 def context_counts(tokens: DataFrame, order: int) -> DataFrame:

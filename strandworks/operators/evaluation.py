@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from strandworks.functions import sequence as S
 from strandworks.functions.config import grouped_widths
 from strandworks.operators.blocks import recut
-from strandworks.operators.coding import CODED_INTERVALS, Decoder, encode_many, quantise
+from strandworks.operators.coding import CODED_INTERVALS, Decoder, TableScorer, encode_many, quantise
 from strandworks.sources.fasta import blocks_of
 
 Scorer = Callable[[np.ndarray, int], np.ndarray]
@@ -147,16 +147,6 @@ def whole_intervals(p: np.ndarray, target: np.ndarray, total: int) -> tuple[np.n
     return cum[at, target][:, None], cum[at, target + 1][:, None]
 
 
-class TableScorer:
-    """A scorer of few distributions: ``table`` has one in each row, and ``states`` maps windows (n, L) and a place to the rows (n, L - place) that hold from there on."""
-
-    def __init__(self, table: np.ndarray, states: Callable[[np.ndarray, int], np.ndarray]):
-        self.table, self.states = table, states
-
-    def __call__(self, windows: np.ndarray, first: int) -> np.ndarray:
-        return self.table[self.states(windows, first)]
-
-
 #: Pairs of a distribution and a symbol of which intervals are kept.
 PAIRS = 1 << 22
 

@@ -167,3 +167,12 @@ def test_long_residuals_are_restored_by_place(spark):
     d = K.residuals(rows, "id", "codes", "prediction").withColumn("back", K.restored(F.col("prediction"), F.col("indices"), F.col("data")))
     assert "map_from_arrays" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.id, r.nonzeros, r.back == r.codes) for r in d.orderBy("id").collect()] == [(1, n, True), (2, 0, True), (3, 1, True)]
+
+
+def test_windows_of_few_distributions_quantise_each_once(spark):
+    """A scorer of one distribution against the same one as a plain function; more windows than are scored at a time."""
+    rows = spark.createDataFrame([(f"s{i % 3}", 4 * i, [i % 5, 1, 2, 3], [i % 5, -100, 4, 0]) for i in range(300)], "source_name string, start long, input_ids array<long>, labels array<long>")
+    few = K.fixed_scores(9)
+    assert isinstance(few, K.TableScorer) and few.table.shape == (1, 9)
+    got = [sorted(map(tuple, K.score_windows(rows, f, 1 << 15).collect())) for f in (few, lambda ids: few(ids))]
+    assert got[0] == got[1] and len(got[0]) == 900
