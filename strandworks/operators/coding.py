@@ -445,8 +445,20 @@ def encode_sequences(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def letter_tables(sources: DataFrame) -> DataFrame:
     """``source_name, letters, counts`` of each source's (or its blocks') letters in order."""
-    each = sources.select("source_name", F.explode(F.array_distinct(F.filter(F.split("seq", ""), lambda c: c != ""))).alias("c"), "seq")
-    n = each.groupBy("source_name", "c").agg(F.sum(F.length("seq") - F.length(F.replace(F.col("seq"), F.col("c"), F.lit("")))).cast("long").alias("n"))
+
+    @F.arrow_udf("array<struct<c:string,n:long>>")
+    def tally(seqs: pa.Array) -> pa.Array:
+        letters, counts, cut = [], [], [0]
+        for seq in seqs.to_pylist():
+            at = _places(seq or "")
+            c, n = np.unique(at, return_counts=True) if at.max(initial=0) > 255 else (np.flatnonzero(n := np.bincount(at)), n[n > 0])
+            letters += map(chr, c.tolist())
+            counts += n.tolist()
+            cut.append(len(letters))
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(letters, pa.string()), pa.array(counts, pa.int64())], ["c", "n"]))
+
+    each = sources.select("source_name", F.explode(tally("seq")).alias("x"))
+    n = each.groupBy("source_name", "x.c").agg(F.sum("x.n").cast("long").alias("n"))
     t = n.groupBy("source_name").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("t"))
     return t.select("source_name", F.array_join(F.transform("t", lambda x: x["c"]), "").alias("letters"), F.transform("t", lambda x: x["n"]).alias("counts"))
 

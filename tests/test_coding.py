@@ -176,3 +176,10 @@ def test_windows_of_few_distributions_quantise_each_once(spark):
     assert isinstance(few, K.TableScorer) and few.table.shape == (1, 9)
     got = [sorted(map(tuple, K.score_windows(rows, f, 1 << 15).collect())) for f in (few, lambda ids: few(ids))]
     assert got[0] == got[1] and len(got[0]) == 900
+
+
+def test_letter_tables_are_counted_in_batches(spark):
+    """Blocks of a source together, letters beyond Latin-1, and none; no array of single letters is made."""
+    t = K.letter_tables(spark.createDataFrame([("a", "GATTACA"), ("a", "AN"), ("b", "é€A€"), ("c", ""), ("d", None)], "source_name string, seq string"))
+    assert "split(" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, t.collect())) == [("a", "ACGNT", [4, 1, 1, 1, 2]), ("b", "Aé€", [1, 1, 2])]
