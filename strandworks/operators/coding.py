@@ -553,8 +553,60 @@ def baseline_sizes(samples: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     return samples.select("source_name", n.alias("ascii"), F.floor((2 * n + 7) / 8).cast("long").alias("two_bit"), sizes("seq").alias("z")).select("source_name", "ascii", "two_bit", "z.*")
 
 
-def _codecs() -> dict:
-    return {"gzip": zlib.compressobj(9, zlib.DEFLATED, 31), "bz2": bz2.BZ2Compressor(), "lzma": lzma.LZMACompressor()}
+#: Letters over which LZMA's hashes of two to four letters meet in the same places whatever the dictionary's size (from 2**16 places up).
+LZMA_LETTERS = b"ACGTN"
+#: Bytes of a sample that are held before its LZMA codec is chosen.
+LZMA_HELD = 1 << 20
+
+
+class Lzma:
+    """The size of ``lzma.compress`` of what is fed in parts.
+
+    A codec of the default dictionary of 8 MB clears and frees tables of many MB for a text of a few letters. A sample of A, C, G, T and N
+    that is over before ``LZMA_HELD`` bytes gets a dictionary of its own length: it looks matches up as the default one does, so that it
+    takes the same bytes. Other samples go on with the default.
+    """
+
+    def __init__(self):
+        self.held, self.codec, self.size = [], None, 0
+        self.room = LZMA_HELD
+
+    def compress(self, data: bytes) -> None:
+        if self.codec is None:
+            self.held.append(data)
+            self.room -= len(data)
+            if self.room >= 0 and not data.translate(None, LZMA_LETTERS):
+                return
+            data, self.codec = b"".join(self.held), lzma.LZMACompressor()
+            self.held = []
+        self.size += len(self.codec.compress(data))
+
+    def flush(self) -> int:
+        if self.codec is None:
+            data = b"".join(self.held)
+            return len(lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": lzma.PRESET_DEFAULT, "dict_size": max(4096, len(data))}]))
+        return self.size + len(self.codec.flush())
+
+
+class Sized:
+    """The size of what a codec makes of parts."""
+
+    def __init__(self, codec):
+        self.codec, self.size = codec, 0
+
+    def compress(self, data: bytes) -> None:
+        self.size += len(self.codec.compress(data))
+
+    def flush(self) -> int:
+        return self.size + len(self.codec.flush())
+
+
+def _codecs() -> list:
+    return [Sized(zlib.compressobj(9, zlib.DEFLATED, 31)), Sized(bz2.BZ2Compressor()), Lzma()]
+
+
+#: Samples whose sizes leave a task in one batch.
+SIZED_ROWS = 1024
 
 
 def streamed_sizes(blocks: DataFrame, keys: list[str], at: str = "start") -> DataFrame:
@@ -566,26 +618,29 @@ def streamed_sizes(blocks: DataFrame, keys: list[str], at: str = "start") -> Dat
     names = [*keys, *sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, codecs, done = None, 0, {}, {}
+        key, n, codecs, rows = None, 0, [], []
 
-        def row() -> pa.RecordBatch:
-            total = [n, (2 * n + 7) // 8, *(done[c] + len(codecs[c].flush()) for c in CODECS)]
-            return pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(key, fields, strict=True)), *(pa.array([v], pa.int64()) for v in total)], names)
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(f.type for f in fields), *[pa.int64()] * len(sizes)], strict=True)], names)
 
         for batch in batches:
             fields = [batch.schema.field(i) for i in range(len(keys))]
-            for i in range(len(batch)):
-                now = tuple(batch.column(j)[i].as_py() for j in range(len(keys)))
+            for *now, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key is None or now != key:
                     if key is not None:
-                        yield row()
-                    key, n, codecs, done = now, 0, _codecs(), dict.fromkeys(CODECS, 0)
-                data = batch.column(len(keys))[i].as_py().encode()
+                        rows.append((*key, n, (2 * n + 7) // 8, *(c.flush() for c in codecs)))
+                    key, n, codecs = now, 0, _codecs()
+                if len(rows) >= SIZED_ROWS:
+                    yield made()
+                    rows = []
+                data = text.encode()
                 n += len(data)
-                for c in CODECS:
-                    done[c] += len(codecs[c].compress(data))
+                for c in codecs:
+                    c.compress(data)
         if key is not None:
-            yield row()
+            rows.append((*key, n, (2 * n + 7) // 8, *(c.flush() for c in codecs)))
+            yield made()
 
     types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     met = blocks.repartition(*keys).sortWithinPartitions(*keys, at).select(*keys, "seq")

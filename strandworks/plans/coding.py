@@ -199,8 +199,7 @@ def f14(spark, sf):
 def f15(spark, sf):
     """Sizes by codecs that are fed the blocks of a source in their order; tests hold them against whole samples."""
     src = sources(spark, sf).select("source_name", "seq")
-    none = src.filter("seq = ''").select("source_name", F.lit(0).cast("long").alias("start"), "seq")
-    return K.streamed_sizes(blocks_of(src, 1 << 16).select("source_name", "start", "seq").union(none), ["source_name"])
+    return K.streamed_sizes(blocks_of(src, 1 << 16, keep_empty=True).select("source_name", "start", "seq"), ["source_name"])
 
 
 @query("f15_plain_sizes", with_(SRC) + "SELECT source_name, CAST(length(seq) AS BIGINT) AS ascii, CAST((2 * length(seq) + 7) // 8 AS BIGINT) AS two_bit FROM src")

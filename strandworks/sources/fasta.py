@@ -181,9 +181,10 @@ def flat_blocks(spark: SparkSession, root: str, block: int = 1 << 20) -> DataFra
     return files.mapInArrow(cut, "species string, sequence_key string, block_id long, start long, seq string")
 
 
-def blocks_of(rows: DataFrame, block: int) -> DataFrame:
-    """Cut a ``seq`` column into blocks of fixed length."""
+def blocks_of(rows: DataFrame, block: int, keep_empty: bool = False) -> DataFrame:
+    """Cut a ``seq`` column into blocks of fixed length; an empty one has none, or one empty block if these are kept."""
     n = F.ceil(F.length("seq") / block).cast("int")
+    n = F.greatest(n, F.lit(1)) if keep_empty else n
     ids = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     out = rows.withColumn("block_id", F.explode(ids))
     return out.withColumns({"start": (F.col("block_id") * block).cast("long"), "seq": F.substr("seq", F.col("block_id") * block + 1, F.lit(block)), "block_id": F.col("block_id").cast("long")})

@@ -4,6 +4,7 @@ import bz2
 import gzip
 import lzma
 import random
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandworks.functions.config import frequency_total
 from strandworks.operators import evaluation as E
-from strandworks.operators.coding import Decoder, Encoder, decode_many, encode_many, quantise, streamed_sizes
+from strandworks.operators.coding import LZMA_HELD, Decoder, Encoder, Lzma, decode_many, encode_many, quantise, streamed_sizes
 from strandworks.sources.fasta import blocks_of
 
 VOCAB, PAD, EOS, K = 127, 125, 126, 3
@@ -152,6 +153,39 @@ def test_streamed_sizes_equal_whole_ones(spark):
         assert (got[name].gzip, got[name].bz2, got[name].lzma) == (len(gzip.compress(b, 9, mtime=0)), len(bz2.compress(b)), len(lzma.compress(b)))
 
 
+def lzma_size(*parts):
+    codec = Lzma()
+    for part in parts:
+        codec.compress(part)
+    return codec.flush()
+
+
+def test_lzma_sizes_of_short_samples_without_a_large_dictionary():
+    """The same sizes as by the default codec, for samples of all kinds and lengths, and at most half its time for short ones."""
+    rng = random.Random(3)
+    some = [bytes(rng.choices(b"ACGTN", w, k=n)) for n in (0, 1, 2, 3, 4, 700, 4095, 4096, 4097, 70_000) for w in ((1, 1, 1, 1, 0), (1, 1, 1, 1, 30), (9, 1, 1, 9, 2))]
+    some += [x * m for x in some[15:18] for m in (2, 90)] + [b"N" * 65_537, bytes(rng.choices(b"ACGT", k=LZMA_HELD)), bytes(rng.choices(b"ACGT", k=LZMA_HELD + 1)), bytes(rng.choices(b"ACGTRY", k=9000))]
+    for x in some:
+        assert lzma_size(x) == len(lzma.compress(x)) == lzma_size(x[:999], x[999:2500], x[2500:])
+    short = [bytes(rng.choices(b"ACGTN", k=300)) for _ in range(300)]
+
+    def seconds(f):
+        began = time.process_time()
+        for x in short:
+            f(x)
+        return time.process_time() - began
+
+    assert 2 * min(seconds(lzma_size) for _ in range(3)) < min(seconds(lzma.compress) for _ in range(3))
+
+
+def test_an_empty_sample_keeps_a_block(spark):
+    df, _ = sequences(spark, (0, 1, 5000))
+    cut = blocks_of(df, 999, keep_empty=True)
+    assert sorted((r.start, len(r.seq)) for r in cut.collect()) == sorted([(0, 0), (0, 1), *((i * 999, min(999, 5000 - i * 999)) for i in range(6))])
+    assert blocks_of(df, 999).count() == 7
+    assert {r.ascii for r in streamed_sizes(cut, ["source_name"]).collect()} == {0, 1, 5000}
+
+
 def test_long_windows_in_bounded_memory(spark):
     """L = 4,096: a source of 60,000 symbols, each scored once, from blocks shorter than the window."""
     df = spark.createDataFrame([("a", "ACGT" * 45_000)], "source_name string, seq string")
