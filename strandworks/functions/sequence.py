@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,27 +189,51 @@ def kmer_ids(seq: Column, k: int, alphabet: str = "ACGTN") -> Column:
     return of(in_alphabet(seq, alphabet))
 
 
+def kmer_places(k: int, letters: str) -> Callable[[np.ndarray, np.ndarray], Iterator[tuple]]:
+    """Of the bytes of rows and their offsets, a few rows at a time: the first row, the rows' offsets, and of each k-mer of these letters its row (from the first), place and id.
+
+    As many rows as can be told apart beside an id in 64 bits are looked through at once, ``CLEANED_ROWS`` at most.
+    """
+    codes, n = letter_codes(letters), len(letters)
+    rows = max(1, min(CLEANED_ROWS, (2**63 - 1) // n**k))
+
+    def places(data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
+        for first in range(0, len(off) - 1, rows):
+            here = off[first : first + rows + 1]
+            digits = codes[data[here[0] : here[-1]]]
+            m = len(digits) - k + 1
+            if m <= 0:
+                continue
+            row = np.repeat(np.arange(len(here) - 1), np.diff(here))
+            ok = row[:m] == row[k - 1 :]
+            for j in range(k):
+                ok &= digits[j : j + m] < 255
+            at = np.flatnonzero(ok)
+            ids = np.zeros(len(at), np.int64)
+            for j in range(k):
+                ids *= n
+                ids += digits[at + j]
+            yield first, here - here[0], row[at], at, ids
+
+    return places
+
+
 def kmer_tally(seq: Column, k: int, letters: str = "ACGTU") -> Column:
     """``array<struct<kmer, count>>`` of the overlapping k-mers of these letters in each sequence."""
     if len(letters) ** k > 2**63 - 1:
         raise ValueError("k-mers must fit a BIGINT")
-    codes = letter_codes(letters)
+    places = kmer_places(k, letters)
 
     @F.arrow_udf("array<struct<kmer:string,count:long>>")
     def of(column: pa.Array) -> pa.Array:
         data, off = letters_of(column)
-        kmers, counts, cut = [], [], [0]
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            m = max(0, b - a - k + 1)
-            ids, ok, digits = np.zeros(m, np.int64), np.ones(m, bool), codes[data[a:b]]
-            for j in range(k):
-                d = digits[j : j + m]
-                ids = ids * len(letters) + d
-                ok &= d < 255
-            value, n = np.unique(ids[ok], return_counts=True)
-            kmers.append(value)
+        kmers, counts, sizes = [], [], np.zeros(len(column), np.int64)
+        for first, here, row, _, ids in places(data, off):
+            key, n = np.unique(row * len(letters) ** k + ids, return_counts=True)
+            kmers.append(key % len(letters) ** k)
             counts.append(n)
-            cut.append(cut[-1] + len(value))
+            sizes[first : first + len(here) - 1] = np.bincount(key // len(letters) ** k, minlength=len(here) - 1)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
         value = np.concatenate([np.zeros(0, np.int64), *kmers])
         text = np.zeros((len(value), k), np.uint8)
         alphabet = np.frombuffer(letters.encode(), np.uint8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,39 +105,51 @@ def top_kmers(counts: DataFrame, key: str, least: int, limit: int) -> DataFrame:
 def repeat_mask(rows: DataFrame, top: DataFrame, key: str, k: int, strong: int = 8) -> DataFrame:
     """``key, pos, level`` of the bases that a top k-mer covers: 2 if it is frequent, else 1.
 
-    The few top k-mers of a sequence meet it in a join; its places are looked through once, in Arrow batches.
+    The few top k-mers of a sequence meet it in a join; its places are looked through once, and only covered ones become rows.
     """
-    return masked(rows, top, key, key, k, strong)
+    found = rows.join(kmer_sets(top, key, strong), key).select(key, F.explode(covered(F.col("seq"), F.col("weak"), F.col("strong"), k)).alias("c"))
+    return found.select(key, "c.pos", F.col("c.level").cast("int").alias("level"))
 
 
-def masked(rows: DataFrame, top: DataFrame, key: str, named: str, k: int, strong: int = 8) -> DataFrame:
-    """``repeat_mask`` of rows that meet their k-mers by ``key`` and are named by another column, as parts of a sequence are."""
-    codes = S.letter_codes("ACGTU")
+def kmer_sets(top: DataFrame, key: str, strong: int = 8) -> DataFrame:
+    """``key, weak, strong``: the top k-mers of each sequence, the frequent ones apart."""
+    kmers = lambda c: F.collect_list(F.when(c, F.col("kmer")))
+    return top.groupBy(key).agg(kmers(F.col("count") < strong).alias("weak"), kmers(F.col("count") >= strong).alias("strong"))
+
+
+def covered(seq: Column, weak: Column, strong: Column, k: int) -> Column:
+    """``array<struct<pos, level>>``: the places that a k-mer of ``weak`` (1) or ``strong`` (2) covers, others left out; looked up in Arrow batches."""
+    codes, places = S.letter_codes("ACGTU").astype(np.int64), S.kmer_places(k, "ACGTU")
 
-    @F.arrow_udf("array<byte>")
-    def levels(seqs: pa.Array, weak: pa.Array, strong_: pa.Array) -> pa.Array:
+    def wanted(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each row's k-mers, and the offsets of rows."""
+        off = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        data, cut = S.letters_of(sets.flatten())
+        if (np.diff(cut) != k).any():
+            raise ValueError(f"the k-mers of a mask have {k} letters")
+        return codes[data].reshape(-1, k) @ (5 ** np.arange(k - 1, -1, -1, dtype=np.int64)), off
+
+    @F.arrow_udf("array<struct<pos:int,level:byte>>")
+    def of(seqs: pa.Array, weak: pa.Array, strong: pa.Array) -> pa.Array:
         data, off = S.letters_of(seqs)
-        out = np.zeros(len(data), np.int8)
-        for a, b, *sets in zip(off[:-1].tolist(), off[1:].tolist(), weak.to_pylist(), strong_.to_pylist(), strict=True):
-            m = b - a - k + 1
-            if m <= 0:
-                continue
-            ids, digits = np.zeros(m, np.int64), codes[data[a:b]].astype(np.int64)
-            digits[digits == 255] = -(5**k)
-            for j in range(k):
-                ids = ids * 5 + digits[j : j + m]
-            for level, kmers in enumerate(sets, 1):
-                wanted = [int(sum(int(codes[c]) * 5 ** (k - 1 - i) for i, c in enumerate(x.encode()))) for x in kmers or ()]
-                hit = np.isin(ids, wanted)
+        sets, found, levels, sizes = (wanted(weak), wanted(strong)), [], [], np.zeros(len(seqs), np.int64)
+        for first, here, row, at, ids in places(data, off):
+            level, n = np.zeros(here[-1], np.int8), len(here) - 1
+            for i, (kmers, cut) in enumerate(sets, 1):
+                own = np.repeat(np.arange(n), np.diff(cut[first : first + n + 1]))
+                hit = at[np.isin(row * 5**k + ids, own * 5**k + kmers[cut[first] : cut[first + n]])]
                 for j in range(k):
-                    view = out[a + j : a + j + m]
-                    view[hit] = level
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out))
-
-    kmers = lambda c: F.collect_list(F.when(c, F.col("kmer")))
-    sets = top.groupBy(F.col(key).alias("_key")).agg(kmers(F.col("count") < strong).alias("weak"), kmers(F.col("count") >= strong).alias("strong"))
-    j = rows.join(sets, F.col(key) == F.col("_key")).select(named, F.posexplode(levels(F.col("seq"), F.col("weak"), F.col("strong"))).alias("pos", "level"))
-    return j.filter("level > 0").select(named, "pos", F.col("level").cast("int").alias("level"))
+                    level[hit + j] = i
+            place = np.flatnonzero(level)
+            lies = np.searchsorted(here, place, "right") - 1
+            found.append(place - here[lies])
+            levels.append(level[place])
+            sizes[first : first + n] = np.bincount(lies, minlength=n)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int8), *levels]))], ["pos", "level"])
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pairs)
+
+    return of(seq, weak, strong)
 
 
 def repeat_lines(rows: DataFrame, mask: DataFrame, key: str, width: int) -> DataFrame:

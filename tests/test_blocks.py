@@ -152,3 +152,30 @@ def test_left_contexts_of_no_tokens_and_of_ids_below_zero(spark):
     rows = spark.createDataFrame([(1, []), (2, [5, -1, 7, 8])], "id int, tokens array<long>")
     got = [(r.id, r.pos, r.context) for r in W.left_contexts(rows, 3, 0, [9], 2).orderBy("id", "pos").collect()]
     assert got == [(2, 0, [0, 9]), (2, 1, [0, 9, 5]), (2, 2, [9, 5, -1]), (2, 3, [5, -1, 7])]
+
+
+def test_halos_of_blocks_of_any_length(spark):
+    src = sources(spark).select("source_name", "seq")
+    whole = {r.source_name: r.seq for r in src.collect()}
+    for size, n in ((1, 3), (2, 3), (7, 3), (7, 20), (50, 1)):
+        blocks = blocks_of(src, size)
+        rows = B.halos(blocks, n).collect()
+        assert len(rows) == blocks.count()
+        for r in rows:
+            s, a, b = whole[r.source_name], r.start, r.start + size
+            assert (r.before, r.tail, r.after) == (s[max(0, a - n) : a], s[a:b][-n:], s[b : b + n]) and a == r.block_id * size
+
+
+def test_masks_make_rows_of_covered_places_and_counts_shuffle_no_block(spark):
+    """A row for each letter was made and thrown away again; every block met what is behind it in a join."""
+    src = spark.createDataFrame([("a", "ACGTACGT" + "N" * 100 + "ACGTT"), ("b", "N" * 50), ("c", "GGGGG")], "source_name string, seq string")
+    blocks = blocks_of(src, 10)
+    counts = B.kmer_counts(blocks, 4)
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    top = M.top_kmers(counts, "source_name", 2, 5)
+    for mask in (B.repeat_mask(blocks, top, 4, 10), M.repeat_mask(src, top, "source_name", 4)):
+        assert "posexplode" not in mask._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(mask.collect()) == [*(("a", i, 1) for i in (*range(8), *range(108, 112))), *(("c", i, 1) for i in range(5))]
+    lines = B.repeat_lines(blocks, B.repeat_mask(blocks, top, 4, 10), 5, 10).orderBy("source_name", "line").collect()
+    assert len(lines) == 23 + 10 + 1
+    assert {(r.source_name, r.line): r.meter for r in lines if r.meter > 4} == {("a", 0): 100, ("a", 1): 60, ("a", 21): 40, ("a", 22): 66, ("c", 0): 100}
