@@ -177,20 +177,58 @@ def fixed_scores(vocab: int) -> TableScorer:
     return TableScorer((x - np.log(np.exp(x).sum()))[None], lambda ids, first: np.zeros((len(ids), ids.shape[1] - first), np.int64))
 
 
+#: Rows whose contexts are counted together before they leave a task.
+TALLIED_ROWS = 256
+
+
+def _tallied(ids: np.ndarray, off: np.ndarray, group: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of tokens (``off``: where they begin) in groups: the first place of each different (group, ``order`` tokens, next token), and how often it is there."""
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    m = max(0, len(ids) - order)
+    at = np.flatnonzero(row[:m] == row[order:])
+    names, place = np.unique(ids, return_inverse=True)
+    key, kinds = group[row[at]].astype(np.int64), int(group.max(initial=0)) + 1
+    for j in range(order + 1):
+        if kinds * len(names) > 2**62:  # keys in use are numbered anew before they can pass 64 bits
+            used, key = np.unique(key, return_inverse=True)
+            kinds = len(used)
+        key = key * len(names) + place[at + j]
+        kinds *= len(names)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return at[first], n
+
+
+def context_tallies(tokens: DataFrame, order: int, key: str | None = None) -> DataFrame:
+    """``[key], context, next, n`` of a few rows of ``tokens`` at a time, to be summed up; no token makes a row of its own."""
+    names = [*([key] if key else []), "context", "next", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), TALLIED_ROWS):
+                part = batch.slice(i, TALLIED_ROWS)
+                ids, off = _lists(part.column("tokens"))
+                keys = part.column(key).dictionary_encode("encode") if key else None
+                group = keys.indices.to_numpy(zero_copy_only=False) if key else np.zeros(len(part), np.int64)
+                at, n = _tallied(ids, off, group, order)
+                context = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * order, pa.int32()), pa.array(ids[(at[:, None] + np.arange(order)).ravel()], pa.int64()))
+                own = [part.column(key).take(pa.array(np.searchsorted(off, at, "right") - 1))] if key else []
+                yield pa.RecordBatch.from_arrays([*own, context, pa.array(ids[at + order], pa.int64()), pa.array(n, pa.int64())], names)
+
+    rows = tokens.select(*names[:-3], F.col("tokens").cast("array<long>").alias("tokens"))
+    kind = [f"`{key}` {rows.schema[key].dataType.simpleString()}"] if key else []
+    return rows.mapInArrow(run, ", ".join([*kind, "context array<long>", "next long", "n long"]))
+
+
 def context_counts(tokens: DataFrame, order: int) -> DataFrame:
     """``context, next, n`` over all token arrays: what an order-m count model is made of."""
-    n = F.size("tokens") - order
-    pairs = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.slice("tokens", i + 1, order).alias("context"), F.get("tokens", i + order).alias("next")))
-    return tokens.select(F.explode(pairs).alias("p")).groupBy("p.context", "p.next").agg(F.count("*").alias("n"))
+    return context_tallies(tokens, order).groupBy("context", "next").agg(F.sum("n").alias("n"))
 
 
 def count_model_bits(train: DataFrame, test: DataFrame, order: int, vocab: int, smoothing: float = 1.0) -> DataFrame:
     """``source_name, symbols, bits`` of test tokens under the smoothed counts of the training tokens."""
     counts = context_counts(train, order)
     totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-    n = F.size("tokens") - order
-    pairs = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.slice("tokens", i + 1, order).alias("context"), F.get("tokens", i + order).alias("next")))
-    asked = test.select("source_name", F.explode(pairs).alias("p")).groupBy("source_name", "p.context", "p.next").agg(F.count("*").alias("times"))
+    asked = context_tallies(test, order, "source_name").groupBy("source_name", "context", "next").agg(F.sum("n").alias("times"))
     j = asked.join(counts, ["context", "next"], "left").join(totals, "context", "left")
     p = (F.coalesce("n", F.lit(0)) + smoothing) / (F.coalesce("total", F.lit(0)) + smoothing * vocab)
     return j.groupBy("source_name").agg(F.sum("times").cast("long").alias("symbols"), F.sum(-F.log2(p) * F.col("times")).alias("bits"))

@@ -1,5 +1,7 @@
 """Coding is held against exact inverses and invariants."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -183,3 +185,19 @@ def test_letter_tables_are_counted_in_batches(spark):
     t = K.letter_tables(spark.createDataFrame([("a", "GATTACA"), ("a", "AN"), ("b", "é€A€"), ("c", ""), ("d", None)], "source_name string, seq string"))
     assert "split(" not in t._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, t.collect())) == [("a", "ACGNT", [4, 1, 1, 1, 2]), ("b", "Aé€", [1, 1, 2])]
+
+
+def test_contexts_are_counted_without_a_row_for_each_token(spark):
+    """Against counts by hand: rows too short for a context, ids below zero, keys that pass 64 bits, and more rows than are counted together."""
+    rng = random.Random(9)
+    rows = [(f"s{i % 3}", [rng.choice((-5, 0, 1, 2**40)) for _ in range(rng.choice((0, 1, 2, 9)))]) for i in range(600)] + [("wide", list(range(3000)) * 2)]
+    df = spark.createDataFrame(rows, "source_name string, tokens array<long>").coalesce(1)
+    for order in (0, 1, 2, 6):
+        want = {}
+        for name, t in rows:
+            for i in range(len(t) - order):
+                want[name, tuple(t[i : i + order]), t[i + order]] = want.get((name, tuple(t[i : i + order]), t[i + order]), 0) + 1
+        got = K.context_tallies(df, order, "source_name").groupBy("source_name", "context", "next").agg(F.sum("n").alias("n")).collect()
+        assert {(r.source_name, tuple(r.context), r.next): r.n for r in got} == want and len(got) == len(want)
+        assert K.context_counts(df, order).agg(F.sum("n")).first()[0] == sum(want.values())
+    assert "transform(" not in K.context_counts(df, 1)._jdf.queryExecution().optimizedPlan().toString()
