@@ -210,7 +210,7 @@ def _by_source(name, columns):
 
 @query("e1_block_windows", _by_source("e1_windows", "window_id, ids_sha256, valid"))
 def e1_blocks(spark, sf):
-    w = B.tumbling(B.block_tokens(seq_blocks(spark, sf), 3), 128, 125)
+    w = B.block_windows(seq_blocks(spark, sf), 3, 128, 125)
     return w.select("source_name", "window_id", _ids("input_ids").alias("ids_sha256"), "valid")
 
 

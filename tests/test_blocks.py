@@ -179,3 +179,14 @@ def test_masks_make_rows_of_covered_places_and_counts_shuffle_no_block(spark):
     lines = B.repeat_lines(blocks, B.repeat_mask(blocks, top, 4, 10), 5, 10).orderBy("source_name", "line").collect()
     assert len(lines) == 23 + 10 + 1
     assert {(r.source_name, r.line): r.meter for r in lines if r.meter > 4} == {("a", 0): 100, ("a", 1): 60, ("a", 21): 40, ("a", 22): 66, ("c", 0): 100}
+
+
+def test_windows_from_letters_equal_those_of_tokens(spark):
+    src = sources(spark).select("source_name", "seq")
+    key = lambda df: sorted(map(str, df.select("source_name", "window_id", "input_ids", "valid").collect()))
+    for size, k, length, prefix in ((7, 3, 9, 0), (50, 3, 5, 2), (64, 4, 128, 0), (1000, 1, 10, 1)):
+        blocks = blocks_of(src, size)
+        want = key(W.tumbling(src.select("source_name", S.kmer_ids(F.col("seq"), k).alias("tokens")), length, -7, prefix))
+        found = B.block_windows(blocks, k, length, -7, prefix)
+        assert key(found) == want == key(B.tumbling(B.block_tokens(blocks, k), length, -7, prefix))
+        assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Union" not in plan
