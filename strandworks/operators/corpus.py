@@ -168,9 +168,11 @@ def sample_windows(weighted: DataFrame, samples: int, seed: int, order: str) ->
 
     Cumulative weights are prefix sums within hashed buckets of sources, lifted by the sums of the buckets
     before; draws are ``drawn`` of (seed, index), and meet their source in a range join on the scaled cumulative
-    weight, dealt to cells so that it is an equi-join.
+    weight, dealt to cells so that it is an equi-join. There are as many cells as draws, so that few sources and few draws
+    meet in one, however many there are of both. Weights are kept while they are summed up and met: what they are made of is read once.
     """
-    cells = 4096
+    cells = 1 << max(12, min(30, samples.bit_length()))
+    weighted = weighted.select(*dict.fromkeys((order, "source_name", "available", "weight"))).persist()
     bucket = F.substring(F.md5(F.col(order).cast("string")), 1, 2)
     own = Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = weighted.withColumn("bucket", bucket)

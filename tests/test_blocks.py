@@ -1,5 +1,8 @@
 """Blocks against whole sources: every phase, short last blocks, windows over several blocks."""
 
+import bisect
+import hashlib
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -190,3 +193,28 @@ def test_windows_from_letters_equal_those_of_tokens(spark):
         found = B.block_windows(blocks, k, length, -7, prefix)
         assert key(found) == want == key(B.tumbling(B.block_tokens(blocks, k), length, -7, prefix))
         assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Union" not in plan
+
+
+def test_a_long_source_is_cut_piece_by_piece(spark):
+    """Of 400,000 letters, blocks of 10: each was looked for from the source's first letter."""
+    rng = random.Random(12)
+    whole = "".join(rng.choices("ACGTNé", k=400_000))
+    df = spark.createDataFrame([("a", whole), ("b", ""), ("c", whole[:321])], "source_name string, seq string")
+    assert str(blocks_of(df, 10)._jdf.queryExecution().optimizedPlan()).count("Generate explode") == 2
+    rows = blocks_of(df, 10).collect()
+    assert {(r.source_name, r.block_id): (r.start, r.seq) for r in rows} == {(n, i // 10): (i, s[i : i + 10]) for n, s in (("a", whole), ("c", whole[:321])) for i in range(0, len(s), 10)}
+    assert len(rows) == 40_000 + 33
+
+
+def test_draws_and_sources_meet_in_as_many_cells_as_draws(spark):
+    """10,000 sources and 10,000 draws against a search in sums; weights are read once."""
+    n = 10_000
+    weighted = spark.range(n).selectExpr("concat('s', id) source_name", "id % 7 + 1 available", "cast(id % 7 + 1 as double) weight")
+    out = C.sample_windows(weighted, n, 3, "source_name")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" in plan and "4096" not in plan
+    rows = sorted(weighted.collect(), key=lambda r: (hashlib.md5(r.source_name.encode()).hexdigest()[:2], r.source_name))
+    upto = list(itertools.accumulate(r.available for r in rows))
+    draw = lambda tag, i: int(hashlib.md5(f"3:{tag}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    want = [(i, r.source_name, int(draw("start", i) * r.available)) for i in range(n) for r in (rows[bisect.bisect_right(upto, draw("source", i) * upto[-1])],)]
+    assert sorted(tuple(r) for r in out.collect()) == want
